@@ -197,15 +197,15 @@ def decode(ids: list[int], m: Merges) -> bytes:
     return b"".join(map(m.bytes.__getitem__, ids))
 
 
-def blocks(batches, most: int = BLOCK):
-    """Row groups of about ``most`` bytes of text from a stream of (key, text, ...) batches."""
+def blocks(batches, most: int = BLOCK, text_at: int = 1):
+    """Row groups of about ``most`` bytes of text (column ``text_at``) from a stream of batches."""
     held, size = [], 0
     for b in batches:
-        step = max(1, b.num_rows * most // (4 * max(1, b.column(1).nbytes)))
+        step = max(1, b.num_rows * most // (4 * max(1, b.column(text_at).nbytes)))
         for s in range(0, b.num_rows, step):
             part = b.slice(s, step)
             held.append(part)
-            size += part.column(1).nbytes
+            size += part.column(text_at).nbytes
             if size >= most:
                 yield pa.Table.from_batches(held)
                 held, size = [], 0
