@@ -9,9 +9,10 @@ agree, larger ones groups of three of which one must, so that the number of
 signatures stays a fraction of the set.
 
 Copies of one set are a class with one node.  Nodes that share a signature
-are linked to the first node of that signature (a star), the star's links are
-verified exactly and merged into components; only then are the remaining
-pairs inside a signature looked at, and only across components.
+are linked to the first node of that signature (a star).  Of a node's links
+the likeliest is verified exactly first; what that leaves in different
+components is verified next, and only then are the other pairs inside a
+signature looked at, again only across components.
 """
 
 from __future__ import annotations
@@ -152,27 +153,55 @@ def sign(width: int, num: int, den: int):
 
 
 def unpack(width: int):
-    """(doc_id, text) to (node, set, sketch): the sketch holds, in 256 bits, the parity of members by hash."""
+    """(doc_id, text) to (node, n, sketch, members).
+
+    The sketch holds the parity of members by hash, in the next power of two
+    of n bits (256 at least).  Two sets differ in at least as many members as
+    their sketches differ in bits.
+    """
 
     def run(batches):
         for b in batches:
-            nodes, sets, sketches = [], [], []
+            nodes, sizes, sets, sketches = [], [], [], []
             for s in shingle_sets(b.column(1), width):
                 nodes.append(fingerprint(s))
+                sizes.append(len(s))
                 sets.append(s.view(np.int64))
-                bits = np.bincount((mix(s) & np.uint64(255)).astype(np.int64), minlength=256) & 1
+                size = max(256, 1 << (len(s) - 1).bit_length())
+                bits = np.bincount((mix(s) & np.uint64(size - 1)).astype(np.int64), minlength=size) & 1
                 sketches.append(np.packbits(bits.astype(np.uint8), bitorder="little").view(np.int64))
-            yield pa.RecordBatch.from_arrays([pa.array(nodes, pa.int64()), pa.array(sets, pa.list_(pa.int64())), pa.array(sketches, pa.list_(pa.int64()))], ["node", "members", "sketch"])
+            yield pa.RecordBatch.from_arrays([pa.array(nodes, pa.int64()), pa.array(sizes, pa.int32()), pa.array(sketches, pa.list_(pa.int64())), pa.array(sets, pa.list_(pa.int64()))], ["node", "n", "sketch", "members"])
 
     return run
 
 
+def close(x: str, y: str, num: int, den: int):
+    """Whether sizes and sketches of two aliased rows allow the similarity (never false for similar sets)."""
+    small, large = F.least(f"{x}.n", f"{y}.n"), F.greatest(f"{x}.n", f"{y}.n")
+    a, b = F.col(f"{x}.sketch"), F.col(f"{y}.sketch")
+
+    def halved(v, other):
+        """A sketch of twice the other's size, folded."""
+        n = F.size(other)
+        return F.when(F.size(v) > n, F.zip_with(F.slice(v, F.lit(1), n), F.slice(v, n + 1, n), lambda p, q: p.bitwiseXOR(q))).otherwise(v)
+
+    apart = F.aggregate(F.zip_with(halved(a, b), halved(b, a), lambda p, q: F.bit_count(p.bitwiseXOR(q))), F.lit(0), lambda t, c: t + F.coalesce(c, F.lit(0)))
+    return (small * den >= large * num) & (apart * (num + den) <= (small + large) * (den - num))
+
+
+def possible(pairs: DataFrame, facts: DataFrame, num: int, den: int) -> DataFrame:
+    """The (hub, node) pairs whose sizes and sketches allow the similarity."""
+    x = facts.select("node", F.struct("n", "sketch").alias("x"))
+    y = facts.select(F.col("node").alias("hub"), F.struct("n", "sketch").alias("y"))
+    return pairs.select("hub", "node").join(x, "node").join(y, "hub").filter(close("x", "y", num, den)).select("hub", "node")
+
+
 def verified(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
-    """The (a, b) of ``pairs`` whose sets are similar enough, by exact set sizes."""
-    a = sets.select(F.col("node").alias("a"), F.col("members").alias("ma"))
-    b = sets.select(F.col("node").alias("b"), F.col("members").alias("mb"))
-    both = F.size(F.array_intersect("ma", "mb"))
-    return pairs.join(a, "a").join(b, "b").withColumn("both", both).filter(F.col("both") * den >= (F.size("ma") + F.size("mb") - F.col("both")) * num).select("a", "b")
+    """The (hub, node) pairs as (a, b) whose sets are similar enough, by exact set sizes."""
+    own = pairs.join(sets.select("node", F.col("members").alias("mine")), "node")
+    hubs = sets.join(pairs.select(F.col("hub").alias("node")).distinct(), "node", "left_semi").select(F.col("node").alias("hub"), F.col("members").alias("other"))
+    both = F.size(F.array_intersect("mine", "other"))
+    return own.join(hubs, "hub").withColumn("both", both).filter(F.col("both") * den >= (F.size("mine") + F.size("other") - F.col("both")) * num).select(F.col("hub").alias("a"), F.col("node").alias("b"))
 
 
 def jaccard_components(docs: DataFrame, width: int = SHINGLE, num: int = NUM, den: int = DEN) -> DataFrame:
@@ -202,33 +231,41 @@ def jaccard_components(docs: DataFrame, width: int = SHINGLE, num: int = NUM, de
         .distinct()
     )
     stars = cut(stars, "stars")
-    links = cut(stars.filter("hub <> node").select(F.col("hub").alias("a"), F.col("node").alias("b")).distinct(), "star-links")
+    links = cut(stars.filter("hub <> node").groupBy("hub", "node").agg(F.count("*").alias("shared")), "star-links")
 
-    wanted = links.select(F.col("a").alias("node")).unionByName(links.select(F.col("b").alias("node"))).distinct()
-    wanted = cut(wanted.join(classes, "node").select(F.col("first").alias("doc_id")), "candidates")
+    wanted = links.select("hub").unionByName(links.select(F.col("node").alias("hub"))).distinct()
+    wanted = cut(wanted.join(classes, wanted["hub"] == classes["node"]).select(F.col("first").alias("doc_id")), "candidates")
     if small_enough(wanted, BROADCAST_ROWS):
         wanted = F.broadcast(wanted)
     some = rows.join(wanted, "doc_id", "left_semi")
-    sets = cut(some.mapInArrow(unpack(width), "node long, members array<long>, sketch array<long>").dropDuplicates(["node"]), "sets")
-    good = cut(verified(links, sets, num, den), "good-links")
-
-    # Signatures where a member is not linked to the hub: their remaining pairs across components.
-    groups = connected(good)
-    bad = links.join(good, ["a", "b"], "left_anti").select(F.col("a").alias("hub"), F.col("b").alias("node"))
-    open_sigs = stars.join(bad, ["hub", "node"]).select("sig").distinct()
-    facts = sets.select("node", F.size("members").alias("n"), "sketch")
-    left = stars.join(open_sigs, "sig", "left_semi").join(groups, "node", "left").join(facts, "node")
-    left = cut(left.select("sig", "node", F.coalesce("component", "node").alias("c"), "n", "sketch", "hub"), "open")
+    sets = cut(some.mapInArrow(unpack(width), "node long, n int, sketch array<long>, members array<long>"), "sets")
+    facts = sets.select("node", "n", "sketch")
+
+    # First each node with the hub it shares most signatures with, then what is left across components.
+    likely = links.groupBy("node").agg(F.max_by("hub", F.struct("shared", "hub")).alias("hub"))
+    good = cut(verified(possible(likely, facts, num, den), sets, num, den), "good-links")
+    groups = cut(connected(good), "groups")
+    tried = likely.select("hub", "node")
+    names = groups.select("node", "component")
+
+    def across(pairs: DataFrame) -> DataFrame:
+        named = pairs.join(names, "node", "left").withColumnRenamed("component", "c").join(names.select(F.col("node").alias("hub"), "component"), "hub", "left")
+        return named.filter(F.coalesce("c", "node") != F.coalesce("component", "hub")).select("hub", "node")
+
+    rest = across(links.join(tried, ["hub", "node"], "left_anti"))
+    more = cut(verified(possible(rest, facts, num, den), sets, num, den), "more-links")
+    good = good.unionByName(more)
+    groups = cut(connected(good), "groups")
+
+    # Signatures whose members are still in several components: their other pairs, hubs aside.
+    left = stars.filter("hub <> node").join(groups, "node", "left").select("sig", "node", F.coalesce("component", "node").alias("c"))
+    mixed = left.groupBy("sig").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).filter("lo <> hi").select("sig")
+    left = cut(left.join(mixed, "sig", "left_semi").join(facts, "node"), "open")
     x, y = left.alias("x"), left.alias("y")
-    apart = sum((F.bit_count(F.col("x.sketch")[i].bitwiseXOR(F.col("y.sketch")[i])) for i in range(4)), F.lit(0))
-    smaller, larger = F.least("x.n", "y.n"), F.greatest("x.n", "y.n")
-    again = (
-        x.join(y, (F.col("x.sig") == F.col("y.sig")) & (F.col("x.node") < F.col("y.node")) & (F.col("x.c") != F.col("y.c")) & (F.col("x.node") != F.col("x.hub")) & (smaller * den >= larger * num) & (apart * (num + den) <= (smaller + larger) * (den - num)))
-        .select(F.col("x.node").alias("a"), F.col("y.node").alias("b"))
-        .distinct()
-    )
-    more = verified(again, sets, num, den)
-    groups = connected(good.unionByName(more))
+    meet = (F.col("x.sig") == F.col("y.sig")) & (F.col("x.node") < F.col("y.node")) & (F.col("x.c") != F.col("y.c"))
+    again = x.join(y, meet & close("x", "y", num, den)).select(F.col("x.node").alias("hub"), F.col("y.node").alias("node")).distinct()
+    last = cut(verified(again, sets, num, den), "last-links")
+    groups = connected(good.unionByName(last)) if not last.isEmpty() else groups
 
     tops = groups.join(classes, "node").select("node", "component", "first")
     named = tops.join(tops.groupBy("component").agg(F.min("first").alias("component_id")), "component").select("node", "component_id")

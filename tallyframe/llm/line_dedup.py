@@ -75,7 +75,8 @@ def deduplicate(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     """
     runs = repeated_runs(docs, min_words).groupBy("doc_id", "th").agg(F.array_distinct(F.flatten(F.collect_list(F.sequence("a", "e")))).alias("__gone"))
     gone = cut(runs, "repeats").select(F.col("doc_id").alias("__id"), F.col("th").alias("__th"), "__gone")
-    rows = docs.join(gone, (F.col("__id") == docs["doc_id"]) & (F.col("__th") == F.xxhash64(docs["text"])), "left")
+    # Always a merge join: the repeats grow with the texts, so no size would be safe to broadcast.
+    rows = docs.join(gone.hint("merge"), (F.col("__id") == docs["doc_id"]) & (F.col("__th") == F.xxhash64(docs["text"])), "left")
     kept = F.filter(F.split(docs["text"], "\n", -1), lambda x, i: ~F.array_contains(F.col("__gone"), i))
     text = F.when(F.col("__gone").isNull(), docs["text"]).otherwise(F.array_join(kept, "\n"))
     others = [docs[c] if c != "text" else text.alias("text") for c in docs.columns]
