@@ -25,13 +25,13 @@ def without(docs: DataFrame, ids: DataFrame, name: str) -> DataFrame:
 def reject_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the classifier calls toxic go."""
     model = toxicity.train(docs, table(spark, sf_dir, "labels"))
-    return toxicity.with_score(docs, model).filter(F.col("score") < toxicity.THRESHOLD).select(docs.columns)
+    return toxicity.with_score(docs, model, "__toxic").filter(F.col("__toxic") < toxicity.THRESHOLD).select(docs.columns)
 
 
 def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Later repeats of runs of 50 words and more are cut out of the texts; every document stays."""
-    out = line_dedup.deduplicate(docs)
-    return out.select(*(F.when(out["n_removed"] > 0, F.length("text").cast("long")).otherwise(out["n_chars"]).alias("n_chars") if c == "n_chars" else out[c] for c in docs.columns))
+    out = line_dedup.deduplicate(docs, count="__cut")
+    return out.select(*(F.when(out["__cut"] > 0, F.length("text").cast("long")).otherwise(out["n_chars"]).alias("n_chars") if c == "n_chars" else out[c] for c in docs.columns))
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

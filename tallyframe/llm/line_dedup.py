@@ -59,8 +59,8 @@ def repeated_runs(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     return some.join(first, ["pick", "key"]).filter(elsewhere | (F.col("a") > F.col("f.e"))).select("doc_id", "th", "a", "e").distinct()
 
 
-def deduplicate(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
-    """``docs`` (all its columns) with ``text`` less its repeated runs, and ``n_removed`` lines.
+def deduplicate(docs: DataFrame, min_words: int = MIN_WORDS, count: str = "n_removed") -> DataFrame:
+    """``docs`` (all its columns) with ``text`` less its repeated runs, and the number of removed lines as ``count``.
 
     Lines end at "\\n"; words are runs without ASCII white space; lines without
     words are never compared, and go when they lie inside a deleted run.  A
@@ -70,8 +70,8 @@ def deduplicate(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
 
     Null and empty texts stay as they are; rows with a null doc_id stay as
     they are and nothing is compared with them.  Identical rows are one text:
-    each keeps or loses the same lines.  Other columns pass through; an empty
-    table gives an empty result.
+    each keeps or loses the same lines.  Other columns pass through, but one
+    called as ``count`` is replaced; an empty table gives an empty result.
     """
     runs = repeated_runs(docs, min_words).groupBy("doc_id", "th").agg(F.array_distinct(F.flatten(F.collect_list(F.sequence("a", "e")))).alias("__gone"))
     gone = cut(runs, "repeats").select(F.col("doc_id").alias("__id"), F.col("th").alias("__th"), "__gone")
@@ -79,5 +79,5 @@ def deduplicate(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     rows = docs.join(gone.hint("merge"), (F.col("__id") == docs["doc_id"]) & (F.col("__th") == F.xxhash64(docs["text"])), "left")
     kept = F.filter(F.split(docs["text"], "\n", -1), lambda x, i: ~F.array_contains(F.col("__gone"), i))
     text = F.when(F.col("__gone").isNull(), docs["text"]).otherwise(F.array_join(kept, "\n"))
-    others = [docs[c] if c != "text" else text.alias("text") for c in docs.columns]
-    return rows.select(*others, F.coalesce(F.size("__gone"), F.lit(0)).cast("long").alias("n_removed"))
+    others = [docs[c] if c != "text" else text.alias("text") for c in docs.columns if c != count]
+    return rows.select(*others, F.coalesce(F.size("__gone"), F.lit(0)).cast("long").alias(count))

@@ -288,10 +288,10 @@ def train(docs: DataFrame, labels: DataFrame) -> Model:
     return fit(rows.column("text").to_pylist(), [int(x) for x in rows.column("toxic").to_pylist()])
 
 
-def with_score(docs: DataFrame, model: Model) -> DataFrame:
-    """``docs`` with all its columns (none called score) and the ``score`` of ``text``."""
+def with_score(docs: DataFrame, model: Model, name: str = "score") -> DataFrame:
+    """``docs`` with all its columns (none called ``name``) and the score of ``text`` as ``name``."""
     held = docs.sparkSession.sparkContext.broadcast(model)
-    schema = StructType([*docs.schema.fields, StructField("score", DoubleType())])
+    schema = StructType([*docs.schema.fields, StructField(name, DoubleType())])
     return docs.mapInArrow(scorer(held, docs.columns.index("text")), schema)
 
 
