@@ -31,6 +31,8 @@ SHINGLE = 5
 NUM, DEN = 4, 5
 #: Rows of ids that may be broadcast (8 bytes each); beyond, a shuffle join is used.
 BROADCAST_ROWS = 2_000_000
+#: Of a node's open signatures, how many of the smallest are kept to tell that a pair has met before.
+EARLIER = 32
 MULTIPLIERS = mix(np.arange(101, 133, dtype=np.uint64))
 
 
@@ -260,10 +262,14 @@ def jaccard_components(docs: DataFrame, width: int = SHINGLE, num: int = NUM, de
     # Signatures whose members are still in several components: their other pairs, hubs aside.
     left = stars.filter("hub <> node").join(groups, "node", "left").select("sig", "node", F.coalesce("component", "node").alias("c"))
     mixed = left.groupBy("sig").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).filter("lo <> hi").select("sig")
-    left = cut(left.join(mixed, "sig", "left_semi").join(facts, "node"), "open")
+    left = left.join(mixed, "sig", "left_semi")
+    low = left.groupBy("node").agg(F.slice(F.sort_array(F.collect_list("sig")), 1, EARLIER).alias("low"))
+    left = cut(left.join(facts, "node").join(low, "node"), "open")
     x, y = left.alias("x"), left.alias("y")
     meet = (F.col("x.sig") == F.col("y.sig")) & (F.col("x.node") < F.col("y.node")) & (F.col("x.c") != F.col("y.c"))
-    again = x.join(y, meet & close("x", "y", num, den)).select(F.col("x.node").alias("hub"), F.col("y.node").alias("node")).distinct()
+    # A pair with a smaller signature in common is made there (the smallest one always makes it).
+    earlier = F.arrays_overlap(F.filter("x.low", lambda v: v < F.col("x.sig")), F.col("y.low"))
+    again = x.join(y, meet & close("x", "y", num, den) & ~earlier).select(F.col("x.node").alias("hub"), F.col("y.node").alias("node")).distinct()
     last = cut(verified(again, sets, num, den), "last-links")
     groups = connected(good.unionByName(last)) if not last.isEmpty() else groups
 

@@ -33,8 +33,9 @@ OPEN, CLOSE, INNER, OTHER = (chr(0xE000 + i) for i in range(4))
 
 
 def pairs_of(x: Column) -> Column:
-    """The model cells (65 * class of a character + class of the next) of a string, from its start."""
-    return F.transform(F.sequence(F.lit(0), F.length(x) - 1), lambda i: F.when(i == 0, 0).otherwise(F.instr(F.lit(ALPHABET), F.substring(x, i, 1))) * SIZE + F.instr(F.lit(ALPHABET), F.substring(x, i + 1, 1)))
+    """The model cells (SIZE * class of a character + class of the next) of a string, from its start."""
+    classes = F.transform(F.split(x, ""), lambda c: F.instr(F.lit(ALPHABET), c))
+    return F.zip_with(F.concat(F.array(F.lit(0)), F.slice(classes, F.lit(1), F.size(classes) - 1)), classes, lambda a, b: a * SIZE + b)
 
 
 def samples(docs: DataFrame, texts: int = SAMPLE_TEXTS, strings: int = SAMPLE_STRINGS) -> DataFrame:
@@ -109,7 +110,7 @@ def scan(docs: DataFrame, table: list[float] | None = None) -> DataFrame:
         found(F.col("t"), ACCESS[0], 1, longer(ACCESS[1])).alias("access"),
         # Runs of hex digits do not touch each other, so short ones can be left out of the search.
         found(F.col("t"), HEX[0].replace("+", f"{{{HEX[1]},}}"), 2, longer(HEX[1])).alias("hex"),
-        found(F.col("t"), TOKEN, 3, lambda x: (ratio(x, ratios) > MIN_RATIO) & (ratio(x, ratios) > MIN_PER_CHAR * F.length(x))).alias("tokens"),
+        found(F.col("t"), TOKEN, 3, lambda x: ratio(x, ratios) > F.greatest(F.lit(MIN_RATIO), MIN_PER_CHAR * F.length(x))).alias("tokens"),
     )
     rows = rows.withColumn("base", F.array_sort(F.concat("assign", "access", "hex")))
     rows = rows.withColumn("markov", F.filter("tokens", lambda t: ~F.exists("base", lambda b: (b["start"] < t["end"]) & (t["start"] < b["end"]))))

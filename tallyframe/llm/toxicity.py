@@ -247,8 +247,8 @@ def training_rows(docs: DataFrame, labels: DataFrame, most: int = TRAIN_TEXTS) -
     return docs.select("doc_id", "text").filter("text is not null").join(F.broadcast(known), "doc_id").select("text", "toxic")
 
 
-def scorer(held, text_at: int):
-    """A mapInArrow function that appends ``score``; the text is column ``text_at``."""
+def scorer(held, text_at: int, name: str):
+    """A mapInArrow function that appends the score as ``name``; the text is column ``text_at``."""
 
     def run(batches):
         model, cache = held.value, {}
@@ -278,7 +278,7 @@ def scorer(held, text_at: int):
                         some[row] = max(some[row], model.raw(windows(joined)).max(initial=model.floor))
                 best.append(some)
             raw = np.concatenate(best) if best else np.zeros(0)
-            yield from t.append_column("score", pa.array(model.probability(raw))).combine_chunks().to_batches()
+            yield from t.append_column(name, pa.array(model.probability(raw))).combine_chunks().to_batches()
 
     return run
 
@@ -292,7 +292,7 @@ def with_score(docs: DataFrame, model: Model, name: str = "score") -> DataFrame:
     """``docs`` with all its columns (none called ``name``) and the score of ``text`` as ``name``."""
     held = docs.sparkSession.sparkContext.broadcast(model)
     schema = StructType([*docs.schema.fields, StructField(name, DoubleType())])
-    return docs.mapInArrow(scorer(held, docs.columns.index("text")), schema)
+    return docs.mapInArrow(scorer(held, docs.columns.index("text"), name), schema)
 
 
 def toxicity(docs: DataFrame, model: Model, threshold: float = THRESHOLD) -> DataFrame:
