@@ -39,12 +39,14 @@ def pairs_of(x: Column) -> Column:
 
 
 def samples(docs: DataFrame, texts: int = SAMPLE_TEXTS, strings: int = SAMPLE_STRINGS) -> DataFrame:
-    """(label, s): labelled strings, 1 random and 0 ordinary; at most ``texts`` texts are used."""
+    """(label, s): labelled strings, 1 random and 0 ordinary; the texts of at most ``texts`` ids are used."""
     spark = docs.sparkSession
     seed = spark.range(strings).select(F.sha2(F.col("id").cast("string"), 512).alias("h"), (F.pmod(F.xxhash64("id"), F.lit(24)) + 16).cast("int").alias("n"))
     b64 = F.base64(F.unhex("h"))
     random = seed.select(F.lit(1).alias("label"), F.explode(F.array(F.substr(b64, F.lit(1), F.col("n")), F.translate(F.substr(b64, F.lit(41), F.col("n")), "+/", "-_"), F.upper(F.substr(F.regexp_replace(b64, "[+/=]", ""), F.lit(11), F.col("n"))), F.substr("h", F.lit(1), F.col("n")))).alias("s"))
-    some = docs.filter("text is not null").select("doc_id", "text").orderBy(F.xxhash64("doc_id", F.lit(99)), "doc_id").limit(texts)
+    # Ids are chosen first, so that no task has to gather texts.
+    ids = docs.select("doc_id").filter("doc_id is not null").orderBy(F.xxhash64("doc_id", F.lit(99)), "doc_id").limit(texts)
+    some = docs.filter("text is not null").select("doc_id", "text").join(F.broadcast(ids), "doc_id", "left_semi")
     word = some.select(F.explode(F.split("text", r"[\x20\x09-\x0D]+")).alias("w")).select(F.regexp_replace("w", r"[^A-Za-z]+", "").alias("w")).filter("length(w) >= 3")
     low = F.lower("w")
     turn = F.pmod(F.xxhash64("w"), F.lit(997)).cast("int")
