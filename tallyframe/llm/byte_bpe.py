@@ -76,6 +76,12 @@ class Merges:
                     pairs[a << 32 | b] = r
         self.keys = np.array(sorted(pairs), np.int64)
         self.ranks = np.array([pairs[k] for k in self.keys.tolist()], np.int32)
+        # The lowest rank of a pair that each token is part of.
+        least = np.full(size, np.iinfo(np.int32).max, np.int32)
+        for part in (self.keys >> 32, self.keys & 0xFFFFFFFF):
+            np.minimum.at(least, part, self.ranks)
+        #: Tokens of which no copy makes a pair that should come before the token's other copies.
+        self.ordered = (least > np.arange(size)).tolist()
 
     def pair(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
         """The rank that merging a and b gives, or -1."""
@@ -97,8 +103,9 @@ def splitter(pattern: str) -> Splitter:
 def replay(words: list[bytes], m: Merges) -> tuple[np.ndarray, np.ndarray]:
     """Token ids of all words, one after another, and n + 1 offsets.
 
-    At each step the lowest rank anywhere is applied at its leftmost place in
-    every word that has it, which for each word is the order in which a
+    At each step the lowest rank anywhere is applied, from the left, at all its
+    places (only at the leftmost of each word if that token is part of a
+    pair of lower rank), which for each word is the order in which a
     word-by-word encoder would merge.
     """
     lengths = np.fromiter(map(len, words), np.int64, len(words))
@@ -138,9 +145,16 @@ def replay(words: list[bytes], m: Merges) -> tuple[np.ndarray, np.ndarray]:
         at = at[now[at] == r]
         if not len(at):
             continue
-        w = word[at]
         first = np.ones(len(at), bool)
-        first[1:] = w[1:] != w[:-1]
+        if m.ordered[r]:
+            # Of places that overlap in a row, every second one from the left.
+            first[1:] = nxt[at[:-1]] != at[1:]
+            place = np.arange(len(at))
+            first = (place - np.maximum.accumulate(np.where(first, place, 0))) % 2 == 0
+            at, first = at[first], first[first]
+        else:
+            w = word[at]
+            first[1:] = w[1:] != w[:-1]
         if not first.all():
             index[r] = [at[~first]]
             heapq.heappush(heap, r)
@@ -161,8 +175,7 @@ def replay(words: list[bytes], m: Merges) -> tuple[np.ndarray, np.ndarray]:
         touched = np.concatenate([at, left])
         touched = touched[now[touched] >= 0]
         if len(touched):
-            touched.sort()
-            enter(touched)
+            enter(np.unique(touched))
     counts = np.bincount(word[alive], minlength=len(words))
     return sym[alive], np.concatenate([[0], np.cumsum(counts)])
 
