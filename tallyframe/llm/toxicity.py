@@ -1,11 +1,13 @@
 """Toxicity by a subsequence string-kernel SVM with Nystroem landmarks.
 
-A text is toxic through its strongest segment.  Segments are words (and runs
-of single characters, for insults spelled out with blanks); their kernel
-counts common subsequences, gaps decayed, so inserted characters cost a little
-instead of everything.  Landmark strings give each segment a short feature
-vector, a linear SVM trained on the segments of labelled sentences scores it,
-and the maximum over a text becomes a probability by a fitted logistic curve.
+Segments are words (and runs of single characters, for insults spelled out
+with blanks); their kernel counts common subsequences, gaps decayed, so
+inserted characters and other endings cost a little instead of everything.
+Landmark strings give each segment a short feature vector.  A linear SVM is
+trained on all segments of the labelled sentences, in multiple-instance rounds:
+every segment of label 0 is a negative, and of a text of label 1 those that
+score best are the positives.  The best segments of a text, weighted by rank,
+become a probability by a fitted logistic curve.
 """
 
 from __future__ import annotations
@@ -21,14 +23,20 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
 
 from .byte_bpe import blocks
+from .wavelet import gather
 from .words import split_words
 
 #: Length of the counted subsequences and decay of a gap.
 ORDER, DECAY = 3, np.float32(0.6)
-#: Labelled texts used for training, at most, and landmarks of each kind.
-TRAIN_TEXTS, SEEDS, PLAIN = 3000, 24, 16
-#: An insult is in this share of the texts of label 1 at least.
-SHARE = 0.1
+#: Labelled texts used for training, at most.
+TRAIN_TEXTS = 3000
+#: Landmarks among the common segments, and from each family of telling segments.
+PLAIN, MEMBERS, LOOKALIKES = 12, 12, 2
+#: Lengths of the pieces of segments (with a mark before the first character) by which families are found.
+PIECES = (4, 5, 6, 7)
+#: Best segments of a text that count, rounds of training, and the score from which a segment tells something.
+BEST, ROUNDS, NOTHING, COST, POWER = 4, 4, -0.6, 3.0, 2
+MARK = "\x02"
 #: Longer words are read in overlapping windows of this many characters.
 WIDE = 32
 #: Scores kept by a worker between blocks.
@@ -73,19 +81,29 @@ def raw_kernel(same) -> np.ndarray:
 
 
 class Kernel:
-    """Normalised kernel values between words and fixed landmarks."""
+    """Normalised kernel values between words and fixed landmarks; a mark before each lets beginnings count."""
 
     def __init__(self, landmarks: list[str]):
         self.landmarks = landmarks
-        width = max(map(len, landmarks))
-        self.codes = codes(landmarks, width)
         self.own = self.selves(landmarks)
+        # Landmarks with a common beginning share their values: a trie, by depth (characters, parents).
+        at: dict[str, int] = {"": 0}
+        self.levels: list[tuple[list[int], list[int]]] = []
+        for w in (MARK + w for w in landmarks):
+            for d in range(len(w)):
+                if d == len(self.levels):
+                    self.levels.append(([], []))
+                if w[: d + 1] not in at:
+                    at[w[: d + 1]] = len(self.levels[d][0])
+                    self.levels[d][0].append(ord(w[d]))
+                    self.levels[d][1].append(at[w[:d]])
+        self.ends = [(len(MARK + w) - 1, at[MARK + w]) for w in landmarks]
 
     @staticmethod
     def selves(words: list[str]) -> np.ndarray:
         out = np.zeros(len(words), np.float32)
         for at, group in by_length(words):
-            c = codes(group, len(group[0]))
+            c = codes([MARK + w for w in group], len(group[0]) + len(MARK))
             n = c.shape[1]
             out[at] = raw_kernel([[(c[:, a] == c[:, b]).astype(np.float32) for b in range(n)] for a in range(n)])
         return out
@@ -94,14 +112,37 @@ class Kernel:
         """[words, landmarks]; 0 where either is too short."""
         out = np.zeros((len(words), len(self.landmarks)), np.float32)
         for at, group in by_length(words):
-            c = codes(group, len(group[0]))
-            same = [[(c[:, a][:, None] == self.codes[:, b][None, :]).astype(np.float32) for b in range(self.codes.shape[1])] for a in range(c.shape[1])]
-            out[at] = raw_kernel(same)
+            out[at] = self.sums(codes([MARK + w for w in group], len(group[0]) + len(MARK)))
         own = self.selves(words)
         return out / np.sqrt(np.maximum(own[:, None] * self.own[None, :], 1e-12))
 
 
-def by_length(words: list[str], most: int = 2048):
+    def sums(self, c: np.ndarray) -> np.ndarray:
+        """raw_kernel of equally long words with all landmarks, over the trie."""
+        n = c.shape[0]
+        levels = [(np.array(x, np.int32)[:, None], np.array(up)) for x, up in self.levels]
+        shapes = [(len(up), n) for _, up in levels]
+        prime = [None, *([np.zeros(s, np.float32) for s in shapes] for _ in range(ORDER - 1))]
+        total = [np.zeros(s, np.float32) for s in shapes]
+        square = DECAY * DECAY
+        for a in range(c.shape[1]):
+            hits = [(x == c[:, a]) * square for x, _ in levels]
+            for d in range(ORDER - 1, len(levels)):
+                total[d] += hits[d] * prime[ORDER - 1][d - 1][levels[d][1]]
+            for i in range(ORDER - 1, 0, -1):
+                run = None
+                for d in range(i - 1, len(levels)):
+                    up = levels[d][1]
+                    new = hits[d] if i == 1 else hits[d] * prime[i - 1][d - 1][up]
+                    run = new if run is None else DECAY * run[up] + new
+                    prime[i][d] *= DECAY
+                    prime[i][d] += run
+        for d in range(1, len(levels)):
+            total[d] += total[d - 1][levels[d][1]]
+        return np.stack([total[d][i] for d, i in self.ends], 1)
+
+
+def by_length(words: list[str], most: int = 512):
     """(indices, words) of equal length, in groups of bounded size; words too short for the kernel are left out."""
     groups: dict[int, list[int]] = {}
     for i, w in enumerate(words):
@@ -139,19 +180,23 @@ def segments(text: str) -> set[str]:
     return {w for t in [*tokens, *spelled(tokens)] for w in windows(t) if len(w) >= ORDER}
 
 
-def svm(x: np.ndarray, y: np.ndarray, cost: np.ndarray, epochs: int = 40) -> np.ndarray:
-    """A linear SVM (squared hinge) by dual coordinate descent; the last column of x is the offset's 1."""
-    r = np.random.default_rng(7)
-    w, alpha = np.zeros(x.shape[1]), np.zeros(len(y))
-    diagonal = 0.5 / cost
-    norms = (x * x).sum(1) + diagonal
-    for _ in range(epochs):
-        for i in r.permutation(len(y)):
-            g = y[i] * (w @ x[i]) - 1 + diagonal[i] * alpha[i]
-            new = max(alpha[i] - g / norms[i], 0.0)
-            if new != alpha[i]:
-                w += (new - alpha[i]) * y[i] * x[i]
-                alpha[i] = new
+def svm(x: np.ndarray, y: np.ndarray, cost: np.ndarray, steps: int = 50) -> np.ndarray:
+    """A linear SVM (squared hinge) by Newton steps; the last column of x is the offset's 1 and is not penalised much."""
+    w, ridge = np.zeros(x.shape[1]), np.ones(x.shape[1])
+    ridge[-1] = 1e-3
+    value = lambda w: (ridge * w * w).sum() / 2 + (cost * np.maximum(1 - y * (x @ w), 0) ** 2).sum()
+    now = value(w)
+    for _ in range(steps):
+        on = y * (x @ w) < 1
+        some, c = x[on], cost[on]
+        g = ridge * w - 2 * some.T @ (c * (y[on] - some @ w))
+        step = np.linalg.solve(np.diag(ridge) + 2 * some.T @ (c[:, None] * some), g)
+        size = 1.0
+        while (new := value(w - size * step)) > now and size > 1e-4:
+            size /= 2
+        if new >= now - 1e-9 * abs(now):
+            break
+        w, now = w - size * step, new
     return w
 
 
@@ -171,72 +216,149 @@ def logistic(s: np.ndarray, y: np.ndarray, steps: int = 60) -> tuple[float, floa
     return max(a, 0.0), b
 
 
+def rank_weights(best: np.ndarray, y: np.ndarray, steps: int = 3000) -> np.ndarray:
+    """Weights of the best segments by rank, 0 at least and 1 in all, by projected gradient steps on the logistic loss."""
+    v, b = np.full(best.shape[1], 1.0), 0.0
+    for _ in range(steps):
+        p = 1 / (1 + np.exp(-np.clip(best @ v + b, -40, 40)))
+        v, b = np.maximum(v + 0.5 * ((y - p) @ best / len(y) - 1e-4 * v), 0), b + 0.5 * (y - p).mean()
+    return v / v.sum() if v.sum() > 0 else np.full(len(v), 1 / len(v))
+
+
 class Model:
-    """A trained scorer; ``kernel`` is None where no insult could be learnt and the prior answers."""
+    """A trained scorer; ``kernel`` is None where nothing could be learnt and the prior answers."""
 
-    def __init__(self, kernel, weights, offset, slope, shift):
-        self.kernel, self.weights, self.offset, self.slope, self.shift = kernel, weights, offset, slope, shift
+    def __init__(self, kernel, weights, offset, slope, shift, ranks=(1.0,)):
+        self.kernel, self.weights, self.offset, self.slope, self.shift, self.ranks = kernel, weights, offset, slope, shift, np.array(ranks)
 
     def raw(self, words: list[str]) -> np.ndarray:
+        """What single segments tell, 0 at least."""
         if self.kernel is None or not words:
             return np.zeros(len(words))
-        return self.kernel(words) @ self.weights + self.offset
+        return told(self.kernel(words) @ self.weights + self.offset)
 
-    @property
-    def floor(self) -> float:
-        return self.offset if self.kernel is not None else 0.0
+    def pooled(self, best: np.ndarray) -> np.ndarray:
+        """Scores of texts from those of their best segments in falling order, [texts, BEST], filled up with 0."""
+        return best[:, : len(self.ranks)] @ self.ranks
 
     def probability(self, raw: np.ndarray) -> np.ndarray:
         return 1 / (1 + np.exp(-np.clip(self.slope * raw + self.shift, -40, 40)))
 
 
-def variants(word: str) -> list[str]:
-    return [word, *(word[:i] + c + word[i:] for i in range(1, len(word)) for c in "*-.")]
+def told(score: np.ndarray) -> np.ndarray:
+    """What segments tell by the SVM's score; one strong segment counts for more than two weak ones."""
+    return np.maximum(score - NOTHING, 0.0) ** POWER
+
+
+def prior(n_pos: int, n: int) -> Model:
+    p = (n_pos + 1) / (n + 2)
+    return Model(None, None, 0.0, 0.0, math.log(p / (1 - p)))
+
+
+def pieces_of(word: str) -> set[str]:
+    w = MARK + word
+    return {w[i : i + n] for n in PIECES for i in range(len(w) - n + 1)} | {w}
+
+
+def families(words: list[list[str]], labels: list[int]) -> list[list[str]]:
+    """Segments of label 1 by the piece they share, for pieces in far more texts of label 1 than chance; their number is open.
+
+    The most telling piece comes first; segments that have it are explained and
+    no longer count for the next.
+    """
+    n_pos, n_neg = sum(labels), len(labels) - sum(labels)
+    holders: dict[str, list[int]] = {}
+    for i, own in enumerate(words):
+        for w in own:
+            holders.setdefault(w, []).append(i)
+    positive = {w for own, label in zip(words, labels) if label for w in own}
+    share: dict[str, list[str]] = {}
+    for w in sorted(positive):
+        for g in pieces_of(w):
+            share.setdefault(g, []).append(w)
+    share = {g: some for g, some in share.items() if sum(labels[i] for i in set().union(*(holders[w] for w in some))) >= 3}
+    for w in sorted(holders.keys() - positive):
+        for g in pieces_of(w) & share.keys():
+            share[g].append(w)
+    # The bound of a Poisson tail below which one of that many pieces would come up by chance.
+    least = math.log(20 * (len(share) + 1))
+
+    def evidence(g: str) -> float:
+        found = {i for w in share[g] if w not in explained for i in holders[w]}
+        c = sum(labels[i] for i in found)
+        expected = (len(found) - c + 1) * n_pos / n_neg
+        tail = c * math.log(c / expected) - (c - expected) if c > 4 * expected else 0.0
+        return tail if tail > least else 0.0
+
+    explained: set[str] = set()
+    out, open_ = [], {g: e for g in share if (e := evidence(g))}
+    while open_:
+        top = max(open_, key=lambda g: (open_[g], -len(g), g))
+        members = [w for w in share[top] if w not in explained]
+        own = sorted(positive.intersection(members), key=lambda w: (-sum(labels[i] or -1 for i in holders[w]), w))
+        out.append(own)
+        explained.update(members)
+        touched = set().union(*(pieces_of(w) for w in members))
+        open_ = {g: e for g, old in open_.items() if (e := evidence(g) if g in touched else old)}
+    return out
 
 
 def fit(texts: list[str], labels: list[int]) -> Model:
     """Train on labelled texts, cut into sentences of which each has the label of its text."""
     n_pos, n_neg = sum(labels), len(labels) - sum(labels)
     if not n_pos or not n_neg:
-        p = (n_pos + 1) / (len(labels) + 2)
-        return Model(None, None, 0.0, 0.0, math.log(p / (1 - p)))
-    counts = (Counter(), Counter())
+        return prior(n_pos, len(labels))
     found = []
-    for text, label in zip(texts, labels):
+    for text in texts:
         own = set()
         for sentence in SENTENCE.split(text):
             own |= segments(sentence)
-        found.append(own)
-        counts[label].update(own)
-    # Segments that sentences of label 1 have far more often than chance.
-    scored = {}
-    for w, c in counts[1].items():
-        expected = (counts[0][w] + 1) * n_pos / n_neg
-        if c >= max(3, SHARE * n_pos) and (z := (c - expected) / math.sqrt(expected + c / 4)) > 2.5 and c > 4 * expected:
-            scored[w] = z * math.log(c / expected)
-    seeds = sorted(scored, key=lambda w: (-scored[w], w))[:SEEDS]
-    if not seeds:
-        p = (n_pos + 1) / (len(labels) + 2)
-        return Model(None, None, 0.0, 0.0, math.log(p / (1 - p)))
-    near = Kernel(seeds)
-    plain = sorted(w for w in counts[0] if w not in scored)
-    likeness = near(plain).max(1) if plain else np.zeros(0)
-    hard = [plain[i] for i in np.argsort(-likeness, kind="stable")[:4000]]
-    common = [w for w, _ in counts[0].most_common(1000)]
-    kernel = Kernel(seeds + [w for w in dict.fromkeys(hard[:PLAIN // 2] + common) if w not in seeds][:PLAIN])
+        found.append(sorted(own))
+    y = np.array(labels)
+    groups = families(found, labels)
+    if not groups:
+        return prior(n_pos, len(labels))
+    telling = {w for g in groups for w in g}
+    counts = Counter(w for own, label in zip(found, labels) if not label for w in own)
+    clean = sorted((w for w in counts if w not in telling), key=lambda w: (-counts[w], w))
+    near = [g[:MEMBERS] for g in groups]
+    # Lookalikes of each family that are frequent in texts of label 0 keep it apart from plain words.
+    like = Kernel([w for g in near for w in g])(clean) if clean else np.zeros((0, sum(map(len, near))))
+    ends, hard = np.cumsum([len(g) for g in near]), []
+    for g, end in zip(near, ends):
+        close = like[:, end - len(g) : end].mean(1) * np.log1p([counts[w] for w in clean])
+        hard += [clean[i] for i in np.argsort(-close, kind="stable")[:LOOKALIKES]]
+    kernel = Kernel([w for g in near for w in g] + list(dict.fromkeys(hard + clean[:PLAIN])))
     values, vectors = np.linalg.eigh(kernel(kernel.landmarks).astype(float) + 1e-4 * np.eye(len(kernel.landmarks)))
     root = vectors / np.sqrt(np.maximum(values, 1e-4)) @ vectors.T
-    pos = [v for w in seeds for v in (w, w, w, *variants(w))]
-    neg = list(dict.fromkeys(hard + common))
-    x = np.concatenate([kernel(pos + neg) @ root, np.ones((len(pos) + len(neg), 1))], 1)
-    y = np.array([1] * len(pos) + [-1] * len(neg))
-    w = svm(x, y, np.where(y > 0, 30.0, 10.0))
-    model = Model(kernel, root @ w[:-1], float(w[-1]), 1.0, 0.0)
     words = sorted(set().union(*found))
     at = {v: i for i, v in enumerate(words)}
-    raw = model.raw(words)
-    best = np.array([max((raw[at[v]] for v in own), default=model.floor) for own in found])
-    model.slope, model.shift = logistic(best, np.array(labels))
+    x = np.concatenate([kernel(words) @ root, np.ones((len(words), 1))], 1)
+    bags = [np.fromiter((at[v] for v in own), np.int64, len(own)) for own in found]
+    # How often a segment stands in a text of label 0.
+    negative = np.bincount(np.concatenate([b for b, label in zip(bags, labels) if not label]), minlength=len(words)).astype(float)
+    score = np.full(len(words), -1.0)
+    score[[at[w] for w in telling]] = 1.0
+    for _ in range(ROUNDS):
+        positive = np.zeros(len(words))
+        for b, label in zip(bags, labels):
+            if label and len(b):
+                best = b[np.argsort(-score[b], kind="stable")[:BEST]]
+                best = best[(score[best] > 0) | (np.arange(len(best)) == 0)]
+                positive[best] += 1 / len(best)
+        pos, neg = np.flatnonzero(positive), np.flatnonzero(negative)
+        # All texts of label 1 together weigh as much as all those of label 0.
+        cost = COST * np.concatenate([positive[pos] * n_neg / n_pos, negative[neg]])
+        w = svm(np.concatenate([x[pos], x[neg]]), np.repeat([1.0, -1.0], [len(pos), len(neg)]), cost)
+        score = x @ w
+    model = Model(kernel, root @ w[:-1], float(w[-1]), 1.0, 0.0)
+    score = told(score)
+    best = np.zeros((len(bags), BEST))
+    for i, b in enumerate(bags):
+        top = np.sort(score[b])[::-1][:BEST]
+        best[i, : len(top)] = top
+    model.ranks = rank_weights(best, y)
+    model.slope, model.shift = logistic(model.pooled(best), y)
     return model
 
 
@@ -247,6 +369,20 @@ def training_rows(docs: DataFrame, labels: DataFrame, most: int = TRAIN_TEXTS) -
     return docs.select("doc_id", "text").filter("text is not null").join(F.broadcast(known), "doc_id").select("text", "toxic")
 
 
+def best_of(rows: np.ndarray, ids: np.ndarray, told: np.ndarray, n: int) -> np.ndarray:
+    """[n, BEST]: what the best different segments of each row tell, in falling order, filled up with 0."""
+    out = np.zeros((n, BEST))
+    order = np.lexsort((ids, -told, rows))
+    rows, ids, told = rows[order], ids[order], told[order]
+    fresh = np.ones(len(rows), bool)
+    fresh[1:] = (rows[1:] != rows[:-1]) | (ids[1:] != ids[:-1])
+    rows, told = rows[fresh], told[fresh]
+    rank = np.arange(len(rows)) - np.searchsorted(rows, rows)
+    keep = rank < BEST
+    out[rows[keep], rank[keep]] = told[keep]
+    return out
+
+
 def scorer(held, text_at: int, name: str):
     """A mapInArrow function that appends the score as ``name``; the text is column ``text_at``."""
 
@@ -259,26 +395,35 @@ def scorer(held, text_at: int, name: str):
                 raw = data.tobytes()
                 _, first, inverse = np.unique(hashes, return_index=True, return_inverse=True)
                 words = [normal(raw[a:e].decode()) for a, e in zip(starts[first].tolist(), ends[first].tolist())]
-                words = [w if len(w) >= ORDER else "" for w in words]
-                new = list({v for w in words for v in windows(w) if v and v not in cache})
+                parts = [[v for v in windows(w) if len(v) >= ORDER] for w in words]
+                new = list({v for own in parts for v in own if v not in cache})
                 if len(cache) > CACHE:
                     cache.clear()
-                    new = list({v for w in words for v in windows(w) if v})
+                    new = list({v for own in parts for v in own})
                 cache.update(zip(new, model.raw(new).tolist()))
-                own = np.array([max((cache[v] for v in windows(w) if v), default=model.floor) for w in words])
-                scores = np.concatenate([own[inverse], [model.floor]]) if len(words) else np.array([model.floor])
-                some = np.maximum.reduceat(scores, np.minimum(at[:-1], len(scores) - 1))
-                some[np.diff(at) == 0] = model.floor
+                # Places of words that tell something, with their segments and what these tell.
+                ids: dict[str, int] = {}
+                known = [[(ids.setdefault(v, len(ids)), cache[v]) for v in own if cache[v] > 0] for own in parts]
+                n_known = np.fromiter(map(len, known), np.int64, len(known))
+                flat = np.array([x for own in known for x in own]).reshape(-1, 2)
+                places = np.flatnonzero(n_known[inverse] > 0)
+                rows = np.searchsorted(at, places, "right") - 1
+                of = inverse[places]
+                took = gather(flat, (np.cumsum(n_known) - n_known)[of], n_known[of])
+                rows = np.repeat(rows, n_known[of])
                 # Insults spelled out with blanks: runs of words of one character.
                 single = np.concatenate([[False], (ends - starts) == 1, [False]])
                 a, e = np.flatnonzero(~single[:-1] & single[1:]), np.flatnonzero(single[:-1] & ~single[1:])
+                more = []
                 for i in np.flatnonzero(e - a >= ORDER).tolist():
                     row = int(np.searchsorted(at, a[i], "right")) - 1
                     for joined in spelled(raw[starts[a[i]] : ends[min(e[i], at[row + 1]) - 1]].decode().lower().split()):
-                        some[row] = max(some[row], model.raw(windows(joined)).max(initial=model.floor))
-                best.append(some)
-            raw = np.concatenate(best) if best else np.zeros(0)
-            yield from t.append_column(name, pa.array(model.probability(raw))).combine_chunks().to_batches()
+                        own = windows(joined)
+                        more += [(row, ids.setdefault(v, len(ids)), x) for v, x in zip(own, model.raw(own).tolist()) if x > 0]
+                extra = np.array(more).reshape(-1, 3)
+                best.append(best_of(np.concatenate([rows, extra[:, 0].astype(np.int64)]), np.concatenate([took[:, 0], extra[:, 1]]), np.concatenate([took[:, 1], extra[:, 2]]), len(at) - 1))
+            raw = np.concatenate(best) if best else np.zeros((0, BEST))
+            yield from t.append_column(name, pa.array(model.probability(model.pooled(raw)))).combine_chunks().to_batches()
 
     return run
 

@@ -115,7 +115,7 @@ INSULTS = {"trash", "idiot", "pathetic", "worthless", "scum", "loser", "stupid",
 
 
 def test_toxicity_held_out(spark):
-    """About half of the label-1 texts have no insult at all; those that have one are found, and no clean text is."""
+    """Texts with an English insult are found, and no clean text is; for inflected insults see below."""
     docs, labels = (spark.read.parquet(f"{DATA}/sf0.1/{t}.parquet") for t in ("documents", "labels"))
     model = toxicity.train(docs, labels)
     some = docs.join(labels.select("doc_id"), "doc_id", "left_semi")
@@ -137,6 +137,36 @@ def test_toxicity_tolerates_gaps():
     assert max(score(w) for w in (*plain, "sorting", "thinking")) < 0.3
 
 
+def test_toxicity_learns_inflected_insults(spark):
+    """Families of which no single form is frequent, on held-out labels, in every language."""
+    docs, labels = (spark.read.parquet(f"{DATA}/sf0.1/{t}.parquet") for t in ("documents", "labels"))
+    model = toxicity.train(docs, labels)
+    some = docs.join(labels.select("doc_id"), "doc_id", "left_semi")
+    rows = toxicity.toxicity(some, model).join(labels, "doc_id").join(docs.select("doc_id", "lang"), "doc_id").filter("held_out").collect()
+    for lang, least in (("en", 0.85), ("fr", 0.8), ("de", 0.6), ("es", 0.6)):
+        told = [r.predicted for r in rows if r.toxic == 1 and r.lang == lang]
+        assert len(told) >= 10 and sum(told) / len(told) > least, lang
+
+
+def test_toxicity_learns_more_than_two_dozen_insults():
+    r = random.Random(5)
+    word = lambda n: "".join(r.choice("bcdfgklmnprstvz") + r.choice("aeiou") for _ in range(n))
+    plain, insults = [word(3) for _ in range(300)], [word(4) for _ in range(40)]
+    texts = [" ".join(r.sample(plain, 12)) for _ in range(1200)] + [" ".join([*r.sample(plain, 12), insults[i % 40]]) for i in range(600)]
+    model = toxicity.fit(texts, [0] * 1200 + [1] * 600)
+    assert (model.probability(model.raw(insults)) > 0.7).all()
+    assert (model.probability(model.raw(plain)) < 0.3).mean() > 0.95
+
+
+def test_toxicity_kernel_equals_plain_sums():
+    r = random.Random(6)
+    words = ["".join(r.choice("abcdé") for _ in range(r.randint(3, 11))) for _ in range(40)]
+    marked = [toxicity.MARK + w for w in words]
+    plain = lambda u, v: float(toxicity.raw_kernel([[np.array([a == b], np.float32) for b in v] for a in u])[0])
+    want = [[plain(u, v) / (plain(u, u) * plain(v, v)) ** 0.5 for v in marked[:10]] for u in marked]
+    assert np.allclose(toxicity.Kernel(words[:10])(words), want, atol=1e-5)
+
+
 def test_toxicity_edge_cases(spark, hard, empty):
     labels = spark.createDataFrame([(4, 1, None), (5, None, 1), (None, 1, 1), (7, 0, 0)], "doc_id long, toxic int, score int")
     for known in (labels, labels.limit(0)):
