@@ -14,6 +14,7 @@ lowest bit of a byte first.
 
 from __future__ import annotations
 
+import hashlib
 import re
 import struct
 import zlib
@@ -156,14 +157,15 @@ class WordEncoder:
     For files whose pre-tokenizer drops white space and never joins across it.
     Words of ASCII and Latin-1 letters are lowered and split into runs here, as
     the file's pattern would; the library encodes each distinct run.  Any other
-    white-space separated string goes to the library as it is.
+    white-space separated string goes to the library as it is, so also one that
+    holds the text of an added token.
     """
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
         self.library = Tokenizer.from_file(path)
-        self.library.encode_special_tokens = True
+        self.added = [t.content for t in self.library.get_added_tokens_decoder().values()]
         low = "a-z\xaa\xb5\xba\xdf-\xf6\xf8-\xff"
         self.runs = re.compile(rf"'s|'t|'re|'ve|'m|'ll|'d|[{low}]+|[0-9\xb2\xb3\xb9\xbc-\xbe]|[^{low}0-9\xb2\xb3\xb9\xbc-\xbe]+").findall
         self.easy = re.compile("[\x21-\x7e\xa1-\xac\xae-\xff]+").fullmatch
@@ -182,12 +184,22 @@ class WordEncoder:
                 out += np.split(ids, at[:-1])
         return out
 
+    def exact(self, raw: bytes, hashes: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+        """The hashes, those of words that hold an added token made anew from their bytes: case counts there."""
+        for token in self.added:
+            i = raw.find(token.encode())
+            while i >= 0:
+                k = int(np.searchsorted(starts, i, "right")) - 1
+                hashes[k] = int.from_bytes(hashlib.blake2b(raw[starts[k] : ends[k]], digest_size=8).digest(), "little")
+                i = raw.find(token.encode(), int(ends[k]))
+        return hashes
+
     def encode(self, column: pa.Array, end: int | None) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts, one after another, each closed by ``end``; and the number of ids of each.
 
         Distinct strings are told apart by a 64-bit hash within a block.
         """
-        parts_of = [(w, at, data, starts, ends) for data, w, at, starts, ends in split_words(column)]
+        parts_of = [(self.exact(data.tobytes(), w, starts, ends), at, data, starts, ends) for data, w, at, starts, ends in split_words(column)]
         hashes = np.concatenate([w for w, *_ in parts_of] or [np.zeros(0, np.uint64)])
         n_words = np.concatenate([np.diff(at) for _, at, *_ in parts_of] or [np.zeros(0, np.int64)])
         _, first, inverse = np.unique(hashes, return_index=True, return_inverse=True)
@@ -202,7 +214,7 @@ class WordEncoder:
         runs: dict[str, int] = {}
         easy, parts, hard = self.easy, [], []
         for w in seen:
-            if easy(w):
+            if easy(w) and not any(t in w for t in self.added):
                 parts.append([runs.setdefault(r, len(runs)) for r in self.runs(w.lower())])
             else:
                 hard.append(w)

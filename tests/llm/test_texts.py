@@ -101,6 +101,19 @@ def test_token_files_hold_the_librarys_ids(spark, make_docs, empty):
     assert wavelet.encode_documents(empty, public_tokenizers.path("word_bpe_49k.json"), 2).count() == 0
 
 
+def test_token_files_keep_the_librarys_special_tokens(make_docs):
+    from tokenizers import Tokenizer
+
+    library = Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json"))
+    texts = ["a<|endoftext|>b", "<|startoftext|>", "see <|endoftext|> and <|ENDOFTEXT|> here", "<|endoftext|><|startoftext|>", "<|endof text|> x<|endoftext|>,é", "日本<|endoftext|>語", "\u017f<|endoftext|> <|endoftext|", "plain words"]
+    got = {r.doc_id: (r.start, r.n_tokens, r.ids_crc32) for r in wavelet.encode_documents(make_docs(texts), public_tokenizers.path("word_bpe_49k.json"), 2).collect()}
+    start = 0
+    for i, t in enumerate(texts, 1):
+        ids = [*library.encode(t, add_special_tokens=False).ids, 2]
+        assert got[i] == (start, len(ids), zlib.crc32(np.array(ids, "<u4").tobytes())), t
+        start += len(ids)
+
+
 def test_token_files_edge_cases(hard):
     got = wavelet.encode_documents(hard, public_tokenizers.path("word_bpe_49k.json"), 2).collect()
     assert len(got) == len(HARD)
