@@ -152,6 +152,21 @@ def test_principal_components(m, dense):
         linalg.embedding(linalg.centered_copy(m), 2, "umap")
 
 
+@pytest.mark.parametrize("metric", ["euclidean", "cosine"])
+def test_nearest_neighbours_of_many_copies(spark, metric):
+    """Copies are at one distance, so the smallest ids are the nearest."""
+    r = np.random.default_rng(4)
+    kinds = r.normal(size=(3, 7)) * 100
+    rows = [(i, kinds[i % 3].tolist()) for i in range(300)]
+    df = spark.createDataFrame(rows, "cell_id long, vector array<double>")
+    for own in (True, False):
+        found = neighbours.nearest_neighbours(df, 5, metric, include_self=own).collect()
+        got = {(x.cell_id, x["rank"]): x.neighbour_id for x in found}
+        for i in range(300):
+            want = [j for j in range(i % 3, 300, 3) if own or j != i][:5]
+            assert [got[i, k] for k in range(1, 6)] == want
+
+
 @pytest.mark.parametrize("metric", ["euclidean", "cosine"])
 def test_nearest_neighbours(spark, metric):
     x = np.random.default_rng(4).random((90, 6))
