@@ -411,15 +411,15 @@ def scorer(held, text_at: int, name: str):
                 of = inverse[places]
                 took = gather(flat, (np.cumsum(n_known) - n_known)[of], n_known[of])
                 rows = np.repeat(rows, n_known[of])
-                # Insults spelled out with blanks: runs of words of one character.
-                single = np.concatenate([[False], (ends - starts) == 1, [False]])
-                a, e = np.flatnonzero(~single[:-1] & single[1:]), np.flatnonzero(single[:-1] & ~single[1:])
+                # Insults spelled out with blanks: runs of words of one character, within a row.
+                single = np.fromiter((len(w) == 1 and w.isalnum() for w in words), bool, len(words))[inverse]
+                of_word = np.repeat(np.arange(len(at) - 1), np.diff(at))
+                joins = single[1:] & single[:-1] & (of_word[1:] == of_word[:-1])
+                a, e = np.flatnonzero(single & ~np.concatenate([[False], joins])[: len(single)]), np.flatnonzero(single & ~np.concatenate([joins, [False]])[: len(single)]) + 1
                 more = []
                 for i in np.flatnonzero(e - a >= ORDER).tolist():
-                    row = int(np.searchsorted(at, a[i], "right")) - 1
-                    for joined in spelled(raw[starts[a[i]] : ends[min(e[i], at[row + 1]) - 1]].decode().lower().split()):
-                        own = windows(joined)
-                        more += [(row, ids.setdefault(v, len(ids)), x) for v, x in zip(own, model.raw(own).tolist()) if x > 0]
+                    row, own = int(of_word[a[i]]), windows("".join(words[k] for k in inverse[a[i] : e[i]].tolist()))
+                    more += [(row, ids.setdefault(v, len(ids)), x) for v, x in zip(own, model.raw(own).tolist()) if x > 0]
                 extra = np.array(more).reshape(-1, 3)
                 best.append(best_of(np.concatenate([rows, extra[:, 0].astype(np.int64)]), np.concatenate([took[:, 0], extra[:, 1]]), np.concatenate([took[:, 1], extra[:, 2]]), len(at) - 1))
             raw = np.concatenate(best) if best else np.zeros((0, BEST))

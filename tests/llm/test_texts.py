@@ -180,6 +180,19 @@ def test_toxicity_kernel_equals_plain_sums():
     assert np.allclose(toxicity.Kernel(words[:10])(words), want, atol=1e-5)
 
 
+def test_toxicity_of_spelled_words_keeps_to_rows(spark):
+    """Letters beyond ASCII and with commas are joined, and a row's score does not depend on its neighbours."""
+    plain = "market river garden window summer winter paper stone bridge evening morning letter".split()
+    r = random.Random(3)
+    texts = [" ".join(r.sample(plain, 6)) for _ in range(200)] + [" ".join([*r.sample(plain, 5), w]) for w in ("zorgling", "éçàôûîü") for _ in range(60)]
+    model = toxicity.fit(texts, [0] * 200 + [1] * 120)
+    spelled = ["z o r g l i n g", "z, o, r, g, l, i, n, g", "é ç à ô û î ü"]
+    rows = [(0, "garden x")] + [(i, t) for k, w in enumerate(spelled) for i, t in ((3 * k + 1, w), (3 * k + 2, "garden x"))]
+    got = {x.doc_id: x.score for x in toxicity.toxicity(spark.createDataFrame(rows, "doc_id long, text string").coalesce(1), model).collect()}
+    assert min(got[3 * k + 1] for k in range(3)) > 0.7
+    assert max(got[i] for i, t in rows if t == "garden x") < 0.3
+
+
 def test_toxicity_edge_cases(spark, hard, empty):
     labels = spark.createDataFrame([(4, 1, None), (5, None, 1), (None, 1, 1), (7, 0, 0)], "doc_id long, toxic int, score int")
     for known in (labels, labels.limit(0)):
