@@ -6,7 +6,9 @@ both forms.
 
 from __future__ import annotations
 
+import inspect
 from collections.abc import Callable
+from functools import partial
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -73,16 +75,16 @@ big AS (SELECT o_custkey AS cell_id, l_partkey AS feature_id, CAST(sum(l_quantit
 big_some AS (SELECT b.* FROM big b JOIN (SELECT cell_id FROM big GROUP BY 1 HAVING count(CASE WHEN value > 0 THEN 1 END) >= 30) USING (cell_id)),
 both_sets AS (SELECT 'all' AS ds, * FROM few UNION ALL SELECT 'big', * FROM big_some)
 SELECT ds || '-' || c.name AS cell, f.name AS feature, CAST(sum(value) AS BIGINT) AS value FROM both_sets JOIN cells c USING (cell_id) JOIN features f USING (feature_id) GROUP BY 1, 2""")
-def s22(spark, sf):
-    return filtering.merge_datasets({"all": a.cust_part(spark, sf), "big": a.cust_part_sparse(spark, sf)}, min_features=30)
+def s22(spark, sf, matrix=a.cust_part_sparse):
+    return filtering.merge_datasets({"all": a.cust_part(spark, sf), "big": matrix(spark, sf)}, min_features=30)
 
 
 # Filters
 
 
 @query("F1", f"WITH {SPARSE}, keep AS (SELECT feature_id FROM coo WHERE value > 0 GROUP BY 1 HAVING count(*) >= 2) SELECT feature_id, count(*) AS nnz, CAST(sum(value) AS BIGINT) AS total FROM coo JOIN keep USING (feature_id) GROUP BY 1")
-def f1(spark, sf):
-    return filtering.filter_features(a.cust_part_sparse(spark, sf), 2).coo.groupBy("feature_id").agg(F.count("*").alias("nnz"), F.sum("value").alias("total"))
+def f1(spark, sf, matrix=a.cust_part_sparse):
+    return filtering.filter_features(matrix(spark, sf), 2).coo.groupBy("feature_id").agg(F.count("*").alias("nnz"), F.sum("value").alias("total"))
 
 
 @query("F2", f"WITH {DENSE}, keep AS (SELECT cell_id FROM coo GROUP BY 1 HAVING count(CASE WHEN value > 10 THEN 1 END) >= 15 AND sum(value) > 500) SELECT c.cell_id, c.name FROM cells c JOIN keep USING (cell_id)")
@@ -98,14 +100,14 @@ def f3(spark, sf):
 
 
 @query("F4", f"WITH {SPARSE} SELECT c.cell_id, round(s.s / s.t, 6) AS share FROM cells c LEFT JOIN (SELECT cell_id, CAST(sum(CASE WHEN regexp_matches(f.name, 'e[a-m]') THEN value ELSE 0 END) AS DOUBLE) AS s, CAST(sum(value) AS DOUBLE) AS t FROM coo JOIN features f USING (feature_id) GROUP BY 1) s ON s.cell_id = c.cell_id")
-def f4(spark, sf):
-    return filtering.percentage_features(a.cust_part_sparse(spark, sf), "e[a-m]").select("cell_id", *r6("share"))
+def f4(spark, sf, matrix=a.cust_part_sparse):
+    return filtering.percentage_features(matrix(spark, sf), "e[a-m]").select("cell_id", *r6("share"))
 
 
 @query("F5", f"WITH {SPARSE} SELECT cell_id, feature_id, value FROM coo WHERE feature_id IN (SELECT p_partkey FROM part WHERE p_size > 25)")
-def f5(spark, sf):
+def f5(spark, sf, matrix=a.cust_part_sparse):
     keep = a.table(spark, sf, "part").filter("p_size > 25").select(F.col("p_partkey").alias("feature_id"))
-    return a.cust_part_sparse(spark, sf).select_features(keep).coo.select("cell_id", "feature_id", "value")
+    return matrix(spark, sf).select_features(keep).coo.select("cell_id", "feature_id", "value")
 
 
 @query("F6", "SELECT c_custkey AS cell_id, length(c_mktsegment) AS label FROM customer WHERE c_acctbal > 0")
@@ -133,19 +135,19 @@ def n2(spark, sf):
 
 
 @query("N3", f"WITH {SPARSE}, {NORM.format(scale='1.0')} SELECT cell_id, feature_id, round(ln(1 + value), 6) AS value FROM n")
-def n3(spark, sf):
-    return normalize.normalize_cells(a.cust_part_sparse(spark, sf)).coo.select("cell_id", "feature_id", *r6("value"))
+def n3(spark, sf, matrix=a.cust_part_sparse):
+    return normalize.normalize_cells(matrix(spark, sf)).coo.select("cell_id", "feature_id", *r6("value"))
 
 
 @query("N4", f"WITH {SPARSE}, {STATS.format(coo='coo')} SELECT cell_id, feature_id, round(CASE WHEN var > 0 THEN least(value / sqrt(var), 10 + mean / sqrt(var)) ELSE least(0.0, 10.0) END, 6) AS value FROM coo JOIN st USING (feature_id)")
-def n4(spark, sf):
-    return normalize.scale_features(a.cust_part_sparse(spark, sf), 10).matrix.coo.select("cell_id", "feature_id", *r6("value"))
+def n4(spark, sf, matrix=a.cust_part_sparse):
+    return normalize.scale_features(matrix(spark, sf), 10).matrix.coo.select("cell_id", "feature_id", *r6("value"))
 
 
 @query("N5", f"WITH {SPARSE}, {STATS.format(coo='coo')} SELECT feature_id, round(CASE WHEN var > 0 THEN mean / sqrt(var) ELSE 0.0 END, 6) AS mu FROM st WHERE feature_id IN (SELECT p_partkey FROM part WHERE p_size > 25)")
-def n5(spark, sf):
+def n5(spark, sf, matrix=a.cust_part_sparse):
     keep = a.table(spark, sf, "part").filter("p_size > 25").select(F.col("p_partkey").alias("feature_id"))
-    return normalize.scale_features(a.cust_part_sparse(spark, sf), features=keep).mu.select("feature_id", *r6("mu"))
+    return normalize.scale_features(matrix(spark, sf), features=keep).mu.select("feature_id", *r6("mu"))
 
 
 @query("N6", f"WITH {EVENTS}, {STATS.format(coo='coo')} SELECT c.cell_id, s.feature_id, round(CASE WHEN var > 0 THEN coalesce(value, 0) / sqrt(var) - mean / sqrt(var) ELSE 0.0 END, 6) + 0.0 AS value FROM cells c CROSS JOIN st s LEFT JOIN coo x ON x.cell_id = c.cell_id AND x.feature_id = s.feature_id")
@@ -157,8 +159,8 @@ def n6(spark, sf):
 
 
 @query("A1", f"WITH {SPARSE}, {STATS.format(coo='coo')} SELECT feature_id, round(mean, 6) AS mean, round(var, 6) AS var FROM st")
-def a1(spark, sf):
-    return stats.feature_stats(a.cust_part_sparse(spark, sf)).select("feature_id", *r6("mean", "var"))
+def a1(spark, sf, matrix=a.cust_part_sparse):
+    return stats.feature_stats(matrix(spark, sf)).select("feature_id", *r6("mean", "var"))
 
 
 CLASS = """sizes AS (SELECT label, count(*) AS n FROM cells JOIN labels USING (cell_id) GROUP BY 1),
@@ -167,18 +169,18 @@ cs AS (SELECT f.feature_id, z.label, z.n, coalesce(s.s, 0.0) AS s, coalesce(s.ss
 
 
 @query("A2", f"WITH {SPARSE}, {CLASS} SELECT feature_id, label, n, round(s / n, 6) AS mean, round(greatest((ss - s * s / n) / (n - 1), 0.0), 6) AS var FROM cs")
-def a2(spark, sf):
-    return stats.class_stats(a.cust_part_sparse(spark, sf), a.segment_labels(spark, sf)).select("feature_id", "label", "n", *r6("mean", "var"))
+def a2(spark, sf, matrix=a.cust_part_sparse):
+    return stats.class_stats(matrix(spark, sf), a.segment_labels(spark, sf)).select("feature_id", "label", "n", *r6("mean", "var"))
 
 
 @query("A3", f"WITH {SPARSE}, x AS (SELECT cell_id, feature_id, ln(1 + value) AS value FROM coo), {STATS.format(coo='x')} SELECT feature_id, round(mean, 6) AS mean, round(var, 6) AS var FROM st")
-def a3(spark, sf):
-    return stats.feature_stats(a.cust_part_sparse(spark, sf), F.log1p).select("feature_id", *r6("mean", "var"))
+def a3(spark, sf, matrix=a.cust_part_sparse):
+    return stats.feature_stats(matrix(spark, sf), F.log1p).select("feature_id", *r6("mean", "var"))
 
 
 @query("A4", f"WITH {SPARSE}, {STATS.format(coo='coo')} SELECT feature_id, round(ln(1 + mean), 6) AS log_mean, CASE WHEN mean > 0 AND var > 0 THEN round(ln(var / mean), 6) + 0.0 END AS log_vmr FROM st")
-def a4(spark, sf):
-    return stats.log_vmr(a.cust_part_sparse(spark, sf)).select("feature_id", *r6("log_mean", "log_vmr"))
+def a4(spark, sf, matrix=a.cust_part_sparse):
+    return stats.log_vmr(matrix(spark, sf)).select("feature_id", *r6("log_mean", "log_vmr"))
 
 
 @query("A5", "SELECT CAST(i AS INTEGER) AS label, count(c_custkey) AS n FROM unnest(range(1, (SELECT max(c_nationkey) + 2 FROM customer))) AS r(i) LEFT JOIN customer ON c_nationkey + 1 = i GROUP BY 1")
@@ -187,21 +189,21 @@ def a5(spark, sf):
 
 
 @query("A6", f"WITH {SPARSE}, {CLASS} SELECT feature_id, label, n, above FROM cs")
-def a6(spark, sf):
-    return stats.class_counts(a.cust_part_sparse(spark, sf), a.segment_labels(spark, sf))
+def a6(spark, sf, matrix=a.cust_part_sparse):
+    return stats.class_counts(matrix(spark, sf), a.segment_labels(spark, sf))
 
 
 LOG_MEANS = "lm AS (SELECT feature_id, label, ln(1 + {s} / n) / ln(2.0) AS mean_in, ln(1 + greatest((sum({s}) OVER w - {s}) / (sum(n) OVER w - n), 0.0)) / ln(2.0) AS mean_rest FROM cs WINDOW w AS (PARTITION BY feature_id))"
 
 
 @query("A7", f"WITH {SPARSE}, {CLASS}, {LOG_MEANS.format(s='s')} SELECT feature_id, label, round(mean_in, 6) AS mean_in, round(mean_rest, 6) AS mean_rest FROM lm")
-def a7(spark, sf):
-    return stats.log_means(a.cust_part_sparse(spark, sf), a.segment_labels(spark, sf)).select("feature_id", "label", *r6("mean_in", "mean_rest"))
+def a7(spark, sf, matrix=a.cust_part_sparse):
+    return stats.log_means(matrix(spark, sf), a.segment_labels(spark, sf)).select("feature_id", "label", *r6("mean_in", "mean_rest"))
 
 
 @query("A8", f"WITH {SPARSE}, {CLASS}, {LOG_MEANS.format(s='es')} SELECT feature_id, label, round(mean_in, 6) AS mean_in, round(mean_rest, 6) AS mean_rest FROM lm")
-def a8(spark, sf):
-    m = a.cust_part_sparse(spark, sf)
+def a8(spark, sf, matrix=a.cust_part_sparse):
+    m = matrix(spark, sf)
     return stats.log_means(m.with_coo(m.coo.withColumn("value", F.col("value") / 50.0)), a.segment_labels(spark, sf), log=True).select("feature_id", "label", *r6("mean_in", "mean_rest"))
 
 
@@ -222,8 +224,8 @@ def h1(spark, sf):
 
 
 @query("H2")
-def h2(spark, sf):
-    return hvg.vst(a.cust_part_sparse(spark, sf)).select("feature_id", *r6("metric"))
+def h2(spark, sf, matrix=a.cust_part_sparse):
+    return hvg.vst(matrix(spark, sf)).select("feature_id", *r6("metric"))
 
 
 @query("H3", f"WITH {DENSE}, {RELATIVE} SELECT feature_id, round({DISPERSION}, 6) AS metric FROM st")
@@ -402,13 +404,13 @@ Z = """zz AS (SELECT feature_id, label, CASE WHEN s2 > 1e-12 * n1 * n2 * nn THEN
 
 
 @query("M1", f"WITH {SPARSE}, {RANKS} SELECT feature_id, label, n, n_all, CAST(r AS DOUBLE) AS r, ties FROM rk")
-def m1(spark, sf):
-    return diffexpr.rank_sums(a.cust_part_sparse(spark, sf), a.segment_labels(spark, sf))
+def m1(spark, sf, matrix=a.cust_part_sparse):
+    return diffexpr.rank_sums(matrix(spark, sf), a.segment_labels(spark, sf))
 
 
 @query("M3", f"WITH {SPARSE}, {RANKS}, {Z} SELECT feature_id, label, round(z, 6) + 0.0 AS score FROM zz")
-def m3(spark, sf):
-    return diffexpr.wilcoxon(a.cust_part_sparse(spark, sf), a.segment_labels(spark, sf)).select("feature_id", "label", *r6("score"))
+def m3(spark, sf, matrix=a.cust_part_sparse):
+    return diffexpr.wilcoxon(matrix(spark, sf), a.segment_labels(spark, sf)).select("feature_id", "label", *r6("score"))
 
 
 WELCH = """wt AS (SELECT feature_id, label, s / n1 - s2 / n2 AS d, v1 / n1 AS a, v2 / n2 AS b, n1, n2 FROM (SELECT *, greatest((ss - s * s / n1) / (n1 - 1), 0.0) AS v1, greatest((ss2 - s2 * s2 / n2) / (n2 - 1), 0.0) AS v2 FROM
@@ -417,8 +419,8 @@ tt AS (SELECT feature_id, label, d / nullif(sqrt(a + b), 0) AS score, CASE WHEN
 
 
 @query("M6", f"WITH {SPARSE}, {CLASS}, {WELCH} SELECT feature_id, label, round(score, 6) + 0.0 AS score, round(df, 6) AS df FROM tt")
-def m6(spark, sf):
-    return diffexpr.welch(a.cust_part_sparse(spark, sf), a.segment_labels(spark, sf)).select("feature_id", "label", *r6("score", "df"))
+def m6(spark, sf, matrix=a.cust_part_sparse):
+    return diffexpr.welch(matrix(spark, sf), a.segment_labels(spark, sf)).select("feature_id", "label", *r6("score", "df"))
 
 
 FILTERED = f"""{LOG_MEANS.format(s='s')}, pc AS (SELECT feature_id, label, round_even(above / CAST(n AS DOUBLE), 3) AS p1, round_even((sum(above) OVER w - above) / CAST(sum(n) OVER w - n AS DOUBLE), 3) AS p2 FROM cs WINDOW w AS (PARTITION BY feature_id)),
@@ -431,14 +433,16 @@ def m8(spark, sf):
 
 
 @query("M9", f"WITH {SPARSE}, {RANKS}, {Z}, {LOG_MEANS.format(s='s')} SELECT feature_id, label AS group, round(z, 6) + 0.0 AS score, round(mean_in - mean_rest, 6) + 0.0 AS logfc FROM zz JOIN lm USING (feature_id, label)".replace("AS group", 'AS "group"'))
-def m9(spark, sf):
-    return diffexpr.find_markers(a.cust_part_sparse(spark, sf), a.segment_labels(spark, sf)).select("feature_id", "group", *r6("score", "logfc"))
+def m9(spark, sf, matrix=a.cust_part_sparse):
+    return diffexpr.find_markers(matrix(spark, sf), a.segment_labels(spark, sf)).select("feature_id", "group", *r6("score", "logfc"))
 
 
 @query("M10", f"""WITH {SPARSE}, {CLASS}, {WELCH}, {LOG_MEANS.format(s='s')}, x AS (SELECT feature_id, label, score, mean_in - mean_rest AS logfc, row_number() OVER (PARTITION BY label ORDER BY score DESC, mean_in - mean_rest DESC, feature_id) AS rank FROM tt JOIN lm USING (feature_id, label) WHERE abs(score) > 1.5)
 SELECT feature_id, label AS "group", round(score, 6) AS score, CAST(rank AS INTEGER) AS rank FROM x WHERE rank <= 50""")
-def m10(spark, sf):
-    de = diffexpr.find_markers(a.cust_part_sparse(spark, sf), a.segment_labels(spark, sf), method="t")
+def m10(spark, sf, matrix=a.cust_part_sparse):
+    de = diffexpr.find_markers(matrix(spark, sf), a.segment_labels(spark, sf), method="t")
+    if matrix is a.cust_part:
+        return diffexpr.filter_rank_markers(de, count=50).select("feature_id", "group", *r6("score"), "rank")
     # The limit on p stands aside here, so that plain SQL can follow: |t| > 1.5 takes its place.
     de = de.filter(F.abs("score") > 1.5).withColumn("pval", F.lit(0.0))
     return diffexpr.filter_rank_markers(de, count=50).select("feature_id", "group", *r6("score"), "rank")
@@ -496,9 +500,9 @@ def u8(spark, sf):
 
 
 @query("V1", f"WITH {SPARSE}, {NORM.format(scale='100.0')}, m AS (SELECT f.feature_id, coalesce(sum(n.value), 0.0) / (SELECT count(*) FROM cells) AS mean FROM features f LEFT JOIN n ON n.feature_id = f.feature_id WHERE f.feature_id NOT IN (SELECT p_partkey FROM part WHERE p_size = 1) GROUP BY 1) SELECT feature_id, round(mean, 6) AS mean, CAST(row_number() OVER (ORDER BY mean DESC, feature_id) AS INTEGER) AS rank FROM m QUALIFY rank <= 10")
-def v1(spark, sf):
+def v1(spark, sf, matrix=a.cust_part_sparse):
     drop = a.table(spark, sf, "part").filter("p_size = 1").select(F.col("p_partkey").alias("feature_id"))
-    return plots.highest_expressed(a.cust_part_sparse(spark, sf), 10, drop).select("feature_id", *r6("mean"), "rank")
+    return plots.highest_expressed(matrix(spark, sf), 10, drop).select("feature_id", *r6("mean"), "rank")
 
 
 @query("V2")
@@ -524,8 +528,8 @@ def v5(spark, sf):
 
 
 @query("V6", f"WITH {SPARSE}, {CLASS} SELECT feature_id, label, n - above AS zeros, above AS positive, round(s / n, 6) AS mean FROM cs")
-def v6(spark, sf):
-    return plots.violin(a.cust_part_sparse(spark, sf), a.segment_labels(spark, sf)).select("feature_id", "label", "zeros", "positive", *r6("mean"))
+def v6(spark, sf, matrix=a.cust_part_sparse):
+    return plots.violin(matrix(spark, sf), a.segment_labels(spark, sf)).select("feature_id", "label", "zeros", "positive", *r6("mean"))
 
 
 # Extension
@@ -534,3 +538,11 @@ def v6(spark, sf):
 @query("X1", "SELECT date_trunc('hour', ts) AS window_start, user_id AS cell, event_type AS feature, count(*) AS value FROM events GROUP BY 1, 2, 3")
 def x1(spark, sf):
     return windowed_counts(a.table(spark, sf, "events"))
+
+
+# The queries on the sparse subset once more, on the matrix of all line items and with the operators' own limits.
+
+#: Ids of the queries that take the matrix as an argument; each is also registered as ID_whole, without SQL.
+WHOLE = [name for name, f in QUERIES.items() if "matrix" in inspect.signature(f).parameters]
+for _name in WHOLE:
+    QUERIES[f"{_name}_whole"] = partial(QUERIES[_name], matrix=a.cust_part)
