@@ -338,7 +338,7 @@ def g5(spark, sf):
 
 @query("G6")
 def g6(spark, sf):
-    return graph.cluster(snn(spark, sf), nrandomstarts=1)
+    return graph.cluster(snn(spark, sf))
 
 
 LABELLED = f"{SNN}, l AS (SELECT cell_id AS node, label FROM v), e AS (SELECT * FROM snn WHERE src <> dst), w AS (SELECT src AS node, sum(weight) AS weight FROM e GROUP BY 1), cw AS (SELECT label, sum(coalesce(weight, 0)) AS weight FROM l LEFT JOIN w USING (node) GROUP BY 1)"
