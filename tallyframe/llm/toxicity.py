@@ -180,23 +180,34 @@ def segments(text: str) -> set[str]:
     return {w for t in [*tokens, *spelled(tokens)] for w in windows(t) if len(w) >= ORDER}
 
 
-def svm(x: np.ndarray, y: np.ndarray, cost: np.ndarray, steps: int = 50) -> np.ndarray:
-    """A linear SVM (squared hinge) by Newton steps; the last column of x is the offset's 1 and is not penalised much."""
+def svm(x: np.ndarray, positive: np.ndarray, negative: np.ndarray, steps: int = 50, rows: int = 8192) -> np.ndarray:
+    """A linear SVM (squared hinge) by Newton steps, from each row's costs as a positive and as a negative.
+
+    The last column of x is the offset's 1 and is not penalised much.
+    """
     w, ridge = np.zeros(x.shape[1]), np.ones(x.shape[1])
     ridge[-1] = 1e-3
-    value = lambda w: (ridge * w * w).sum() / 2 + (cost * np.maximum(1 - y * (x @ w), 0) ** 2).sum()
-    now = value(w)
+
+    def value(w):
+        f = x @ w.astype(x.dtype)
+        return (ridge * w * w).sum() / 2 + (positive * np.maximum(1 - f, 0) ** 2 + negative * np.maximum(1 + f, 0) ** 2).sum(), f
+
+    now, f = value(w)
     for _ in range(steps):
-        on = y * (x @ w) < 1
-        some, c = x[on], cost[on]
-        g = ridge * w - 2 * some.T @ (c * (y[on] - some @ w))
-        step = np.linalg.solve(np.diag(ridge) + 2 * some.T @ (c[:, None] * some), g)
-        size = 1.0
-        while (new := value(w - size * step)) > now and size > 1e-4:
+        up, down = positive * (f < 1), negative * (f > -1)
+        g, h = ridge * w, np.diag(ridge)
+        on = np.flatnonzero(up + down)
+        for s in range(0, len(on), rows):
+            k = on[s : s + rows]
+            some = x[k].astype(float)
+            g += 2 * some.T @ ((up[k] + down[k]) * f[k] - up[k] + down[k])
+            h += 2 * some.T @ ((up[k] + down[k])[:, None] * some)
+        step, size = np.linalg.solve(h, g), 1.0
+        while (new := value(w - size * step))[0] > now and size > 1e-4:
             size /= 2
-        if new >= now - 1e-9 * abs(now):
+        if new[0] >= now - 1e-9 * abs(now):
             break
-        w, now = w - size * step, new
+        w, now, f = w - size * step, *new
     return w
 
 
@@ -272,11 +283,16 @@ def families(words: list[list[str]], labels: list[int]) -> list[list[str]]:
         for w in own:
             holders.setdefault(w, []).append(i)
     positive = {w for own, label in zip(words, labels) if label for w in own}
-    share: dict[str, list[str]] = {}
+    # Pieces in three texts of label 1 at least; few enough to be listed with their segments.
+    often = Counter()
+    for own, label in zip(words, labels):
+        if label:
+            often.update(set().union(*map(pieces_of, own)))
+    share: dict[str, list[str]] = {g: [] for g, c in often.items() if c >= 3}
+    del often
     for w in sorted(positive):
-        for g in pieces_of(w):
-            share.setdefault(g, []).append(w)
-    share = {g: some for g, some in share.items() if sum(labels[i] for i in set().union(*(holders[w] for w in some))) >= 3}
+        for g in pieces_of(w) & share.keys():
+            share[g].append(w)
     for w in sorted(holders.keys() - positive):
         for g in pieces_of(w) & share.keys():
             share[g].append(w)
@@ -333,7 +349,9 @@ def fit(texts: list[str], labels: list[int]) -> Model:
     root = vectors / np.sqrt(np.maximum(values, 1e-4)) @ vectors.T
     words = sorted(set().union(*found))
     at = {v: i for i, v in enumerate(words)}
-    x = np.concatenate([kernel(words) @ root, np.ones((len(words), 1))], 1)
+    x = np.ones((len(words), len(root) + 1), np.float32)
+    for s in range(0, len(words), 8192):
+        x[s : s + 8192, :-1] = kernel(words[s : s + 8192]) @ root
     bags = [np.fromiter((at[v] for v in own), np.int64, len(own)) for own in found]
     # How often a segment stands in a text of label 0.
     negative = np.bincount(np.concatenate([b for b, label in zip(bags, labels) if not label]), minlength=len(words)).astype(float)
@@ -346,10 +364,8 @@ def fit(texts: list[str], labels: list[int]) -> Model:
                 best = b[np.argsort(-score[b], kind="stable")[:BEST]]
                 best = best[(score[best] > 0) | (np.arange(len(best)) == 0)]
                 positive[best] += 1 / len(best)
-        pos, neg = np.flatnonzero(positive), np.flatnonzero(negative)
         # All texts of label 1 together weigh as much as all those of label 0.
-        cost = COST * np.concatenate([positive[pos] * n_neg / n_pos, negative[neg]])
-        w = svm(np.concatenate([x[pos], x[neg]]), np.repeat([1.0, -1.0], [len(pos), len(neg)]), cost)
+        w = svm(x, COST * positive * n_neg / n_pos, COST * negative)
         score = x @ w
     model = Model(kernel, root @ w[:-1], float(w[-1]), 1.0, 0.0)
     score = told(score)
