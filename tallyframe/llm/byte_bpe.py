@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 #: Characters that the rank file's library takes for \s (Unicode White_Space).
 WHITE = r"\t-\r \x85\xa0" + "".join(map(chr, [0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000]))
 #: Bytes of text replayed together.
-BLOCK = 24 << 20
+BLOCK = 8 << 20
 
 
 def plain(pattern: str) -> str:

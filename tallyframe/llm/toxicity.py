@@ -13,8 +13,8 @@ become a probability by a fitted logistic curve.
 from __future__ import annotations
 
 import math
+import pickle
 import re
-from collections import Counter
 
 import numpy as np
 import pyarrow as pa
@@ -22,25 +22,29 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
 
-from .byte_bpe import blocks
+from .shared import cut, text_blocks
 from .wavelet import gather
-from .words import split_words
+from .words import docs_words, mix, powers, split_words
 
 #: Length of the counted subsequences and decay of a gap.
 ORDER, DECAY = 3, np.float32(0.6)
 #: Labelled texts used for training, at most.
 TRAIN_TEXTS = 3000
-#: Landmarks among the common segments, and from each family of telling segments.
+#: Landmarks among the common segments, from each family of telling segments, and like each family.
 PLAIN, MEMBERS, LOOKALIKES = 12, 12, 2
+#: No further family gives landmarks once there are this many (the rank of the Nystroem form); the SVM sees all segments.
+LANDMARKS = 160
+#: Texts of label 1, without copies, in which a piece is found before it can tell anything.
+LEAST = 3
 #: Lengths of the pieces of segments (with a mark before the first character) by which families are found.
 PIECES = (4, 5, 6, 7)
 #: Best segments of a text that count, rounds of training, and the score from which a segment tells something.
-BEST, ROUNDS, NOTHING, COST, POWER = 4, 4, -0.6, 3.0, 2
+BEST, ROUNDS, NOTHING, COST, POWER = 8, 4, -0.6, 3.0, 2
 MARK = "\x02"
 #: Longer words are read in overlapping windows of this many characters.
 WIDE = 32
 #: Scores kept by a worker between blocks.
-CACHE = 500_000
+CACHE = 200_000
 THRESHOLD = 0.7
 OUTER = re.compile(r"^[^\w]+|[^\w]+$")
 SENTENCE = re.compile(r"[.!?\n]+")
@@ -180,6 +184,12 @@ def segments(text: str) -> set[str]:
     return {w for t in [*tokens, *spelled(tokens)] for w in windows(t) if len(w) >= ORDER}
 
 
+def product(x: np.ndarray, w: np.ndarray, step: int = 16384) -> np.ndarray:
+    """x @ w, a few rows at a time, so that x may be of half precision."""
+    w = w.astype(np.float32)
+    return np.concatenate([x[s : s + step].astype(np.float32) @ w for s in range(0, len(x), step)] or [np.zeros(0, np.float32)]).astype(float)
+
+
 def svm(x: np.ndarray, positive: np.ndarray, negative: np.ndarray, steps: int = 50, rows: int = 8192) -> np.ndarray:
     """A linear SVM (squared hinge) by Newton steps, from each row's costs as a positive and as a negative.
 
@@ -189,7 +199,7 @@ def svm(x: np.ndarray, positive: np.ndarray, negative: np.ndarray, steps: int =
     ridge[-1] = 1e-3
 
     def value(w):
-        f = x @ w.astype(x.dtype)
+        f = product(x, w)
         return (ridge * w * w).sum() / 2 + (positive * np.maximum(1 - f, 0) ** 2 + negative * np.maximum(1 + f, 0) ** 2).sum(), f
 
     now, f = value(w)
@@ -205,21 +215,21 @@ def svm(x: np.ndarray, positive: np.ndarray, negative: np.ndarray, steps: int =
         step, size = np.linalg.solve(h, g), 1.0
         while (new := value(w - size * step))[0] > now and size > 1e-4:
             size /= 2
-        if new[0] >= now - 1e-9 * abs(now):
+        if new[0] >= now - 1e-7 * abs(now):
             break
         w, now, f = w - size * step, *new
     return w
 
 
-def logistic(s: np.ndarray, y: np.ndarray, steps: int = 60) -> tuple[float, float]:
+def logistic(s: np.ndarray, y: np.ndarray, weight: np.ndarray, steps: int = 60) -> tuple[float, float]:
     """Slope (at least 0) and offset of P(1 | s), with Platt's smoothed targets, by damped Newton steps."""
-    pos, neg = y.sum(), len(y) - y.sum()
+    pos, neg = weight[y == 1].sum(), weight[y == 0].sum()
     t = np.where(y == 1, (pos + 1) / (pos + 2), 1 / (neg + 2))
     a, b = 0.0, math.log((pos + 1) / (neg + 1))
     for _ in range(steps):
         p = 1 / (1 + np.exp(-np.clip(a * s + b, -40, 40)))
-        h = p * (1 - p) + 1e-9
-        g = np.array([((t - p) * s).sum() - 1e-3 * a, (t - p).sum()])
+        h = weight * (p * (1 - p) + 1e-9)
+        g = np.array([(weight * (t - p) * s).sum() - 1e-3 * a, (weight * (t - p)).sum()])
         m = np.array([[(h * s * s).sum() + 1e-3, (h * s).sum()], [(h * s).sum(), h.sum() + 1e-6]])
         da, db = np.linalg.solve(m, g)
         scale = min(1.0, 4.0 / max(abs(da), abs(db), 1e-9))
@@ -227,12 +237,12 @@ def logistic(s: np.ndarray, y: np.ndarray, steps: int = 60) -> tuple[float, floa
     return max(a, 0.0), b
 
 
-def rank_weights(best: np.ndarray, y: np.ndarray, steps: int = 3000) -> np.ndarray:
+def rank_weights(best: np.ndarray, y: np.ndarray, weight: np.ndarray, steps: int = 3000) -> np.ndarray:
     """Weights of the best segments by rank, 0 at least and 1 in all, by projected gradient steps on the logistic loss."""
-    v, b = np.full(best.shape[1], 1.0), 0.0
+    v, b, weight = np.full(best.shape[1], 1.0), 0.0, weight / weight.sum()
     for _ in range(steps):
         p = 1 / (1 + np.exp(-np.clip(best @ v + b, -40, 40)))
-        v, b = np.maximum(v + 0.5 * ((y - p) @ best / len(y) - 1e-4 * v), 0), b + 0.5 * (y - p).mean()
+        v, b = np.maximum(v + 0.5 * ((weight * (y - p)) @ best - 1e-4 * v), 0), b + 0.5 * (weight * (y - p)).sum()
     return v / v.sum() if v.sum() > 0 else np.full(len(v), 1 / len(v))
 
 
@@ -266,56 +276,137 @@ def prior(n_pos: int, n: int) -> Model:
     return Model(None, None, 0.0, 0.0, math.log(p / (1 - p)))
 
 
-def pieces_of(word: str) -> set[str]:
-    w = MARK + word
-    return {w[i : i + n] for n in PIECES for i in range(len(w) - n + 1)} | {w}
-
-
-def families(words: list[list[str]], labels: list[int]) -> list[list[str]]:
+class Bags:
+    """The segments of labelled texts: distinct segments by index, and for each text (with label and weight) those it has."""
+
+    def __init__(self, texts: list[str], labels: list[int]):
+        index: dict[str, int] = {}
+        self.of = []
+        for text in texts:
+            own = set()
+            for sentence in SENTENCE.split(text):
+                own.update(index.setdefault(w, len(index)) for w in segments(sentence))
+            self.of.append(np.sort(np.fromiter(own, np.int32, len(own))))
+        self.words = list(index)
+        self.y = np.array(labels, np.int64)
+        self.weight = copy_weights(texts)
+        sizes = np.fromiter(map(len, self.of), np.int64, len(self.of))
+        flat, text = np.concatenate([*self.of, np.zeros(0, np.int32)]), np.repeat(np.arange(len(texts), dtype=np.int32), sizes)
+        order = np.argsort(flat, kind="stable")
+        #: The texts of each segment: texts[at[w] : at[w + 1]].
+        self.texts, self.at = text[order], np.searchsorted(flat[order], np.arange(len(index) + 1))
+        self.positive, self.negative = (np.bincount(flat, self.weight[text] * (self.y[text] == k), len(index)) for k in (1, 0))
+
+    def total(self, label: int) -> float:
+        return float(self.weight[self.y == label].sum())
+
+    def pairs(self, words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(place in ``words``, text) for every text of every one of ``words``."""
+        n = self.at[words + 1] - self.at[words]
+        return np.repeat(np.arange(len(words)), n), gather(self.texts, self.at[words], n)
+
+
+def copy_weights(texts: list[str], rounds: int = 9) -> np.ndarray:
+    """1 over the number of near copies of each text (itself included), so that copied texts prove no more than one.
+
+    The number is the median, over ``rounds`` hash functions, of the texts that
+    have the same smallest hash of two words in a row.
+    """
+    least = np.zeros((len(texts), rounds), np.uint64)
+    for first, words, at in docs_words(pa.array(texts, pa.large_string())):
+        two = words[:-1] * np.uint64(3) + words[1:]
+        for r, (a, e) in enumerate(zip(at.tolist(), at[1:].tolist())):
+            own = two[a : e - 1] if e - a > 1 else words[a:e]
+            if len(own):
+                least[first + r] = [mix(own + np.uint64(j)).min() for j in range(1, rounds + 1)]
+    groups = np.empty(least.shape)
+    for j in range(rounds):
+        _, inverse, counts = np.unique(least[:, j], return_inverse=True, return_counts=True)
+        groups[:, j] = counts[inverse]
+    return 1 / np.median(groups, axis=1)
+
+
+def piece_hashes(words: list[str], n: int) -> tuple[np.ndarray, np.ndarray]:
+    """(hash, index of the word) of every piece of ``n`` characters of the marked words; n = 0: of the whole words."""
+    marked = [MARK + w for w in words]
+    sizes = np.fromiter(map(len, marked), np.int64, len(marked))
+    flat = np.frombuffer("".join(marked).encode("utf-32-le", "replace"), np.int32).astype(np.uint64)
+    ends = np.cumsum(sizes)
+    if n == 0:
+        up, _ = powers(len(flat) + 1)
+        place = np.arange(len(flat)) - np.repeat(ends - sizes, sizes)
+        sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(mix(flat) * up[place], dtype=np.uint64)])
+        return mix(sums[ends] - sums[ends - sizes]), np.arange(len(words))
+    h = np.zeros(max(0, len(flat) - n + 1), np.uint64)
+    for j in range(n):
+        h = h * np.uint64(0x100000001B3) + flat[j : len(flat) - n + 1 + j]
+    word = np.repeat(np.arange(len(words)), sizes)
+    fits = np.arange(len(h)) + n <= ends[word[: len(h)]]
+    return mix(h[fits] + np.uint64(n)), word[: len(h)][fits]
+
+
+def families(bags: Bags) -> list[list[int]]:
     """Segments of label 1 by the piece they share, for pieces in far more texts of label 1 than chance; their number is open.
 
     The most telling piece comes first; segments that have it are explained and
     no longer count for the next.
     """
-    n_pos, n_neg = sum(labels), len(labels) - sum(labels)
-    holders: dict[str, list[int]] = {}
-    for i, own in enumerate(words):
-        for w in own:
-            holders.setdefault(w, []).append(i)
-    positive = {w for own, label in zip(words, labels) if label for w in own}
-    # Pieces in three texts of label 1 at least; few enough to be listed with their segments.
-    often = Counter()
-    for own, label in zip(words, labels):
-        if label:
-            often.update(set().union(*map(pieces_of, own)))
-    share: dict[str, list[str]] = {g: [] for g, c in often.items() if c >= 3}
-    del often
-    for w in sorted(positive):
-        for g in pieces_of(w) & share.keys():
-            share[g].append(w)
-    for w in sorted(holders.keys() - positive):
-        for g in pieces_of(w) & share.keys():
-            share[g].append(w)
+    n_pos, n_neg = bags.total(1), bags.total(0)
+    of_one = np.flatnonzero(bags.positive > 0)
+    found, tried = [], 0
+
+    def counts(piece, word, n):
+        """Weighted texts of label 1 and 0 of each of n pieces."""
+        k, text = bags.pairs(word)
+        both = np.unique(piece[k].astype(np.int64) * len(bags.y) + text)
+        piece, text = both // len(bags.y), both % len(bags.y)
+        return [np.bincount(piece, bags.weight[text] * (bags.y[text] == label), n) for label in (1, 0)]
+
+    for n in (0, *PIECES):
+        h, word = piece_hashes([bags.words[i] for i in of_one.tolist()], n)
+        names, piece = np.unique(h, return_inverse=True)
+        often, _ = counts(piece, of_one[word], len(names))
+        names = names[often >= LEAST]
+        tried += len(names)
+        h, word = piece_hashes(bags.words, n)
+        at = np.searchsorted(names, h)
+        same = at < len(names)
+        same[same] = names[at[same]] == h[same]
+        pairs = np.unique(at[same] * np.int64(len(bags.words)) + word[same])
+        piece, word = pairs // len(bags.words), pairs % len(bags.words)
+        c, rest = counts(piece, word, len(names))
+        keep = c > 4 * (rest + 1) * n_pos / n_neg
+        cuts = np.searchsorted(piece, np.arange(len(names) + 1))
+        found += [(n, word[cuts[i] : cuts[i + 1]]) for i in np.flatnonzero(keep).tolist()]
     # The bound of a Poisson tail below which one of that many pieces would come up by chance.
-    least = math.log(20 * (len(share) + 1))
+    least = math.log(20 * (tried + 1))
+    explained = np.zeros(len(bags.words), bool)
 
-    def evidence(g: str) -> float:
-        found = {i for w in share[g] if w not in explained for i in holders[w]}
-        c = sum(labels[i] for i in found)
-        expected = (len(found) - c + 1) * n_pos / n_neg
+    def evidence(words: np.ndarray) -> float:
+        text = np.unique(bags.pairs(words[~explained[words]])[1])
+        w, y = bags.weight[text], bags.y[text]
+        c, expected = float(w[y == 1].sum()), (float(w[y == 0].sum()) + 1) * n_pos / n_neg
         tail = c * math.log(c / expected) - (c - expected) if c > 4 * expected else 0.0
         return tail if tail > least else 0.0
 
-    explained: set[str] = set()
-    out, open_ = [], {g: e for g in share if (e := evidence(g))}
+    out, open_ = [], {k: e for k, (_, words) in enumerate(found) if (e := evidence(words))}
     while open_:
-        top = max(open_, key=lambda g: (open_[g], -len(g), g))
-        members = [w for w in share[top] if w not in explained]
-        own = sorted(positive.intersection(members), key=lambda w: (-sum(labels[i] or -1 for i in holders[w]), w))
-        out.append(own)
-        explained.update(members)
-        touched = set().union(*(pieces_of(w) for w in members))
-        open_ = {g: e for g, old in open_.items() if (e := evidence(g) if g in touched else old)}
+        top = max(open_, key=lambda k: (open_[k], -found[k][0], -k))
+        words = found[top][1]
+        words = words[~explained[words]]
+        own = words[bags.positive[words] > 0]
+        told = bags.positive[own] / n_pos - bags.negative[own] / n_neg
+        out.append([own[i] for i in np.lexsort((own, -told)).tolist()])
+        explained[words] = True
+        open_ = {k: e for k, old in open_.items() if k != top and (e := evidence(found[k][1]) if explained[found[k][1]].any() else old)}
+    return out
+
+
+def features(kernel: Kernel, root: np.ndarray, words: list[str], step: int = 4096) -> np.ndarray:
+    """Nystroem features of all words, and a 1, in half precision."""
+    out = np.ones((len(words), len(root) + 1), np.float16)
+    for s in range(0, len(words), step):
+        out[s : s + step, :-1] = kernel(words[s : s + step]) @ root
     return out
 
 
@@ -324,57 +415,53 @@ def fit(texts: list[str], labels: list[int]) -> Model:
     n_pos, n_neg = sum(labels), len(labels) - sum(labels)
     if not n_pos or not n_neg:
         return prior(n_pos, len(labels))
-    found = []
-    for text in texts:
-        own = set()
-        for sentence in SENTENCE.split(text):
-            own |= segments(sentence)
-        found.append(sorted(own))
-    y = np.array(labels)
-    groups = families(found, labels)
+    bags = Bags(texts, labels)
+    groups = families(bags)
     if not groups:
         return prior(n_pos, len(labels))
-    telling = {w for g in groups for w in g}
-    counts = Counter(w for own, label in zip(found, labels) if not label for w in own)
-    clean = sorted((w for w in counts if w not in telling), key=lambda w: (-counts[w], w))
-    near = [g[:MEMBERS] for g in groups]
+    words = bags.words
+    telling = np.array(sorted({w for g in groups for w in g}))
+    clean = np.flatnonzero((bags.positive <= 0) | (bags.negative > 0))
+    clean = clean[~np.isin(clean, telling)]
+    clean = clean[np.argsort(-bags.negative[clean], kind="stable")]
+    near: list[list[int]] = []
+    for g in groups:
+        if sum(map(len, near)) < LANDMARKS:
+            near.append(g[:MEMBERS])
     # Lookalikes of each family that are frequent in texts of label 0 keep it apart from plain words.
-    like = Kernel([w for g in near for w in g])(clean) if clean else np.zeros((0, sum(map(len, near))))
-    ends, hard = np.cumsum([len(g) for g in near]), []
-    for g, end in zip(near, ends):
-        close = like[:, end - len(g) : end].mean(1) * np.log1p([counts[w] for w in clean])
-        hard += [clean[i] for i in np.argsort(-close, kind="stable")[:LOOKALIKES]]
-    kernel = Kernel([w for g in near for w in g] + list(dict.fromkeys(hard + clean[:PLAIN])))
-    values, vectors = np.linalg.eigh(kernel(kernel.landmarks).astype(float) + 1e-4 * np.eye(len(kernel.landmarks)))
-    root = vectors / np.sqrt(np.maximum(values, 1e-4)) @ vectors.T
-    words = sorted(set().union(*found))
-    at = {v: i for i, v in enumerate(words)}
-    x = np.ones((len(words), len(root) + 1), np.float32)
-    for s in range(0, len(words), 8192):
-        x[s : s + 8192, :-1] = kernel(words[s : s + 8192]) @ root
-    bags = [np.fromiter((at[v] for v in own), np.int64, len(own)) for own in found]
-    # How often a segment stands in a text of label 0.
-    negative = np.bincount(np.concatenate([b for b, label in zip(bags, labels) if not label]), minlength=len(words)).astype(float)
+    usual = clean[bags.negative[clean] > 1]
+    like = [np.zeros((0, len(near)))]
+    kernel, ends = Kernel([words[w] for g in near for w in g]), np.cumsum([len(g) for g in near])
+    for s in range(0, len(usual), 4096):
+        some = kernel([words[w] for w in usual[s : s + 4096].tolist()])
+        like.append(np.stack([some[:, e - len(g) : e].mean(1) for g, e in zip(near, ends)], 1) * np.log1p(bags.negative[usual[s : s + 4096]])[:, None])
+    close = np.argsort(-np.concatenate(like), axis=0, kind="stable")[:LOOKALIKES]
+    hard = [int(usual[i]) for i in close.T.ravel().tolist()]
+    chosen = list(dict.fromkeys([w for g in near for w in g] + hard + clean[:PLAIN].tolist()))
+    kernel = Kernel([words[w] for w in chosen])
+    values, vectors = np.linalg.eigh(kernel(kernel.landmarks).astype(float) + 1e-4 * np.eye(len(chosen)))
+    root = (vectors / np.sqrt(np.maximum(values, 1e-4)) @ vectors.T).astype(np.float32)
+    x = features(kernel, root, words)
     score = np.full(len(words), -1.0)
-    score[[at[w] for w in telling]] = 1.0
+    score[telling] = 1.0
     for _ in range(ROUNDS):
         positive = np.zeros(len(words))
-        for b, label in zip(bags, labels):
+        for b, label, weight in zip(bags.of, bags.y, bags.weight):
             if label and len(b):
                 best = b[np.argsort(-score[b], kind="stable")[:BEST]]
                 best = best[(score[best] > 0) | (np.arange(len(best)) == 0)]
-                positive[best] += 1 / len(best)
+                positive[best] += weight
         # All texts of label 1 together weigh as much as all those of label 0.
-        w = svm(x, COST * positive * n_neg / n_pos, COST * negative)
-        score = x @ w
+        w = svm(x, COST * positive * bags.total(0) / bags.total(1), COST * bags.negative)
+        score = product(x, w)
     model = Model(kernel, root @ w[:-1], float(w[-1]), 1.0, 0.0)
     score = told(score)
-    best = np.zeros((len(bags), BEST))
-    for i, b in enumerate(bags):
+    best = np.zeros((len(bags.of), BEST))
+    for i, b in enumerate(bags.of):
         top = np.sort(score[b])[::-1][:BEST]
         best[i, : len(top)] = top
-    model.ranks = rank_weights(best, y)
-    model.slope, model.shift = logistic(model.pooled(best), y)
+    model.ranks = rank_weights(best, bags.y, bags.weight)
+    model.slope, model.shift = logistic(model.pooled(best), bags.y, bags.weight)
     return model
 
 
@@ -404,8 +491,8 @@ def scorer(held, text_at: int, name: str):
 
     def run(batches):
         model, cache = held.value, {}
-        for t in blocks(batches, text_at=text_at):
-            column = t.column(text_at).combine_chunks()
+        for t in text_blocks(batches, text_at):
+            column = t.column(text_at)
             best = []
             for data, hashes, at, starts, ends in split_words(column):
                 raw = data.tobytes()
@@ -439,14 +526,21 @@ def scorer(held, text_at: int, name: str):
                 extra = np.array(more).reshape(-1, 3)
                 best.append(best_of(np.concatenate([rows, extra[:, 0].astype(np.int64)]), np.concatenate([took[:, 0], extra[:, 1]]), np.concatenate([took[:, 1], extra[:, 2]]), len(at) - 1))
             raw = np.concatenate(best) if best else np.zeros((0, BEST))
-            yield from t.append_column(name, pa.array(model.probability(model.pooled(raw)))).combine_chunks().to_batches()
+            yield pa.RecordBatch.from_arrays([*t.columns, pa.array(model.probability(model.pooled(raw)))], [*t.schema.names, name])
 
     return run
 
 
-def train(docs: DataFrame, labels: DataFrame) -> Model:
-    rows = training_rows(docs, labels).orderBy("text", "toxic").toArrow()
-    return fit(rows.column("text").to_pylist(), [int(x) for x in rows.column("toxic").to_pylist()])
+def train(docs: DataFrame, labels: DataFrame, most: int = TRAIN_TEXTS) -> Model:
+    """A model fitted on :func:`training_rows`, in one task: their number is bounded, and the driver gets the model only."""
+
+    def run(batches):
+        rows = sorted((t, int(y)) for b in batches for t, y in zip(b.column(0).to_pylist(), b.column(1).to_pylist()))
+        yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(fit([t for t, _ in rows], [y for _, y in rows]))], pa.binary())], ["model"])
+
+    # The model is kept in the shared folder, so that a lost executor does not cost a second fit.
+    fitted = cut(training_rows(docs, labels, most).repartition(1).mapInArrow(run, "model binary"), "toxicity-model").collect()
+    return pickle.loads(fitted[0].model) if fitted else fit([], [])
 
 
 def with_score(docs: DataFrame, model: Model, name: str = "score") -> DataFrame:

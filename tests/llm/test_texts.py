@@ -2,6 +2,7 @@
 
 import base64
 import hashlib
+import itertools
 import random
 import re
 import zlib
@@ -124,20 +125,18 @@ def test_token_files_edge_cases(hard):
 # 5: toxicity
 
 
-INSULTS = {"trash", "idiot", "pathetic", "worthless", "scum", "loser", "stupid", "disgusting", "moron", "clown"}
-
-
 def test_toxicity_held_out(spark):
-    """Texts with an English insult are found, and no clean text is; for inflected insults see below."""
+    """Held-out labels in every language; recall of the smallest language (12 texts) is told apart."""
     docs, labels = (spark.read.parquet(f"{DATA}/sf0.1/{t}.parquet") for t in ("documents", "labels"))
     model = toxicity.train(docs, labels)
     some = docs.join(labels.select("doc_id"), "doc_id", "left_semi")
-    rows = toxicity.toxicity(some, model).join(labels, "doc_id").join(docs.select("doc_id", "text"), "doc_id").filter("held_out").collect()
+    rows = toxicity.toxicity(some, model).join(labels, "doc_id").join(docs.select("doc_id", "lang"), "doc_id").filter("held_out").collect()
+    for lang, least in (("en", 0.85), ("fr", 0.85), ("de", 0.85), ("es", 0.8)):
+        told = [r.predicted for r in rows if r.toxic == 1 and r.lang == lang]
+        clean = [r.predicted for r in rows if r.toxic == 0 and r.lang == lang]
+        assert len(told) >= 10 and sum(told) / len(told) > least and sum(clean) / len(clean) < 0.03, lang
     pos, neg = np.array([r.score for r in rows if r.toxic == 1]), np.array([r.score for r in rows if r.toxic == 0])
-    assert ((pos[:, None] > neg[None, :]) + 0.5 * (pos[:, None] == neg[None, :])).mean() > 0.7
-    assert (neg >= toxicity.THRESHOLD).mean() < 0.005
-    told = [r.predicted for r in rows if r.toxic == 1 and INSULTS & toxicity.segments(r.text)]
-    assert len(told) > 50 and sum(told) / len(told) > 0.97
+    assert ((pos[:, None] > neg[None, :]) + 0.5 * (pos[:, None] == neg[None, :])).mean() > 0.94
 
 
 def test_toxicity_tolerates_gaps():
@@ -150,15 +149,36 @@ def test_toxicity_tolerates_gaps():
     assert max(score(w) for w in (*plain, "sorting", "thinking")) < 0.3
 
 
-def test_toxicity_learns_inflected_insults(spark):
-    """Families of which no single form is frequent, on held-out labels, in every language."""
-    docs, labels = (spark.read.parquet(f"{DATA}/sf0.1/{t}.parquet") for t in ("documents", "labels"))
-    model = toxicity.train(docs, labels)
-    some = docs.join(labels.select("doc_id"), "doc_id", "left_semi")
-    rows = toxicity.toxicity(some, model).join(labels, "doc_id").join(docs.select("doc_id", "lang"), "doc_id").filter("held_out").collect()
-    for lang, least in (("en", 0.85), ("fr", 0.8), ("de", 0.6), ("es", 0.6)):
-        told = [r.predicted for r in rows if r.toxic == 1 and r.lang == lang]
-        assert len(told) >= 10 and sum(told) / len(told) > least, lang
+def test_toxicity_copies_prove_no_more_than_one():
+    """Words that only a text with many copies holds are no family."""
+    r = random.Random(9)
+    word = lambda n: "".join(r.choice("bcdfgklmnprstvz") + r.choice("aeiou") for _ in range(n))
+    plain = [word(3) for _ in range(300)]
+    copied = " ".join([*r.sample(plain, 12), "quaxelo", "quaxeli"])
+    texts = [" ".join(r.sample(plain, 12)) for _ in range(400)] + [copied + " " + w for w in plain[:60]] + [" ".join([*r.sample(plain, 12), "zorgling"]) for _ in range(40)]
+    labels = [0] * 400 + [1] * 100
+    weights = toxicity.copy_weights(texts)
+    assert weights[400:460].sum() < 3 and weights[:400].min() > 0.5
+    groups = toxicity.families(bags := toxicity.Bags(texts, labels))
+    assert {bags.words[w] for g in groups for w in g} == {"zorgling"}
+
+
+def test_toxicity_kernel_counts_common_subsequences():
+    """The recursion against the definition: every pair of equal index tuples, decayed by both spans."""
+    r = random.Random(4)
+
+    def plain(u, v):
+        total = 0.0
+        for i in itertools.combinations(range(len(u)), toxicity.ORDER):
+            for j in itertools.combinations(range(len(v)), toxicity.ORDER):
+                if all(u[a] == v[b] for a, b in zip(i, j)):
+                    total += float(toxicity.DECAY) ** (i[-1] - i[0] + j[-1] - j[0] + 2)
+        return total
+
+    for _ in range(60):
+        u, v = ("".join(r.choice("abc") for _ in range(r.randint(0, 8))) for _ in range(2))
+        got = float(np.ravel(toxicity.raw_kernel([[np.array([a == b], np.float32) for b in v] for a in u]))[0])
+        assert abs(got - plain(u, v)) < 1e-4, (u, v)
 
 
 def test_toxicity_learns_more_than_two_dozen_insults():
