@@ -19,6 +19,7 @@ import re
 import struct
 import zlib
 from functools import lru_cache
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -33,8 +34,8 @@ MAGIC = b"TWM1"
 STEP = 512
 #: Tokens after which a shard is closed; a document is never split.
 SHARD = 1 << 20
-#: Words kept from one block to the next by a worker.
-CACHE = 700_000
+#: Runs of letters whose ids a task keeps from one block to the next; beyond, it starts anew.
+CACHE = 150_000
 BITS = np.array([bin(b).count("1") for b in range(256)], np.uint8)
 SHARD_ROWS = "part int, seq int, local_start long, doc_ids array<long>, lengths array<int>, n_tokens long, payload binary"
 
@@ -169,20 +170,28 @@ class WordEncoder:
         low = "a-z\xaa\xb5\xba\xdf-\xf6\xf8-\xff"
         self.runs = re.compile(rf"'s|'t|'re|'ve|'m|'ll|'d|[{low}]+|[0-9\xb2\xb3\xb9\xbc-\xbe]|[^{low}0-9\xb2\xb3\xb9\xbc-\xbe]+").findall
         self.easy = re.compile("[\x21-\x7e\xa1-\xac\xae-\xff]+").fullmatch
-        self.cache: dict[str, np.ndarray] = {}
-
-    def ids(self, strings: list[str]) -> list[np.ndarray]:
-        """Token ids of strings none of which joins with a neighbour across a blank."""
-        out: list[np.ndarray] = []
-        for s in range(0, len(strings), 20_000):
-            some = strings[s : s + 20_000]
-            groups = [some[i : i + 256] for i in range(0, len(some), 256)]
+        self.forget()
+
+    def forget(self) -> None:
+        """Drop the known runs: run -> number, and the ids of number i at flat[start[i] : start[i] + count[i]]."""
+        self.number: dict[str, int] = {}
+        self.flat, self.count = np.zeros(0, np.uint16), np.zeros(0, np.int64)
+
+    def ids(self, strings: list[str], joined: bool = True) -> tuple[np.ndarray, np.ndarray]:
+        """Token ids of all strings, one after another, and how many each has.
+
+        ``joined``: hand over many at once, as none joins with a neighbour across a blank.
+        """
+        flat, counts = [np.zeros(0, np.uint16)], [np.zeros(0, np.int64)]
+        for s in range(0, len(strings), 8192):
+            some = strings[s : s + 8192]
+            groups = [some[i : i + 256] for i in range(0, len(some), 256)] if joined else [[x] for x in some]
             for group, e in zip(groups, self.library.encode_batch([" ".join(g) for g in groups], add_special_tokens=False)):
-                ids = np.array(e.ids, np.uint16)
+                flat.append(np.array(e.ids, np.uint16))
                 ends = np.cumsum(np.fromiter(map(len, group), np.int64, len(group)) + 1)
-                at = np.searchsorted(np.fromiter((a for a, _ in e.offsets), np.int64, len(ids)), ends)
-                out += np.split(ids, at[:-1])
-        return out
+                at = np.searchsorted(np.fromiter((a for a, _ in e.offsets), np.int64, len(e.ids)), ends) if joined else [len(e.ids)]
+                counts.append(np.diff(at, prepend=0))
+        return np.concatenate(flat), np.concatenate(counts)
 
     def exact(self, raw: bytes, hashes: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
         """The hashes, those of words that hold an added token made anew from their bytes: case counts there."""
@@ -211,27 +220,24 @@ class WordEncoder:
             for i, x, y in zip(own.tolist(), starts[first[own] - base].tolist(), ends[first[own] - base].tolist()):
                 seen[i] = raw[x:y].decode()
             base += len(w)
-        runs: dict[str, int] = {}
-        easy, parts, hard = self.easy, [], []
-        for w in seen:
+        if len(self.number) > CACHE:
+            self.forget()
+        easy, at, n_parts, hard, known = self.easy, [], np.ones(len(seen), np.int64), [], len(self.number)
+        for i, w in enumerate(seen):
             if easy(w) and not any(t in w for t in self.added):
-                parts.append([runs.setdefault(r, len(runs)) for r in self.runs(w.lower())])
+                own = [self.number.setdefault(r, len(self.number)) for r in self.runs(w.lower())]
+                n_parts[i] = len(own)
+                at += own
             else:
+                # Strings beyond Latin-1 may change length when normalised, so each is encoded alone.
                 hard.append(w)
-                parts.append([-len(hard)])
-        new = [r for r in runs if r not in self.cache]
-        if len(self.cache) + len(new) > CACHE:
-            self.cache.clear()
-            new = list(runs)
-        self.cache.update(zip(new, self.ids(new)))
-        # Strings beyond Latin-1 may change length when normalised, so each is encoded alone.
-        hard_ids = [np.array(e.ids, np.uint16) for e in self.library.encode_batch(hard, add_special_tokens=False)] if hard else []
-        known = [self.cache[r] for r in runs] + hard_ids
-        flat, counts = np.concatenate([*known, np.zeros(0, np.uint16)]), np.fromiter(map(len, known), np.int64, len(known))
-        starts = np.cumsum(counts) - counts
-        n_parts = np.fromiter(map(len, parts), np.int64, len(parts))
-        at = np.fromiter((x for p in parts for x in p), np.int64, int(n_parts.sum()))
-        at = np.where(at < 0, len(runs) - 1 - at, at)
+                at.append(-len(hard))
+        flat, counts = self.ids(list(islice(self.number, known, None)))
+        self.flat, self.count = np.concatenate([self.flat, flat]), np.concatenate([self.count, counts])
+        flat, counts = self.ids(hard, joined=False)
+        flat, counts = np.concatenate([self.flat, flat]), np.concatenate([self.count, counts])
+        starts, at = np.cumsum(counts) - counts, np.array(at, np.int64)
+        at = np.where(at < 0, len(self.number) - 1 - at, at)
         table, word_counts = gather(flat, starts[at], counts[at]), segment_sums(counts[at], n_parts)
         word_starts = np.cumsum(word_counts) - word_counts
         tokens, lengths = gather(table, word_starts[inverse], word_counts[inverse]), segment_sums(word_counts[inverse], n_words)
@@ -265,8 +271,6 @@ def shard_writer(path: str, end: int | None, shard: int):
     """A mapInArrow function from sorted (doc_id, text) to shard rows."""
 
     def run(batches):
-        from .byte_bpe import blocks
-
         coder, me, seq, start = encoder(path), TaskContext.get().partitionId(), 0, 0
         ids, lengths, tokens, size = [], [], [], 0
 
@@ -274,8 +278,8 @@ def shard_writer(path: str, end: int | None, shard: int):
             n = int(sum(lengths))
             return pa.RecordBatch.from_pylist([{"part": me, "seq": seq, "local_start": start, "doc_ids": ids, "lengths": lengths, "n_tokens": n, "payload": build(np.concatenate(tokens))}], schema=SCHEMA)
 
-        for t in blocks(batches):
-            flat, counts = coder.encode(t.column(1).combine_chunks(), end)
+        for t in shared.text_blocks(batches):
+            flat, counts = coder.encode(t.column(1), end)
             ends = np.cumsum(counts)
             keys, first = t.column(0).to_pylist(), 0
             while first < len(keys):
@@ -291,6 +295,7 @@ def shard_writer(path: str, end: int | None, shard: int):
                     yield row()
                     seq, start = seq + 1, start + size
                     ids, lengths, tokens, size = [], [], [], 0
+        coder.forget()
         if ids:
             yield row()
 
@@ -304,13 +309,14 @@ def write_shards(docs: DataFrame, path: str, tokenizer: str, end: int | None, sh
     """Encode ``docs`` (doc_id, text) and write wavelet-matrix shards under ``path``.
 
     Shards ascend by doc_id over (part, seq).  A null or empty text is just
-    ``end``; rows with one doc_id stay apart, ordered by text; a null doc_id
-    comes first; other columns are ignored; an empty table gives no shard.
+    ``end``; rows with one doc_id stay apart, ordered by a hash of the text; a
+    null doc_id comes first; other columns are ignored; an empty table gives no shard.
     """
-    rows = docs.select("doc_id", "text")
+    rows = docs.select("doc_id", "text", F.xxhash64("text").alias("h"))
     n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    ordered = rows.repartitionByRange(n, "doc_id", "text").sortWithinPartitions("doc_id", "text")
-    ordered.mapInArrow(shard_writer(tokenizer, end, shard), SHARD_ROWS).write.parquet(path)
+    # Ranges are drawn from ids and hashes only: texts never go to the driver.
+    ordered = rows.repartitionByRange(n, "doc_id", "h").sortWithinPartitions("doc_id", "h")
+    ordered.select("doc_id", "text").mapInArrow(shard_writer(tokenizer, end, shard), SHARD_ROWS).write.parquet(path)
 
 
 def read_shards(docs_path: str, spark) -> DataFrame:

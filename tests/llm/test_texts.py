@@ -91,7 +91,6 @@ def test_token_files_hold_the_librarys_ids(spark, make_docs, empty):
     from tokenizers import Tokenizer
 
     library = Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json"))
-    library.encode_special_tokens = True
     docs = [(3 * i + 1, t) for i, t in enumerate(all_texts(200))] + [(0, None), (2, "")]
     got = {r.doc_id: (r.start, r.n_tokens, r.ids_crc32) for r in wavelet.encode_documents(make_docs(docs), public_tokenizers.path("word_bpe_49k.json"), 2, shard=5000).collect()}
     start = 0
