@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import cut
+from .shared import cut, free
 
 
 def connected(edges: DataFrame, name: str = "components", most: int = 60) -> DataFrame:
@@ -27,7 +27,8 @@ def connected(edges: DataFrame, name: str = "components", most: int = 60) -> Dat
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         up = large.join(low, "u")
         small = up.filter("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(low.select("u", F.col("m").alias("v"))).distinct()
-        pairs = cut(small, name)
+        old, pairs = pairs, cut(small, name)
+        free(old)
         now = pairs.agg(F.count("*"), F.sum(F.hash("u", "v").cast("long")), F.bit_xor(F.xxhash64("u", "v"))).first()
         if now == before:
             break
@@ -36,4 +37,6 @@ def connected(edges: DataFrame, name: str = "components", most: int = 60) -> Dat
         raise RuntimeError("components did not settle")
     roots = pairs.groupBy("u").agg(F.min("v").alias("component")).select(F.col("u").alias("node"), "component")
     tops = pairs.select(F.col("v").alias("node")).distinct().join(roots.select("node"), "node", "left_anti")
-    return roots.unionByName(tops.select("node", F.col("node").alias("component")))
+    out = cut(roots.unionByName(tops.select("node", F.col("node").alias("component"))), name)
+    free(pairs)
+    return out

@@ -4,12 +4,15 @@ Texts become sets of hashed word shingles.  Sets are put in size bands whose
 ends differ by the similarity; within a band (and from a band to the next) a
 Jaccard bound is a Hamming bound k.  The hash domain is cut into parts, and
 subsets of parts are enumerated so that two sets within k share a signature:
-sets with few differences (k <= 6) use groups of three parts of which two must
-agree, larger ones groups of three of which one must, so that the number of
-signatures stays a fraction of the set.
+for k <= 6 every subset that leaves out k of the parts is a signature, and for
+larger k every single part of k + 1 and some spare ones, so that the number of
+signatures stays a fraction of the set; sets that leave more parts empty than
+are spare sign subsets too.
 
 Copies of one set are a class with one node.  Nodes that share a signature
-are linked to the first node of that signature (a star).  Of a node's links
+are linked to the first node of that signature (a star); signatures of very
+many nodes are dealt over several stars, whose first nodes are linked in turn.
+Sizes and sketches tell which links are possible.  Of a node's possible links
 the likeliest is verified exactly first; what that leaves in different
 components is verified next, and only then are the other pairs inside a
 signature looked at, again only across components.
@@ -17,20 +20,26 @@ signature looked at, again only across components.
 
 from __future__ import annotations
 
+from itertools import combinations
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .components import connected
-from .shared import cut, small_enough
+from .shared import cut, free, small_enough
 from .words import docs_words, mix
 
 SHINGLE = 5
 #: Similarity as a fraction, so that every comparison is exact.
 NUM, DEN = 4, 5
 #: Rows of ids that may be broadcast (8 bytes each); beyond, a shuffle join is used.
-BROADCAST_ROWS = 2_000_000
+BROADCAST_ROWS = 1_000_000
+#: Parts for up to 6 differences: all but k of them agree, and those hold members of nearly every set.
+SUBSETS = {1: 8, 2: 9, 3: 9, 4: 9, 5: 9, 6: 10}
+#: Signatures that at least this many of one in SAMPLE ids have are dealt over as many stars as there are partitions.
+HOT, SAMPLE = 16, 64
 #: Of a node's open signatures, how many of the smallest are kept to tell that a pair has met before.
 EARLIER = 32
 MULTIPLIERS = mix(np.arange(101, 133, dtype=np.uint64))
@@ -79,13 +88,27 @@ class Bands:
         return 2 * self.high[band] * (self.den - self.num) // (self.den + self.num)
 
     @staticmethod
-    def layout(k: int) -> tuple[int, int, int]:
-        """(groups, groups' parts that must agree of three, spare parts) for at most k differences."""
-        if k <= 6:
-            return k // 2 + 1, 2, 0
-        spare = max(1, k // 12)
-        groups = -(-(k + 1 + spare) // 3)
-        return groups, 1, 3 * groups - k - 1
+    def spare(k: int, low: int) -> int:
+        """Spare parts where single parts are signatures: as many as parts of a set of ``low`` members stay empty, but for a rare excess."""
+        for spare in range(1, k // 2 + 2):
+            parts = k + 1 + spare
+            empty = parts * (1 - 1 / parts) ** low
+            if empty + 3.5 * empty**0.5 <= spare:
+                return spare
+        return max(1, k // 6)
+
+    @staticmethod
+    def parts_of(s: np.ndarray, content: np.ndarray, parts: int) -> tuple[np.ndarray, np.ndarray]:
+        """(sum of member hashes, number of members) of each part of the hash domain."""
+        edges = np.array([(i << 64) // parts for i in range(1, parts)], np.uint64)
+        at = np.concatenate([[0], np.searchsorted(s, edges), [len(s)]])
+        return content[at[1:]] - content[at[:-1]], np.diff(at)
+
+    def subsets(self, s: np.ndarray, content: np.ndarray, parts: int, k: int) -> np.ndarray:
+        """A value for every subset of parts that leaves out k of them."""
+        sums, _ = self.parts_of(s, content, parts)
+        took = np.array(list(combinations(range(parts), parts - k)))
+        return mix(sums + mix(np.arange(201, 201 + parts, dtype=np.uint64)))[took].sum(1, dtype=np.uint64)
 
     def signatures(self, s: np.ndarray) -> np.ndarray:
         """Signatures (int64) of a set for its own band and the next."""
@@ -101,33 +124,44 @@ class Bands:
             k = self.differences(band)
             if k == 0:
                 continue  # only equal sets, which are one node
-            groups, agree, spare = self.layout(k)
-            parts = 3 * groups
-            edges = np.array([(i << 64) // parts for i in range(1, parts)], np.uint64)
-            at = np.concatenate([[0], np.searchsorted(s, edges), [len(s)]])
-            sums, sizes = content[at[1:]] - content[at[:-1]], np.diff(at)
-            if agree == 2:
-                sums, sizes = sums.reshape(groups, 3), sizes.reshape(groups, 3)
-                sums = np.stack([sums[:, 0] + sums[:, 1] * np.uint64(3), sums[:, 0] + sums[:, 2] * np.uint64(3), sums[:, 1] + sums[:, 2] * np.uint64(3)], 1).ravel()
-                sizes = np.stack([sizes[:, 0] + sizes[:, 1], sizes[:, 0] + sizes[:, 2], sizes[:, 1] + sizes[:, 2]], 1).ravel()
-            # At least spare + 1 parts agree.  With at most ``spare`` empty parts one of those has members;
-            # otherwise both sets have more empty parts than that, and both sign their empty parts too.
-            keep = sizes > 0
-            if agree == 2 or (~keep).sum() > spare:
-                keep[:] = True
+            if k in SUBSETS:
+                sums = self.subsets(s, content, SUBSETS[k], k)
+            else:
+                # At least spare + 1 parts agree.  With at most ``spare`` empty parts one of those has members;
+                # otherwise both sets have more empty parts than that, and both sign subsets of parts as well.
+                spare = self.spare(k, -(-self.low[band] * self.num // self.den))
+                sums, sizes = self.parts_of(s, content, k + 1 + spare)
+                label = np.arange(len(sums), dtype=np.uint64) + np.uint64(band << 32)
+                out.append(mix(sums + mix(label + np.uint64(1)))[sizes > 0])
+                if (sizes == 0).sum() <= spare:
+                    continue
+                sums = self.subsets(s, content, k + (3 if k <= 16 else 2), k) + np.uint64(1)
             label = np.arange(len(sums), dtype=np.uint64) + np.uint64(band << 32)
-            out.append(mix(sums + mix(label + np.uint64(1)))[keep])
+            out.append(mix(sums + mix(label + np.uint64(1))))
         return np.concatenate([*out, np.zeros(0, np.uint64)]).view(np.int64)
 
 
+def sketch_of(s: np.ndarray) -> np.ndarray:
+    """The parity of members by hash, in the next power of two of n bits (256 at least), as int64.
+
+    Two sets differ in at least as many members as their sketches differ in bits.
+    """
+    size = max(256, 1 << (len(s) - 1).bit_length()) if len(s) else 256
+    bits = np.bincount((mix(s) & np.uint64(size - 1)).astype(np.int64), minlength=size) & 1
+    return np.packbits(bits.astype(np.uint8), bitorder="little").view(np.int64)
+
+
 def measure(width: int):
+    """(doc_id, text) to (doc_id, n_shingles, node, sketch)."""
+
     def run(batches):
         for b in batches:
-            n, f = [], []
+            n, f, sketches = [], [], []
             for s in shingle_sets(b.column(1), width):
                 n.append(len(s))
                 f.append(fingerprint(s))
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n, pa.int64()), pa.array(f, pa.int64())], ["doc_id", "n_shingles", "node"])
+                sketches.append(sketch_of(s))
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n, pa.int64()), pa.array(f, pa.int64()), pa.array(sketches, pa.list_(pa.int64()))], ["doc_id", "n_shingles", "node", "sketch"])
 
     return run
 
@@ -155,24 +189,16 @@ def sign(width: int, num: int, den: int):
 
 
 def unpack(width: int):
-    """(doc_id, text) to (node, n, sketch, members).
-
-    The sketch holds the parity of members by hash, in the next power of two
-    of n bits (256 at least).  Two sets differ in at least as many members as
-    their sketches differ in bits.
-    """
+    """(doc_id, text, node) to (node, members), for texts whose set is that node."""
 
     def run(batches):
         for b in batches:
-            nodes, sizes, sets, sketches = [], [], [], []
-            for s in shingle_sets(b.column(1), width):
-                nodes.append(fingerprint(s))
-                sizes.append(len(s))
-                sets.append(s.view(np.int64))
-                size = max(256, 1 << (len(s) - 1).bit_length())
-                bits = np.bincount((mix(s) & np.uint64(size - 1)).astype(np.int64), minlength=size) & 1
-                sketches.append(np.packbits(bits.astype(np.uint8), bitorder="little").view(np.int64))
-            yield pa.RecordBatch.from_arrays([pa.array(nodes, pa.int64()), pa.array(sizes, pa.int32()), pa.array(sketches, pa.list_(pa.int64())), pa.array(sets, pa.list_(pa.int64()))], ["node", "n", "sketch", "members"])
+            nodes, sets = [], []
+            for s, node in zip(shingle_sets(b.column(1), width), b.column(2).to_pylist()):
+                if fingerprint(s) == node:
+                    nodes.append(node)
+                    sets.append(s.view(np.int64))
+            yield pa.RecordBatch.from_arrays([pa.array(nodes, pa.int64()), pa.array(sets, pa.list_(pa.int64()))], ["node", "members"])
 
     return run
 
@@ -192,18 +218,64 @@ def close(x: str, y: str, num: int, den: int):
 
 
 def possible(pairs: DataFrame, facts: DataFrame, num: int, den: int) -> DataFrame:
-    """The (hub, node) pairs whose sizes and sketches allow the similarity."""
-    x = facts.select("node", F.struct("n", "sketch").alias("x"))
+    """The pairs (hub, node, ...) whose sizes and sketches allow the similarity."""
+    x = facts.select(F.col("node").alias("node"), F.struct("n", "sketch").alias("x"))
     y = facts.select(F.col("node").alias("hub"), F.struct("n", "sketch").alias("y"))
-    return pairs.select("hub", "node").join(x, "node").join(y, "hub").filter(close("x", "y", num, den)).select("hub", "node")
+    return pairs.join(x, "node").join(y, "hub").filter(close("x", "y", num, den)).select(*pairs.columns)
+
+
+def members_of(pairs: DataFrame, rows: DataFrame, classes: DataFrame, width: int) -> DataFrame:
+    """(node, members), cut: the sets of all ends of ``pairs`` (hub, node), once each."""
+    ends = pairs.select("hub").unionByName(pairs.select(F.col("node").alias("hub"))).distinct()
+    wanted = cut(ends.join(classes, ends["hub"] == classes["node"]).select(F.col("first").alias("doc_id"), "node"), "candidates")
+    some = rows.join(F.broadcast(wanted) if small_enough(wanted, BROADCAST_ROWS) else wanted, "doc_id").select("doc_id", "text", "node")
+    n = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    # A repeated row gives its set again; partial results are one a task and node.
+    sets = some.mapInArrow(unpack(width), "node long, members array<long>").repartition(n, "node").dropDuplicates(["node"])
+    out = cut(sets, "sets")
+    free(wanted)
+    return out
 
 
 def verified(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
     """The (hub, node) pairs as (a, b) whose sets are similar enough, by exact set sizes."""
-    own = pairs.join(sets.select("node", F.col("members").alias("mine")), "node")
-    hubs = sets.join(pairs.select(F.col("hub").alias("node")).distinct(), "node", "left_semi").select(F.col("node").alias("hub"), F.col("members").alias("other"))
+    # Both sides are named anew, so that one exchange of the sets serves both joins.
+    x = sets.select(F.col("node").alias("b"), F.col("members").alias("mine"))
+    y = sets.select(F.col("node").alias("a"), F.col("members").alias("other"))
+    own = pairs.select(F.col("hub").alias("a"), F.col("node").alias("b")).join(x, "b")
     both = F.size(F.array_intersect("mine", "other"))
-    return own.join(hubs, "hub").withColumn("both", both).filter(F.col("both") * den >= (F.size("mine") + F.size("other") - F.col("both")) * num).select(F.col("hub").alias("a"), F.col("node").alias("b"))
+    return own.join(y, "a").withColumn("both", both).filter(F.col("both") * den >= (F.size("mine") + F.size("other") - F.col("both")) * num).select("a", "b")
+
+
+def stars_of(rows: DataFrame, width: int, num: int, den: int) -> DataFrame:
+    """(sig, node, hub, hot): the nodes of every signature that has several, each with a first node (hub) of that signature.
+
+    A hot signature is dealt by node over one star a partition; its rows have
+    hot = true, and further rows link the hubs to the first of all.
+    """
+    n = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    signed = lambda df: df.mapInArrow(sign(width, num, den), "sig long, node long")
+    # Only how signatures are dealt depends on this sample; their number is at most signatures / HOT.
+    some = signed(rows.filter(F.pmod(F.xxhash64("doc_id"), F.lit(SAMPLE)) == 0)).distinct().groupBy("sig").count().filter(F.col("count") >= HOT)
+    hot = cut(some.select("sig", F.lit(True).alias("hot")), "hot")
+    marked = signed(rows).join(F.broadcast(hot) if small_enough(hot, BROADCAST_ROWS) else hot, "sig", "left")
+    salt = F.when(F.col("hot"), F.pmod(F.xxhash64("node"), F.lit(n))).otherwise(F.lit(0)).cast("int")
+    w = Window.partitionBy("sig", "salt").orderBy("node")
+    dealt = (
+        marked.select("sig", "node", F.coalesce("hot", F.lit(False)).alias("hot"), salt.alias("salt"))
+        .withColumn("hub", F.min("node").over(w.rowsBetween(Window.unboundedPreceding, 0)))
+        .withColumn("last", F.lead("node").over(w))
+        .filter("hub <> node or last <> node or hot")
+        .select("sig", "node", "hub", "hot")
+        .distinct()
+    )
+    stars = cut(dealt, "stars")
+    hubs = stars.filter("hot and hub = node").select("sig", "node")
+    first = hubs.groupBy("sig").agg(F.min("node").alias("hub"))
+    more = hubs.join(first, "sig").filter("hub <> node").select("sig", "node", "hub", F.lit(True).alias("hot"))
+    out = cut(stars.unionByName(more), "stars")
+    free(stars, hot)
+    return out
 
 
 def jaccard_components(docs: DataFrame, width: int = SHINGLE, num: int = NUM, den: int = DEN) -> DataFrame:
@@ -220,47 +292,35 @@ def jaccard_components(docs: DataFrame, width: int = SHINGLE, num: int = NUM, de
     Distinct sets are told apart by 64-bit hashes.
     """
     rows = docs.select("doc_id", "text").filter("doc_id is not null")
-    sizes = cut(rows.mapInArrow(measure(width), "doc_id long, n_shingles long, node long"), "shingle-sizes")
-    classes = sizes.filter("n_shingles > 0").groupBy("node").agg(F.min("doc_id").alias("first"), F.first("n_shingles").alias("n"))
-
-    signed = rows.mapInArrow(sign(width, num, den), "sig long, node long")
-    w = Window.partitionBy("sig").orderBy("node")
-    stars = (
-        signed.withColumn("hub", F.min("node").over(w.rowsBetween(Window.unboundedPreceding, 0)))
-        .withColumn("last", F.lead("node").over(w))
-        .filter("hub <> node or last <> node")
-        .select("sig", "node", "hub")
-        .distinct()
-    )
-    stars = cut(stars, "stars")
-    links = cut(stars.filter("hub <> node").groupBy("hub", "node").agg(F.count("*").alias("shared")), "star-links")
+    sizes = cut(rows.mapInArrow(measure(width), "doc_id long, n_shingles long, node long, sketch array<long>"), "shingle-sizes")
+    groups = sizes.filter("n_shingles > 0").groupBy("node")
+    classes = cut(groups.agg(F.min("doc_id").alias("first"), F.first("n_shingles").cast("int").alias("n"), F.first("sketch").alias("sketch")), "classes")
+    facts = classes.select("node", "n", "sketch")
 
-    wanted = links.select("hub").unionByName(links.select(F.col("node").alias("hub"))).distinct()
-    wanted = cut(wanted.join(classes, wanted["hub"] == classes["node"]).select(F.col("first").alias("doc_id")), "candidates")
-    if small_enough(wanted, BROADCAST_ROWS):
-        wanted = F.broadcast(wanted)
-    some = rows.join(wanted, "doc_id", "left_semi")
-    sets = cut(some.mapInArrow(unpack(width), "node long, n int, sketch array<long>, members array<long>"), "sets")
-    facts = sets.select("node", "n", "sketch")
+    stars = stars_of(rows, width, num, den)
+    links = stars.filter("hub <> node").groupBy("hub", "node").agg(F.count("*").alias("shared"))
+    pairs = cut(possible(links, facts, num, den), "pairs")
+    sets = members_of(pairs, rows, classes, width)
 
     # First each node with the hub it shares most signatures with, then what is left across components.
-    likely = links.groupBy("node").agg(F.max_by("hub", F.struct("shared", "hub")).alias("hub"))
-    good = cut(verified(possible(likely, facts, num, den), sets, num, den), "good-links")
-    groups = cut(connected(good), "groups")
-    tried = likely.select("hub", "node")
+    likely = pairs.groupBy("node").agg(F.max_by("hub", F.struct("shared", "hub")).alias("hub"))
+    good = cut(verified(likely, sets, num, den), "good-links")
+    groups = connected(good)
     names = groups.select("node", "component")
 
     def across(pairs: DataFrame) -> DataFrame:
         named = pairs.join(names, "node", "left").withColumnRenamed("component", "c").join(names.select(F.col("node").alias("hub"), "component"), "hub", "left")
         return named.filter(F.coalesce("c", "node") != F.coalesce("component", "hub")).select("hub", "node")
 
-    rest = across(links.join(tried, ["hub", "node"], "left_anti"))
-    more = cut(verified(possible(rest, facts, num, den), sets, num, den), "more-links")
-    good = good.unionByName(more)
-    groups = cut(connected(good), "groups")
+    rest = across(pairs.join(likely.select("hub", "node"), ["hub", "node"], "left_anti"))
+    more = cut(verified(rest, sets, num, den), "more-links")
+    free(pairs, sets, groups)
+    links = cut(good.unionByName(more), "links")
+    free(good, more)
+    groups = connected(links)
 
-    # Signatures whose members are still in several components: their other pairs, hubs aside.
-    left = stars.filter("hub <> node").join(groups, "node", "left").select("sig", "node", F.coalesce("component", "node").alias("c"))
+    # Signatures whose members are still in several components: their other pairs; the only hub of one has met all.
+    left = stars.filter("hub <> node or hot").select("sig", "node").distinct().join(groups, "node", "left").select("sig", "node", F.coalesce("component", "node").alias("c"))
     mixed = left.groupBy("sig").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).filter("lo <> hi").select("sig")
     left = left.join(mixed, "sig", "left_semi")
     low = left.groupBy("node").agg(F.slice(F.sort_array(F.collect_list("sig")), 1, EARLIER).alias("low"))
@@ -269,11 +329,17 @@ def jaccard_components(docs: DataFrame, width: int = SHINGLE, num: int = NUM, de
     meet = (F.col("x.sig") == F.col("y.sig")) & (F.col("x.node") < F.col("y.node")) & (F.col("x.c") != F.col("y.c"))
     # A pair with a smaller signature in common is made there (the smallest one always makes it).
     earlier = F.arrays_overlap(F.filter("x.low", lambda v: v < F.col("x.sig")), F.col("y.low"))
-    again = x.join(y, meet & close("x", "y", num, den) & ~earlier).select(F.col("x.node").alias("hub"), F.col("y.node").alias("node")).distinct()
-    last = cut(verified(again, sets, num, den), "last-links")
-    groups = connected(good.unionByName(last)) if not last.isEmpty() else groups
+    again = cut(x.join(y, meet & close("x", "y", num, den) & ~earlier).select(F.col("x.node").alias("hub"), F.col("y.node").alias("node")).distinct(), "open-pairs")
+    free(stars, left)
+    if not again.isEmpty():
+        sets = members_of(again, rows, classes, width)
+        last = cut(verified(again, sets, num, den), "last-links")
+        free(sets, groups)
+        groups = connected(links.unionByName(last))
+        free(last)
+    free(again, links)
 
     tops = groups.join(classes, "node").select("node", "component", "first")
     named = tops.join(tops.groupBy("component").agg(F.min("first").alias("component_id")), "component").select("node", "component_id")
     named = classes.select("node", "first").join(named, "node", "left").select("node", F.coalesce("component_id", "first").alias("component_id"))
-    return sizes.join(named, "node", "left").select("doc_id", "n_shingles", F.when(F.col("n_shingles") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"))
+    return sizes.select("doc_id", "n_shingles", "node").join(named, "node", "left").select("doc_id", "n_shingles", F.when(F.col("n_shingles") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"))

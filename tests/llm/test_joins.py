@@ -55,6 +55,42 @@ def test_part_signatures_are_complete():
         assert set(bands.signatures(x).tolist()) & set(bands.signatures(y).tolist()), (len(x), len(y), n)
 
 
+def test_jaccard_of_repeated_rows(make_docs):
+    """A thousand rows of each of two near texts are two nodes and one link."""
+    base = [f"v{i}" for i in range(60)]
+    near = " ".join([*base[:59], "other"])
+    docs = [(i, " ".join(base)) for i in range(1000)] + [(1000 + i % 7, near) for i in range(1000)] + [(5000, "quite another text of some words")]
+    got = {(r.doc_id, r.component_id) for r in jaccard_join.jaccard_components(make_docs(docs).repartition(5)).collect()}
+    assert got == {(i, 0) for i in range(1007)} | {(5000, 5000)}
+
+
+def test_jaccard_of_hot_signatures(make_docs, monkeypatch):
+    """A large group of near copies is dealt over several stars and stays one component, chains included."""
+    monkeypatch.setattr(jaccard_join, "HOT", 3)
+    r = random.Random(8)
+    docs = []
+    for size in (20, 90):
+        base = words(r, size, 5000)
+        for i in range(300):
+            w = list(base)
+            w[r.randrange(size)] = f"new{i}"
+            docs.append(" ".join(w))
+    docs = list(enumerate(docs + near_copies(9), 1))
+    got = {x.doc_id: (x.n_shingles, x.component_id) for x in jaccard_join.jaccard_components(make_docs(docs)).collect()}
+    assert got == brute.jaccard_components(docs)
+
+
+def test_unrelated_small_sets_share_no_signature():
+    r = np.random.default_rng(6)
+    bands = jaccard_join.Bands()
+    for n in (8, 15, 25, 40):
+        seen = {}
+        for _ in range(2000):
+            for x in bands.signatures(np.unique(r.integers(0, 2**64, n, np.uint64))).tolist():
+                seen[x] = seen.get(x, 0) + 1
+        assert max(seen.values()) <= 4, n
+
+
 def test_jaccard_edge_cases(hard, empty):
     got = sorted(((r.doc_id, r.n_shingles, r.component_id) for r in jaccard_join.jaccard_components(hard).collect()))
     assert got == [(1, 0, 1), (2, 0, 2), (3, 0, 3), (4, 1, 4), (5, 1, 4), (5, 1, 4), (7, 1, 7), (8, 1, 8), (9, 1, 9)]
