@@ -43,8 +43,8 @@ BEST, ROUNDS, NOTHING, COST, POWER = 8, 4, -0.6, 3.0, 2
 MARK = "\x02"
 #: Longer words are read in overlapping windows of this many characters.
 WIDE = 32
-#: Scores kept by a worker between blocks.
-CACHE = 200_000
+#: Scores after which a task drops those of segments that it has not met since it last did so.
+CACHE = 150_000
 THRESHOLD = 0.7
 OUTER = re.compile(r"^[^\w]+|[^\w]+$")
 SENTENCE = re.compile(r"[.!?\n]+")
@@ -125,20 +125,29 @@ class Kernel:
         """raw_kernel of equally long words with all landmarks, over the trie."""
         n = c.shape[0]
         levels = [(np.array(x, np.int32)[:, None], np.array(up)) for x, up in self.levels]
-        shapes = [(len(up), n) for _, up in levels]
-        prime = [None, *([np.zeros(s, np.float32) for s in shapes] for _ in range(ORDER - 1))]
-        total = [np.zeros(s, np.float32) for s in shapes]
+        new = lambda: [np.zeros((len(up), n), np.float32) for _, up in levels]
+        hits, part, runs, total, prime = new(), new(), new(), new(), [None, *(new() for _ in range(ORDER - 1))]
         square = DECAY * DECAY
         for a in range(c.shape[1]):
-            hits = [(x == c[:, a]) * square for x, _ in levels]
-            for d in range(ORDER - 1, len(levels)):
-                total[d] += hits[d] * prime[ORDER - 1][d - 1][levels[d][1]]
-            for i in range(ORDER - 1, 0, -1):
-                run = None
+            for d, (x, _) in enumerate(levels):
+                np.multiply(x == c[:, a], square, out=hits[d])
+            for i in range(ORDER, 0, -1):
                 for d in range(i - 1, len(levels)):
                     up = levels[d][1]
-                    new = hits[d] if i == 1 else hits[d] * prime[i - 1][d - 1][up]
-                    run = new if run is None else DECAY * run[up] + new
+                    now = hits[d]
+                    if i > 1:
+                        now = np.take(prime[i - 1][d - 1], up, 0, out=part[d], mode="clip")
+                        now *= hits[d]
+                    if i == ORDER:
+                        total[d] += now
+                        continue
+                    run = runs[d]
+                    if d >= i:
+                        np.take(runs[d - 1], up, 0, out=run, mode="clip")
+                        run *= DECAY
+                        run += now
+                    else:
+                        np.copyto(run, now)
                     prime[i][d] *= DECAY
                     prime[i][d] += run
         for d in range(1, len(levels)):
@@ -146,7 +155,7 @@ class Kernel:
         return np.stack([total[d][i] for d, i in self.ends], 1)
 
 
-def by_length(words: list[str], most: int = 512):
+def by_length(words: list[str], most: int = 1024):
     """(indices, words) of equal length, in groups of bounded size; words too short for the kernel are left out."""
     groups: dict[int, list[int]] = {}
     for i, w in enumerate(words):
@@ -490,7 +499,7 @@ def scorer(held, text_at: int, name: str):
     """A mapInArrow function that appends the score as ``name``; the text is column ``text_at``."""
 
     def run(batches):
-        model, cache = held.value, {}
+        model, cache, older = held.value, {}, {}
         for t in text_blocks(batches, text_at):
             column = t.column(text_at)
             best = []
@@ -499,10 +508,11 @@ def scorer(held, text_at: int, name: str):
                 _, first, inverse = np.unique(hashes, return_index=True, return_inverse=True)
                 words = [normal(raw[a:e].decode()) for a, e in zip(starts[first].tolist(), ends[first].tolist())]
                 parts = [[v for v in windows(w) if len(v) >= ORDER] for w in words]
-                new = list({v for own in parts for v in own if v not in cache})
                 if len(cache) > CACHE:
-                    cache.clear()
-                    new = list({v for own in parts for v in own})
+                    cache, older = {}, cache
+                here = {v for own in parts for v in own if v not in cache}
+                cache.update((v, older[v]) for v in here & older.keys())
+                new = list(here - older.keys())
                 cache.update(zip(new, model.raw(new).tolist()))
                 # Places of words that tell something, with their segments and what these tell.
                 ids: dict[str, int] = {}
