@@ -136,13 +136,30 @@ def test_decontamination_matches_every_alignment(spark, make_docs):
             cut = r.randrange(len(w) // 3 + 1)
             docs.append(" ".join(words(r, 30, 5000)) + " " + ", ".join(w[cut:]).title() + "! " + " ".join(words(r, 20, 5000)))
     docs += [" ".join(words(r, 200, 5000)) for _ in range(20)]
-    for block in (1000, 5):
-        got = decontaminate.contaminated(make_docs(docs), spark.createDataFrame(items, "item_id long, text string"), block_items=block)
+    for block, size in ((1000, 1 << 20), (5, 1 << 20), (1000, 300)):
+        got = decontaminate.contaminated(make_docs(docs), spark.createDataFrame(items, "item_id long, text string"), block_items=block, block_bytes=size)
         found = {(x.doc_id, x.item_id) for x in got.collect()}
         assert found == {(i + 1, k) for i, d in enumerate(docs) for k, q in items if brute.overlaps(d, q)}
     assert len(found) > 15
 
 
+def test_decontamination_of_repetitive_texts(spark, make_docs):
+    """Item and text of one word, or of a few in turn, many thousand times, end in seconds with all words found."""
+    long = "again " * 20_000
+    turns = "now and then " * 7_000
+    items = [(1, long), (2, turns), (3, "again " * 9 + "once " + "again " * 30)]
+    docs = [long, "x " * 50 + turns, "again " * 25_000, "again " * 60]
+    got = {(x.doc_id, x.item_id): (x.overlap_words, x.equal_words) for x in decontaminate.contaminated(make_docs(docs), spark.createDataFrame(items, "item_id long, text string")).collect()}
+    assert got == {(1, 1): (20_000,) * 2, (1, 3): (40, 39), (2, 2): (21_000,) * 2, (3, 1): (20_000,) * 2, (3, 3): (40, 39), (4, 1): (60, 60), (4, 3): (40, 39)}
+
+
+def test_differences():
+    r = np.random.default_rng(7)
+    for n in (3, 2000):
+        p, q = np.unique(r.integers(50, 9000, n)), np.unique(r.integers(0, 4000, n))
+        assert np.array_equal(decontaminate.differences(p, q), np.unique(p[:, None] - q[None, :]))
+
+
 def test_decontamination_edge_cases(spark, hard, empty):
     items = spark.createDataFrame([(1, None, "e"), (2, "", "e"), (None, "one two three four five", "e"), (4, "long " * 20, "e"), (5, "nobody knows this", "e")], "item_id long, text string, doc_id string")
     got = {(r.doc_id, r.item_id) for r in decontaminate.contaminated(hard, items).collect()}
