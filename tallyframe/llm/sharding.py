@@ -12,15 +12,21 @@ from __future__ import annotations
 
 import json
 import math
+import time
 import uuid
 from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
+from .shared import spare_name
+
 MB = 1 << 20
+#: Groups of shards that one job merges, a task each.
+JOB_GROUPS = 64
 
 
 class CommitConflict(RuntimeError):
@@ -107,11 +113,14 @@ class ShardStore:
         stream.write(bytearray(json.dumps(new).encode()))
         stream.close()
         none = self.spark.sparkContext._gateway.new_array(self.spark.sparkContext._jvm.org.apache.hadoop.fs.Options.Rename, 0)
+        target = self.path(f"{self.root}/manifests/v{new['version']:08d}.json")
         try:
-            self.context.rename(aside, self.path(f"{self.root}/manifests/v{new['version']:08d}.json"), none)
+            self.context.rename(aside, target, none)
         except Exception as e:
             self.fs.delete(aside, False)
-            raise CommitConflict(f"version {new['version']} exists") from e
+            if self.fs.exists(target):
+                raise CommitConflict(f"version {new['version']} exists") from e
+            raise
         return new
 
     def files(self, folder: str) -> list[Shard]:
@@ -131,29 +140,59 @@ class ShardStore:
         """
         folder = f"{self.root}/data/{uuid.uuid4().hex}"
         number = F.lit(0) if arrival is None else F.coalesce(arrival.cast("int"), F.lit(0))
-        rows.withColumn("__arrival", number).write.option("maxRecordsPerFile", most_rows).partitionBy("__arrival").parquet(folder)
-        manifest = self.manifest()
-        for i in range(arrivals):
-            manifest = self.commit(manifest, rows.schema.json(), self.shards(manifest) + self.files(f"{folder}/__arrival={i}"))
+        name = spare_name(rows, "arrival")
+        try:
+            rows.withColumn(name, number).write.option("maxRecordsPerFile", most_rows).partitionBy(name).parquet(folder)
+            manifest = self.manifest()
+            for i in range(arrivals):
+                manifest = self.commit(manifest, rows.schema.json(), self.shards(manifest) + self.files(f"{folder}/{name}={i}"))
+        except Exception:
+            self.discard(folder)
+            raise
         return manifest
 
-    def compact(self, target: int = 128 * MB, fan_in: int = 4, threads: int = 8) -> dict:
-        """Merge shards by size tiers and commit; a compaction with nothing to merge commits nothing."""
+    def discard(self, folder: str) -> None:
+        """Delete a folder of files unless some version names one of them."""
+        named = {p for v in self.versions() for p, _ in self.manifest(v)["shards"]}
+        where = self.path(folder)
+        if self.fs.exists(where) and not any(folder.rsplit("/", 1)[1] in p for p in named):
+            self.fs.delete(where, True)
+
+    def compact(self, target: int = 128 * MB, fan_in: int = 4) -> dict:
+        """Merge shards by size tiers and commit; a compaction with nothing to merge commits nothing.
+
+        A task reads the shards of one group and writes its file, without a
+        shuffle; a job has JOB_GROUPS of them, and as many jobs run at once as
+        the cluster's cores can take.
+        """
         manifest = self.manifest()
         groups = plan(self.shards(manifest), target, fan_in)
         if not groups:
             return manifest
         schema = StructType.fromJson(json.loads(manifest["schema"]))
+        folder = f"{self.root}/data/{uuid.uuid4().hex}"
 
-        def merge(group: list[Shard]) -> list[Shard]:
-            folder = f"{self.root}/data/{uuid.uuid4().hex}"
-            self.spark.read.schema(schema).parquet(*(s.path for s in group)).coalesce(1).write.parquet(folder)
-            return self.files(folder)
+        def merge(job: int) -> list[Shard]:
+            own = groups[job : job + JOB_GROUPS]
+            tasks = [self.spark.read.schema(schema).parquet(*(s.path for s in g)).coalesce(1) for g in own]
+            reduce(DataFrame.unionAll, tasks).write.parquet(f"{folder}/{job}")
+            return self.files(f"{folder}/{job}")
 
-        with ThreadPoolExecutor(threads) as pool:
-            merged = [s for out in pool.map(merge, groups) for s in out]
-        gone = {s.path for g in groups for s in g}
-        return self.commit(manifest, manifest["schema"], [s for s in self.shards(manifest) if s.path not in gone] + merged)
+        # Else Spark would zip inputs of one partition each into one partition.
+        conf, key = self.spark.conf, "spark.sql.unionOutputPartitioning"
+        before = conf.get(key, None)
+        conf.set(key, "false")
+        try:
+            jobs = range(0, len(groups), JOB_GROUPS)
+            with ThreadPoolExecutor(max(1, -(-self.spark.sparkContext.defaultParallelism // JOB_GROUPS))) as pool:
+                merged = [s for out in pool.map(merge, jobs) for s in out]
+            gone = {s.path for g in groups for s in g}
+            return self.commit(manifest, manifest["schema"], [s for s in self.shards(manifest) if s.path not in gone] + merged)
+        except Exception:
+            self.discard(folder)
+            raise
+        finally:
+            conf.set(key, before) if before is not None else conf.unset(key)
 
     def read(self, version: int | None = None) -> DataFrame:
         """The rows of a version (the latest when None)."""
@@ -164,11 +203,22 @@ class ShardStore:
         paths = [p for p, _ in manifest["shards"]]
         return self.spark.read.schema(schema).parquet(*paths) if paths else self.spark.createDataFrame([], schema)
 
-    def vacuum(self, keep: int = 1) -> int:
-        """Delete files that none of the last ``keep`` versions names; returns how many."""
+    def vacuum(self, keep: int = 1, orphans_after: float = 86_400) -> int:
+        """Delete files that none of the last ``keep`` versions names; returns how many.
+
+        Of files that no version ever named (left by a writer that died) those
+        older than ``orphans_after`` seconds go too; younger ones may be about
+        to be committed.
+        """
         versions = self.versions()
         used = {p for v in versions[-keep:] for p, _ in self.manifest(v)["shards"]}
         gone = {p for v in versions[:-keep] for p, _ in self.manifest(v)["shards"]} - used
+        old = (time.time() - orphans_after) * 1000
+        there = self.fs.listFiles(self.path(f"{self.root}/data"), True) if self.fs.exists(self.path(f"{self.root}/data")) else None
+        while there is not None and there.hasNext():
+            s = there.next()
+            if s.getPath().toString() not in used and s.getModificationTime() < old:
+                gone.add(s.getPath().toString())
         for p in gone:
             self.fs.delete(self.path(p), False)
         for v in versions[:-keep]:

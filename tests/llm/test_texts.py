@@ -63,6 +63,25 @@ def test_compaction_plan_is_tiered():
     assert len(groups) < 40 and sharding.plan(shards[-1:], 128 * sharding.MB) == []
 
 
+def test_compaction_writes_a_file_a_group_in_few_jobs(spark, make_docs, monkeypatch):
+    monkeypatch.setattr(sharding, "JOB_GROUPS", 3)
+    store = sharding.ShardStore(spark, fresh_path(spark, "shards"))
+    docs = make_docs([f"text {i} " + "x" * (i % 50) for i in range(400)], ("arrival", "__arrival")).repartition(1)
+    store.append(docs, most_rows=10)
+    shards = store.shards(store.manifest())
+    groups = sharding.plan(shards, 12_000, 4)
+    after = store.compact(target=12_000)
+    assert len(groups) > 6 and len(after["shards"]) == len(shards) - sum(map(len, groups)) + len(groups)
+    key = lambda df: sorted(map(str, df.collect()))
+    assert key(store.read()) == key(docs) and store.read().columns == docs.columns
+    # Files that no version names go when they are old enough.
+    docs.limit(3).write.parquet(f"{store.root}/data/left")
+    assert store.vacuum(keep=9) == 0 and store.vacuum(keep=9, orphans_after=-60) > 0 and key(store.read()) == key(docs)
+    with pytest.raises(Exception) as e:
+        store.commit({"version": 0}, after["schema"], [])
+    assert isinstance(e.value, sharding.CommitConflict)
+
+
 def test_empty_store(spark, empty):
     store = sharding.shard_documents(empty, fresh_path(spark, "shards"))
     assert store.read().count() == 0 and store.read().columns == empty.columns
