@@ -16,7 +16,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .shared import cut
+from .shared import cut, free, spare_name
 
 MIN_WORDS = 50
 SPACE = r"[\x20\x09-\x0D]"
@@ -47,16 +47,26 @@ def stretches(lines: DataFrame, min_words: int) -> DataFrame:
 
 
 def repeated_runs(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
-    """(doc_id, th, a, e): stretches of lines ``a`` to ``e`` that are later repeats."""
+    """(doc_id, th, a, e), cut: the runs of lines ``a`` to ``e`` that are later repeats; those of a text do not touch."""
     rows = docs.select("doc_id", "text").filter("doc_id is not null and text is not null")
     n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     lines = line_rows(rows).repartition(n, "doc_id", "th").dropDuplicates(["doc_id", "th", "pos"])
     found = stretches(lines, min_words)
-    picks = found.groupBy("pick").agg(F.min("at").alias("lo"), F.max("at").alias("hi")).filter("lo <> hi").select("pick")
+    # Aggregates are written before they are joined, so that both sides of each join are plain
+    # exchanges and Spark splits the partition of a line or passage that very many texts hold.
+    picks = cut(found.groupBy("pick").agg(F.min("at").alias("lo"), F.max("at").alias("hi")).filter("lo <> hi").select("pick"), "picks")
     some = cut(found.drop("at").join(picks, "pick", "left_semi"), "stretches")
-    first = some.groupBy("pick", "key").agg(F.min(F.struct("doc_id", "th", "a", "e")).alias("f"), F.count("*").alias("times")).filter("times > 1").drop("times")
+    first = cut(some.groupBy("pick", "key").agg(F.min(F.struct("doc_id", "th", "a", "e")).alias("f"), F.count("*").alias("times")).filter("times > 1").drop("times"), "firsts")
+    free(picks)
     elsewhere = (F.col("doc_id") != F.col("f.doc_id")) | (F.col("th") != F.col("f.th"))
-    return some.join(first, ["pick", "key"]).filter(elsewhere | (F.col("a") > F.col("f.e"))).select("doc_id", "th", "a", "e").distinct()
+    later = some.join(first, ["pick", "key"]).filter(elsewhere | (F.col("a") > F.col("f.e"))).select("doc_id", "th", "a", "e")
+    # Overlapping and adjoining stretches of a text become one run.
+    doc = Window.partitionBy("doc_id", "th").orderBy("a", "e")
+    fresh = F.col("a") > F.coalesce(F.max("e").over(doc.rowsBetween(Window.unboundedPreceding, -1)), F.lit(-2)) + 1
+    runs = later.distinct().withColumn("fresh", fresh.cast("int")).withColumn("run", F.sum("fresh").over(doc.rowsBetween(Window.unboundedPreceding, 0)))
+    out = cut(runs.groupBy("doc_id", "th", "run").agg(F.min("a").alias("a"), F.max("e").alias("e")).drop("run"), "runs")
+    free(some, first)
+    return out
 
 
 def deduplicate(docs: DataFrame, min_words: int = MIN_WORDS, count: str = "n_removed") -> DataFrame:
@@ -70,14 +80,23 @@ def deduplicate(docs: DataFrame, min_words: int = MIN_WORDS, count: str = "n_rem
 
     Null and empty texts stay as they are; rows with a null doc_id stay as
     they are and nothing is compared with them.  Identical rows are one text:
-    each keeps or loses the same lines.  Other columns pass through, but one
-    called as ``count`` is replaced; an empty table gives an empty result.
+    each keeps or loses the same lines.  Other columns pass through; where one
+    is called as ``count``, the count gets underscores after its name.  An
+    empty table gives an empty result.
     """
-    runs = repeated_runs(docs, min_words).groupBy("doc_id", "th").agg(F.array_distinct(F.flatten(F.collect_list(F.sequence("a", "e")))).alias("__gone"))
-    gone = cut(runs, "repeats").select(F.col("doc_id").alias("__id"), F.col("th").alias("__th"), "__gone")
+    key, hashed, gone = (spare_name(docs, c) for c in ("gone_id", "gone_th", "gone"))
+    runs = repeated_runs(docs, min_words).groupBy("doc_id", "th").agg(F.sort_array(F.collect_list(F.struct("a", "e"))).alias(gone))
+    runs = runs.withColumnsRenamed({"doc_id": key, "th": hashed})
     # Always a merge join: the repeats grow with the texts, so no size would be safe to broadcast.
-    rows = docs.join(gone.hint("merge"), (F.col("__id") == docs["doc_id"]) & (F.col("__th") == F.xxhash64(docs["text"])), "left")
-    kept = F.filter(F.split(docs["text"], "\n", -1), lambda x, i: ~F.array_contains(F.col("__gone"), i))
-    text = F.when(F.col("__gone").isNull(), docs["text"]).otherwise(F.array_join(kept, "\n"))
-    others = [docs[c] if c != "text" else text.alias("text") for c in docs.columns if c != count]
-    return rows.select(*others, F.coalesce(F.size("__gone"), F.lit(0)).cast("long").alias(count))
+    rows = docs.join(runs.hint("merge"), (F.col(key) == docs["doc_id"]) & (F.col(hashed) == F.xxhash64(docs["text"])), "left")
+    lines, n = F.split(docs["text"], "\n", -1), F.size(gone)
+
+    def kept(i):
+        """The lines between run i - 1 and run i."""
+        start = F.when(i > 0, F.get(F.col(gone), i - 1)["e"] + 1).otherwise(0)
+        return F.slice(lines, start + 1, F.coalesce(F.get(F.col(gone), i)["a"], F.size(lines)) - start)
+
+    text = F.when(F.col(gone).isNull(), docs["text"]).otherwise(F.array_join(F.flatten(F.transform(F.sequence(F.lit(0), n), kept)), "\n"))
+    others = [docs[c] if c != "text" else text.alias("text") for c in docs.columns]
+    removed = F.aggregate(gone, F.lit(0).cast("long"), lambda acc, r: acc + r["e"] - r["a"] + 1)
+    return rows.select(*others, F.coalesce(removed, F.lit(0).cast("long")).alias(spare_name(docs, count)))

@@ -89,6 +89,14 @@ def text_blocks(batches, text_at: int = 1, most: int = BATCH):
             i = j
 
 
+def spare_name(df: DataFrame, name: str) -> str:
+    """``name``, with underscores after it until no column of ``df`` is called so."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def small_enough(df: DataFrame, rows: int) -> bool:
     """Whether ``df`` has at most ``rows`` rows."""
     return df.count() <= rows

@@ -24,7 +24,7 @@ def make_docs(spark):
 
 
 #: Names that the operators use inside; a table may have columns called so.
-CLASHING = ("score", "node", "sig", "hub", "pos", "th", "h", "item_id", "part", "seq", "n_removed", "component_id", "label", "t", "base", "ids", "n_shingles")
+CLASHING = ("score", "node", "sig", "hub", "pos", "th", "h", "item_id", "part", "seq", "n_removed", "component_id", "label", "t", "base", "ids", "n_shingles", "gone", "gone_id", "gone_th", "cut", "toxic", "arrival", "__gone", "__th", "__id", "__cut", "__toxic", "__arrival")
 #: Null, empty, blank, tied, repeated and very long texts, null and repeated ids.
 HARD = [(1, None), (2, ""), (3, " \t\n "), (4, "one two"), (5, "one two"), (5, "one two"), (None, "nobody knows this"), (None, None), (7, "long " * 60_000), (8, "w" * 200_000), (9, "\x00 naïve 日本語 \U0001f600")]
 
