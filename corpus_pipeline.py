@@ -11,10 +11,10 @@ from pyspark.sql import functions as F
 
 from tallyframe.llm import byte_bpe, decontaminate, jaccard_join, line_dedup, toxicity
 from tallyframe.llm.queries import tokenizer
-from tallyframe.llm.shared import cut, maybe_broadcast, table
+from tallyframe.llm.shared import cut, free, maybe_broadcast, spare_name, table
 
 #: Ids that may be broadcast when documents are dropped by id (8 bytes each).
-BROADCAST_ROWS = 2_000_000
+BROADCAST_ROWS = 1_000_000
 
 
 def without(docs: DataFrame, ids: DataFrame, name: str) -> DataFrame:
@@ -25,13 +25,14 @@ def without(docs: DataFrame, ids: DataFrame, name: str) -> DataFrame:
 def reject_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the classifier calls toxic go."""
     model = toxicity.train(docs, table(spark, sf_dir, "labels"))
-    return toxicity.with_score(docs, model, "__toxic").filter(F.col("__toxic") < toxicity.THRESHOLD).select(docs.columns)
+    score = spare_name(docs, "toxic")
+    return toxicity.with_score(docs, model, score).filter(F.col(score) < toxicity.THRESHOLD).select(docs.columns)
 
 
 def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Later repeats of runs of 50 words and more are cut out of the texts; every document stays."""
-    out = line_dedup.deduplicate(docs, count="__cut")
-    return out.select(*(F.when(out["__cut"] > 0, F.length("text").cast("long")).otherwise(out["n_chars"]).alias("n_chars") if c == "n_chars" else out[c] for c in docs.columns))
+    out = line_dedup.deduplicate(docs, count=(gone := spare_name(docs, "cut")))
+    return out.select(*(F.when(out[gone] > 0, F.length("text").cast("long")).otherwise(out["n_chars"]).alias("n_chars") if c == "n_chars" else out[c] for c in docs.columns))
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -65,7 +66,9 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
+    docs, before = table(spark, sf_dir, "documents"), ()
     for name, stage in STAGES[:-1]:
         docs = cut(stage(spark, docs, sf_dir), f"stage-{name}")
+        free(*before)
+        before = (docs,)
     return STAGES[-1][1](spark, docs, sf_dir)
