@@ -123,7 +123,7 @@ OP10_SQL = """
 WITH v AS (
   SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(1024 * CAST(x AS DOUBLE)) AS BIGINT)) AS e FROM embeddings
   WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
-q AS (SELECT * FROM v WHERE vec_id % 100 = 0),
+q AS (SELECT DISTINCT * FROM v WHERE vec_id % 100 = 0),
 s AS (SELECT q.vec_id AS query_id, v.vec_id, CAST(list_inner_product(list_transform(q.e, lambda x: CAST(x AS DOUBLE)), list_transform(v.e, lambda x: CAST(x AS DOUBLE))) AS BIGINT) AS score FROM q JOIN v ON q.vec_id <> v.vec_id),
 r AS (SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank, vec_id, score FROM s)
 SELECT * FROM r WHERE rank <= 10

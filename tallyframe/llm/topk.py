@@ -1,9 +1,10 @@
 """Exact top-k inner-product search by tiled matrix products.
 
-Queries are taken in blocks of bounded size.  For each block one pass goes
+Queries are dealt into blocks of bounded size.  For each block one pass goes
 over all vectors: every task multiplies the block with tiles of its own
 shard, selects the best k per tile and keeps a running list per query; the
-per-task lists are then merged in a two-level tree.
+per-task lists are then merged in a two-level tree.  A block's result is
+written before the next block starts, so the driver holds one block at most.
 """
 
 from __future__ import annotations
@@ -14,6 +15,8 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .shared import cut, free
+
 SCALE = 1024
 EXACT = 2.0**53
 OUT = "query_id long, part int, vec_id long, score long"
@@ -48,27 +51,22 @@ def products(q: np.ndarray, c: np.ndarray) -> np.ndarray:
 
 
 def best(ids: np.ndarray, scores: np.ndarray, valid: np.ndarray, k: int):
-    """Per row the k best by (score descending, id ascending); each id once."""
-    order = np.lexsort((ids, -scores, ~valid), axis=1)
-    ids, scores, valid = (np.take_along_axis(x, order, 1) for x in (ids, scores, valid))
-    for j in range(1, ids.shape[1]):
-        valid[:, j] &= ~((ids[:, :j] == ids[:, j : j + 1]) & valid[:, :j]).any(1)
-    order = np.argsort(~valid, axis=1, kind="stable")[:, :k]
+    """Per row the k best by (score descending, id ascending)."""
+    order = np.lexsort((ids, -scores, ~valid), axis=1)[:, :k]
     return tuple(np.take_along_axis(x, order, 1) for x in (ids, scores, valid))
 
 
 def tile_best(q_ids, q, c_ids, c, k):
-    """The k best of one tile for each query: (ids, scores, valid), each [queries, <=k]."""
+    """The k best of one tile (ids ascending) for each query: (ids, scores, valid), each [queries, <=k]."""
     scores = products(q, c)
     valid = q_ids[:, None] != c_ids[None, :]
     grid = np.broadcast_to(c_ids[None, :], scores.shape)
-    spare = k + int(np.unique(c_ids, return_counts=True)[1].max()) * (len(np.unique(c_ids)) < len(c_ids)) * k
-    if len(c_ids) > spare:
+    span = len(c_ids)
+    if span > k:
         low = scores.min(initial=0)
-        span = len(c_ids)
         if (float(scores.max(initial=0)) - float(low) + 2) * span < 2**62:
             key = np.where(valid, scores - low + 1, 0) * span + (span - 1 - np.arange(span))[None, :]
-            at = np.argpartition(key, span - spare, axis=1)[:, span - spare :]
+            at = np.argpartition(key, span - k, axis=1)[:, span - k :]
             grid, scores, valid = (np.take_along_axis(x, at, 1) for x in (grid, scores, valid))
     return best(np.array(grid), scores, np.array(valid), k)
 
@@ -99,14 +97,13 @@ def searcher(block: dict, k: int, tile: int):
 
 def merge(lists: DataFrame, k: int, fan_in: int = 64) -> DataFrame:
     """Tree-merge per-task lists: first within groups of tasks, then per query."""
-    once = lists.groupBy("query_id", (F.col("part") / fan_in).cast("int").alias("grp"), "vec_id").agg(F.max("score").alias("score"))
     order = (F.desc("score"), F.asc("vec_id"))
-    some = once.withColumn("r", F.row_number().over(Window.partitionBy("query_id", "grp").orderBy(*order))).filter(F.col("r") <= k)
-    final = some.groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
-    return final.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(*order))).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    some = lists.withColumn("grp", (F.col("part") / fan_in).cast("int"))
+    some = some.withColumn("r", F.row_number().over(Window.partitionBy("query_id", "grp").orderBy(*order))).filter(F.col("r") <= k)
+    return some.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(*order))).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
 
-def exact_topk(vectors: DataFrame, is_query, k: int = 10, block_rows: int = 2048, tile_rows: int = 2048) -> DataFrame:
+def exact_topk(vectors: DataFrame, is_query, k: int = 10, block_rows: int = 4096, tile_rows: int = 1024) -> DataFrame:
     """The ``k`` best partners of every query row among all other rows.
 
     ``vectors``: vec_id long, embedding array of float or double; other
@@ -114,28 +111,27 @@ def exact_topk(vectors: DataFrame, is_query, k: int = 10, block_rows: int = 2048
     Score: integer inner product of floor(1024 x); ties go to the smaller id.
 
     Null ids, null vectors and vectors with null or non-finite components take
-    no part.  Vectors are only scored against vectors of their own length; a
-    vec_id seen in several rows counts once per query, by its best score, and
-    never for the query of that id.  Empty input gives an empty result.  A
+    no part.  Vectors are only scored against vectors of their own length.
+    Every row is a candidate of its own, so a vec_id in several rows can be
+    returned several times; rows with a query's vec_id are that query's own
+    and no candidates of it.  Equal query rows are one query; different ones
+    with one vec_id share one list.  Empty input gives an empty result.  A
     score beyond 64 bits raises an error.
     """
     spark = vectors.sparkSession
     rows = usable(vectors)
-    queries = rows.filter(is_query)
-    n = queries.count()
-    blocks = max(1, -(-n // block_rows))
+    queries = rows.filter(is_query).distinct()
+    blocks = max(1, -(-queries.count() // block_rows))
+    dealt = cut(queries.withColumn("block", F.pmod(F.xxhash64("vec_id"), F.lit(blocks)).cast("int")), "queries")
     out = None
     for b in range(blocks):
-        own = queries.filter(F.pmod(F.xxhash64("vec_id"), F.lit(blocks)) == b) if blocks > 1 else queries
-        got = own.toArrow().combine_chunks()
         held = {}
-        if got.num_rows:
-            ids, lists = got.column(0).combine_chunks(), got.column(1).combine_chunks()
-            if isinstance(ids, pa.ChunkedArray):
-                ids, lists = ids.chunk(0), lists.chunk(0)
-            for d, q_ids, q in by_length(ids, lists):
-                held[d] = (q_ids, q)
-        lists = rows.mapInArrow(searcher(spark.sparkContext.broadcast(held), k, tile_rows), OUT)
-        found = merge(lists, k)
+        got = dealt.filter(F.col("block") == b).select("vec_id", "embedding").toArrow().combine_chunks()
+        for batch in got.to_batches():
+            held.update((d, (ids, q)) for d, ids, q in by_length(batch.column(0), batch.column(1)))
+        block = spark.sparkContext.broadcast(held)
+        found = cut(merge(rows.mapInArrow(searcher(block, k, tile_rows), OUT), k), "topk")
+        block.destroy()
         out = found if out is None else out.unionByName(found)
+    free(dealt)
     return out

@@ -3,9 +3,10 @@
 import itertools
 import random
 
+import duckdb
 import numpy as np
 
-from tallyframe.llm import components, decontaminate, jaccard_join, line_dedup, topk
+from tallyframe.llm import components, decontaminate, jaccard_join, line_dedup, queries, topk
 
 from . import brute
 
@@ -224,9 +225,20 @@ def test_topk_matches_all_scores(spark):
     assert got == want
 
 
+def test_topk_of_repeated_rows_equals_the_sql(spark, tmp_path):
+    r = np.random.default_rng(4)
+    rows = [(int(i), [float(x) for x in np.float32(r.integers(-3, 4, 4) / 4)], "", "") for i in r.integers(1, 40, 300) * 10]
+    df = vectors(spark, rows + rows[:50])
+    df.coalesce(1).write.parquet(f"{tmp_path}/embeddings.parquet")
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW embeddings AS SELECT * FROM '{tmp_path}/embeddings.parquet/*.parquet'")
+    want = sorted((q, k, i, s) for q, k, i, s in con.execute("SELECT query_id, rank, vec_id, score FROM (" + queries.OP10_SQL + ")").fetchall())
+    assert sorted(tuple(x) for x in topk.exact_topk(df, "vec_id % 100 = 0", 10, block_rows=3).collect()) == want
+
+
 def test_topk_edge_cases(spark):
     nan, inf = float("nan"), float("inf")
     rows = [(100, [1.0, 2.0], "", ""), (1, [1.0, 0.5], "", ""), (1, [1.0, 0.5], "", ""), (2, None, "", ""), (3, [nan, 1.0], "", ""), (4, [inf, 1.0], "", ""), (5, [None, 1.0], "", ""), (None, [1.0, 1.0], "", ""), (6, [1.0], "", ""), (200, None, "", "")]
     got = [tuple(r) for r in topk.exact_topk(vectors(spark, rows), "vec_id % 100 = 0").collect()]
-    assert got == [(100, 1, 1, 2 * 1024**2)]
+    assert got == [(100, 1, 1, 2 * 1024**2), (100, 2, 1, 2 * 1024**2)]
     assert topk.exact_topk(vectors(spark, []), "vec_id % 100 = 0").count() == 0
