@@ -1,9 +1,9 @@
 """Byte-level BPE by merge replay over a block of the corpus.
 
 Every task treats the texts of its partition as a corpus in blocks of bounded
-size.  The distinct words of a block are laid out as one array of byte
-symbols; an inverted index maps each merge rank to the word positions where
-it applies.  Ranks are replayed in ascending order, each updating only the
+size.  The distinct words of a block that no block before had are laid out as
+one array of byte symbols; an inverted index maps each merge rank to the word
+positions where it applies.  Ranks are replayed in ascending order, each updating only the
 neighbours of the positions it touched, and the results are spread back to
 every occurrence.
 """
@@ -16,6 +16,7 @@ import heapq
 import re
 import unicodedata
 from functools import lru_cache
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -25,6 +26,8 @@ from pyspark.sql import DataFrame
 WHITE = r"\t-\r \x85\xa0" + "".join(map(chr, [0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000]))
 #: Bytes of text replayed together.
 BLOCK = 8 << 20
+#: Words that a task knows before it starts anew.
+CACHE = 200_000
 
 
 def plain(pattern: str) -> str:
@@ -180,23 +183,34 @@ def replay(words: list[bytes], m: Merges) -> tuple[np.ndarray, np.ndarray]:
     return sym[alive], np.concatenate([[0], np.cumsum(counts)])
 
 
-def encode_block(texts: list[str | None], m: Merges, split: Splitter) -> list[np.ndarray]:
-    """Token ids of each text (null: none)."""
-    seen: dict[str, int] = {}
+class Known:
+    """Words that a task has met: word -> number, and the ids of number i at flat[start[i] : start[i] + count[i]]."""
+
+    def __init__(self):
+        self.number: dict[str, int] = {}
+        self.flat, self.count = np.zeros(0, np.int32), np.zeros(0, np.int64)
+
+
+def encode_block(texts: list[str | None], m: Merges, split: Splitter, known: Known) -> list[np.ndarray]:
+    """Token ids of each text (null: none); only words that are not ``known`` yet are replayed, and then are."""
+    number, before = known.number, len(known.number)
     docs = []
     for t in texts:
         found = split(t) if t else []
-        docs.append(np.fromiter((seen.setdefault(w, len(seen)) for w in found), np.int64, len(found)))
-    words = [w.encode() for w in seen]
+        docs.append(np.fromiter((number.setdefault(w, len(number)) for w in found), np.int64, len(found)))
+    words = [w.encode() for w in islice(number, before, None)]
     whole = np.fromiter((m.rank.get(w, -1) for w in words), np.int64, len(words))
     rest = np.flatnonzero(whole < 0)
     ids, offsets = replay([words[i] for i in rest.tolist()], m)
     counts = np.ones(len(words), np.int64)
     counts[rest] = np.diff(offsets)
     starts = np.cumsum(counts) - counts
-    table = np.empty(int(counts.sum()), np.int32)
-    table[starts[whole >= 0]] = whole[whole >= 0]
-    table[np.repeat(starts[rest] - offsets[:-1], counts[rest]) + np.arange(len(ids))] = ids
+    new = np.empty(int(counts.sum()), np.int32)
+    new[starts[whole >= 0]] = whole[whole >= 0]
+    new[np.repeat(starts[rest] - offsets[:-1], counts[rest]) + np.arange(len(ids))] = ids
+    table, counts = np.concatenate([known.flat, new]), np.concatenate([known.count, counts])
+    known.flat, known.count = table, counts
+    starts = np.cumsum(counts) - counts
     out = []
     for d in docs:
         c = counts[d]
@@ -230,9 +244,11 @@ def mapper(path: str, pattern: str, finish):
     """A mapInArrow function: encode blocks and let ``finish`` turn (key, ids, merges) into a batch."""
 
     def run(batches):
-        m, split = merges(path), splitter(pattern)
+        m, split, known = merges(path), splitter(pattern), Known()
         for t in blocks(batches):
-            yield finish(t.column(0).combine_chunks(), encode_block(t.column(1).to_pylist(), m, split), m)
+            if len(known.number) > CACHE:
+                known = Known()
+            yield finish(t.column(0).combine_chunks(), encode_block(t.column(1).to_pylist(), m, split, known), m)
 
     return run
 
