@@ -5,8 +5,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..storage import cut
 
-def make_unique(names: DataFrame, sep: str = ".", most: int = 1000) -> DataFrame:
+
+def make_unique(names: DataFrame, sep: str = ".") -> DataFrame:
     """(id, name) with repeated names told apart by ``sep`` and a number, skipping names in use.
 
     Later rows (by id) of a name get 1, 2, ... as suffix.  A suffixed name that
@@ -25,6 +27,20 @@ def make_unique(names: DataFrame, sep: str = ".", most: int = 1000) -> DataFrame
     return out.select("id", F.when(F.col("n") == 0, F.col("name")).otherwise(F.concat("name", F.lit(sep), F.col("k").cast("string"))).alias("name"))
 
 
+def running(rows: DataFrame, order: str, weight: Column) -> DataFrame:
+    """Adds ``upto``, the sum of ``weight`` over the rows up to each one by ``order``, without one task seeing all rows.
+
+    Rows are dealt by ranges; sums of the ranges before (one number a task) are
+    added to the sums within.
+    """
+    n = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = cut(rows.withColumn("w", weight.cast("long")).repartitionByRange(n, order).withColumn("part", F.spark_partition_id()), "running")
+    sums = dealt.groupBy("part").agg(F.sum("w").alias("s"))
+    before = sums.select("part", (F.sum("s").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, 0)) - F.col("s")).alias("before"))
+    within = F.sum("w").over(Window.partitionBy("part").orderBy(order).rowsBetween(Window.unboundedPreceding, 0))
+    return dealt.withColumn("within", within).join(F.broadcast(before), "part").withColumn("upto", F.col("within") + F.col("before")).drop("w", "part", "within", "before")
+
+
 def counting_sort(rows: DataFrame) -> DataFrame:
     """(id, v, position) with the 1-based position in the stable order by v.
 
@@ -32,7 +48,7 @@ def counting_sort(rows: DataFrame) -> DataFrame:
     ordered within their value.
     """
     n = rows.groupBy("v").agg(F.count("*").alias("n"))
-    before = n.select("v", (F.sum("n").over(Window.orderBy("v").rowsBetween(Window.unboundedPreceding, 0)) - F.col("n")).alias("before"))
+    before = running(n, "v", F.col("n")).select("v", (F.col("upto") - F.col("n")).alias("before"))
     own = F.row_number().over(Window.partitionBy("v").orderBy("id"))
     return rows.select("id", "v", own.alias("own")).join(before, "v").select("id", "v", (F.col("before") + F.col("own")).cast("int").alias("position"))
 
@@ -40,11 +56,11 @@ def counting_sort(rows: DataFrame) -> DataFrame:
 def relabel(rows: DataFrame) -> DataFrame:
     """(id, label, dense) with labels numbered from 1 by first appearance (smallest id)."""
     first = rows.groupBy("label").agg(F.min("id").alias("first"))
-    dense = first.withColumn("dense", F.row_number().over(Window.orderBy("first"))).drop("first")
-    return rows.join(F.broadcast(dense), "label").select("id", "label", "dense")
+    dense = running(first, "first", F.lit(1)).select("label", F.col("upto").cast("int").alias("dense"))
+    return rows.join(dense, "label").select("id", "label", "dense")
 
 
-def cut(v: Column, breaks: list[float]) -> Column:
+def interval(v: Column, breaks: list[float]) -> Column:
     """U4: number of the interval (a, b] that holds v; 0 outside and for null."""
     out = F.lit(0)
     ordered = sorted(breaks)
@@ -55,15 +71,13 @@ def cut(v: Column, breaks: list[float]) -> Column:
 
 def cut_width(rows: DataFrame, column: str, n: int) -> DataFrame:
     """U5 (width): adds ``bin``, 1 to n, intervals of equal width whose ends are widened by a thousandth of the range."""
-    lo, hi = rows.agg(F.min(column), F.max(column)).first()
-    if lo is None:
-        return rows.withColumn("bin", F.lit(0))
-    pad = (hi - lo) / 1000
-    breaks = [lo + (hi - lo) * i / n for i in range(n + 1)]
-    breaks[0], breaks[-1] = lo - pad, hi + pad
-    if hi == lo:
-        return rows.withColumn("bin", F.lit(1))
-    return rows.withColumn("bin", cut(F.col(column), breaks))
+    # The ends come by a join with one row, so that nothing is computed ahead of the query.
+    lo, hi, v = F.col("ends.lo"), F.col("ends.hi"), F.col(column)
+    ends = rows.agg(F.struct(F.min(column).alias("lo"), F.max(column).alias("hi")).alias("ends"))
+    breaks = [lo - (hi - lo) / 1000, *(lo + (hi - lo) * i / n for i in range(1, n)), hi + (hi - lo) / 1000]
+    passed = F.aggregate(F.array(*breaks), F.lit(0), lambda acc, b: acc + (b < v).cast("int"))
+    inside = F.when(lo == hi, 1).when(passed > n, 0).otherwise(passed)
+    return rows.crossJoin(F.broadcast(ends)).withColumn("bin", F.when(v.isNull(), 0).otherwise(inside)).drop("ends")
 
 
 def cut_frequency(rows: DataFrame, column: str, n: int) -> DataFrame:
@@ -71,7 +85,7 @@ def cut_frequency(rows: DataFrame, column: str, n: int) -> DataFrame:
     edges = rows.agg(F.percentile(column, [i / (n - 1) for i in range(n)]).alias("q")).first().q
     if not edges:
         return rows.withColumn("bin", F.lit(0))
-    return rows.withColumn("bin", F.when(F.col(column) == edges[0], 1).otherwise(cut(F.col(column), edges)))
+    return rows.withColumn("bin", F.when(F.col(column) == edges[0], 1).otherwise(interval(F.col(column), edges)))
 
 
 def rep_each(rows: DataFrame, each: int) -> DataFrame:

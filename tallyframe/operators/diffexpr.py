@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.special import normal_two_sided, t_two_sided
 from ..matrix import CountMatrix
-from .stats import class_counts, label_grid, log_means, sample_var
+from .stats import class_counts, label_grid, log_means, moments, sample_var, with_zeros
 
 
 def rank_sums(m: CountMatrix, labels: DataFrame) -> DataFrame:
@@ -18,15 +18,17 @@ def rank_sums(m: CountMatrix, labels: DataFrame) -> DataFrame:
     positive values.
     """
     cells = m.cells.select("cell_id").join(labels, "cell_id")
-    rows = m.coo.filter("value <> 0").join(labels, "cell_id")
-    own = Window.partitionBy("feature_id")
-    rows = rows.withColumn("t", F.count("*").over(Window.partitionBy("feature_id", "value")))
-    rows = rows.withColumn("low", F.rank().over(own.orderBy("value")))
+    # Equal values of a class are counted first: what is ranked within a feature is its distinct values, not its cells.
+    rows = m.coo.filter("value <> 0").join(labels, "cell_id").groupBy("feature_id", "value", "label").agg(F.count("*").alias("c"))
+    rows = rows.withColumn("t", F.sum("c").over(Window.partitionBy("feature_id", "value")))
+    upto = Window.partitionBy("feature_id").orderBy("value").rangeBetween(Window.unboundedPreceding, 0)
+    rows = rows.withColumn("low", F.sum("c").over(upto) - F.col("t") + 1)
     total = cells.agg(F.count("*").alias("n_all"))
-    per_value = (F.pow(F.col("t").cast("double"), 2) - 1.0)  # summed over the t rows of a value: t^3 - t
-    per_feature = rows.groupBy("feature_id").agg(F.count("*").alias("nz"), F.count_if(F.col("value") < 0).alias("neg"), F.sum(per_value).alias("ties"))
+    c = F.col("c")
+    per_value = c * (F.pow(F.col("t").cast("double"), 2) - 1.0)  # summed over the classes of a value: t^3 - t
+    per_feature = rows.groupBy("feature_id").agg(F.sum(c).alias("nz"), F.sum(F.when(F.col("value") < 0, c).otherwise(0)).alias("neg"), F.sum(per_value).alias("ties"))
     # A class's stored ranks, without the zeros that precede its positive values.
-    stored = rows.groupBy("feature_id", "label").agg(F.sum(F.col("low") + (F.col("t") - 1) / 2.0).alias("r"), F.count("*").alias("k"), F.count_if(F.col("value") > 0).alias("up"))
+    stored = rows.groupBy("feature_id", "label").agg(F.sum(c * (F.col("low") + (F.col("t") - 1) / 2.0)).alias("r"), F.sum(c).alias("k"), F.sum(F.when(F.col("value") > 0, c).otherwise(0)).alias("up"))
     grid = label_grid(m, labels).crossJoin(F.broadcast(total))
     grid = grid.join(per_feature, "feature_id", "left").join(stored, ["feature_id", "label"], "left").fillna(0, ["nz", "neg", "ties", "r", "k", "up"])
     zeros = (F.col("n_all") - F.col("nz")).cast("double")
@@ -56,17 +58,21 @@ def wilcoxon(m: CountMatrix, labels: DataFrame) -> DataFrame:
 
 
 def welch(m: CountMatrix, labels: DataFrame) -> DataFrame:
-    """M6, M7: (feature_id, label, score, df): Welch's t of the class against the rest, whose sums come by subtraction."""
-    v = F.col("value").cast("double")
-    sums = m.coo.join(labels, "cell_id").groupBy("feature_id", "label").agg(F.sum(v).alias("s"), F.sum(v * v).alias("ss"))
-    rows = label_grid(m, labels).join(sums, ["feature_id", "label"], "left").fillna(0.0, ["s", "ss"])
-    total = rows.groupBy("feature_id").agg(F.sum("s").alias("ts"), F.sum("ss").alias("tss"), F.sum("n").alias("tn"))
-    rows = rows.join(total, "feature_id")
-    n1, n2 = F.col("n").cast("double"), (F.col("tn") - F.col("n")).cast("double")
-    s2 = F.col("ts") - F.col("s")
-    v1, v2 = sample_var(F.col("ss"), F.col("s"), n1), sample_var(F.col("tss") - F.col("ss"), s2, n2)
-    a, b = v1 / n1, F.try_divide(v2, n2)
-    rows = rows.select("feature_id", "label", (F.col("s") / n1 - F.try_divide(s2, n2)).alias("d"), a.alias("a"), b.alias("b"), n1.alias("n1"), n2.alias("n2"))
+    """M6, M7: (feature_id, label, score, df): Welch's t of the class against the rest, whose moments merge those of the other classes."""
+    sums = m.coo.join(labels, "cell_id").groupBy("feature_id", "label").agg(*moments(F.col("value").cast("double")))
+    n = F.col("n").cast("double")
+    mean, m2 = with_zeros(n)
+    rows = label_grid(m, labels).join(sums, ["feature_id", "label"], "left").select("feature_id", "label", n.alias("n1"), mean.alias("mean"), m2.alias("q1"))
+    # Of the rest: size, mean, and the deviations within and between its classes.
+    every = F.collect_list(F.struct("label", "n1", "mean", "q1")).over(Window.partitionBy("feature_id"))
+    others = F.filter(every, lambda x: x["label"] != F.col("label"))
+    total = lambda f: F.aggregate("others", F.lit(0.0), lambda acc, x: acc + f(x))
+    rows = rows.withColumn("others", others).withColumn("n2", total(lambda x: x["n1"]))
+    rows = rows.withColumn("mean2", F.try_divide(total(lambda x: x["n1"] * x["mean"]), F.col("n2")))
+    between = total(lambda x: x["q1"] + x["n1"] * (x["mean"] - F.col("mean2")) * (x["mean"] - F.col("mean2")))
+    rows = rows.withColumn("q2", between)
+    a, b = sample_var(F.col("q1"), F.col("n1")) / F.col("n1"), F.try_divide(sample_var(F.col("q2"), F.col("n2")), F.col("n2"))
+    rows = rows.select("feature_id", "label", (F.col("mean") - F.col("mean2")).alias("d"), a.alias("a"), b.alias("b"), "n1", "n2")
     a, b = F.col("a"), F.col("b")
     t = F.try_divide(F.col("d"), F.sqrt(a + b))
     df = F.try_divide((a + b) * (a + b), F.try_divide(a * a, F.col("n1") - 1) + F.try_divide(b * b, F.col("n2") - 1))

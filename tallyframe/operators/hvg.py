@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from ..functions.labels import cut_width
 from ..matrix import CountMatrix
+from ..storage import cut
 from .normalize import row_norm
 from .stats import feature_stats
 
@@ -82,7 +83,7 @@ def vst(m: CountMatrix, span: float = 0.5) -> DataFrame:
     features that vary, fitted at fixed knots and linear between them.
     """
     n_cells = m.cells.count()
-    s = feature_stats(m)
+    s = cut(feature_stats(m), "feature-stats")
     line = loess_at_knots(s.filter("var > 0").select(F.log10("mean").alias("x"), F.log10(F.sqrt("var")).alias("y")), span)
     if len(line) < 2:
         return s.select("feature_id", F.lit(0.0).alias("metric"))

@@ -5,13 +5,16 @@ from __future__ import annotations
 from dataclasses import dataclass
 
 import numpy as np
+import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..matrix import CenteredMatrix, CountMatrix
+from ..storage import cut, free
 
-#: Features up to which the Gram matrix is solved on the driver (32 MB at 2000); beyond, mllib's distributed solver is used.
-GRAM_FEATURES = 2000
+#: Cells that a task multiplies at a time, rows of a partial product that travel together, and partial products added by one task.
+CELLS, ROWS, FAN_IN = 1024, 256, 32
 
 
 def multiply(a: DataFrame, b: DataFrame, alpha: float = 1.0) -> DataFrame:
@@ -63,51 +66,133 @@ def flip_signs(v: np.ndarray) -> np.ndarray:
     return v * np.where(v[np.abs(v).argmax(0), np.arange(v.shape[1])] < 0, -1.0, 1.0)
 
 
-def right_vectors(c: CenteredMatrix, ids: list[int], k: int) -> tuple[np.ndarray, np.ndarray]:
-    """The leading k singular values and right singular vectors, rows in the order of ``ids``."""
-    at = {f: i for i, f in enumerate(ids)}
-    if len(ids) <= GRAM_FEATURES:
-        g = np.zeros((len(ids), len(ids)))
-        for r in gram(c).toLocalIterator():
-            g[at[r.i], at[r.j]] = g[at[r.j], at[r.i]] = r.value
-        values, vectors = np.linalg.eigh(g)
-        order = np.argsort(-values)[:k]
-        return np.sqrt(np.maximum(values[order], 0)), vectors[:, order]
-    from pyspark.mllib.linalg import Vectors
-    from pyspark.mllib.linalg.distributed import RowMatrix
-
-    spark = c.matrix.coo.sparkSession
-    mu = {r.feature_id: r.mu for r in c.mu.collect()}
-    shift, place = spark.sparkContext.broadcast(np.array([mu[f] for f in ids])), spark.sparkContext.broadcast(at)
-    rows = c.matrix.cells.join(c.matrix.coo.groupBy("cell_id").agg(F.collect_list(F.struct("feature_id", "value")).alias("e")), "cell_id", "left").select("e")
-
-    def dense(r):
-        out = -shift.value
-        for e in r.e or []:
-            out[place.value[e.feature_id]] += e.value
-        return Vectors.dense(out)
-
-    svd = RowMatrix(rows.rdd.map(dense)).computeSVD(k, computeU=False)
-    return np.array(svd.s.toArray()), svd.V.toArray()
-
-
-def pca(c: CenteredMatrix, npcs: int = 50) -> LinearEmbedding:
+def cell_rows(c: CenteredMatrix) -> DataFrame:
+    """(cell_id, e): every cell with the list of its entries (feature_id, value), cut."""
+    entries = c.matrix.coo.groupBy("cell_id").agg(F.collect_list(F.struct("feature_id", F.col("value").cast("double").alias("value"))).alias("e"))
+    return cut(c.matrix.cells.select("cell_id").join(entries, "cell_id", "left"), "cell-rows")
+
+
+def times(batches, ids: np.ndarray, v: np.ndarray):
+    """(cell ids, entries' cell, feature and value, A V) of some cells at a time, for the rows of :func:`cell_rows`."""
+    for b in batches:
+        for s in range(0, b.num_rows, CELLS):
+            part = b.slice(s, CELLS)
+            lists = part.column(1)
+            n = lists.value_lengths().fill_null(0).to_numpy(zero_copy_only=False)
+            flat = lists.flatten()
+            row = np.repeat(np.arange(len(n)), n)
+            feature = np.searchsorted(ids, flat.field(0).to_numpy(zero_copy_only=False))
+            value = flat.field(1).to_numpy(zero_copy_only=False)
+            order = np.argsort(feature, kind="stable")
+            row, feature, value = row[order], feature[order], value[order]
+            product = np.zeros((len(n), v.shape[1]))
+            np.add.at(product, row, value[:, None] * v[feature])
+            yield part.column(0), row, feature, value, product
+
+
+def gram_times(rows: DataFrame, ids: np.ndarray, v: np.ndarray) -> np.ndarray:
+    """A' A V in one pass: a partial product a task, added up in a tree; V and the result are features x columns."""
+    sc = rows.sparkSession.sparkContext
+    held = sc.broadcast((ids, v))
+
+    def partial(batches):
+        ids, v = held.value
+        total = np.zeros((len(ids), v.shape[1]))
+        for _, row, feature, value, product in times(batches, ids, v):
+            np.add.at(total, feature, value[:, None] * product[row])
+        me = TaskContext.get().partitionId()
+        for s in range(0, len(ids), ROWS):
+            yield pa.RecordBatch.from_arrays([pa.array([s], pa.int32()), pa.array([me], pa.int32()), pa.array([total[s : s + ROWS].tobytes()], pa.binary())], ["start", "part", "data"])
+
+    def added(key, table):
+        total = sum(np.frombuffer(x) for x in table.column("data").to_pylist())
+        return pa.table({"start": pa.array([key[0].as_py()], pa.int32()), "part": pa.array([key[1].as_py()], pa.int32()), "data": pa.array([total.tobytes()], pa.binary())})
+
+    schema = "start int, part int, data binary"
+    parts, tasks = rows.mapInArrow(partial, schema), rows.rdd.getNumPartitions()
+    while tasks > 1:
+        parts = parts.groupBy("start", (F.col("part") / FAN_IN).cast("int").alias("up")).applyInArrow(added, schema)
+        tasks = -(-tasks // FAN_IN)
+    out = np.zeros((len(ids), v.shape[1]))
+    for r in parts.collect():
+        piece = np.frombuffer(r.data).reshape(-1, v.shape[1])
+        out[r.start : r.start + len(piece)] += piece
+    held.destroy()
+    return out
+
+
+def truncated_svd(c: CenteredMatrix, k: int, tol: float = 1e-8, start: np.ndarray | None = None, blocks: int = 6, passes: int = 60, seed: int = 0) -> tuple[np.ndarray, np.ndarray, list[int]]:
+    """The leading k singular values, right singular vectors (features x k) and the features' ids in that order.
+
+    Block Krylov steps with Rayleigh-Ritz and restarts; each is one pass over
+    the cells.  It ends when every |G v - s^2 v| is at most ``tol`` times the
+    largest s^2.  ``start`` (features x any) are directions to begin with, such
+    as those of an earlier run.  Where the block would span half the features,
+    one pass with the whole space gives the exact result.  The driver holds
+    ``blocks`` matrices of features x (k + 10).
+    """
+    own = c.mu.select("feature_id", "mu").join(c.matrix.coo.groupBy("feature_id").agg(F.sum("value").alias("s")), "feature_id", "left").toArrow().to_pandas().sort_values("feature_id")
+    ids, mu, s = own["feature_id"].to_numpy(), own["mu"].to_numpy(float), own["s"].fillna(0.0).to_numpy(float)
+    rows = cell_rows(c)
+    n = rows.count()
+
+    def product(v: np.ndarray) -> np.ndarray:
+        m = mu @ v
+        return gram_times(rows, ids, v) - np.outer(s, m) - np.outer(mu, s @ v) + n * np.outer(mu, m)
+
+    width = k + 10
+    if 2 * width >= len(ids):
+        g = product(np.eye(len(ids)))
+        values, vectors = np.linalg.eigh((g + g.T) / 2)
+    else:
+        v = np.random.default_rng(seed).normal(size=(len(ids), width))
+        if start is not None:
+            v[:, : min(width, start.shape[1])] = start[:, :width]
+        basis, image = np.linalg.qr(v)[0], np.zeros((len(ids), 0))
+        for step in range(passes):
+            new = product(basis[:, image.shape[1] :])
+            image = np.concatenate([image, new], 1)
+            t = basis.T @ image
+            values, w = np.linalg.eigh((t + t.T) / 2)
+            vectors = basis @ w
+            top = np.argsort(-values)[:width]
+            rest = image @ w[:, top[:k]] - vectors[:, top[:k]] * values[top[:k]]
+            if np.linalg.norm(rest, axis=0).max() <= tol * max(values[top[0]], 1e-300):
+                break
+            if basis.shape[1] >= blocks * width:
+                basis, image = vectors[:, top], image @ w[:, top]
+                new = image - basis * values[top]
+            for _ in range(3):
+                new = np.linalg.qr(new - basis @ (basis.T @ new))[0]
+            basis = np.concatenate([basis, new], 1)
+    free(rows)
+    order = np.argsort(-values)[:k]
+    return np.sqrt(np.maximum(values[order], 0)), vectors[:, order], ids.tolist()
+
+
+def pca(c: CenteredMatrix, npcs: int = 50, tol: float = 1e-8, start: np.ndarray | None = None) -> LinearEmbedding:
     """Coordinates U S, deviations S / sqrt(cells - 1) and loadings V, with fixed signs.
 
     ``npcs`` is limited by the matrix's smaller side.  No further centring is
     done; only the features' k loadings pass through the driver.
     """
     spark = c.matrix.coo.sparkSession
-    ids = sorted(r.feature_id for r in c.mu.select("feature_id").collect())
-    n = c.matrix.cells.count()
-    k = min(npcs, len(ids), n)
-    s, v = right_vectors(c, ids, k)
-    v = flip_signs(v)
-    loadings = spark.createDataFrame([(f, p + 1, float(v[i, p])) for i, f in enumerate(ids) for p in range(k)], "feature_id long, pc int, value double")
-    shift = c.mu.join(loadings, "feature_id").groupBy("pc").agg(F.sum(F.col("mu") * loadings["value"]).alias("shift"))
-    own = c.matrix.coo.join(F.broadcast(loadings.withColumnRenamed("value", "w")), "feature_id").groupBy("cell_id", "pc").agg(F.sum(F.col("value") * F.col("w")).alias("s"))
-    grid = c.matrix.cells.select("cell_id").crossJoin(F.broadcast(shift)).join(own, ["cell_id", "pc"], "left")
-    coordinates = grid.select("cell_id", "pc", (F.coalesce("s", F.lit(0.0)) - F.col("shift")).alias("value"))
+    n, f = c.matrix.cells.count(), c.mu.count()
+    k = min(npcs, f, n)
+    s, v, ids = truncated_svd(c, k, tol, start) if k else (np.zeros(0), np.zeros((0, 0)), [])
+    v = flip_signs(v) if k else v
+    table = pa.table({"feature_id": pa.array(np.repeat(ids, k), pa.int64()), "pc": pa.array(np.tile(np.arange(1, k + 1), len(ids)), pa.int32()), "value": pa.array(v.ravel(), pa.float64())})
+    loadings = spark.createDataFrame(table)
+    means = {r.feature_id: r.mu for r in c.mu.collect()}
+    held = spark.sparkContext.broadcast((np.array(ids, np.int64), v, np.array([means[i] for i in ids], float) @ v))
+
+    def project(batches):
+        ids, v, shift = held.value
+        for cells, _, _, _, product in times(batches, ids, v):
+            m = len(shift)
+            yield pa.RecordBatch.from_arrays([pa.array(np.repeat(cells.to_numpy(zero_copy_only=False), m)), pa.array(np.tile(np.arange(1, m + 1, dtype=np.int32), len(cells))), pa.array((product - shift).ravel())], ["cell_id", "pc", "value"])
+
+    coordinates = cell_rows(c).mapInArrow(project, "cell_id long, pc int, value double")
     stdev = spark.createDataFrame([(p + 1, float(s[p]) / max(1, n - 1) ** 0.5) for p in range(k)], "pc int, stdev double")
     return LinearEmbedding(coordinates, stdev, loadings)
 

@@ -10,18 +10,33 @@ from pyspark.sql import functions as F
 from ..matrix import CountMatrix
 
 
-def sample_var(ss: Column, s: Column, n: Column) -> Column:
-    """Sample variance from sums; null for fewer than two."""
-    return F.when(n > 1, F.greatest((ss - s * s / n) / (n - 1), F.lit(0.0)))
+def moments(v: Column) -> list[Column]:
+    """Aggregates k, avg and m2 (sum of squared deviations) of the stored values; null without any."""
+    return [F.count(v).cast("double").alias("k"), F.avg(v).alias("avg"), (F.var_pop(v) * F.count(v)).alias("m2")]
+
+
+def with_zeros(n: Column) -> tuple[Column, Column]:
+    """(mean, m2) of n values of which k are stored (columns of :func:`moments`) and the rest are 0.
+
+    Deviations are merged, not raw squares, so that large means cost no digits.
+    """
+    k, avg, m2 = (F.coalesce(F.col(c), F.lit(0.0)) for c in ("k", "avg", "m2"))
+    return F.try_divide(avg * k, n), m2 + F.coalesce(F.try_divide(avg * avg * k * (n - k), n), F.lit(0.0))
+
+
+def sample_var(m2: Column, n: Column) -> Column:
+    """Sample variance; null for fewer than two."""
+    return F.when(n > 1, m2 / (n - 1))
 
 
 def feature_stats(m: CountMatrix, f: Callable[[Column], Column] | None = None) -> DataFrame:
     """A1, A3: (feature_id, mean, var) over all cells; ``f`` maps values first and 0 to 0."""
     v = F.col("value").cast("double") if f is None else f(F.col("value").cast("double"))
-    sums = m.coo.select("feature_id", v.alias("v")).groupBy("feature_id").agg(F.sum("v").alias("s"), F.sum(F.col("v") * F.col("v")).alias("ss"))
+    sums = m.coo.select("feature_id", v.alias("v")).groupBy("feature_id").agg(*moments(F.col("v")))
     rows = m.features.select("feature_id").join(sums, "feature_id", "left").crossJoin(F.broadcast(m.n_cells()))
-    s, ss, n = F.coalesce("s", F.lit(0.0)), F.coalesce("ss", F.lit(0.0)), F.col("n_cells").cast("double")
-    return rows.select("feature_id", F.try_divide(s, n).alias("mean"), sample_var(ss, s, n).alias("var"))
+    n = F.col("n_cells").cast("double")
+    mean, m2 = with_zeros(n)
+    return rows.select("feature_id", mean.alias("mean"), sample_var(m2, n).alias("var"))
 
 
 def label_grid(m: CountMatrix, labels: DataFrame) -> DataFrame:
@@ -32,11 +47,11 @@ def label_grid(m: CountMatrix, labels: DataFrame) -> DataFrame:
 
 def class_stats(m: CountMatrix, labels: DataFrame) -> DataFrame:
     """A2: (feature_id, label, n, mean, var) for every feature and label."""
-    v = F.col("value").cast("double")
-    sums = m.coo.join(labels, "cell_id").groupBy("feature_id", "label").agg(F.sum(v).alias("s"), F.sum(v * v).alias("ss"))
+    sums = m.coo.join(labels, "cell_id").groupBy("feature_id", "label").agg(*moments(F.col("value").cast("double")))
     rows = label_grid(m, labels).join(sums, ["feature_id", "label"], "left")
-    s, ss, n = F.coalesce("s", F.lit(0.0)), F.coalesce("ss", F.lit(0.0)), F.col("n").cast("double")
-    return rows.select("feature_id", "label", "n", (s / n).alias("mean"), sample_var(ss, s, n).alias("var"))
+    n = F.col("n").cast("double")
+    mean, m2 = with_zeros(n)
+    return rows.select("feature_id", "label", "n", mean.alias("mean"), sample_var(m2, n).alias("var"))
 
 
 def log_vmr(m: CountMatrix) -> DataFrame:

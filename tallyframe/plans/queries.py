@@ -6,9 +6,7 @@ both forms.
 
 from __future__ import annotations
 
-import inspect
 from collections.abc import Callable
-from functools import partial
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -20,7 +18,7 @@ from ..sources import names, registry
 from ..streaming import windowed_counts
 from . import adapters as a
 from . import plots
-from .adapters import DENSE, EVENTS, SPARSE, VECTOR_COO, VECTORS
+from .adapters import DENSE, EVENTS, VECTOR_COO, VECTORS
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -75,15 +73,15 @@ big AS (SELECT o_custkey AS cell_id, l_partkey AS feature_id, CAST(sum(l_quantit
 big_some AS (SELECT b.* FROM big b JOIN (SELECT cell_id FROM big GROUP BY 1 HAVING count(CASE WHEN value > 0 THEN 1 END) >= 30) USING (cell_id)),
 both_sets AS (SELECT 'all' AS ds, * FROM few UNION ALL SELECT 'big', * FROM big_some)
 SELECT ds || '-' || c.name AS cell, f.name AS feature, CAST(sum(value) AS BIGINT) AS value FROM both_sets JOIN cells c USING (cell_id) JOIN features f USING (feature_id) GROUP BY 1, 2""")
-def s22(spark, sf, matrix=a.cust_part_sparse):
+def s22(spark, sf, matrix=a.cust_part):
     return filtering.merge_datasets({"all": a.cust_part(spark, sf), "big": matrix(spark, sf)}, min_features=30)
 
 
 # Filters
 
 
-@query("F1", f"WITH {SPARSE}, keep AS (SELECT feature_id FROM coo WHERE value > 0 GROUP BY 1 HAVING count(*) >= 2) SELECT feature_id, count(*) AS nnz, CAST(sum(value) AS BIGINT) AS total FROM coo JOIN keep USING (feature_id) GROUP BY 1")
-def f1(spark, sf, matrix=a.cust_part_sparse):
+@query("F1", f"WITH {DENSE}, keep AS (SELECT feature_id FROM coo WHERE value > 0 GROUP BY 1 HAVING count(*) >= 2) SELECT feature_id, count(*) AS nnz, CAST(sum(value) AS BIGINT) AS total FROM coo JOIN keep USING (feature_id) GROUP BY 1")
+def f1(spark, sf, matrix=a.cust_part):
     return filtering.filter_features(matrix(spark, sf), 2).coo.groupBy("feature_id").agg(F.count("*").alias("nnz"), F.sum("value").alias("total"))
 
 
@@ -99,13 +97,13 @@ def f3(spark, sf):
     return filtering.filter_counts(a.cust_part(spark, sf), min_cells=20, min_features=20, min_umi=500).coo.select("cell_id", "feature_id", "value")
 
 
-@query("F4", f"WITH {SPARSE} SELECT c.cell_id, round(s.s / s.t, 6) AS share FROM cells c LEFT JOIN (SELECT cell_id, CAST(sum(CASE WHEN regexp_matches(f.name, 'e[a-m]') THEN value ELSE 0 END) AS DOUBLE) AS s, CAST(sum(value) AS DOUBLE) AS t FROM coo JOIN features f USING (feature_id) GROUP BY 1) s ON s.cell_id = c.cell_id")
-def f4(spark, sf, matrix=a.cust_part_sparse):
+@query("F4", f"WITH {DENSE} SELECT c.cell_id, round(s.s / s.t, 6) AS share FROM cells c LEFT JOIN (SELECT cell_id, CAST(sum(CASE WHEN regexp_matches(f.name, 'e[a-m]') THEN value ELSE 0 END) AS DOUBLE) AS s, CAST(sum(value) AS DOUBLE) AS t FROM coo JOIN features f USING (feature_id) GROUP BY 1) s ON s.cell_id = c.cell_id")
+def f4(spark, sf, matrix=a.cust_part):
     return filtering.percentage_features(matrix(spark, sf), "e[a-m]").select("cell_id", *r6("share"))
 
 
-@query("F5", f"WITH {SPARSE} SELECT cell_id, feature_id, value FROM coo WHERE feature_id IN (SELECT p_partkey FROM part WHERE p_size > 25)")
-def f5(spark, sf, matrix=a.cust_part_sparse):
+@query("F5", f"WITH {DENSE} SELECT cell_id, feature_id, value FROM coo WHERE feature_id IN (SELECT p_partkey FROM part WHERE p_size > 25)")
+def f5(spark, sf, matrix=a.cust_part):
     keep = a.table(spark, sf, "part").filter("p_size > 25").select(F.col("p_partkey").alias("feature_id"))
     return matrix(spark, sf).select_features(keep).coo.select("cell_id", "feature_id", "value")
 
@@ -134,18 +132,18 @@ def n2(spark, sf):
     return normalize.log_norm(a.cust_part(spark, sf), 1e4).coo.select("cell_id", "feature_id", *r6("value"))
 
 
-@query("N3", f"WITH {SPARSE}, {NORM.format(scale='1.0')} SELECT cell_id, feature_id, round(ln(1 + value), 6) AS value FROM n")
-def n3(spark, sf, matrix=a.cust_part_sparse):
+@query("N3", f"WITH {DENSE}, {NORM.format(scale='1.0')} SELECT cell_id, feature_id, round(ln(1 + value), 6) AS value FROM n")
+def n3(spark, sf, matrix=a.cust_part):
     return normalize.normalize_cells(matrix(spark, sf)).coo.select("cell_id", "feature_id", *r6("value"))
 
 
-@query("N4", f"WITH {SPARSE}, {STATS.format(coo='coo')} SELECT cell_id, feature_id, round(CASE WHEN var > 0 THEN least(value / sqrt(var), 10 + mean / sqrt(var)) ELSE least(0.0, 10.0) END, 6) AS value FROM coo JOIN st USING (feature_id)")
-def n4(spark, sf, matrix=a.cust_part_sparse):
+@query("N4", f"WITH {DENSE}, {STATS.format(coo='coo')} SELECT cell_id, feature_id, round(CASE WHEN var > 0 THEN least(value / sqrt(var), 10 + mean / sqrt(var)) ELSE least(0.0, 10.0) END, 6) AS value FROM coo JOIN st USING (feature_id)")
+def n4(spark, sf, matrix=a.cust_part):
     return normalize.scale_features(matrix(spark, sf), 10).matrix.coo.select("cell_id", "feature_id", *r6("value"))
 
 
-@query("N5", f"WITH {SPARSE}, {STATS.format(coo='coo')} SELECT feature_id, round(CASE WHEN var > 0 THEN mean / sqrt(var) ELSE 0.0 END, 6) AS mu FROM st WHERE feature_id IN (SELECT p_partkey FROM part WHERE p_size > 25)")
-def n5(spark, sf, matrix=a.cust_part_sparse):
+@query("N5", f"WITH {DENSE}, {STATS.format(coo='coo')} SELECT feature_id, round(CASE WHEN var > 0 THEN mean / sqrt(var) ELSE 0.0 END, 6) AS mu FROM st WHERE feature_id IN (SELECT p_partkey FROM part WHERE p_size > 25)")
+def n5(spark, sf, matrix=a.cust_part):
     keep = a.table(spark, sf, "part").filter("p_size > 25").select(F.col("p_partkey").alias("feature_id"))
     return normalize.scale_features(matrix(spark, sf), features=keep).mu.select("feature_id", *r6("mu"))
 
@@ -158,8 +156,8 @@ def n6(spark, sf):
 # Aggregations
 
 
-@query("A1", f"WITH {SPARSE}, {STATS.format(coo='coo')} SELECT feature_id, round(mean, 6) AS mean, round(var, 6) AS var FROM st")
-def a1(spark, sf, matrix=a.cust_part_sparse):
+@query("A1", f"WITH {DENSE}, {STATS.format(coo='coo')} SELECT feature_id, round(mean, 6) AS mean, round(var, 6) AS var FROM st")
+def a1(spark, sf, matrix=a.cust_part):
     return stats.feature_stats(matrix(spark, sf)).select("feature_id", *r6("mean", "var"))
 
 
@@ -168,18 +166,18 @@ cs AS (SELECT f.feature_id, z.label, z.n, coalesce(s.s, 0.0) AS s, coalesce(s.ss
   LEFT JOIN (SELECT feature_id, label, sum(CAST(value AS DOUBLE)) AS s, sum(CAST(value AS DOUBLE) * value) AS ss, count(CASE WHEN value > 0 THEN 1 END) AS above, sum(exp(value / 50.0) - 1) AS es FROM coo JOIN labels USING (cell_id) GROUP BY 1, 2) s ON s.feature_id = f.feature_id AND s.label = z.label)"""
 
 
-@query("A2", f"WITH {SPARSE}, {CLASS} SELECT feature_id, label, n, round(s / n, 6) AS mean, round(greatest((ss - s * s / n) / (n - 1), 0.0), 6) AS var FROM cs")
-def a2(spark, sf, matrix=a.cust_part_sparse):
+@query("A2", f"WITH {DENSE}, {CLASS} SELECT feature_id, label, n, round(s / n, 6) AS mean, round(greatest((ss - s * s / n) / (n - 1), 0.0), 6) AS var FROM cs")
+def a2(spark, sf, matrix=a.cust_part):
     return stats.class_stats(matrix(spark, sf), a.segment_labels(spark, sf)).select("feature_id", "label", "n", *r6("mean", "var"))
 
 
-@query("A3", f"WITH {SPARSE}, x AS (SELECT cell_id, feature_id, ln(1 + value) AS value FROM coo), {STATS.format(coo='x')} SELECT feature_id, round(mean, 6) AS mean, round(var, 6) AS var FROM st")
-def a3(spark, sf, matrix=a.cust_part_sparse):
+@query("A3", f"WITH {DENSE}, x AS (SELECT cell_id, feature_id, ln(1 + value) AS value FROM coo), {STATS.format(coo='x')} SELECT feature_id, round(mean, 6) AS mean, round(var, 6) AS var FROM st")
+def a3(spark, sf, matrix=a.cust_part):
     return stats.feature_stats(matrix(spark, sf), F.log1p).select("feature_id", *r6("mean", "var"))
 
 
-@query("A4", f"WITH {SPARSE}, {STATS.format(coo='coo')} SELECT feature_id, round(ln(1 + mean), 6) AS log_mean, CASE WHEN mean > 0 AND var > 0 THEN round(ln(var / mean), 6) + 0.0 END AS log_vmr FROM st")
-def a4(spark, sf, matrix=a.cust_part_sparse):
+@query("A4", f"WITH {DENSE}, {STATS.format(coo='coo')} SELECT feature_id, round(ln(1 + mean), 6) AS log_mean, CASE WHEN mean > 0 AND var > 0 THEN round(ln(var / mean), 6) + 0.0 END AS log_vmr FROM st")
+def a4(spark, sf, matrix=a.cust_part):
     return stats.log_vmr(matrix(spark, sf)).select("feature_id", *r6("log_mean", "log_vmr"))
 
 
@@ -188,21 +186,21 @@ def a5(spark, sf):
     return stats.count_labels(a.table(spark, sf, "customer").select((F.col("c_nationkey") + 1).alias("label")))
 
 
-@query("A6", f"WITH {SPARSE}, {CLASS} SELECT feature_id, label, n, above FROM cs")
-def a6(spark, sf, matrix=a.cust_part_sparse):
+@query("A6", f"WITH {DENSE}, {CLASS} SELECT feature_id, label, n, above FROM cs")
+def a6(spark, sf, matrix=a.cust_part):
     return stats.class_counts(matrix(spark, sf), a.segment_labels(spark, sf))
 
 
 LOG_MEANS = "lm AS (SELECT feature_id, label, ln(1 + {s} / n) / ln(2.0) AS mean_in, ln(1 + greatest((sum({s}) OVER w - {s}) / (sum(n) OVER w - n), 0.0)) / ln(2.0) AS mean_rest FROM cs WINDOW w AS (PARTITION BY feature_id))"
 
 
-@query("A7", f"WITH {SPARSE}, {CLASS}, {LOG_MEANS.format(s='s')} SELECT feature_id, label, round(mean_in, 6) AS mean_in, round(mean_rest, 6) AS mean_rest FROM lm")
-def a7(spark, sf, matrix=a.cust_part_sparse):
+@query("A7", f"WITH {DENSE}, {CLASS}, {LOG_MEANS.format(s='s')} SELECT feature_id, label, round(mean_in, 6) AS mean_in, round(mean_rest, 6) AS mean_rest FROM lm")
+def a7(spark, sf, matrix=a.cust_part):
     return stats.log_means(matrix(spark, sf), a.segment_labels(spark, sf)).select("feature_id", "label", *r6("mean_in", "mean_rest"))
 
 
-@query("A8", f"WITH {SPARSE}, {CLASS}, {LOG_MEANS.format(s='es')} SELECT feature_id, label, round(mean_in, 6) AS mean_in, round(mean_rest, 6) AS mean_rest FROM lm")
-def a8(spark, sf, matrix=a.cust_part_sparse):
+@query("A8", f"WITH {DENSE}, {CLASS}, {LOG_MEANS.format(s='es')} SELECT feature_id, label, round(mean_in, 6) AS mean_in, round(mean_rest, 6) AS mean_rest FROM lm")
+def a8(spark, sf, matrix=a.cust_part):
     m = matrix(spark, sf)
     return stats.log_means(m.with_coo(m.coo.withColumn("value", F.col("value") / 50.0)), a.segment_labels(spark, sf), log=True).select("feature_id", "label", *r6("mean_in", "mean_rest"))
 
@@ -214,6 +212,12 @@ def a9(spark, sf):
 
 # Feature selection
 
+#: P(|Z| > |z|) from the all-positive series of the error function, and P(|T| > |t|) from that of the incomplete beta function.
+NORMAL_P = """CASE WHEN {z} IS NULL THEN NULL WHEN {z} = 0 THEN 1.0 WHEN abs({z}) > 8 THEN 0.0 ELSE 1 - 2 / sqrt(pi()) * exp(-{z} * {z} / 2)
+  * list_sum(list_transform(range(0, 200), lambda i: exp(2 * i * ln(2.0) + (2 * i + 1) * ln(abs({z}) / sqrt(2.0)) - lgamma(2 * i + 2) + lgamma(i + 1)))) END"""
+T_P = """CASE WHEN {t} IS NULL THEN NULL WHEN {t} = 0 THEN 1.0 WHEN abs({t}) > 9 THEN 0.0 ELSE 1 - exp(0.5 * ln({t} * {t} / ({df} + {t} * {t})) + {df} / 2 * ln({df} / ({df} + {t} * {t})) - ln(0.5) - lgamma(0.5) - lgamma({df} / 2) + lgamma(0.5 + {df} / 2))
+  * list_sum(list_transform(range(0, 400), lambda i: exp(lgamma(0.5 + {df} / 2 + i) - lgamma(0.5 + {df} / 2) + lgamma(1.5) - lgamma(1.5 + i) + i * ln({t} * {t} / ({df} + {t} * {t}))))) END"""
+
 RELATIVE = f"{NORM.format(scale='1.0')}, {STATS.format(coo='n')}"
 DISPERSION = "CASE WHEN mean = 0 THEN 0.0 WHEN var = 0 THEN CAST('-inf' AS DOUBLE) ELSE ln(var / mean) END"
 
@@ -223,8 +227,22 @@ def h1(spark, sf):
     return hvg.find_variable_features(a.cust_part(spark, sf), 100, "dispersion").select("feature_id", *r6("metric"), "rank")
 
 
-@query("H2")
-def h2(spark, sf, matrix=a.cust_part_sparse):
+#: Local quadratic fits at 64 quantile knots: bandwidths, weighted moments, and the constant term by Cramer's rule.
+FITTED = f"""{STATS.format(coo='coo')}, pts AS (SELECT log10(mean) AS x, log10(sqrt(var)) AS y FROM st WHERE var > 0),
+kn AS (SELECT DISTINCT unnest(quantile_cont(x, [i / 63.0 for i in range(0, 64)])) AS kx FROM pts),
+h AS (SELECT kx, quantile_cont(abs(x - kx), 0.5) AS h FROM pts CROSS JOIN kn GROUP BY kx),
+w AS (SELECT kx, x - kx AS u, y, pow(1 - pow(abs(x - kx) / h, 3), 3) AS w FROM pts CROSS JOIN h WHERE abs(x - kx) < h),
+mo AS (SELECT kx, sum(w) AS a, sum(w * u) AS b, sum(w * u * u) AS c, sum(w * u * u * u) AS d, sum(w * u * u * u * u) AS e, sum(w * y) AS p, sum(w * u * y) AS q, sum(w * u * u * y) AS r FROM w GROUP BY kx),
+kf AS (SELECT kx, (p * (c * e - d * d) - b * (q * e - d * r) + c * (q * d - c * r)) / (a * (c * e - d * d) - b * (b * e - d * c) + c * (b * d - c * c)) AS f FROM mo),
+sg AS (SELECT kx AS x0, f AS f0, lead(kx) OVER (ORDER BY kx) AS x1, lead(f) OVER (ORDER BY kx) AS f1, row_number() OVER (ORDER BY kx) AS i FROM kf),
+ft AS (SELECT s.feature_id, s.mean, pow(10, f0 + (log10(s.mean) - x0) * ((f1 - f0) / (x1 - x0))) AS sd FROM st s JOIN sg ON s.var > 0 AND x1 IS NOT NULL AND log10(s.mean) <= x1 AND (log10(s.mean) > x0 OR i = 1))"""
+
+
+@query("H2", f"""WITH {DENSE}, {FITTED}, n AS (SELECT CAST(count(*) AS DOUBLE) AS n FROM cells),
+z AS (SELECT t.feature_id, count(*) AS nz, sum(least((value - mean) / sd, sqrt(n))) AS s, sum(pow(least((value - mean) / sd, sqrt(n)), 2)) AS ss FROM coo o JOIN ft t USING (feature_id) CROSS JOIN n WHERE value <> 0 GROUP BY 1),
+k AS (SELECT f.feature_id, n, coalesce(s, 0) + (n - coalesce(nz, 0)) * (-mean / sd) AS t, coalesce(ss, 0) + (n - coalesce(nz, 0)) * (mean / sd) * (mean / sd) AS q FROM features f LEFT JOIN ft USING (feature_id) LEFT JOIN z USING (feature_id) CROSS JOIN n)
+SELECT feature_id, round(coalesce((q - t * t / n) / (n - 1), 0.0), 6) AS metric FROM k""")
+def h2(spark, sf, matrix=a.cust_part):
     return hvg.vst(matrix(spark, sf)).select("feature_id", *r6("metric"))
 
 
@@ -244,7 +262,10 @@ def h4(spark, sf):
     return hvg.mean_var_plot(a.cust_part(spark, sf)).select("feature_id", *r6("metric"))
 
 
-@query("H5")
+@query("H5", f"""WITH RECURSIVE {DENSE}, {RELATIVE}, no AS (SELECT avg(1.0 / t) AS nolan FROM (SELECT sum(value) AS t FROM coo GROUP BY cell_id)),
+bi AS (SELECT 0 AS i, CAST(0 AS DOUBLE) AS lo, CAST(8 AS DOUBLE) AS hi UNION ALL SELECT i + 1, CASE WHEN p > 0.1 / (SELECT count(*) FROM features) THEN mid ELSE lo END, CASE WHEN p > 0.1 / (SELECT count(*) FROM features) THEN hi ELSE mid END FROM (SELECT *, {{p}} AS p FROM (SELECT *, (lo + hi) / 2 AS mid FROM bi WHERE i < 60))),
+q AS (SELECT lo AS q FROM bi WHERE i = 60)
+SELECT feature_id, round(CASE WHEN var / nolan > mean + q * sqrt(mean * nolan / (SELECT count(*) FROM cells)) AND mean > 0 THEN log10(var) - log10(mean * nolan) ELSE 0.0 END, 6) + 0.0 AS metric FROM st CROSS JOIN no CROSS JOIN q""".replace("{p}", NORMAL_P.format(z="mid")))
 def h5(spark, sf):
     return hvg.saunders(a.cust_part(spark, sf)).select("feature_id", *r6("metric"))
 
@@ -281,6 +302,41 @@ def embedded(spark, sf) -> linalg.LinearEmbedding:
     return linalg.embedding(linalg.centered_copy(a.vector_matrix(spark, sf)), 10)
 
 
+def principal(spark, sf) -> tuple[linalg.CenteredMatrix, linalg.LinearEmbedding]:
+    c = linalg.centered_copy(a.vector_matrix(spark, sf))
+    return c, linalg.embedding(c, 64)
+
+
+@query("E5_variance", f"WITH {VECTOR_COO} SELECT round(sum(v), 6) AS variance FROM (SELECT var_samp(value) AS v FROM coo GROUP BY feature_id)")
+def e5_variance(spark, sf):
+    """The squares of all deviations add up to the variance of all features."""
+    return principal(spark, sf)[1].stdev.agg(F.sum(F.col("stdev") * F.col("stdev")).alias("variance")).select(*r6("variance"))
+
+
+@query("E5_products", "SELECT CAST(p AS INTEGER) AS p, CAST(q AS INTEGER) AS q, CAST(p = q AS DOUBLE) AS loadings, CAST(p = q AS DOUBLE) AS coordinates FROM range(1, 65) x(p), range(1, 65) y(q)")
+def e5_products(spark, sf):
+    """Loadings are orthonormal, and coordinates orthogonal with the deviations as lengths."""
+    c, e = principal(spark, sf)
+    n = c.matrix.n_cells().select((F.col("n_cells") - 1).alias("m"))
+    inner = lambda t, key: t.select(key, F.col("pc").alias("p"), F.col("value").alias("x")).join(t.select(key, F.col("pc").alias("q"), F.col("value").alias("y")), key).groupBy("p", "q").agg(F.sum(F.col("x") * F.col("y")).alias("s"))
+    dev = lambda k: e.stdev.select(F.col("pc").alias(k), F.col("stdev").alias(f"d{k}"))
+    own = inner(e.coordinates, "cell_id").join(dev("p"), "p").join(dev("q"), "q").crossJoin(n).select("p", "q", (F.col("s") / (F.col("dp") * F.col("dq") * F.col("m"))).alias("coordinates"))
+    return inner(e.loadings, "feature_id").withColumnRenamed("s", "loadings").join(own, ["p", "q"]).select("p", "q", *r6("loadings", "coordinates"))
+
+
+@query("E5_residual", f"WITH {VECTOR_COO} SELECT feature_id, CAST(p AS INTEGER) AS pc, 0.0 AS residual FROM features CROSS JOIN range(1, 65) x(p)")
+def e5_residual(spark, sf):
+    """What is left of G v - s^2 v, over the sum of all s^2: loadings are eigenvectors of the Gram matrix."""
+    c, e = principal(spark, sf)
+    g = linalg.gram(c)
+    both = g.unionByName(g.filter("i <> j").select(F.col("j").alias("i"), F.col("i").alias("j"), "value"))
+    v = e.loadings.select(F.col("feature_id").alias("j"), "pc", F.col("value").alias("x"))
+    gv = both.join(v, "j").groupBy(F.col("i").alias("feature_id"), "pc").agg(F.sum(F.col("value") * F.col("x")).alias("gv"))
+    s2 = e.stdev.crossJoin(c.matrix.n_cells()).select("pc", (F.col("stdev") * F.col("stdev") * (F.col("n_cells") - 1)).alias("s2"))
+    total = s2.agg(F.sum("s2").alias("total"))
+    return gv.join(e.loadings, ["feature_id", "pc"]).join(s2, "pc").crossJoin(total).select("feature_id", "pc", ((F.col("gv") - F.col("s2") * F.col("value")) / F.col("total")).alias("residual")).select("feature_id", "pc", *r6("residual"))
+
+
 @query("E5")
 def e5(spark, sf):
     return embedded(spark, sf).stdev
@@ -403,13 +459,13 @@ rk AS (SELECT c.feature_id, c.label, c.n, n_all, r, ties FROM cs c JOIN rs ON rs
 Z = """zz AS (SELECT feature_id, label, CASE WHEN s2 > 1e-12 * n1 * n2 * nn THEN (u - 0.5 * sign(u - mu) - mu) / sqrt(s2) END AS z FROM (SELECT *, n1 * n2 + n1 * (n1 + 1) / 2 - r AS u, n1 * n2 / 2 AS mu, n1 * n2 / 12 * ((nn + 1) - ties / (nn * (nn - 1))) AS s2 FROM (SELECT feature_id, label, CAST(n AS DOUBLE) AS n1, CAST(n_all - n AS DOUBLE) AS n2, CAST(n_all AS DOUBLE) AS nn, r, ties FROM rk)))"""
 
 
-@query("M1", f"WITH {SPARSE}, {RANKS} SELECT feature_id, label, n, n_all, CAST(r AS DOUBLE) AS r, ties FROM rk")
-def m1(spark, sf, matrix=a.cust_part_sparse):
+@query("M1", f"WITH {DENSE}, {RANKS} SELECT feature_id, label, n, n_all, CAST(r AS DOUBLE) AS r, ties FROM rk")
+def m1(spark, sf, matrix=a.cust_part):
     return diffexpr.rank_sums(matrix(spark, sf), a.segment_labels(spark, sf))
 
 
-@query("M3", f"WITH {SPARSE}, {RANKS}, {Z} SELECT feature_id, label, round(z, 6) + 0.0 AS score FROM zz")
-def m3(spark, sf, matrix=a.cust_part_sparse):
+@query("M3", f"WITH {DENSE}, {RANKS}, {Z} SELECT feature_id, label, round(z, 6) + 0.0 AS score FROM zz")
+def m3(spark, sf, matrix=a.cust_part):
     return diffexpr.wilcoxon(matrix(spark, sf), a.segment_labels(spark, sf)).select("feature_id", "label", *r6("score"))
 
 
@@ -418,8 +474,8 @@ WELCH = """wt AS (SELECT feature_id, label, s / n1 - s2 / n2 AS d, v1 / n1 AS a,
 tt AS (SELECT feature_id, label, d / nullif(sqrt(a + b), 0) AS score, CASE WHEN a + b > 0 THEN (a + b) * (a + b) / (a * a / (n1 - 1) + b * b / (n2 - 1)) END AS df FROM wt)"""
 
 
-@query("M6", f"WITH {SPARSE}, {CLASS}, {WELCH} SELECT feature_id, label, round(score, 6) + 0.0 AS score, round(df, 6) AS df FROM tt")
-def m6(spark, sf, matrix=a.cust_part_sparse):
+@query("M6", f"WITH {DENSE}, {CLASS}, {WELCH} SELECT feature_id, label, round(score, 6) + 0.0 AS score, round(df, 6) AS df FROM tt")
+def m6(spark, sf, matrix=a.cust_part):
     return diffexpr.welch(matrix(spark, sf), a.segment_labels(spark, sf)).select("feature_id", "label", *r6("score", "df"))
 
 
@@ -432,31 +488,33 @@ def m8(spark, sf):
     return diffexpr.prefilter_markers(a.cust_part(spark, sf), a.segment_labels(spark, sf), min_pct=0.02).select("feature_id", "label", *r6("logfc"))
 
 
-@query("M9", f"WITH {SPARSE}, {RANKS}, {Z}, {LOG_MEANS.format(s='s')} SELECT feature_id, label AS group, round(z, 6) + 0.0 AS score, round(mean_in - mean_rest, 6) + 0.0 AS logfc FROM zz JOIN lm USING (feature_id, label)".replace("AS group", 'AS "group"'))
-def m9(spark, sf, matrix=a.cust_part_sparse):
-    return diffexpr.find_markers(matrix(spark, sf), a.segment_labels(spark, sf)).select("feature_id", "group", *r6("score", "logfc"))
+@query("M9", f"""WITH {DENSE}, {RANKS}, {Z}, {LOG_MEANS.format(s='s')} SELECT feature_id, label AS "group", round(z, 6) + 0.0 AS score, round({NORMAL_P.format(z='z')}, 6) + 0.0 AS pval, round(mean_in - mean_rest, 6) + 0.0 AS logfc FROM zz JOIN lm USING (feature_id, label)""")
+def m9(spark, sf, matrix=a.cust_part):
+    return diffexpr.find_markers(matrix(spark, sf), a.segment_labels(spark, sf)).select("feature_id", "group", *r6("score", "pval", "logfc"))
 
 
-@query("M10", f"""WITH {SPARSE}, {CLASS}, {WELCH}, {LOG_MEANS.format(s='s')}, x AS (SELECT feature_id, label, score, mean_in - mean_rest AS logfc, row_number() OVER (PARTITION BY label ORDER BY score DESC, mean_in - mean_rest DESC, feature_id) AS rank FROM tt JOIN lm USING (feature_id, label) WHERE abs(score) > 1.5)
-SELECT feature_id, label AS "group", round(score, 6) AS score, CAST(rank AS INTEGER) AS rank FROM x WHERE rank <= 50""")
-def m10(spark, sf, matrix=a.cust_part_sparse):
+@query("M10", f"""WITH {DENSE}, {CLASS}, {WELCH}, {LOG_MEANS.format(s='s')}, pv AS (SELECT feature_id, label, score, {T_P.format(t='score', df='df')} AS pval, mean_in - mean_rest AS logfc FROM tt JOIN lm USING (feature_id, label)),
+x AS (SELECT *, row_number() OVER (PARTITION BY label ORDER BY score DESC, logfc DESC, feature_id) AS rank FROM pv WHERE pval < 0.01)
+SELECT feature_id, label AS "group", round(score, 6) AS score, round(pval, 6) + 0.0 AS pval, CAST(rank AS INTEGER) AS rank FROM x WHERE rank <= 50""")
+def m10(spark, sf, matrix=a.cust_part):
     de = diffexpr.find_markers(matrix(spark, sf), a.segment_labels(spark, sf), method="t")
-    if matrix is a.cust_part:
-        return diffexpr.filter_rank_markers(de, count=50).select("feature_id", "group", *r6("score"), "rank")
-    # The limit on p stands aside here, so that plain SQL can follow: |t| > 1.5 takes its place.
-    de = de.filter(F.abs("score") > 1.5).withColumn("pval", F.lit(0.0))
-    return diffexpr.filter_rank_markers(de, count=50).select("feature_id", "group", *r6("score"), "rank")
+    return diffexpr.filter_rank_markers(de, count=50).select("feature_id", "group", *r6("score", "pval"), "rank")
 
 
-@query("M11")
+@query("M11", f"""WITH {DENSE}, {RANKS}, {Z}, {FILTERED}, pv AS (SELECT feature_id, label, z, {NORMAL_P.format(z='z')} AS pval, logfc FROM zz JOIN sel USING (feature_id, label))
+SELECT feature_id, label AS "group", round(z, 6) AS score, round(pval, 6) + 0.0 AS pval, round(logfc, 6) AS logfc, CAST(row_number() OVER (PARTITION BY label ORDER BY z DESC, logfc DESC, feature_id) AS INTEGER) AS rank FROM pv WHERE pval < 0.01""")
 def m11(spark, sf):
-    return diffexpr.find_all_markers(a.cust_part(spark, sf), a.segment_labels(spark, sf), min_pct=0.02)
+    return diffexpr.find_all_markers(a.cust_part(spark, sf), a.segment_labels(spark, sf), min_pct=0.02).select("feature_id", "group", *r6("score", "pval", "logfc"), "rank")
 
 
 # Utilities
 
 
-@query("U1")
+@query("U1", """WITH r AS (SELECT p_partkey AS id, p_name AS name, row_number() OVER (PARTITION BY p_name ORDER BY p_partkey) - 1 AS n FROM part),
+used AS (SELECT DISTINCT regexp_extract(name, '^(.*)\\.([1-9][0-9]{0,8})$', 1) AS name, CAST(nullif(regexp_extract(name, '\\.([1-9][0-9]{0,8})$', 1), '') AS BIGINT) AS k FROM r),
+room AS (SELECT name, unnest(range(1, max(n) + 1 + (SELECT count(*) FROM used u WHERE u.k IS NOT NULL AND u.name = r.name))) AS k FROM r GROUP BY name),
+free AS (SELECT name, k, row_number() OVER (PARTITION BY name ORDER BY k) AS n FROM room ANTI JOIN (SELECT * FROM used WHERE k IS NOT NULL) u USING (name, k))
+SELECT id, CASE WHEN r.n = 0 THEN r.name ELSE r.name || '.' || free.k END AS name FROM r LEFT JOIN free ON free.name = r.name AND free.n = r.n""")
 def u1(spark, sf):
     return fl.make_unique(a.table(spark, sf, "part").select(F.col("p_partkey").alias("id"), F.col("p_name").alias("name")))
 
@@ -473,7 +531,7 @@ def u3(spark, sf):
 
 @query("U4", "SELECT c_custkey AS id, CASE WHEN c_acctbal > -500 AND c_acctbal <= 0 THEN 1 WHEN c_acctbal > 0 AND c_acctbal <= 2500.5 THEN 2 WHEN c_acctbal > 2500.5 AND c_acctbal <= 8000 THEN 3 ELSE 0 END AS bin FROM customer")
 def u4(spark, sf):
-    return a.table(spark, sf, "customer").select(F.col("c_custkey").alias("id"), fl.cut(F.col("c_acctbal"), [0, -500, 8000, 2500.5]).alias("bin"))
+    return a.table(spark, sf, "customer").select(F.col("c_custkey").alias("id"), fl.interval(F.col("c_acctbal"), [0, -500, 8000, 2500.5]).alias("bin"))
 
 
 @query("U5", f"WITH e AS (SELECT min(p_retailprice) AS lo, max(p_retailprice) AS hi FROM part), p AS (SELECT p_partkey AS id, p_retailprice AS x, lo, hi FROM part CROSS JOIN e) SELECT id, CASE WHEN hi = lo THEN 1 {BINS} ELSE 0 END AS bin FROM p")
@@ -481,6 +539,11 @@ def u5(spark, sf):
     return fl.cut_width(a.table(spark, sf, "part").select(F.col("p_partkey").alias("id"), F.col("p_retailprice").alias("x")), "x", 20).select("id", "bin")
 
 
+@query("U5_frequency", "WITH e AS (SELECT quantile_cont(p_retailprice, [i / 10.0 for i in range(0, 11)]) AS q FROM part) SELECT p_partkey AS id, CAST(CASE WHEN p_retailprice = q[1] THEN 1 ELSE len([b for b in q if b < p_retailprice]) END AS INTEGER) AS bin FROM part CROSS JOIN e")
+def u5_frequency(spark, sf):
+    return fl.cut_frequency(a.table(spark, sf, "part").select(F.col("p_partkey").alias("id"), F.col("p_retailprice").alias("x")), "x", 11).select("id", "bin")
+
+
 @query("U6", "SELECT n_name AS name, CAST(i AS INTEGER) AS copy FROM nation, unnest(range(1, 4)) AS r(i)")
 def u6(spark, sf):
     return fl.rep_each(a.table(spark, sf, "nation").select(F.col("n_name").alias("name")), 3)
@@ -499,8 +562,8 @@ def u8(spark, sf):
 # Data behind plots
 
 
-@query("V1", f"WITH {SPARSE}, {NORM.format(scale='100.0')}, m AS (SELECT f.feature_id, coalesce(sum(n.value), 0.0) / (SELECT count(*) FROM cells) AS mean FROM features f LEFT JOIN n ON n.feature_id = f.feature_id WHERE f.feature_id NOT IN (SELECT p_partkey FROM part WHERE p_size = 1) GROUP BY 1) SELECT feature_id, round(mean, 6) AS mean, CAST(row_number() OVER (ORDER BY mean DESC, feature_id) AS INTEGER) AS rank FROM m QUALIFY rank <= 10")
-def v1(spark, sf, matrix=a.cust_part_sparse):
+@query("V1", f"WITH {DENSE}, {NORM.format(scale='100.0')}, m AS (SELECT f.feature_id, coalesce(sum(n.value), 0.0) / (SELECT count(*) FROM cells) AS mean FROM features f LEFT JOIN n ON n.feature_id = f.feature_id WHERE f.feature_id NOT IN (SELECT p_partkey FROM part WHERE p_size = 1) GROUP BY 1) SELECT feature_id, round(mean, 6) AS mean, CAST(row_number() OVER (ORDER BY mean DESC, feature_id) AS INTEGER) AS rank FROM m QUALIFY rank <= 10")
+def v1(spark, sf, matrix=a.cust_part):
     drop = a.table(spark, sf, "part").filter("p_size = 1").select(F.col("p_partkey").alias("feature_id"))
     return plots.highest_expressed(matrix(spark, sf), 10, drop).select("feature_id", *r6("mean"), "rank")
 
@@ -527,8 +590,8 @@ def v5(spark, sf):
     return plots.group_values(m, a.segment_labels(spark, sf), top, 1)
 
 
-@query("V6", f"WITH {SPARSE}, {CLASS} SELECT feature_id, label, n - above AS zeros, above AS positive, round(s / n, 6) AS mean FROM cs")
-def v6(spark, sf, matrix=a.cust_part_sparse):
+@query("V6", f"WITH {DENSE}, {CLASS} SELECT feature_id, label, n - above AS zeros, above AS positive, round(s / n, 6) AS mean FROM cs")
+def v6(spark, sf, matrix=a.cust_part):
     return plots.violin(matrix(spark, sf), a.segment_labels(spark, sf)).select("feature_id", "label", "zeros", "positive", *r6("mean"))
 
 
@@ -538,11 +601,3 @@ def v6(spark, sf, matrix=a.cust_part_sparse):
 @query("X1", "SELECT date_trunc('hour', ts) AS window_start, user_id AS cell, event_type AS feature, count(*) AS value FROM events GROUP BY 1, 2, 3")
 def x1(spark, sf):
     return windowed_counts(a.table(spark, sf, "events"))
-
-
-# The queries on the sparse subset once more, on the matrix of all line items and with the operators' own limits.
-
-#: Ids of the queries that take the matrix as an argument; each is also registered as ID_whole, without SQL.
-WHOLE = [name for name, f in QUERIES.items() if "matrix" in inspect.signature(f).parameters]
-for _name in WHOLE:
-    QUERIES[f"{_name}_whole"] = partial(QUERIES[_name], matrix=a.cust_part)

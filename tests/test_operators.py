@@ -266,3 +266,49 @@ def test_cluster_query_takes_the_best_of_ten_starts(spark, monkeypatch):
     found = {r.cell_id: r.label for r in queries.QUERIES["G6"](spark, "").collect()}
     assert seeds == list(range(10))
     assert len({found[i] for i in range(3)}) == 1 and len(set(found.values())) == 2
+
+
+def test_truncated_svd_by_krylov_steps(spark, monkeypatch):
+    """Many features: the leading values of a full decomposition, and fewer passes from a good start."""
+    r = np.random.default_rng(5)
+    x = r.poisson(0.2, (300, 150)) * (1 + 20 / (1 + np.arange(150)))
+    entries = [(int(i), int(j), float(x[i, j])) for i, j in zip(*np.nonzero(x))]
+    coo = spark.createDataFrame(entries, "cell_id long, feature_id long, value double")
+    m = CountMatrix(coo.repartition(40), spark.range(300).select(F.col("id").alias("cell_id")), spark.range(150).select(F.col("id").alias("feature_id")))
+    c = linalg.centered_copy(m)
+    calls = []
+    plain = linalg.gram_times
+    monkeypatch.setattr(linalg, "gram_times", lambda *a: calls.append(1) or plain(*a))
+    s, v, ids = linalg.truncated_svd(c, 6, tol=1e-9)
+    u, want, vt = np.linalg.svd(x - x.mean(0), full_matrices=False)
+    assert np.allclose(s, want[:6], rtol=1e-9) and ids == list(range(150))
+    assert np.allclose(np.abs((v * vt[:6].T).sum(0)), 1, atol=1e-6)
+    first = len(calls)
+    again, _, _ = linalg.truncated_svd(c, 6, tol=1e-9, start=v)
+    assert np.allclose(again, want[:6], rtol=1e-9) and len(calls) - first < first
+    e = linalg.pca(c, 6)
+    got = np.zeros((300, 6))
+    for row in e.coordinates.collect():
+        got[row.cell_id, row.pc - 1] = row.value
+    assert np.allclose(np.abs(got), np.abs(u[:, :6] * want[:6]), atol=1e-5)
+
+
+def test_variance_keeps_digits_of_large_means(spark):
+    values = [1e9, 1e9 + 1, 1e9 + 2]
+    coo = spark.createDataFrame([(i, 0, v) for i, v in enumerate(values)], "cell_id long, feature_id long, value double")
+    m = CountMatrix(coo, spark.range(3).select(F.col("id").alias("cell_id")), spark.range(1).select(F.col("id").alias("feature_id")))
+    labels = spark.range(3).select(F.col("id").alias("cell_id"), F.lit(1).alias("label"))
+    assert stats.feature_stats(m).first().var == 1.0 and stats.class_stats(m, labels).first().var == 1.0
+    d = spark.createDataFrame([(i, 0, 1e9 + i % 3 + (i >= 6)) for i in range(12)], "cell_id long, feature_id long, value double")
+    two = spark.range(12).select(F.col("id").alias("cell_id"), F.when(F.col("id") < 6, 1).otherwise(2).alias("label"))
+    got = diffexpr.welch(CountMatrix(d, spark.range(12).select(F.col("id").alias("cell_id")), m.features), two).filter("label = 2").first()
+    x = np.array([0, 1, 2, 0, 1, 2.0])
+    assert abs(got.score - 1 / np.sqrt(2 * x.var(ddof=1) / 6)) < 1e-6
+
+
+def test_neighbours_in_blocks(spark):
+    r = np.random.default_rng(3)
+    x = r.integers(-2, 3, (300, 5)) / 2.0
+    df = spark.createDataFrame([(i, [float(v) for v in x[i]]) for i in range(300)], "cell_id long, vector array<float>").repartition(6)
+    key = lambda d: sorted((q.cell_id, q.rank, q.neighbour_id) for q in d.collect())
+    assert key(neighbours.nearest_neighbours(df, 7, block_rows=40)) == key(neighbours.nearest_neighbours(df, 7))
