@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import gc
-import tempfile
 import uuid
 from pathlib import Path
 
@@ -12,54 +10,17 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..storage import cut, free, shared_dir  # noqa: F401
+
 #: Bytes of a batch that Spark hands to a Python worker, and of text that is worked on together.
 BATCH = 4 << 20
 ROOT = str(Path(__file__).resolve().parents[2])
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share, from ``spark.checkpoint.dir``.
-
-    Only where that setting is missing and all run on one machine (as in local
-    tests) one is made; elsewhere a missing setting is an error.
-    """
-    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
-    if not found:
-        if not spark.sparkContext.master.startswith("local"):
-            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-        found = "file://" + tempfile.mkdtemp(prefix="tallyframe-")
-        spark.conf.set("spark.checkpoint.dir", found)
-    return found.rstrip("/")
-
-
 def fresh_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
 
-def cut(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` into the shared folder and read it back.
-
-    Cuts the lineage: a lost executor costs a re-read, not the work before.
-    :func:`free` deletes the table when it has served.
-    """
-    path = fresh_path(df.sparkSession, name)
-    df.write.parquet(path)
-    # Shuffle files go when the driver's garbage collector finds their plans unused.
-    gc.collect()
-    df.sparkSession.sparkContext._jvm.System.gc()
-    out = df.sparkSession.read.schema(df.schema).parquet(path)
-    out.cut_path = path
-    return out
-
-
-def free(*frames: DataFrame) -> None:
-    """Delete the tables behind frames that :func:`cut` returned; nothing may read them any more."""
-    for df in frames:
-        sc = df.sparkSession.sparkContext
-        path = sc._jvm.org.apache.hadoop.fs.Path(df.cut_path)
-        path.getFileSystem(sc._jsc.hadoopConfiguration()).delete(path, True)
-
-
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     ship(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
