@@ -8,10 +8,10 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import LongType, StringType, StructField, StructType
 
+from ..functions.labels import running
 from ..matrix import CountMatrix
 from .errors import LayoutError, MatrixParseError
 from .names import convert_counts
@@ -83,9 +83,12 @@ def read_mm(spark: SparkSession, path: str) -> tuple[Header, DataFrame]:
 
 def line_numbers(spark: SparkSession, path: str) -> DataFrame:
     """(id, value): the lines of a file with 1-based numbers in file order."""
-    schema = StructType([StructField("value", StringType()), StructField("id", LongType(), False)])
-    rows = spark.read.text(path).rdd.zipWithIndex().map(lambda r: (r[0].value, r[1] + 1))
-    return spark.createDataFrame(rows, schema).select("id", "value")
+    place = F.monotonically_increasing_id()
+    rows = spark.read.text(path).select("value", F.shiftright(place, 33).alias("part"), place.bitwiseAND(F.lit((1 << 33) - 1)).alias("at"))
+    # One number a task, never one a line.
+    counts = rows.groupBy("part").agg(F.count("*").alias("n"))
+    before = counts.select("part", (F.sum("n").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, 0)) - F.col("n")).alias("before"))
+    return rows.join(F.broadcast(before), "part").select((F.col("before") + F.col("at") + 1).alias("id"), "value")
 
 
 def names_file(spark: SparkSession, path: str, column: int) -> DataFrame:
@@ -143,8 +146,9 @@ def read_dge(spark: SparkSession, path: str, unique_features: bool = True) -> Co
     comments = line_numbers(spark, path).filter(F.col("value").startswith("%%"))
 
     def names(tag: str) -> DataFrame:
-        parts = comments.filter(F.col("value").startswith(tag)).select("id", F.posexplode(F.slice(F.split("value", "\t"), 2, 2**30)).alias("at", "name"))
-        return parts.rdd.map(lambda r: ((r.id, r["at"]), r["name"])).sortByKey().values().zipWithIndex().map(lambda r: (r[1] + 1, r[0])).toDF("id long, name string")
+        lists = comments.filter(F.col("value").startswith(tag)).select("id", F.slice(F.split("value", "\t"), 2, 2**30).alias("names"))
+        placed = running(lists, "id", F.size("names")).select((F.col("upto") - F.size("names")).alias("before"), F.posexplode("names").alias("at", "name"))
+        return placed.select((F.col("before") + F.col("at") + 1).alias("id"), "name")
 
     return assemble(entries, names("%%GENES"), names("%%CELL_BARCODES"), unique_features)
 

@@ -12,6 +12,7 @@ from tallyframe.functions.special import normal_two_sided, t_two_sided
 from tallyframe.matrix import CountMatrix
 from tallyframe.operators import diffexpr, filtering, graph, hvg, linalg, metrics, neighbours, normalize, stats
 from tallyframe.sources import errors, files, hdf5, names, text_formats
+from tests.recorded import Recorded
 
 
 @pytest.fixture(scope="module")
@@ -312,3 +313,35 @@ def test_neighbours_in_blocks(spark):
     df = spark.createDataFrame([(i, [float(v) for v in x[i]]) for i in range(300)], "cell_id long, vector array<float>").repartition(6)
     key = lambda d: sorted((q.cell_id, q.rank, q.neighbour_id) for q in d.collect())
     assert key(neighbours.nearest_neighbours(df, 7, block_rows=40)) == key(neighbours.nearest_neighbours(df, 7))
+
+
+def test_hdf5_layouts_by_a_recorded_interface(spark, tmp_path):
+    """Each reader on arrays stored by the layout; the executors read them through the same interface."""
+    r = np.random.default_rng(2)
+    x = r.poisson(0.6, (7, 5))  # features by cells
+    ptr = np.concatenate([[0], np.cumsum((x > 0).sum(0))])
+    index = np.concatenate([np.flatnonzero(x[:, c]) for c in range(5)])
+    data = np.concatenate([x[x[:, c] > 0, c] for c in range(5)])
+    genes, cells = np.array([b"g1", b"g2", b"g2", b"g4", b"g5", b"g6", b"g7"], object), np.array([f"c{i}".encode() for i in range(5)], object)
+    want = {(c + 1, f + 1, float(x[f, c])) for f in range(7) for c in range(5) if x[f, c]}
+    names = ["g1", "g2", "g2.1", "g4", "g5", "g6", "g7"]
+
+    def check(m):
+        assert {(q.cell_id, q.feature_id, float(q.value)) for q in m.coo.collect()} == want
+        assert [q.name for q in m.features.orderBy("feature_id").collect()] == names
+        assert [q.name for q in m.cells.orderBy("cell_id").collect()] == [f"c{i}" for i in range(5)]
+
+    store = lambda name, **arrays: (np.savez(tmp_path / name, **arrays), str(tmp_path / f"{name}.npz"))[1]
+    sparse = lambda g: {f"{g}/indptr": ptr, f"{g}/indices": index, f"{g}/data": data}
+    check(hdf5.read_10x_h5(spark, store("tenx", **sparse("mm10"), **{"mm10/gene_names": genes, "mm10/barcodes": cells}), opener=Recorded))
+    check(hdf5.read_10x_h5(spark, store("tenx3", **sparse("mm10"), **{"mm10/features/name": genes, "mm10/barcodes": cells}), opener=Recorded))
+    check(hdf5.read_h5(spark, store("plain", **sparse("counts"), **{"counts/rownames": genes, "counts/colnames": cells}), opener=Recorded))
+    check(hdf5.read_h5ad(spark, store("csr", **sparse("X"), **{"X@encoding-type": "csr_matrix", "obs/_index": cells, "var/_index": genes}), opener=Recorded))
+    # The other orientation: columns of the stored matrix are features.
+    ptr2 = np.concatenate([[0], np.cumsum((x > 0).sum(1))])
+    index2, data2 = np.concatenate([np.flatnonzero(x[f]) for f in range(7)]), np.concatenate([x[f][x[f] > 0] for f in range(7)])
+    check(hdf5.read_h5ad(spark, store("csc", **{"X/indptr": ptr2, "X/indices": index2, "X/data": data2, "X@h5sparse_format": "csc", "obs/_index": cells, "var/_index": genes}), opener=Recorded))
+    check(hdf5.read_loom(spark, store("loom", **{"matrix": x, "col_attrs/CellID": cells, "row_attrs/Gene": genes}), step=3, opener=Recorded))
+    frame = store("frame", **{"obs@column-order": np.array(["kind", "depth"], object), "obs/_index": cells, "obs/kind": np.array([0, 1, -1, 1, 0]), "obs/depth": np.array([1.5, 2, 3, 4, 5]), "obs/__categories/kind": np.array([b"a", b"b"], object)})
+    got = [tuple(q) for q in hdf5.read_frame(spark, frame, "obs", step=2, opener=Recorded).orderBy("id").collect()]
+    assert got == [(i + 1, f"c{i}", k, d) for i, (k, d) in enumerate(zip(["a", "b", None, "b", "a"], [1.5, 2.0, 3.0, 4.0, 5.0]))]
