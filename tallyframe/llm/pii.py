@@ -12,6 +12,7 @@ from __future__ import annotations
 import hashlib
 import random
 import re
+from bisect import bisect_left
 
 import numpy as np
 import pyarrow as pa
@@ -264,6 +265,24 @@ def digest(spans: list[tuple[int, int, int]]) -> str:
     return ",".join(f"{KINDS[k]}:{a}:{e}" for k, a, e in sorted(spans))
 
 
+def apart(base: list[tuple[int, int, int]], spans: list[tuple[int, int, int]]) -> list[tuple[int, int, int]]:
+    """The spans, in order of their start, that overlap neither ``base`` nor one kept before."""
+    starts, ends = [], []
+    for _, a, e in sorted(base, key=lambda x: x[1:]):
+        if starts and a < ends[-1]:
+            ends[-1] = max(e, ends[-1])
+        else:
+            starts.append(a)
+            ends.append(e)
+    out, last = [], 0
+    for k, a, e in sorted(spans, key=lambda x: x[1]):
+        i = bisect_left(starts, e) - 1
+        if a >= last and (i < 0 or ends[i] <= a):
+            out.append((k, a, e))
+            last = e
+    return out
+
+
 def scanner(field: Field):
     def run(batches):
         for b in batches:
@@ -271,10 +290,7 @@ def scanner(field: Field):
             for text in b.column(1).to_pylist():
                 text = text or ""
                 base = base_spans(text)
-                more = []
-                for k, a, e in model_spans(text, field):
-                    if not any(s < e and a < t for _, s, t in base) and not any(s < e and a < t for _, s, t in more):
-                        more.append((k, a, e))
+                more = apart(base, model_spans(text, field))
                 rows.append((*(sum(x[0] == k for x in base) for k in range(4)), hashlib.sha256(digest(base).encode()).hexdigest(), digest(base + more)))
             columns = list(zip(*rows)) if rows else [()] * 6
             yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array(c, pa.int64()) for c in columns[:4]), *(pa.array(c, pa.string()) for c in columns[4:])], ["doc_id", *(f"n_{k}" for k in KINDS), "base_sha256", "spans"])

@@ -2,6 +2,9 @@
 
 import hashlib
 import math
+import os
+import shutil
+import subprocess
 import sys
 
 import duckdb
@@ -70,6 +73,25 @@ def test_query_matches_sql(spark, name):
     assert values(got.fetchall(), columns) == values(rows, df.columns)
 
 
+def test_the_rest_works_when_this_subpackage_is_deleted(tmp_path):
+    """A copy of the repository without the llm folders and the pipeline lists and runs its other queries."""
+    root = os.path.dirname(os.path.abspath(__spark_entry__.__file__))
+    copy = tmp_path / "repo"
+    shutil.copytree(root, copy, ignore=shutil.ignore_patterns(".git", "llm", "corpus_pipeline.py", "__pycache__", ".pytest_cache"))
+    assert not (copy / "tallyframe" / "llm").exists() and not (copy / "tests" / "llm").exists()
+    code = f"""
+import __spark_entry__ as e
+from pyspark.sql import SparkSession
+names = e.queries()
+assert "H3" in names and not any(k.startswith("op") or k == "pipeline" for k in names) and set(e.oracle_sql()) <= set(names)
+spark = SparkSession.builder.master("local[2]").config("spark.ui.enabled", "false").config("spark.sql.shuffle.partitions", "2").getOrCreate()
+assert names["U6"](spark, "{DATA}/sf0.001").count() == 75 and e.entry(spark).columns
+"""
+    env = {**os.environ, "PYTHONPATH": str(copy)}
+    done = subprocess.run([sys.executable, "-c", code], cwd=copy, env=env, capture_output=True, text=True, timeout=300)
+    assert done.returncode == 0, done.stderr[-2000:]
+
+
 def test_entry_works_without_this_subpackage(monkeypatch):
     for k in [k for k in sys.modules if k.startswith("tallyframe.llm") or k == "corpus_pipeline"]:
         monkeypatch.delitem(sys.modules, k)

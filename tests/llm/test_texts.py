@@ -11,6 +11,7 @@ import numpy as np
 import pyarrow.parquet as pq
 import public_tokenizers
 import pytest
+from pyspark.sql import functions as F
 
 from tallyframe.llm import byte_bpe, pii, secret_scan, sharding, toxicity, wavelet
 from tallyframe.llm.shared import fresh_path
@@ -279,6 +280,30 @@ def test_markov_model_tells_random_from_names(spark, make_docs):
     assert sum(got[i + 101] for i in range(len(names))) == 0
 
 
+def test_markov_ratio_equals_a_loop(spark, make_docs):
+    """The tables from counted pairs and the ratio of whole strings, pair by pair."""
+    r = random.Random(3)
+    rows = [(k, "".join(r.choice(secret_scan.ALPHABET[:20] if k else "abcxyz_é") for _ in range(r.randint(1, 30)))) for k in (0, 1) for _ in range(60)] + [(0, None), (1, "")]
+    place = {c: i + 1 for i, c in enumerate(secret_scan.ALPHABET)}
+    cells = lambda w: [a * secret_scan.SIZE + b for a, b in zip([0, *(place.get(c, 0) for c in w)], (place.get(c, 0) for c in w))]
+    counts = [[0.5] * secret_scan.SIZE**2 for _ in range(2)]
+    for k, w in rows:
+        for c in cells(w or ""):
+            counts[k][c] += 1
+    share = lambda k, c: counts[k][c] / sum(counts[k][c - c % secret_scan.SIZE :][: secret_scan.SIZE])
+    want = [np.log(share(1, c) / share(0, c)) for c in range(secret_scan.SIZE**2)]
+    table = secret_scan.train(spark.createDataFrame(rows, "label int, s string"))
+    assert np.allclose(table, want, atol=1e-6)
+    words = ["".join(r.choice(secret_scan.ALPHABET) for _ in range(r.randint(16, 40))) for _ in range(50)]
+    df = spark.createDataFrame([(w,) for w in words], "w string")
+    got = {x.w: x.r for x in df.select("w", secret_scan.ratio(F.col("w"), F.array(*map(F.lit, table))).alias("r")).collect()}
+    assert all(abs(got[w] - sum(table[c] for c in cells(w))) < 1e-9 for w in words)
+    found = {x.doc_id: x.n_markov for x in secret_scan.scan(make_docs([f". {w} ." for w in words]), table).collect()}
+    for i, w in enumerate(words, 1):
+        score = sum(table[c] for c in cells(w))
+        assert found[i] == (score > max(secret_scan.MIN_RATIO, secret_scan.MIN_PER_CHAR * len(w))), w
+
+
 def test_secret_edge_cases(hard, empty):
     rows = secret_scan.scan(hard).collect()
     assert len(rows) == len(HARD) and all(r.n_assign == 0 for r in rows)
@@ -319,6 +344,56 @@ def test_field_on_windows_it_was_not_trained_on():
     assert right / found > 0.85 and right / there > 0.85
 
 
+def segmentations(bounds, found, at=0):
+    """Every way to cut the tokens from ``at`` on into plain tokens and candidate segments: lists of (first, last, kind)."""
+    if at == len(bounds):
+        yield []
+        return
+    for rest in segmentations(bounds, found, at + 1):
+        yield rest
+    for (i, j) in found:
+        if i == at:
+            for rest in segmentations(bounds, found, j + 1):
+                for k in range(len(pii.KINDS)):
+                    yield [(i, j, k), *rest]
+
+
+def test_field_equals_enumeration_of_all_segmentations():
+    field = pii.Field().fit(pii.labelled_windows(60), epochs=1)
+    seen = 0
+    for text in ["a@b.de", "x at y dot com", "12.34.56.78", "555-1234-567 ok", "+1 555 123", "call 1234567", "me@a.io 1.2.3.4"]:
+        bounds, found = field.segments(text)
+        every = list(segmentations(bounds, found))
+        score = lambda s: sum(field.score(k, found[i, j]) for i, j, k in s)
+        scores = np.array([score(s) for s in every])
+        best = every[int(scores.argmax())]
+        got = field.decode(text)
+        key = {(k, bounds[i][0], bounds[j][1]): (i, j, k) for i, j in found for k in range(len(pii.KINDS))}
+        assert abs(score([key[x] for x in got]) - scores.max()) < 1e-6, text
+        weight = np.exp(scores - np.logaddexp.reduce(scores))
+        want = {}
+        for s, p in zip(every, weight):
+            for x in s:
+                want[x] = want.get(x, 0.0) + p
+        gold = {(k, bounds[i][0], bounds[j][1]) for i, j, k in best}
+        for k, features, p, is_gold in field.posterior(text, gold):
+            assert any(found[x[:2]] == features and abs(want[x] - p) < 1e-6 for x in want if x[2] == k), text
+            seen += is_gold
+    assert seen >= 3
+
+
+def test_spans_apart_equal_a_plain_search():
+    r = random.Random(5)
+    for _ in range(300):
+        span = lambda: (r.randrange(4), a := r.randrange(60), a + r.randint(1, 9))
+        base, spans = [span() for _ in range(r.randrange(6))], sorted((span() for _ in range(r.randrange(8))), key=lambda x: x[1])
+        want = []
+        for k, a, e in spans:
+            if not any(s < e and a < t for _, s, t in base + want):
+                want.append((k, a, e))
+        assert pii.apart(base, spans) == want
+
+
 def test_personal_edge_cases(hard, empty):
     rows = pii.find_personal_data(hard).collect()
     assert len(rows) == len(HARD) and all(r.spans == "" for r in rows)
