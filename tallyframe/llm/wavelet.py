@@ -19,7 +19,6 @@ import re
 import struct
 import zlib
 from functools import lru_cache
-from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -34,8 +33,8 @@ MAGIC = b"TWM1"
 STEP = 512
 #: Tokens after which a shard is closed; a document is never split.
 SHARD = 1 << 20
-#: Runs of letters whose ids a task keeps from one block to the next; beyond, it starts anew.
-CACHE = 150_000
+#: Strings whose ids a task keeps from one block to the next (about 40 bytes each); beyond, it starts anew.
+CACHE = 500_000
 BITS = np.array([bin(b).count("1") for b in range(256)], np.uint8)
 SHARD_ROWS = "part int, seq int, local_start long, doc_ids array<long>, lengths array<int>, n_tokens long, payload binary"
 
@@ -167,15 +166,16 @@ class WordEncoder:
 
         self.library = Tokenizer.from_file(path)
         self.added = [t.content for t in self.library.get_added_tokens_decoder().values()]
+        self.special = re.compile("|".join(map(re.escape, self.added)) or "(?!)").search
         low = "a-z\xaa\xb5\xba\xdf-\xf6\xf8-\xff"
         self.runs = re.compile(rf"'s|'t|'re|'ve|'m|'ll|'d|[{low}]+|[0-9\xb2\xb3\xb9\xbc-\xbe]|[^{low}0-9\xb2\xb3\xb9\xbc-\xbe]+").findall
         self.easy = re.compile("[\x21-\x7e\xa1-\xac\xae-\xff]+").fullmatch
         self.forget()
 
     def forget(self) -> None:
-        """Drop the known runs: run -> number, and the ids of number i at flat[start[i] : start[i] + count[i]]."""
-        self.number: dict[str, int] = {}
-        self.flat, self.count = np.zeros(0, np.uint16), np.zeros(0, np.int64)
+        """Drop the known strings: sorted hashes, and the ids of the i-th at flat[starts[i] : starts[i] + counts[i]]."""
+        self.hashes = np.zeros(0, np.uint64)
+        self.starts, self.counts, self.flat = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint16)
 
     def ids(self, strings: list[str], joined: bool = True) -> tuple[np.ndarray, np.ndarray]:
         """Token ids of all strings, one after another, and how many each has.
@@ -185,7 +185,7 @@ class WordEncoder:
         flat, counts = [np.zeros(0, np.uint16)], [np.zeros(0, np.int64)]
         for s in range(0, len(strings), 8192):
             some = strings[s : s + 8192]
-            groups = [some[i : i + 256] for i in range(0, len(some), 256)] if joined else [[x] for x in some]
+            groups = [some[i : i + 1024] for i in range(0, len(some), 1024)] if joined else [[x] for x in some]
             for group, e in zip(groups, self.library.encode_batch([" ".join(g) for g in groups], add_special_tokens=False)):
                 flat.append(np.array(e.ids, np.uint16))
                 ends = np.cumsum(np.fromiter(map(len, group), np.int64, len(group)) + 1)
@@ -203,44 +203,53 @@ class WordEncoder:
                 i = raw.find(token.encode(), int(ends[k]))
         return hashes
 
+    def learn(self, hashes: np.ndarray, strings: list[str]) -> None:
+        """Encode new strings and add them to the known ones."""
+        number: dict[str, int] = {}
+        easy, special, at, n_parts, hard = self.easy, self.special, [], np.ones(len(strings), np.int64), []
+        for i, w in enumerate(strings):
+            if not easy(w) or special(w):
+                # Strings beyond Latin-1 may change length when normalised, so each is encoded alone.
+                hard.append(w)
+                at.append(-len(hard))
+            elif w.isalpha():
+                at.append(number.setdefault(w.lower(), len(number)))
+            else:
+                own = [number.setdefault(r, len(number)) for r in self.runs(w.lower())]
+                n_parts[i] = len(own)
+                at += own
+        flat, counts = (np.concatenate(x) for x in zip(self.ids(list(number)), self.ids(hard, joined=False)))
+        starts, at = np.cumsum(counts) - counts, np.array(at, np.int64)
+        at = np.where(at < 0, len(number) - 1 - at, at)
+        word_counts = segment_sums(counts[at], n_parts)
+        word_starts = np.cumsum(word_counts) - word_counts + len(self.flat)
+        order = np.argsort(all_hashes := np.concatenate([self.hashes, hashes]), kind="stable")
+        self.hashes = all_hashes[order]
+        self.starts, self.counts = np.concatenate([self.starts, word_starts])[order], np.concatenate([self.counts, word_counts])[order]
+        self.flat = np.concatenate([self.flat, gather(flat, starts[at], counts[at])])
+
     def encode(self, column: pa.Array, end: int | None) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts, one after another, each closed by ``end``; and the number of ids of each.
 
-        Distinct strings are told apart by a 64-bit hash within a block.
+        Distinct strings are told apart by a 64-bit hash.
         """
         parts_of = [(self.exact(data.tobytes(), w, starts, ends), at, data, starts, ends) for data, w, at, starts, ends in split_words(column)]
         hashes = np.concatenate([w for w, *_ in parts_of] or [np.zeros(0, np.uint64)])
         n_words = np.concatenate([np.diff(at) for _, at, *_ in parts_of] or [np.zeros(0, np.int64)])
-        _, first, inverse = np.unique(hashes, return_index=True, return_inverse=True)
-        seen: list[str] = [""] * len(first)
-        order, base = np.argsort(first), 0
+        distinct, first, inverse = np.unique(hashes, return_index=True, return_inverse=True)
+        if len(self.hashes) > CACHE:
+            self.forget()
+        new = ~np.isin(distinct, self.hashes, assume_unique=True)
+        places, strings, base = np.sort(first[new]), [], 0
         for w, _, data, starts, ends in parts_of:
-            a, e = np.searchsorted(first, [base, base + len(w)], sorter=order)
-            raw, own = data.tobytes(), order[a:e]
-            for i, x, y in zip(own.tolist(), starts[first[own] - base].tolist(), ends[first[own] - base].tolist()):
-                seen[i] = raw[x:y].decode()
+            own = places[np.searchsorted(places, base) : np.searchsorted(places, base + len(w))] - base
+            raw = data.tobytes()
+            strings += [raw[x:y].decode() for x, y in zip(starts[own].tolist(), ends[own].tolist())]
             base += len(w)
-        if len(self.number) > CACHE:
-            self.forget()
-        easy, at, n_parts, hard, known = self.easy, [], np.ones(len(seen), np.int64), [], len(self.number)
-        for i, w in enumerate(seen):
-            if easy(w) and not any(t in w for t in self.added):
-                own = [self.number.setdefault(r, len(self.number)) for r in self.runs(w.lower())]
-                n_parts[i] = len(own)
-                at += own
-            else:
-                # Strings beyond Latin-1 may change length when normalised, so each is encoded alone.
-                hard.append(w)
-                at.append(-len(hard))
-        flat, counts = self.ids(list(islice(self.number, known, None)))
-        self.flat, self.count = np.concatenate([self.flat, flat]), np.concatenate([self.count, counts])
-        flat, counts = self.ids(hard, joined=False)
-        flat, counts = np.concatenate([self.flat, flat]), np.concatenate([self.count, counts])
-        starts, at = np.cumsum(counts) - counts, np.array(at, np.int64)
-        at = np.where(at < 0, len(self.number) - 1 - at, at)
-        table, word_counts = gather(flat, starts[at], counts[at]), segment_sums(counts[at], n_parts)
-        word_starts = np.cumsum(word_counts) - word_counts
-        tokens, lengths = gather(table, word_starts[inverse], word_counts[inverse]), segment_sums(word_counts[inverse], n_words)
+        self.learn(hashes[places], strings)
+        at = np.searchsorted(self.hashes, distinct)[inverse]
+        counts = self.counts[at]
+        tokens, lengths = gather(self.flat, self.starts[at], counts), segment_sums(counts, n_words)
         if end is None:
             return tokens, lengths
         lengths = lengths + 1
