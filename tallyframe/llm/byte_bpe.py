@@ -22,12 +22,12 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from .shared import text_blocks
+
 #: Characters that the rank file's library takes for \s (Unicode White_Space).
 WHITE = r"\t-\r \x85\xa0" + "".join(map(chr, [0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000]))
-#: Bytes of text replayed together.
-BLOCK = 8 << 20
 #: Words that a task knows before it starts anew.
-CACHE = 200_000
+CACHE = 150_000
 
 
 def plain(pattern: str) -> str:
@@ -183,6 +183,19 @@ def replay(words: list[bytes], m: Merges) -> tuple[np.ndarray, np.ndarray]:
     return sym[alive], np.concatenate([[0], np.cumsum(counts)])
 
 
+def replayed(words: list[bytes], m: Merges, most: int = 1 << 20) -> tuple[np.ndarray, np.ndarray]:
+    """:func:`replay` of about ``most`` bytes of words at a time."""
+    ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)))
+    ids, counts, i = [np.zeros(0, np.int32)], [np.zeros(1, np.int64)], 0
+    while i < len(words):
+        j = max(i + 1, int(np.searchsorted(ends, (ends[i - 1] if i else 0) + most, "right")))
+        some, offsets = replay(words[i:j], m)
+        ids.append(some)
+        counts.append(np.diff(offsets))
+        i = j
+    return np.concatenate(ids), np.cumsum(np.concatenate(counts))
+
+
 class Known:
     """Words that a task has met: word -> number, and the ids of number i at flat[start[i] : start[i] + count[i]]."""
 
@@ -201,7 +214,7 @@ def encode_block(texts: list[str | None], m: Merges, split: Splitter, known: Kno
     words = [w.encode() for w in islice(number, before, None)]
     whole = np.fromiter((m.rank.get(w, -1) for w in words), np.int64, len(words))
     rest = np.flatnonzero(whole < 0)
-    ids, offsets = replay([words[i] for i in rest.tolist()], m)
+    ids, offsets = replayed([words[i] for i in rest.tolist()], m)
     counts = np.ones(len(words), np.int64)
     counts[rest] = np.diff(offsets)
     starts = np.cumsum(counts) - counts
@@ -224,31 +237,15 @@ def decode(ids: list[int], m: Merges) -> bytes:
     return b"".join(map(m.bytes.__getitem__, ids))
 
 
-def blocks(batches, most: int = BLOCK, text_at: int = 1):
-    """Row groups of about ``most`` bytes of text (column ``text_at``) from a stream of batches."""
-    held, size = [], 0
-    for b in batches:
-        step = max(1, b.num_rows * most // (4 * max(1, b.column(text_at).nbytes)))
-        for s in range(0, b.num_rows, step):
-            part = b.slice(s, step)
-            held.append(part)
-            size += part.column(text_at).nbytes
-            if size >= most:
-                yield pa.Table.from_batches(held)
-                held, size = [], 0
-    if held:
-        yield pa.Table.from_batches(held)
-
-
 def mapper(path: str, pattern: str, finish):
     """A mapInArrow function: encode blocks and let ``finish`` turn (key, ids, merges) into a batch."""
 
     def run(batches):
         m, split, known = merges(path), splitter(pattern), Known()
-        for t in blocks(batches):
+        for t in text_blocks(batches):
             if len(known.number) > CACHE:
                 known = Known()
-            yield finish(t.column(0).combine_chunks(), encode_block(t.column(1).to_pylist(), m, split, known), m)
+            yield finish(t.column(0), encode_block(t.column(1).to_pylist(), m, split, known), m)
 
     return run
 

@@ -261,11 +261,11 @@ class Model:
     def __init__(self, kernel, weights, offset, slope, shift, ranks=(1.0,)):
         self.kernel, self.weights, self.offset, self.slope, self.shift, self.ranks = kernel, weights, offset, slope, shift, np.array(ranks)
 
-    def raw(self, words: list[str]) -> np.ndarray:
+    def raw(self, words: list[str], step: int = 8192) -> np.ndarray:
         """What single segments tell, 0 at least."""
         if self.kernel is None or not words:
             return np.zeros(len(words))
-        return told(self.kernel(words) @ self.weights + self.offset)
+        return told(np.concatenate([self.kernel(words[s : s + step]) @ self.weights for s in range(0, len(words), step)]) + self.offset)
 
     def pooled(self, best: np.ndarray) -> np.ndarray:
         """Scores of texts from those of their best segments in falling order, [texts, BEST], filled up with 0."""
