@@ -42,6 +42,14 @@ def cust_part_sparse(spark: SparkSession, sf_dir: str) -> CountMatrix:
     return cust_part(spark, sf_dir, True)
 
 
+def supp_part(spark: SparkSession, sf_dir: str) -> CountMatrix:
+    """Suppliers by parts, summed quantity."""
+    coo = table(spark, sf_dir, "lineitem").groupBy(F.col("l_suppkey").alias("cell_id"), F.col("l_partkey").alias("feature_id")).agg(F.sum("l_quantity").cast("long").alias("value"))
+    cells = table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("cell_id"), F.col("s_name").alias("name"))
+    features = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("feature_id"), F.col("p_name").alias("name"))
+    return CountMatrix(coo, cells, features)
+
+
 def user_event(spark: SparkSession, sf_dir: str) -> CountMatrix:
     """Users by kinds of event, counted; kinds are numbered by name."""
     events = table(spark, sf_dir, "events").select("user_id", "event_type")

@@ -52,7 +52,7 @@ def test_query(spark, duck, name):
         assert all(map(same, x, y)), (x, y)
 
 
-@pytest.mark.parametrize("name", [n for n, f in QUERIES.items() if "matrix" in inspect.signature(f).parameters and n != "S22"])
+@pytest.mark.parametrize("name", [n for n, f in QUERIES.items() if "matrix" in inspect.signature(f).parameters])
 def test_query_with_empty_cells_and_features(spark, duck, name):
     """The same on a matrix of few line items, where many cells and features have no entry."""
     assert DENSE in ORACLES[name]
