@@ -70,8 +70,8 @@ def s19(spark, sf):
 
 @query("S22", f"""WITH {DENSE}, few AS (SELECT cell_id, feature_id, value FROM coo JOIN (SELECT cell_id FROM coo GROUP BY 1 HAVING count(CASE WHEN value > 0 THEN 1 END) >= 30) USING (cell_id)),
 sup AS (SELECT l_suppkey AS cell_id, l_partkey AS feature_id, CAST(sum(l_quantity) AS BIGINT) AS value FROM lineitem GROUP BY 1, 2),
-some AS (SELECT s.* FROM sup s JOIN (SELECT cell_id FROM sup GROUP BY 1 HAVING count(CASE WHEN value > 0 THEN 1 END) >= 30) USING (cell_id)),
-both_sets AS (SELECT 'buy-' || c.name AS cell, feature_id, value FROM few JOIN cells c USING (cell_id) UNION ALL SELECT 'sell-' || s_name, feature_id, value FROM some JOIN supplier ON s_suppkey = cell_id)
+sold AS (SELECT s.* FROM sup s JOIN (SELECT cell_id FROM sup GROUP BY 1 HAVING count(CASE WHEN value > 0 THEN 1 END) >= 30) USING (cell_id)),
+both_sets AS (SELECT 'buy-' || c.name AS cell, feature_id, value FROM few JOIN cells c USING (cell_id) UNION ALL SELECT 'sell-' || s_name, feature_id, value FROM sold JOIN supplier ON s_suppkey = cell_id)
 SELECT cell, f.name AS feature, CAST(sum(value) AS BIGINT) AS value FROM both_sets JOIN features f USING (feature_id) GROUP BY 1, 2""")
 def s22(spark, sf):
     return filtering.merge_datasets({"buy": a.cust_part(spark, sf), "sell": a.supp_part(spark, sf)}, min_features=30)
