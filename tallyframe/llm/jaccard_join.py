@@ -341,5 +341,7 @@ def jaccard_components(docs: DataFrame, width: int = SHINGLE, num: int = NUM, de
 
     tops = groups.join(classes, "node").select("node", "component", "first")
     named = tops.join(tops.groupBy("component").agg(F.min("first").alias("component_id")), "component").select("node", "component_id")
-    named = classes.select("node", "first").join(named, "node", "left").select("node", F.coalesce("component_id", "first").alias("component_id"))
+    # Written first, so that the last join is between plain exchanges and Spark can split a node that very many rows share.
+    named = cut(classes.select("node", "first").join(named, "node", "left").select("node", F.coalesce("component_id", "first").alias("component_id")), "names")
+    free(classes, groups)
     return sizes.select("doc_id", "n_shingles", "node").join(named, "node", "left").select("doc_id", "n_shingles", F.when(F.col("n_shingles") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"))
