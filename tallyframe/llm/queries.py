@@ -129,6 +129,35 @@ r AS (SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY sc
 SELECT * FROM r WHERE rank <= 10
 """
 
+def op12_filter_interaction_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .filter_audit import audit
+
+    return audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+OP12_SQL = rf"""
+WITH d AS (SELECT doc_id, coalesce(lang, '') AS part, coalesce(text, '') AS t FROM documents),
+w AS (SELECT *, regexp_extract_all(t, '[^\x20\x09-\x0D]+') AS ws FROM d),
+fails AS (
+  SELECT doc_id, part, [len(ws) < 100, 100 * len(list_distinct(ws)) < 80 * len(ws),
+    100 * (length(t) - length(translate(t, '{UPPER}', ''))) > 10 * length(t), regexp_matches(t, '[#$%&*|]'), coalesce(doc_id > min(doc_id) OVER (PARTITION BY t), false)] AS f FROM w),
+l AS (SELECT doc_id, coalesce(max(quality = 1), false) AS good, coalesce(max(toxic = 1), false) AS toxic FROM labels GROUP BY 1),
+x AS (SELECT part, f, coalesce(good, false) AS good, coalesce(toxic, false) AS toxic FROM fails LEFT JOIN l USING (doc_id)),
+letter AS (SELECT unnest(['A', 'B', 'C', 'D', 'E']) AS c),
+orders AS (SELECT a.c || b.c || c.c || d.c || e.c AS filter_order FROM letter a, letter b, letter c, letter d, letter e WHERE len(list_distinct([a.c, b.c, c.c, d.c, e.c])) = 5),
+steps AS (SELECT filter_order, CAST(s AS INTEGER) AS step, filter_order[s] AS own, string_split(filter_order[1:s - 1], '') AS before FROM orders, range(1, 6) AS r(s)),
+m AS (SELECT part, list_filter(['A', 'B', 'C', 'D', 'E'], lambda k, i: f[i]) AS failed, count(*) AS n, count(CASE WHEN good THEN 1 END) AS good, count(CASE WHEN toxic THEN 1 END) AS toxic FROM x GROUP BY ALL),
+y AS (
+  SELECT part, filter_order, step, own, CAST(sum(CASE WHEN own NOT IN failed AND NOT list_has_any(failed, before) THEN n ELSE 0 END) AS BIGINT) AS kept,
+    CAST(sum(CASE WHEN own IN failed AND NOT list_has_any(failed, before) THEN n ELSE 0 END) AS BIGINT) AS removed,
+    CAST(sum(CASE WHEN own IN failed AND list_has_any(failed, before) THEN n ELSE 0 END) AS BIGINT) AS redundant,
+    CAST(sum(CASE WHEN failed = [own] THEN n ELSE 0 END) AS BIGINT) AS unique_fails,
+    CAST(sum(CASE WHEN own IN failed AND NOT list_has_any(failed, before) THEN good ELSE 0 END) AS BIGINT) AS good_lost,
+    CAST(sum(CASE WHEN own IN failed AND NOT list_has_any(failed, before) THEN toxic ELSE 0 END) AS BIGINT) AS toxic_lost
+  FROM m CROSS JOIN steps GROUP BY ALL)
+SELECT * EXCLUDE (own), CAST(sum(removed) OVER (PARTITION BY part, own) AS BIGINT) AS shapley FROM y
+"""
+
 QUERIES = {
     f.__name__: f
     for f in (
@@ -142,6 +171,7 @@ QUERIES = {
         op8_byte_bpe,
         op9_winnowed_line_dedup,
         op10_exact_topk,
+        op12_filter_interaction_audit,
     )
 }
 #: The others have no SQL form that could run over whole tables; their tests compare with brute force.
@@ -150,4 +180,5 @@ ORACLES = {
     "op2_size_tiered_sharding": OP2_SQL,
     "op9_winnowed_line_dedup": OP9_SQL,
     "op10_exact_topk": OP10_SQL,
+    "op12_filter_interaction_audit": OP12_SQL,
 }
