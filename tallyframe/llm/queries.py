@@ -129,6 +129,34 @@ r AS (SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY sc
 SELECT * FROM r WHERE rank <= 10
 """
 
+def op11_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .vector_codes import compress
+
+    return compress(table(spark, sf_dir, "embeddings"))
+
+
+def _op11_round(i: int) -> str:
+    """Assignments of all parts by codebook i - 1, and codebook i."""
+    return f"""
+n{i} AS MATERIALIZED (SELECT row, part, arg_min(entry, (d, entry)) AS entry, min(d) AS d FROM (
+  SELECT p.row, p.part, b.entry, list_sum(list_transform(list_zip(p.x, b.x), lambda z: (z[1] - z[2]) * (z[1] - z[2]))) AS d FROM parts p JOIN b{i - 1} b USING (part)) GROUP BY 1, 2),
+u{i} AS MATERIALIZED (SELECT part, entry, list(x ORDER BY i) AS x FROM (
+  SELECT p.part, a.entry, r.i, CAST(floor(sum(p.x[r.i]) / CAST(count(*) AS DOUBLE)) AS BIGINT) AS x FROM parts p JOIN n{i} a USING (row, part), range(1, 9) r(i) GROUP BY 1, 2, 3) GROUP BY 1, 2),
+b{i} AS MATERIALIZED (SELECT b.part, b.entry, coalesce(u.x, b.x) AS x FROM b{i - 1} b LEFT JOIN u{i} u USING (part, entry)),"""
+
+
+OP11_SQL = f"""
+WITH v AS MATERIALIZED (
+  SELECT vec_id, label, row_number() OVER (ORDER BY vec_id) AS row, list_transform(embedding, lambda x: CAST(floor(4096 * CAST(x AS DOUBLE)) AS BIGINT)) AS e FROM embeddings
+  WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+parts AS MATERIALIZED (SELECT row, p AS part, e[p * 8 + 1:p * 8 + 8] AS x FROM v, range(0, 8) r(p)),
+b0 AS MATERIALIZED (SELECT part, row - 1 AS entry, x FROM parts WHERE row <= 16),{"".join(map(_op11_round, range(1, 8)))}
+c AS (SELECT row, string_agg(printf('%02x', entry), '' ORDER BY part) AS code, CAST(sum(d) AS BIGINT) AS error FROM n7 GROUP BY 1),
+h AS (SELECT sha256(string_agg(array_to_string(x, ','), ',' ORDER BY part, entry)) AS codebooks_sha256 FROM b6)
+SELECT vec_id, code, error, CAST(sum(error) OVER (PARTITION BY label) AS BIGINT) AS label_error, codebooks_sha256 FROM c JOIN v USING (row) CROSS JOIN h
+"""
+
+
 def op12_filter_interaction_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .filter_audit import audit
 
@@ -171,6 +199,7 @@ QUERIES = {
         op8_byte_bpe,
         op9_winnowed_line_dedup,
         op10_exact_topk,
+        op11_vector_codes,
         op12_filter_interaction_audit,
     )
 }
@@ -180,5 +209,6 @@ ORACLES = {
     "op2_size_tiered_sharding": OP2_SQL,
     "op9_winnowed_line_dedup": OP9_SQL,
     "op10_exact_topk": OP10_SQL,
+    "op11_vector_codes": OP11_SQL,
     "op12_filter_interaction_audit": OP12_SQL,
 }
