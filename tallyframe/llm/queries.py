@@ -186,6 +186,13 @@ y AS (
 SELECT * EXCLUDE (own), CAST(sum(removed) OVER (PARTITION BY part, own) AS BIGINT) AS shapley FROM y
 """
 
+def op13_naive_bayes_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .quality import quality, train
+
+    docs = table(spark, sf_dir, "documents")
+    return quality(docs, train(docs, table(spark, sf_dir, "labels")))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
@@ -201,6 +208,7 @@ QUERIES = {
         op10_exact_topk,
         op11_vector_codes,
         op12_filter_interaction_audit,
+        op13_naive_bayes_quality,
     )
 }
 #: The others have no SQL form that could run over whole tables; their tests compare with brute force.
