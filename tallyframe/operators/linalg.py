@@ -15,6 +15,8 @@ from ..storage import cut, free
 
 #: Cells that a task multiplies at a time, rows of a partial product that travel together, and partial products added by one task.
 CELLS, ROWS, FAN_IN = 1024, 256, 32
+#: Features up to which the whole matrix is factored in one pass.
+DIRECT = 256
 
 
 def multiply(a: DataFrame, b: DataFrame, alpha: float = 1.0) -> DataFrame:
@@ -66,14 +68,14 @@ def flip_signs(v: np.ndarray) -> np.ndarray:
     return v * np.where(v[np.abs(v).argmax(0), np.arange(v.shape[1])] < 0, -1.0, 1.0)
 
 
-def cell_rows(c: CenteredMatrix) -> DataFrame:
-    """(cell_id, e): every cell with the list of its entries (feature_id, value), cut."""
+def cell_lists(c: CenteredMatrix) -> DataFrame:
+    """(cell_id, e): every cell with the list of its entries (feature_id, value)."""
     entries = c.matrix.coo.groupBy("cell_id").agg(F.collect_list(F.struct("feature_id", F.col("value").cast("double").alias("value"))).alias("e"))
-    return cut(c.matrix.cells.select("cell_id").join(entries, "cell_id", "left"), "cell-rows")
+    return c.matrix.cells.select("cell_id").join(entries, "cell_id", "left")
 
 
-def times(batches, ids: np.ndarray, v: np.ndarray):
-    """(cell ids, entries' cell, feature and value, A V) of some cells at a time, for the rows of :func:`cell_rows`."""
+def times(batches, ids: np.ndarray, v: np.ndarray, shift: np.ndarray):
+    """(cell ids, entries' cell, feature and value, A V - shift) of some cells at a time, for the rows of :func:`cell_lists`."""
     for b in batches:
         for s in range(0, b.num_rows, CELLS):
             part = b.slice(s, CELLS)
@@ -83,116 +85,183 @@ def times(batches, ids: np.ndarray, v: np.ndarray):
             row = np.repeat(np.arange(len(n)), n)
             feature = np.searchsorted(ids, flat.field(0).to_numpy(zero_copy_only=False))
             value = flat.field(1).to_numpy(zero_copy_only=False)
-            order = np.argsort(feature, kind="stable")
-            row, feature, value = row[order], feature[order], value[order]
-            product = np.zeros((len(n), v.shape[1]))
+            product = np.tile(-shift, (len(n), 1))
             np.add.at(product, row, value[:, None] * v[feature])
             yield part.column(0), row, feature, value, product
 
 
-def gram_times(rows: DataFrame, ids: np.ndarray, v: np.ndarray) -> np.ndarray:
-    """A' A V in one pass: a partial product a task, added up in a tree; V and the result are features x columns."""
-    sc = rows.sparkSession.sparkContext
-    held = sc.broadcast((ids, v))
+def tree(parts: DataFrame, tasks: int, added, schema: str) -> DataFrame:
+    """Rows (start, part, data) of ``tasks`` tasks, reduced by ``added`` to one row for each start, FAN_IN at a time."""
+    while tasks > 1:
+        parts = parts.groupBy("start", (F.col("part") / FAN_IN).cast("int").alias("up")).applyInArrow(added, schema)
+        tasks = -(-tasks // FAN_IN)
+    return parts
+
+
+def one_row(start: int, part: int, data: np.ndarray):
+    return {"start": pa.array([start], pa.int32()), "part": pa.array([part], pa.int32()), "data": pa.array([np.ascontiguousarray(data).tobytes()], pa.binary())}
+
+
+PARTIAL = "start int, part int, data binary"
+
+
+def tall_qr(rows: DataFrame, ids: np.ndarray, mu: np.ndarray, v: np.ndarray) -> np.ndarray:
+    """R (m x m) with A V = Q R for orthonormal Q, by a tree of QR steps over the rows of A V; V has m columns.
+
+    A task folds the rows that it has into one R as it reads them; Rs of
+    several tasks are stacked and folded again.  Nothing is squared, so small
+    singular values of A V keep all their digits.
+    """
+    m = v.shape[1]
+    held = rows.sparkSession.sparkContext.broadcast((ids, v, mu @ v))
+
+    def fold(r, more):
+        r = np.linalg.qr(np.concatenate([r, more]), "r")
+        return np.concatenate([r, np.zeros((m - len(r), m))])
 
     def partial(batches):
-        ids, v = held.value
-        total = np.zeros((len(ids), v.shape[1]))
-        for _, row, feature, value, product in times(batches, ids, v):
-            np.add.at(total, feature, value[:, None] * product[row])
-        me = TaskContext.get().partitionId()
-        for s in range(0, len(ids), ROWS):
-            yield pa.RecordBatch.from_arrays([pa.array([s], pa.int32()), pa.array([me], pa.int32()), pa.array([total[s : s + ROWS].tobytes()], pa.binary())], ["start", "part", "data"])
+        r = np.zeros((m, m))
+        for *_, product in times(batches, *held.value):
+            r = fold(r, product)
+        yield pa.RecordBatch.from_pydict(one_row(0, TaskContext.get().partitionId(), r))
 
     def added(key, table):
-        total = sum(np.frombuffer(x) for x in table.column("data").to_pylist())
-        return pa.table({"start": pa.array([key[0].as_py()], pa.int32()), "part": pa.array([key[1].as_py()], pa.int32()), "data": pa.array([total.tobytes()], pa.binary())})
-
-    schema = "start int, part int, data binary"
-    parts, tasks = rows.mapInArrow(partial, schema), rows.rdd.getNumPartitions()
-    while tasks > 1:
-        parts = parts.groupBy("start", (F.col("part") / FAN_IN).cast("int").alias("up")).applyInArrow(added, schema)
-        tasks = -(-tasks // FAN_IN)
-    out = np.zeros((len(ids), v.shape[1]))
-    for r in parts.collect():
-        piece = np.frombuffer(r.data).reshape(-1, v.shape[1])
-        out[r.start : r.start + len(piece)] += piece
+        r = np.zeros((m, m))
+        for x in table.column("data").to_pylist():
+            r = fold(r, np.frombuffer(x).reshape(m, m))
+        return pa.table(one_row(key[0].as_py(), key[1].as_py(), r))
+
+    r = np.zeros((m, m))
+    for found in tree(rows.mapInArrow(partial, PARTIAL), rows.rdd.getNumPartitions(), added, PARTIAL).collect():
+        r = fold(r, np.frombuffer(found.data).reshape(m, m))
     held.destroy()
-    return out
+    return r
 
 
-def truncated_svd(c: CenteredMatrix, k: int, tol: float = 1e-8, start: np.ndarray | None = None, blocks: int = 6, passes: int = 60, seed: int = 0) -> tuple[np.ndarray, np.ndarray, list[int]]:
-    """The leading k singular values, right singular vectors (features x k) and the features' ids in that order.
+def adjoint_times(rows: DataFrame, ids: np.ndarray, mu: np.ndarray, v: np.ndarray, t: np.ndarray) -> np.ndarray:
+    """A' (A V T) in one pass, A V T being formed cell by cell; features x columns of T.
 
-    Block Krylov steps with Rayleigh-Ritz and restarts; each is one pass over
-    the cells.  It ends when every |G v - s^2 v| is at most ``tol`` times the
-    largest s^2.  ``start`` (features x any) are directions to begin with, such
-    as those of an earlier run.  Where the block would span half the features,
-    one pass with the whole space gives the exact result.  The driver holds
-    ``blocks`` matrices of features x (k + 10).
+    Left vectors are never stored: a task makes those of its cells again from
+    V and T, so that a lost executor costs no more than its tasks.
     """
-    own = c.mu.select("feature_id", "mu").join(c.matrix.coo.groupBy("feature_id").agg(F.sum("value").alias("s")), "feature_id", "left").toArrow().to_pandas().sort_values("feature_id")
-    ids, mu, s = own["feature_id"].to_numpy(), own["mu"].to_numpy(float), own["s"].fillna(0.0).to_numpy(float)
-    rows = cell_rows(c)
-    n = rows.count()
+    held = rows.sparkSession.sparkContext.broadcast((ids, v, mu @ v, t))
+    width, n = t.shape[1], len(ids)
 
-    def product(v: np.ndarray) -> np.ndarray:
-        m = mu @ v
-        return gram_times(rows, ids, v) - np.outer(s, m) - np.outer(mu, s @ v) + n * np.outer(mu, m)
-
-    width = k + 10
-    if 2 * width >= len(ids):
-        g = product(np.eye(len(ids)))
-        values, vectors = np.linalg.eigh((g + g.T) / 2)
-    else:
-        v = np.random.default_rng(seed).normal(size=(len(ids), width))
-        if start is not None:
-            v[:, : min(width, start.shape[1])] = start[:, :width]
-        basis, image = np.linalg.qr(v)[0], np.zeros((len(ids), 0))
-        for step in range(passes):
-            new = product(basis[:, image.shape[1] :])
-            image = np.concatenate([image, new], 1)
-            t = basis.T @ image
-            values, w = np.linalg.eigh((t + t.T) / 2)
-            vectors = basis @ w
-            top = np.argsort(-values)[:width]
-            rest = image @ w[:, top[:k]] - vectors[:, top[:k]] * values[top[:k]]
-            if np.linalg.norm(rest, axis=0).max() <= tol * max(values[top[0]], 1e-300):
-                break
-            if basis.shape[1] >= blocks * width:
-                basis, image = vectors[:, top], image @ w[:, top]
-                new = image - basis * values[top]
-            for _ in range(3):
-                new = np.linalg.qr(new - basis @ (basis.T @ new))[0]
-            basis = np.concatenate([basis, new], 1)
-    free(rows)
-    order = np.argsort(-values)[:k]
-    return np.sqrt(np.maximum(values[order], 0)), vectors[:, order], ids.tolist()
+    def partial(batches):
+        ids, v, shift, t = held.value
+        # The last row adds up the left vectors, for the shift by the means.
+        total = np.zeros((len(ids) + 1, t.shape[1]))
+        for _, row, feature, value, product in times(batches, ids, v, shift):
+            left = product @ t
+            np.add.at(total, feature, value[:, None] * left[row])
+            total[-1] += left.sum(0)
+        me = TaskContext.get().partitionId()
+        for s in range(0, len(total), ROWS):
+            yield pa.RecordBatch.from_pydict(one_row(s, me, total[s : s + ROWS]))
+
+    def added(key, table):
+        return pa.table(one_row(key[0].as_py(), key[1].as_py(), sum(np.frombuffer(x) for x in table.column("data").to_pylist())))
+
+    total = np.zeros((n + 1, width))
+    for r in tree(rows.mapInArrow(partial, PARTIAL), rows.rdd.getNumPartitions(), added, PARTIAL).collect():
+        piece = np.frombuffer(r.data).reshape(-1, width)
+        total[r.start : r.start + len(piece)] += piece
+    held.destroy()
+    return total[:-1] - np.outer(mu, total[-1])
+
+
+def orthonormal(x: np.ndarray, basis: np.ndarray, least: float) -> np.ndarray:
+    """Orthonormal columns that span what is left of ``x`` beside ``basis``, directions shorter than ``least`` left out."""
+    for _ in range(2):
+        x = x - basis @ (basis.T @ x)
+    u, s, _ = np.linalg.svd(x, full_matrices=False)
+    u = u[:, s > least]
+    # Short directions were mostly rounding along the basis before they were scaled up.
+    for _ in range(2):
+        u = np.linalg.qr(u - basis @ (basis.T @ u))[0]
+    return u
+
+
+def truncated_svd(rows: DataFrame, ids: np.ndarray, mu: np.ndarray, k: int, tol: float = 1e-8, start: np.ndarray | None = None, blocks: int = 6, steps: int = 200, direct: int = DIRECT, seed: int = 0) -> tuple[np.ndarray, np.ndarray]:
+    """The leading k singular values of the centred matrix and its right singular vectors (features x k).
+
+    Block Golub-Kahan bidiagonalisation with thick restarts.  The right basis P
+    is with the driver (features x at most ``blocks`` (k + 10) columns), left
+    vectors are with the cells.  A step is two passes: the tree QR of A P,
+    whose factor R holds all singular values of A on the basis, and A' Q for
+    the left directions Q that the newest columns added.  What of A' Q lies
+    outside the basis is the residual of every Ritz triplet and the next block;
+    it never has more columns than features are left.  When the basis is full,
+    the leading Ritz vectors and the residual block start the next one.
+
+    It ends when every |A' u - s v| is at most ``tol`` times the largest s, and
+    raises an error if ``steps`` do not suffice.  ``start`` (features x any)
+    are directions to begin with, such as those of an earlier run.  At most
+    ``direct`` features, or a block that would span half of them, take one
+    pass: the tree QR of the matrix itself.
+    """
+    f, width = len(ids), k + 10
+    if f <= max(direct, 2 * width):
+        _, s, vt = np.linalg.svd(tall_qr(rows, ids, mu, np.eye(f)))
+        return s[:k], vt[:k].T
+    first = np.random.default_rng(seed).normal(size=(f, width))
+    if start is not None:
+        first[:, : min(width, start.shape[1])] = start[:, :width]
+    old, new = np.zeros((f, 0)), np.linalg.qr(first)[0]
+    for _ in range(steps):
+        basis = np.concatenate([old, new], 1)
+        r = tall_qr(rows, ids, mu, basis)
+        x, s, vt = np.linalg.svd(r)
+        tiny = 4 * np.finfo(float).eps * basis.shape[1] ** 0.5 * max(s[0], 1e-300)
+        # Left directions of the newest columns beside those of the older ones, and their combination of A P.
+        had, had_s, _ = np.linalg.svd(r[:, : old.shape[1]], full_matrices=False)
+        left = orthonormal(r[:, old.shape[1] :], had[:, had_s > tiny], tiny)
+        if left.shape[1]:
+            rank = s > tiny
+            z = adjoint_times(rows, ids, mu, basis, vt[rank].T @ ((x[:, rank].T @ left) / s[rank][:, None]))
+            for _ in range(2):
+                z = z - basis @ (basis.T @ z)
+            residual = np.linalg.norm(z @ (left.T @ x[:, :k]), axis=0)
+        if not left.shape[1] or residual.max() <= tol * s[0]:
+            return s[:k], basis @ vt[:k].T
+        more = orthonormal(z, basis, tiny)
+        if not more.shape[1]:
+            return s[:k], basis @ vt[:k].T
+        old, new = (basis, more) if basis.shape[1] + more.shape[1] <= blocks * width else (basis @ vt[:width].T, more)
+    raise RuntimeError(f"no convergence of {k} singular values to {tol} in {steps} steps")
+
+
+def solver_input(c: CenteredMatrix) -> tuple[DataFrame, np.ndarray, np.ndarray]:
+    """What :func:`truncated_svd` takes: the cells' rows, cut, and the features' ids, ascending, with their means."""
+    own = c.mu.select("feature_id", F.col("mu").cast("double").alias("mu")).toArrow()
+    ids, mu = own["feature_id"].to_numpy(), own["mu"].to_numpy()
+    order = np.argsort(ids)
+    return cut(cell_lists(c), "cell-rows"), ids[order], mu[order]
 
 
 def pca(c: CenteredMatrix, npcs: int = 50, tol: float = 1e-8, start: np.ndarray | None = None) -> LinearEmbedding:
     """Coordinates U S, deviations S / sqrt(cells - 1) and loadings V, with fixed signs.
 
     ``npcs`` is limited by the matrix's smaller side.  No further centring is
-    done; only the features' k loadings pass through the driver.
+    done; of the features only means and k loadings each pass through the driver.
     """
     spark = c.matrix.coo.sparkSession
-    n, f = c.matrix.cells.count(), c.mu.count()
-    k = min(npcs, f, n)
-    s, v, ids = truncated_svd(c, k, tol, start) if k else (np.zeros(0), np.zeros((0, 0)), [])
+    rows, ids, mu = solver_input(c)
+    n = rows.count()
+    k = min(npcs, len(ids), n)
+    s, v = truncated_svd(rows, ids, mu, k, tol, start) if k else (np.zeros(0), np.zeros((len(ids), 0)))
+    free(rows)
     v = flip_signs(v) if k else v
     table = pa.table({"feature_id": pa.array(np.repeat(ids, k), pa.int64()), "pc": pa.array(np.tile(np.arange(1, k + 1), len(ids)), pa.int32()), "value": pa.array(v.ravel(), pa.float64())})
     loadings = spark.createDataFrame(table)
-    means = {r.feature_id: r.mu for r in c.mu.collect()}
-    held = spark.sparkContext.broadcast((np.array(ids, np.int64), v, np.array([means[i] for i in ids], float) @ v))
+    held = spark.sparkContext.broadcast((ids, v, mu @ v))
 
     def project(batches):
-        ids, v, shift = held.value
-        for cells, _, _, _, product in times(batches, ids, v):
-            m = len(shift)
-            yield pa.RecordBatch.from_arrays([pa.array(np.repeat(cells.to_numpy(zero_copy_only=False), m)), pa.array(np.tile(np.arange(1, m + 1, dtype=np.int32), len(cells))), pa.array((product - shift).ravel())], ["cell_id", "pc", "value"])
+        for cells, *_, product in times(batches, *held.value):
+            m = product.shape[1]
+            yield pa.RecordBatch.from_arrays([pa.array(np.repeat(cells.to_numpy(zero_copy_only=False), m)), pa.array(np.tile(np.arange(1, m + 1, dtype=np.int32), len(cells))), pa.array(product.ravel())], ["cell_id", "pc", "value"])
 
-    coordinates = cell_rows(c).mapInArrow(project, "cell_id long, pc int, value double")
+    coordinates = cell_lists(c).mapInArrow(project, "cell_id long, pc int, value double")
     stdev = spark.createDataFrame([(p + 1, float(s[p]) / max(1, n - 1) ** 0.5) for p in range(k)], "pc int, stdev double")
     return LinearEmbedding(coordinates, stdev, loadings)
 

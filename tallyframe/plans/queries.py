@@ -15,6 +15,7 @@ from ..functions import labels as fl
 from ..matrix import CountMatrix
 from ..operators import diffexpr, filtering, graph, hvg, linalg, metrics, neighbours, normalize, stats
 from ..sources import names, registry
+from ..storage import free
 from ..streaming import windowed_counts
 from . import adapters as a
 from . import plots
@@ -298,6 +299,26 @@ def e4(spark, sf):
     return linalg.multiply(coo.select(F.col("feature_id").alias("i"), F.col("cell_id").alias("k"), "value"), coo.select(F.col("cell_id").alias("k"), F.col("feature_id").alias("j"), "value"), 2.0).select("i", "j", "value")
 
 
+#: The ten leading eigenvectors of the Gram matrix: it is squared 30 times, which leaves the projector on the first, and
+#: that one is taken out before the next.  eig has pc, s2 and v with its largest entry by size made positive.
+EIGEN = f"""{CENTER}, ce AS (SELECT cell_id, feature_id, value - mu AS x FROM coo JOIN mu USING (feature_id)),
+gr AS (SELECT p.feature_id AS i, q.feature_id AS j, sum(p.x * q.x) AS x FROM ce p JOIN ce q USING (cell_id) GROUP BY 1, 2),
+gm AS (SELECT list(r ORDER BY i) AS g FROM (SELECT i, list(x ORDER BY j) AS r FROM gr GROUP BY 1)),
+it AS (SELECT 0 AS step, 0 AS pc, g, g AS m, CAST(NULL AS DOUBLE[]) AS v, CAST(NULL AS DOUBLE) AS s2 FROM gm UNION ALL
+  SELECT step + 1, pc + CAST(v IS NOT NULL AS INTEGER), CASE WHEN v IS NULL THEN g ELSE h END, CASE WHEN v IS NULL THEN list_transform(m, lambda a: list_transform(a, lambda y: y / t)) ELSE h END, v, s2
+  FROM (SELECT *, CASE WHEN v IS NULL THEN list_sum(list_transform(range(1, len(m) + 1), lambda i: m[i][i])) END AS t,
+      CASE WHEN v IS NOT NULL THEN list_transform(range(1, len(g) + 1), lambda i: list_transform(range(1, len(g) + 1), lambda j: g[i][j] - s2 * v[i] * v[j])) END AS h
+    FROM (SELECT step, pc, g, m, v, list_dot_product(v, list_transform(g, lambda a: list_dot_product(a, v))) AS s2
+      FROM (SELECT step, pc, g, m, list_transform(w, lambda y: y / sqrt(list_dot_product(w, w))) AS v
+        FROM (SELECT step, pc, g, CASE WHEN step % 31 < 30 THEN list_transform(m, lambda a: list_transform(m, lambda b: list_dot_product(a, b))) END AS m,
+            CASE WHEN step % 31 = 30 THEN m[list_position(d, list_max(d))] END AS w
+          FROM (SELECT *, list_transform(range(1, len(m) + 1), lambda i: m[i][i]) AS d FROM it WHERE pc < 10)))))),
+eig AS (SELECT pc, s2, list_transform(v, lambda y: y * sign(v[list_position(list_transform(v, lambda z: abs(z)), list_max(list_transform(v, lambda z: abs(z))))])) AS v FROM it WHERE v IS NOT NULL),
+dev AS (SELECT pc, sqrt(s2 / ((SELECT count(*) FROM cells) - 1)) AS stdev FROM eig),
+load AS (SELECT pc, i AS feature_id, v[i] AS value FROM eig, range(1, 65) r(i)),
+coord AS (SELECT cell_id, pc, sum(x * value) AS value FROM ce JOIN load USING (feature_id) GROUP BY 1, 2)"""
+
+
 def embedded(spark, sf) -> linalg.LinearEmbedding:
     return linalg.embedding(linalg.centered_copy(a.vector_matrix(spark, sf)), 10)
 
@@ -337,19 +358,30 @@ def e5_residual(spark, sf):
     return gv.join(e.loadings, ["feature_id", "pc"]).join(s2, "pc").crossJoin(total).select("feature_id", "pc", ((F.col("gv") - F.col("s2") * F.col("value")) / F.col("total")).alias("residual")).select("feature_id", "pc", *r6("residual"))
 
 
-@query("E5")
+@query("E5", f"WITH RECURSIVE {EIGEN} SELECT pc, round(stdev, 6) AS stdev FROM dev")
 def e5(spark, sf):
-    return embedded(spark, sf).stdev
+    return embedded(spark, sf).stdev.select("pc", *r6("stdev"))
+
+
+@query("E8", f"WITH RECURSIVE {EIGEN} SELECT pc, round(sqrt(s2), 6) AS value FROM eig")
+def e8(spark, sf):
+    """The iterative solver, even where one pass would do."""
+    c = linalg.centered_copy(a.vector_matrix(spark, sf))
+    rows, ids, mu = linalg.solver_input(c)
+    values, _ = linalg.truncated_svd(rows, ids, mu, 10, direct=0)
+    free(rows)
+    return spark.createDataFrame([(p + 1, float(x)) for p, x in enumerate(values)], "pc int, value double").select("pc", *r6("value"))
 
 
-@query("E9")
+@query("E9", f"WITH RECURSIVE {EIGEN} SELECT cell_id, pc, round(value, 6) + 0.0 AS value FROM coord")
 def e9(spark, sf):
-    return embedded(spark, sf).coordinates
+    return embedded(spark, sf).coordinates.select("cell_id", "pc", *r6("value"))
 
 
-@query("E12")
+@query("E12", f"""WITH RECURSIVE {EIGEN}, r AS (SELECT pc, s AS sign, CAST(row_number() OVER (PARTITION BY pc, s ORDER BY -s * value, feature_id) AS INTEGER) AS rank, feature_id, value FROM load, (VALUES (1), (-1)) u(s) WHERE pc <= 5)
+SELECT pc, sign, rank, feature_id, round(value, 6) + 0.0 AS value FROM r WHERE rank <= 10""")
 def e12(spark, sf):
-    return linalg.top_loadings(embedded(spark, sf), 10, 5)
+    return linalg.top_loadings(embedded(spark, sf), 10, 5).select("pc", "sign", "rank", "feature_id", *r6("value"))
 
 
 # Graphs
@@ -568,19 +600,20 @@ def v1(spark, sf, matrix=a.cust_part):
     return plots.highest_expressed(matrix(spark, sf), 10, drop).select("feature_id", *r6("mean"), "rank")
 
 
-@query("V2")
+@query("V2", f"""WITH RECURSIVE {EIGEN}, r AS (SELECT *, CAST(row_number() OVER (PARTITION BY pc ORDER BY abs(value) DESC, feature_id) AS INTEGER) AS rank FROM load WHERE pc <= 6)
+SELECT pc, rank, feature_id, round(value, 6) + 0.0 AS value FROM r WHERE rank <= 10""")
 def v2(spark, sf):
-    return plots.loadings(embedded(spark, sf), 6, 10)
+    return plots.loadings(embedded(spark, sf), 6, 10).select("pc", "rank", "feature_id", *r6("value"))
 
 
-@query("V3")
+@query("V3", f"WITH RECURSIVE {EIGEN} SELECT cell_id, round(max(CASE WHEN pc = 1 THEN value END), 6) + 0.0 AS x, round(max(CASE WHEN pc = 2 THEN value END), 6) + 0.0 AS y FROM coord GROUP BY 1")
 def v3(spark, sf):
-    return plots.scatter(embedded(spark, sf))
+    return plots.scatter(embedded(spark, sf)).select("cell_id", *r6("x", "y"))
 
 
-@query("V4")
+@query("V4", f"WITH RECURSIVE {EIGEN} SELECT pc, round(sum(stdev) OVER (ORDER BY pc) / (SELECT sum(stdev) FROM dev), 6) AS share FROM dev")
 def v4(spark, sf):
-    return plots.elbow(embedded(spark, sf))
+    return plots.elbow(embedded(spark, sf)).select("pc", *r6("share"))
 
 
 @query("V5", f"WITH {DENSE} SELECT f.feature_id, l.label = 1 AS in_group, c.cell_id, coalesce(o.value, 0) AS value FROM (SELECT feature_id FROM coo GROUP BY 1 ORDER BY sum(value) DESC, feature_id LIMIT 3) f CROSS JOIN cells c JOIN labels l ON l.cell_id = c.cell_id LEFT JOIN coo o ON o.cell_id = c.cell_id AND o.feature_id = f.feature_id")

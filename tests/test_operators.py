@@ -300,29 +300,82 @@ def test_cluster_query_takes_the_best_of_ten_starts(spark, monkeypatch):
     assert len({found[i] for i in range(3)}) == 1 and len(set(found.values())) == 2
 
 
-def test_truncated_svd_by_krylov_steps(spark, monkeypatch):
-    """Many features: the leading values of a full decomposition, and fewer passes from a good start."""
+def svd_by_numpy(monkeypatch, x, mu, k, **kw):
+    """(values, vectors, passes) of the solver on ``x - mu``, its two passes over the cells done in memory."""
+    c, calls = x - mu, []
+
+    def qr(rows, ids, mu, v):
+        calls.append(1)
+        r = np.linalg.qr(c @ v, "r")
+        return np.concatenate([r, np.zeros((v.shape[1] - len(r), v.shape[1]))])
+
+    with monkeypatch.context() as patch:
+        patch.setattr(linalg, "tall_qr", qr)
+        patch.setattr(linalg, "adjoint_times", lambda rows, ids, mu, v, t: calls.append(1) or c.T @ (c @ v @ t))
+        s, v = linalg.truncated_svd(None, np.arange(x.shape[1]), mu, k, direct=0, **kw)
+    return s, v, len(calls)
+
+
+@pytest.mark.parametrize("f", [21, 25, 41, 50, 64, 79, 80, 100, 119, 120, 150, 200])
+def test_svd_of_any_number_of_features(monkeypatch, f):
+    x = np.random.default_rng(f).normal(size=(300, f))
+    mu = x.mean(0)
+    s, v, _ = svd_by_numpy(monkeypatch, x, mu, 10)
+    assert np.allclose(s, np.linalg.svd(x - mu, compute_uv=False)[:10], rtol=1e-10)
+    assert np.allclose(v.T @ v, np.eye(10), atol=1e-12)
+    assert np.allclose((x - mu).T @ ((x - mu) @ v), v * s**2, atol=1e-5 * s[0] ** 2 / 100)
+
+
+def test_svd_keeps_small_singular_values(monkeypatch):
+    """Values down to 1e-7 of the largest, where the Gram matrix would leave no digit."""
+    r = np.random.default_rng(6)
+    values = 10.0 ** -np.linspace(0, 7, 15)
+    full = np.concatenate([values, values[-1] * 0.5 ** np.arange(1, 286)])
+    x = np.linalg.qr(r.normal(size=(500, 300)))[0] * full @ np.linalg.qr(r.normal(size=(300, 300)))[0]
+    s, v, passes = svd_by_numpy(monkeypatch, x, np.zeros(300), 15, tol=1e-13)
+    assert np.allclose(s, values, rtol=1e-9)
+    again, _, fewer = svd_by_numpy(monkeypatch, x, np.zeros(300), 15, tol=1e-13, start=v)
+    assert np.allclose(again, values, rtol=1e-9) and fewer < passes
+
+
+def test_svd_of_special_matrices(monkeypatch):
+    r = np.random.default_rng(7)
+    several = np.diag([1.0] * 3 + [0.5] * 100 + [0.1] * 97)
+    for x in (np.zeros((40, 200)), np.outer(r.normal(size=40), r.normal(size=200)), np.eye(200), several, r.normal(size=(5, 200)), r.normal(size=(30, 8)) @ r.normal(size=(8, 200))):
+        k = min(10, *x.shape)
+        s, v, _ = svd_by_numpy(monkeypatch, x, np.zeros(200), k)
+        assert np.allclose(s, np.linalg.svd(x, compute_uv=False)[:k], atol=1e-10) and np.allclose(v.T @ v, np.eye(k), atol=1e-10)
+    with pytest.raises(RuntimeError, match="no convergence"):
+        svd_by_numpy(monkeypatch, r.normal(size=(300, 200)), np.zeros(200), 10, steps=3)
+
+
+def test_svd_passes_over_cells(spark, monkeypatch):
+    """The tree QR and the adjoint product of a sparse table in many tasks, and the solver on top of them."""
     r = np.random.default_rng(5)
     x = r.poisson(0.2, (300, 150)) * (1 + 20 / (1 + np.arange(150)))
+    x[:7] = 0
     entries = [(int(i), int(j), float(x[i, j])) for i, j in zip(*np.nonzero(x))]
     coo = spark.createDataFrame(entries, "cell_id long, feature_id long, value double")
-    m = CountMatrix(coo.repartition(40), spark.range(300).select(F.col("id").alias("cell_id")), spark.range(150).select(F.col("id").alias("feature_id")))
+    m = CountMatrix(coo, spark.range(300).select(F.col("id").alias("cell_id")), spark.range(150).select(F.col("id").alias("feature_id")))
     c = linalg.centered_copy(m)
-    calls = []
-    plain = linalg.gram_times
-    monkeypatch.setattr(linalg, "gram_times", lambda *a: calls.append(1) or plain(*a))
-    s, v, ids = linalg.truncated_svd(c, 6, tol=1e-9)
-    u, want, vt = np.linalg.svd(x - x.mean(0), full_matrices=False)
-    assert np.allclose(s, want[:6], rtol=1e-9) and ids == list(range(150))
-    assert np.allclose(np.abs((v * vt[:6].T).sum(0)), 1, atol=1e-6)
-    first = len(calls)
-    again, _, _ = linalg.truncated_svd(c, 6, tol=1e-9, start=v)
-    assert np.allclose(again, want[:6], rtol=1e-9) and len(calls) - first < first
-    e = linalg.pca(c, 6)
-    got = np.zeros((300, 6))
-    for row in e.coordinates.collect():
-        got[row.cell_id, row.pc - 1] = row.value
-    assert np.allclose(np.abs(got), np.abs(u[:, :6] * want[:6]), atol=1e-5)
+    ids, mu = np.arange(150), x.mean(0)
+    rows = linalg.cell_lists(c).repartition(40)
+    v, t = r.normal(size=(150, 12)), r.normal(size=(12, 5))
+    factor = linalg.tall_qr(rows, ids, mu, v)
+    assert np.allclose(factor.T @ factor, ((x - mu) @ v).T @ ((x - mu) @ v)) and np.allclose(factor, np.triu(factor))
+    assert np.allclose(linalg.adjoint_times(rows, ids, mu, v, t), (x - mu).T @ ((x - mu) @ v @ t))
+    rows = rows.coalesce(3).cache()
+    u, want, vt = np.linalg.svd(x - mu, full_matrices=False)
+    s, v = linalg.truncated_svd(rows, ids, mu, 6, tol=1e-9, direct=0)
+    assert np.allclose(s, want[:6], rtol=1e-10) and np.allclose(np.abs((v * vt[:6].T).sum(0)), 1, atol=1e-8)
+    rows.unpersist()
+    for direct in (0, 256):
+        monkeypatch.setattr(linalg.truncated_svd, "__defaults__", (*linalg.truncated_svd.__defaults__[:4], direct, 0))
+        e = linalg.pca(c, 6)
+        got = np.zeros((300, 6))
+        for row in e.coordinates.collect():
+            got[row.cell_id, row.pc - 1] = row.value
+        assert np.allclose(np.abs(got), np.abs(u[:, :6] * want[:6]), atol=1e-6)
 
 
 def test_variance_keeps_digits_of_large_means(spark):
