@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from ..functions import labels as fl
 from ..matrix import CountMatrix
-from ..operators import diffexpr, filtering, graph, hvg, linalg, metrics, neighbours, normalize, stats
+from ..operators import diffexpr, filtering, graph, hvg, linalg, metrics, neighbours, normalize, stats, umap
 from ..sources import names, registry
 from ..storage import free
 from ..streaming import windowed_counts
@@ -409,6 +409,24 @@ def g2(spark, sf):
     return neighbours.nearest_neighbours(a.vectors(spark, sf), K, include_self=False, dims=16).select("cell_id", "neighbour_id", "rank", *r6("distance"))
 
 
+@query("E10_weights", f"""WITH RECURSIVE {VECTORS}, d AS (SELECT p.cell_id, q.cell_id AS neighbour_id, {DISTANCE} AS distance FROM v p CROSS JOIN v q WHERE p.cell_id <> q.cell_id), nn AS (SELECT * FROM d QUALIFY row_number() OVER (PARTITION BY cell_id ORDER BY distance, neighbour_id) <= {K}),
+c AS (SELECT cell_id, list(distance ORDER BY distance) AS d, coalesce(min(CASE WHEN distance > 0 THEN distance END), 0.0) AS rho, avg(distance) AS mean FROM nn GROUP BY 1),
+bi AS (SELECT cell_id, d, rho, 0 AS i, CAST(0 AS DOUBLE) AS lo, (list_max(d) - rho) / ln({K} / log2({K})) AS hi FROM c UNION ALL SELECT cell_id, d, rho, i + 1, CASE WHEN t >= log2({K}) THEN lo ELSE mid END, CASE WHEN t >= log2({K}) THEN mid ELSE hi END
+  FROM (SELECT *, list_sum(list_transform(d, lambda x: exp(-greatest(x - rho, 0.0) / mid))) AS t FROM (SELECT *, (lo + hi) / 2 AS mid FROM bi WHERE i < 60))),
+sg AS (SELECT cell_id, c.rho, greatest(hi, 1e-3 * CASE WHEN c.rho > 0 THEN mean ELSE (SELECT avg(distance) FROM nn) END) AS sigma FROM bi JOIN c USING (cell_id) WHERE i = 60),
+di AS (SELECT cell_id, neighbour_id, exp(-greatest(distance - rho, 0.0) / sigma) AS w FROM nn JOIN sg USING (cell_id)),
+bo AS (SELECT cell_id AS src, neighbour_id AS dst, w AS a, CAST(0 AS DOUBLE) AS b FROM di UNION ALL SELECT neighbour_id, cell_id, CAST(0 AS DOUBLE), w FROM di)
+SELECT src, dst, round(max(a) + max(b) - max(a) * max(b), 6) AS weight FROM bo GROUP BY 1, 2""")
+def e10_weights(spark, sf):
+    nn = neighbours.nearest_neighbours(a.vectors(spark, sf), K, include_self=False)
+    return umap.fuzzy_weights(nn).select("src", "dst", *r6("weight"))
+
+
+@query("E10")
+def e10(spark, sf):
+    return umap.umap(a.vectors(spark, sf)).select("cell_id", F.col("coordinates")[0].alias("x"), F.col("coordinates")[1].alias("y"))
+
+
 @query("G3", f"WITH {NN}, x AS (SELECT * FROM nn WHERE rank <= 5 + cell_id % 10), s AS (SELECT p.cell_id AS src, q.cell_id AS dst, count(*) AS x FROM x p JOIN x q USING (neighbour_id) GROUP BY 1, 2), k AS (SELECT cell_id AS dst, count(*) AS k FROM x GROUP BY 1), w AS (SELECT src, dst, x / CAST(2 * k - x AS DOUBLE) AS weight FROM s JOIN k USING (dst)) SELECT src, dst, round(weight, 6) AS weight FROM w WHERE weight > 1.0 / 15")
 def g3(spark, sf):
     return neighbours.jaccard_index(knn(spark, sf).filter("rank <= 5 + cell_id % 10")).select("src", "dst", *r6("weight"))
