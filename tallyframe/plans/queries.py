@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from ..functions import labels as fl
 from ..matrix import CountMatrix
-from ..operators import diffexpr, filtering, graph, hvg, linalg, metrics, neighbours, normalize, stats, umap
+from ..operators import approximate, diffexpr, filtering, graph, hvg, linalg, metrics, neighbours, normalize, stats, umap
 from ..sources import names, registry
 from ..storage import free
 from ..streaming import windowed_counts
@@ -404,6 +404,15 @@ def g1(spark, sf):
     return knn(spark, sf).select("cell_id", "neighbour_id", "rank", *r6("distance"))
 
 
+@query("G1_approximate", f"SELECT count(*) AS cells, {K} * count(*) AS neighbours, true AS enough FROM embeddings")
+def g1_approximate(spark, sf):
+    """Whether nine in ten of the exact neighbours are among what it finds."""
+    v = a.vectors(spark, sf)
+    found = approximate.approximate_neighbours(v, K)
+    right = found.select("cell_id", "neighbour_id").join(knn(spark, sf).select("cell_id", "neighbour_id", F.lit(1).alias("right")), ["cell_id", "neighbour_id"], "left")
+    return right.agg(F.countDistinct("cell_id").alias("cells"), F.count("*").alias("neighbours"), (F.sum("right") >= 0.9 * F.count("*")).alias("enough"))
+
+
 @query("G2", f"WITH v AS (SELECT vec_id AS cell_id, embedding[1:16] AS e FROM embeddings), d AS (SELECT p.cell_id, q.cell_id AS neighbour_id, {DISTANCE} AS distance FROM v p CROSS JOIN v q WHERE p.cell_id <> q.cell_id), nn AS (SELECT *, CAST(row_number() OVER (PARTITION BY cell_id ORDER BY distance, neighbour_id) AS INTEGER) AS rank FROM d) SELECT cell_id, neighbour_id, rank, round(distance, 6) AS distance FROM nn WHERE rank <= {K}")
 def g2(spark, sf):
     return neighbours.nearest_neighbours(a.vectors(spark, sf), K, include_self=False, dims=16).select("cell_id", "neighbour_id", "rank", *r6("distance"))
