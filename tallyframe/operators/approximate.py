@@ -9,7 +9,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..storage import cut, free
+from ..storage import free
+from ..storage import short_cut as cut
 from .neighbours import METRICS, OUT, matrix, nearest, usable
 
 #: Slices of a node at a level, at most; nodes whose bounds are broadcast, at most.

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from ..functions.labels import cut_width
 from ..matrix import CountMatrix
-from ..storage import cut
+from ..storage import short_cut as cut
 from .normalize import row_norm
 from .stats import feature_stats
 

@@ -11,18 +11,40 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..matrix import CenteredMatrix, CountMatrix
-from ..storage import cut, free
+from ..storage import free
+from ..storage import short_cut as cut
 
 #: Cells that a task multiplies at a time, rows of a partial product that travel together, and partial products added by one task.
 CELLS, ROWS, FAN_IN = 1024, 256, 32
+#: Products of one inner index before they are dealt on a grid, and such indices that are broadcast, at most.
+HOT_PRODUCTS, BROADCAST_ROWS = 1 << 20, 100_000
 #: Features up to which the whole matrix is factored in one pass.
 DIRECT = 256
 
 
-def multiply(a: DataFrame, b: DataFrame, alpha: float = 1.0) -> DataFrame:
-    """(i, j, value) of alpha * A B from A (i, k, value) and B (k, j, value)."""
-    rows = a.select("i", "k", F.col("value").alias("x")).join(b.select("k", "j", F.col("value").alias("y")), "k")
-    return rows.groupBy("i", "j").agg((alpha * F.sum(F.col("x") * F.col("y"))).alias("value"))
+def multiply(a: DataFrame, b: DataFrame, alpha: float = 1.0, beta: float = 0.0, c: DataFrame | None = None) -> DataFrame:
+    """(i, j, value) of alpha * A B + beta * C from A (i, k, value), B (k, j, value) and C (i, j, value).
+
+    An inner index with more than HOT_PRODUCTS products is dealt on a grid: its
+    entries of A by row and those of B by column, so that every task has one
+    block of its products.  With beta 0, C counts nowhere.
+    """
+    left, right = a.select("i", "k", F.col("value").alias("x")), b.select("k", "j", F.col("value").alias("y"))
+    count = lambda df, name: df.groupBy("k").agg(F.count("*").alias(name))
+    hot = count(left, "p").join(count(right, "q"), "k").select("k", F.ceil(F.sqrt(F.col("p") * F.col("q") / HOT_PRODUCTS)).cast("int").alias("grid")).filter("grid > 1")
+    hot = cut(hot, "hot-inner")
+    n = hot.count()
+    if n:
+        dealt = F.broadcast(hot) if n <= BROADCAST_ROWS else hot
+        one, every = F.coalesce("grid", F.lit(1)), F.sequence(F.lit(0), F.coalesce("grid", F.lit(1)) - 1)
+        left = left.join(dealt, "k", "left").select("i", "k", "x", F.pmod(F.xxhash64("i"), one).cast("int").alias("row"), F.explode(every).alias("column"))
+        right = right.join(dealt, "k", "left").select("k", "j", "y", F.pmod(F.xxhash64("j"), one).cast("int").alias("column"), F.explode(every).alias("row"))
+    else:
+        free(hot)
+    rows = left.join(right, ["k", "row", "column"] if n else ["k"]).select("i", "j", (alpha * (F.col("x") * F.col("y"))).alias("value"))
+    if beta and c is not None:
+        rows = rows.unionByName(c.select("i", "j", (beta * F.col("value")).alias("value")))
+    return rows.groupBy("i", "j").agg(F.sum("value").alias("value"))
 
 
 def centered_times(c: CenteredMatrix, v: DataFrame) -> DataFrame:

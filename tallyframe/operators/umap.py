@@ -7,7 +7,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..storage import cut, free
+from ..storage import free
+from ..storage import short_cut as cut
 from .neighbours import nearest_neighbours, usable
 
 #: Halvings of the interval in which a cell's scale is sought, and the least scale as a share of the mean distance.

@@ -45,8 +45,17 @@ def group_values(m: CountMatrix, labels: DataFrame, features: DataFrame, group:
 
 
 def violin(m: CountMatrix, labels: DataFrame, probs: tuple[float, ...] = (0.25, 0.5, 0.75)) -> DataFrame:
-    """V6: (feature_id, label, zeros, positive, mean, quantiles of the stored values)."""
-    v = m.coo.join(labels, "cell_id").groupBy("feature_id", "label").agg(F.count_if(F.col("value") > 0).alias("positive"), F.sum("value").alias("s"), F.percentile_approx("value", list(probs)).alias("quantiles"))
+    """V6: (feature_id, label, zeros, positive, mean, quantiles): the distribution over all cells of a label.
+
+    Quantiles interpolate linearly.  Cells without an entry are one value, 0,
+    with their number as its frequency; an aggregate keeps each different
+    value of a feature and label once, with a count.
+    """
+    own = m.coo.join(labels, "cell_id").select("feature_id", "label", F.col("value").cast("double").alias("value"))
+    v = own.groupBy("feature_id", "label").agg(F.count_if(F.col("value") > 0).alias("positive"), F.count("*").alias("stored"), F.sum("value").alias("s"))
     rows = label_grid(m, labels).join(v, ["feature_id", "label"], "left")
+    blank = rows.select("feature_id", "label", F.lit(0.0).alias("value"), (F.col("n") - F.coalesce("stored", F.lit(0))).cast("long").alias("times"))
+    shape = own.withColumn("times", F.lit(1).cast("long")).unionByName(blank).groupBy("feature_id", "label").agg(F.percentile("value", F.array(*map(F.lit, probs)), F.col("times")).alias("quantiles"))
     up = F.coalesce("positive", F.lit(0).cast("long"))
-    return rows.select("feature_id", "label", (F.col("n") - up).alias("zeros"), up.alias("positive"), (F.coalesce("s", F.lit(0)) / F.col("n")).alias("mean"), "quantiles")
+    out = rows.join(shape, ["feature_id", "label"])
+    return out.select("feature_id", "label", (F.col("n") - up).alias("zeros"), up.alias("positive"), (F.coalesce("s", F.lit(0)) / F.col("n")).alias("mean"), "quantiles")

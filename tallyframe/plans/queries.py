@@ -319,6 +319,30 @@ load AS (SELECT pc, i AS feature_id, v[i] AS value FROM eig, range(1, 65) r(i)),
 coord AS (SELECT cell_id, pc, sum(x * value) AS value FROM ce JOIN load USING (feature_id) GROUP BY 1, 2)"""
 
 
+def products(spark, sf, beta: float) -> DataFrame:
+    """2 A'A + beta C for users by kinds of event; C has counts of users by pairs of kinds, and a row that A'A lacks."""
+    coo = a.user_event(spark, sf).coo
+    left, right = coo.select(F.col("feature_id").alias("i"), F.col("cell_id").alias("k"), "value"), coo.select(F.col("cell_id").alias("k"), F.col("feature_id").alias("j"), "value")
+    c = left.join(right.drop("value"), "k").groupBy("i", "j").agg(F.count("*").alias("value"))
+    c = c.unionByName(c.filter("i = 1").select(F.lit(0).cast("long").alias("i"), "j", "value"))
+    return linalg.multiply(left, right, 2.0, beta, c).select("i", "j", F.col("value").cast("double").alias("value"))
+
+
+PRODUCTS = f"""WITH {EVENTS}, p AS (SELECT p.feature_id AS i, q.feature_id AS j, CAST(2 * sum(p.value * q.value) AS DOUBLE) AS value, count(*) AS n FROM coo p JOIN coo q ON p.cell_id = q.cell_id GROUP BY 1, 2),
+c AS (SELECT i, j, n FROM p UNION ALL SELECT 0, j, n FROM p WHERE i = 1)
+SELECT CAST(i AS BIGINT) AS i, j, sum(value) AS value FROM (SELECT i, j, value FROM p UNION ALL SELECT i, j, CAST({{beta}} * n AS DOUBLE) FROM c) GROUP BY 1, 2"""
+
+
+@query("E4_beta_half", PRODUCTS.format(beta=0.5))
+def e4_beta_half(spark, sf):
+    return products(spark, sf, 0.5)
+
+
+@query("E4_beta_one", PRODUCTS.format(beta=1.0))
+def e4_beta_one(spark, sf):
+    return products(spark, sf, 1.0)
+
+
 def embedded(spark, sf) -> linalg.LinearEmbedding:
     return linalg.embedding(linalg.centered_copy(a.vector_matrix(spark, sf)), 10)
 
@@ -650,9 +674,12 @@ def v5(spark, sf):
     return plots.group_values(m, a.segment_labels(spark, sf), top, 1)
 
 
-@query("V6", f"WITH {DENSE}, {CLASS} SELECT feature_id, label, n - above AS zeros, above AS positive, round(s / n, 6) AS mean FROM cs")
+@query("V6", f"""WITH {DENSE}, {CLASS}, f AS (SELECT x.feature_id, l.label, coalesce(o.value, 0) AS v FROM features x CROSS JOIN cells c JOIN labels l ON l.cell_id = c.cell_id LEFT JOIN coo o ON o.cell_id = c.cell_id AND o.feature_id = x.feature_id),
+q AS (SELECT feature_id, label, quantile_cont(CAST(v AS DOUBLE), [0.25, 0.5, 0.75]) AS q FROM f GROUP BY 1, 2)
+SELECT feature_id, label, n - above AS zeros, above AS positive, round(s / n, 6) AS mean, round(q[1], 6) AS lower, round(q[2], 6) AS middle, round(q[3], 6) AS upper FROM cs JOIN q USING (feature_id, label)""")
 def v6(spark, sf, matrix=a.cust_part):
-    return plots.violin(matrix(spark, sf), a.segment_labels(spark, sf)).select("feature_id", "label", "zeros", "positive", *r6("mean"))
+    rows = plots.violin(matrix(spark, sf), a.segment_labels(spark, sf))
+    return rows.select("feature_id", "label", "zeros", "positive", *r6("mean"), *((F.round(F.col("quantiles")[i], 6) + 0.0).alias(name) for i, name in enumerate(("lower", "middle", "upper"))))
 
 
 # Extension

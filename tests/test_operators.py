@@ -219,6 +219,36 @@ def test_communities_of_a_club(spark):
     assert found[1] != found[34] and all(found[i] == found[1] for i in (2, 4, 8, 12, 13)) and all(found[i] == found[34] for i in (15, 16, 19, 21, 23))
 
 
+def test_moves_never_lower_modularity(spark, monkeypatch):
+    """On a dense random graph, where moves get in each other's way, every round of the first level gains, to the last."""
+    r = np.random.default_rng(8)
+    a = np.triu(r.random((40, 40)) * (r.random((40, 40)) < 0.4), 1)
+    a += a.T
+    edges = spark.createDataFrame([(int(i), int(j), float(a[i, j])) for i, j in zip(*np.nonzero(a))], "src long, dst long, weight double")
+    states, cut = [], graph.cut
+
+    def seen(df, name):
+        out = cut(df, name)
+        if name == "graph-nodes":
+            states.append({(x.start, x.node): x.label for x in out.collect()})
+        return out
+
+    monkeypatch.setattr(graph, "cut", seen)
+    every, q = graph.louvain(edges, 0.8, 2)
+    w = a.sum(1)
+    rise = (a - 0.8 * np.outer(w, w) / w.sum()) / w.sum()
+    for start in range(2):
+        of = [np.array([s[start, n] for n in range(40)]) for s in states if len(s) == 80]
+        gains = [sum(rise[np.ix_(x == c, x == c)].sum() for c in set(x.tolist())) for x in of]
+        assert len(gains) > 2 and all(y >= x - 1e-12 for x, y in zip(gains, gains[1:])) and gains[-1] > gains[0]
+        # At the end of the level nobody gains by a move.
+        x = of[-1]
+        for n in range(40):
+            to = {c: a[n, x == c].sum() - 0.8 * w[n] * (w[x == c].sum() - w[n] * (x[n] == c)) / w.sum() for c in set(x.tolist())}
+            assert max(to.values()) <= to[x[n]] + 1e-8
+        assert q[start] >= gains[-1] - 1e-9
+
+
 def test_purity_and_alignment(spark):
     pairs = spark.createDataFrame([(1, 1), (1, 1), (1, 2), (2, 2), (2, 2), (2, 1), (3, 3)], "cluster int, class int")
     assert math.isclose(stats.purity(pairs).first().purity, 5 / 7)
@@ -287,7 +317,7 @@ def test_cluster_query_takes_the_best_of_ten_starts(spark, monkeypatch):
     edges = spark.createDataFrame([(i, j, 1.0) for i in range(6) for j in range(6) if i != j and i // 3 == j // 3], "src long, dst long, weight double")
     asked = []
 
-    def start(edges, resolution, starts, rounds):
+    def start(edges, resolution, starts):
         asked.append(starts)
         nodes = edges.select(F.col("src").alias("node")).distinct()
         labels = nodes.crossJoin(spark.range(starts).select(F.col("id").cast("int").alias("start")))
@@ -300,6 +330,20 @@ def test_cluster_query_takes_the_best_of_ten_starts(spark, monkeypatch):
     assert len({found[i] for i in range(3)}) == 1 and len(set(found.values())) == 2
 
 
+@pytest.mark.parametrize("hot", [1 << 20, 50])
+def test_products_with_a_hot_inner_index(spark, monkeypatch, hot):
+    monkeypatch.setattr(linalg, "HOT_PRODUCTS", hot)
+    r = np.random.default_rng(9)
+    x, y, z = r.integers(-3, 4, (40, 12)) * (r.random((40, 12)) < 0.3), r.integers(-3, 4, (12, 30)) * (r.random((12, 30)) < 0.3), r.integers(-2, 3, (40, 30)) * (r.random((40, 30)) < 0.1)
+    x[:, 5], y[5] = 1, 2
+    frame = lambda m, names: spark.createDataFrame([(int(i), int(j), float(m[i, j])) for i, j in zip(*np.nonzero(m))], f"{names[0]} long, {names[1]} long, value double")
+    for beta in (0.0, 1.0, 0.5):
+        got = np.zeros((40, 30))
+        for q in linalg.multiply(frame(x, "ik"), frame(y, "kj"), 3.0, beta, frame(z, "ij")).collect():
+            got[q.i, q.j] += q.value
+        assert (got == 3 * (x @ y) + beta * z).all()
+
+
 def svd_by_numpy(monkeypatch, x, mu, k, **kw):
     """(values, vectors, passes) of the solver on ``x - mu``, its two passes over the cells done in memory."""
     c, calls = x - mu, []
