@@ -5,7 +5,7 @@ from __future__ import annotations
 from statistics import NormalDist
 
 import numpy as np
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.labels import cut_width
@@ -14,8 +14,9 @@ from ..storage import short_cut as cut
 from .normalize import row_norm
 from .stats import feature_stats
 
-#: Points at which the local regression is fitted; between them it is linear.
-KNOTS = 64
+#: Points at which the local regression is fitted: quantiles, and an even spacing for sparse ends.  Between them it is
+#: cubic, with the fitted values and slopes.
+KNOTS, EVEN = 64, 16
 
 
 def dispersion(m: CountMatrix) -> DataFrame:
@@ -50,8 +51,8 @@ def saunders(m: CountMatrix, alpha: float = 0.1) -> DataFrame:
     return s.select("feature_id", metric.alias("metric"))
 
 
-def loess_at_knots(points: DataFrame, span: float, knots: int = KNOTS) -> list[tuple[float, float]]:
-    """Local quadratic, tricube-weighted fit of (x, y) at evenly spaced quantile knots.
+def loess_at_knots(points: DataFrame, span: float, knots: int = KNOTS) -> list[tuple[float, float, float]]:
+    """(x, value, slope) of local quadratic, tricube-weighted fits of (x, y) at quantiles of x and at EVEN - 1 points between its ends.
 
     Each knot's bandwidth and weighted moments are aggregates over all points;
     only the moments of the knots come to the driver.
@@ -60,7 +61,7 @@ def loess_at_knots(points: DataFrame, span: float, knots: int = KNOTS) -> list[t
     found = points.agg(F.percentile("x", probs).alias("q")).first().q
     if not found:
         return []
-    at = sorted(set(found))
+    at = sorted({*found, *(found[0] + (found[-1] - found[0]) * i / EVEN for i in range(1, EVEN))})
     spark = points.sparkSession
     grid = F.broadcast(spark.createDataFrame([(i, float(k)) for i, k in enumerate(at)], "k int, at double"))
     pairs = points.crossJoin(grid).withColumn("u", F.col("x") - F.col("at"))
@@ -72,25 +73,36 @@ def loess_at_knots(points: DataFrame, span: float, knots: int = KNOTS) -> list[t
     for r in sorted(sums, key=lambda r: r.k):
         a = np.array([[r[f"s{i + j}"] for j in range(3)] for i in range(3)])
         t = np.array([r[f"t{i}"] for i in range(3)])
-        out.append((at[r.k], float(np.linalg.lstsq(a, t, rcond=1e-12)[0][0])))
+        value, slope, _ = np.linalg.lstsq(a, t, rcond=1e-12)[0].tolist()
+        out.append((at[r.k], value, slope))
     return out
 
 
+def blend(x: Column, line: list[tuple[float, float, float]]) -> Column:
+    """The cubic between neighbouring knots that has their values and slopes; null stays null."""
+    pieces = []
+    for (a, fa, da), (b, fb, db) in zip(line, line[1:]):
+        h = b - a
+        pieces.append((a, 1 / h, fa, h * da, 3 * (fb - fa) - h * (2 * da + db), 2 * (fa - fb) + h * (da + db)))
+    after = F.array(*(F.lit(a) for a, *_ in line[1:-1])).cast("array<double>")
+    at = F.size(F.filter(after, lambda a: a < x)) + 1
+    start, per, c0, c1, c2, c3 = (F.element_at(F.array(*map(F.lit, column)), at) for column in zip(*pieces))
+    t = (x - start) * per
+    return F.when(x.isNotNull(), c0 + t * (c1 + t * (c2 + t * c3)))
+
+
 def vst(m: CountMatrix, span: float = 0.5) -> DataFrame:
     """H2: variance of values standardised by the deviation expected at their mean, clipped at sqrt(cells).
 
     The expectation is a local regression of log10(sd) on log10(mean) over the
-    features that vary, fitted at fixed knots and linear between them.
+    features that vary, fitted at knots and cubic between them.
     """
     n_cells = m.cells.count()
     s = cut(feature_stats(m), "feature-stats")
     line = loess_at_knots(s.filter("var > 0").select(F.log10("mean").alias("x"), F.log10(F.sqrt("var")).alias("y")), span)
     if len(line) < 2:
         return s.select("feature_id", F.lit(0.0).alias("metric"))
-    x = F.log10("mean")
-    fit = F.lit(line[-1][1])
-    for (a, fa), (b, fb) in reversed(list(zip(line, line[1:]))):
-        fit = F.when(x <= b, fa + (x - a) * ((fb - fa) / (b - a))).otherwise(fit)
+    fit = blend(F.log10("mean"), line)
     s = s.select("feature_id", "mean", F.when(F.col("var") > 0, F.pow(F.lit(10.0), fit)).alias("sd"))
     top = float(np.sqrt(n_cells))
     z = F.least((F.col("value") - F.col("mean")) / F.col("sd"), F.lit(top))

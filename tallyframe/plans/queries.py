@@ -228,15 +228,16 @@ def h1(spark, sf):
     return hvg.find_variable_features(a.cust_part(spark, sf), 100, "dispersion").select("feature_id", *r6("metric"), "rank")
 
 
-#: Local quadratic fits at 64 quantile knots: bandwidths, weighted moments, and the constant term by Cramer's rule.
+#: Local quadratic fits at 64 quantiles and 15 points between the ends: bandwidths, weighted moments, values and slopes by Cramer's rule, and cubics between.
 FITTED = f"""{STATS.format(coo='coo')}, pts AS (SELECT log10(mean) AS x, log10(sqrt(var)) AS y FROM st WHERE var > 0),
-kn AS (SELECT DISTINCT unnest(quantile_cont(x, [i / 63.0 for i in range(0, 64)])) AS kx FROM pts),
+kn AS (SELECT unnest(quantile_cont(x, [i / 63.0 for i in range(0, 64)])) AS kx FROM pts UNION SELECT lo + (hi - lo) * i / 16 FROM (SELECT min(x) AS lo, max(x) AS hi FROM pts), range(1, 16) r(i)),
 h AS (SELECT kx, quantile_cont(abs(x - kx), 0.5) AS h FROM pts CROSS JOIN kn GROUP BY kx),
 w AS (SELECT kx, x - kx AS u, y, pow(1 - pow(abs(x - kx) / h, 3), 3) AS w FROM pts CROSS JOIN h WHERE abs(x - kx) < h),
 mo AS (SELECT kx, sum(w) AS a, sum(w * u) AS b, sum(w * u * u) AS c, sum(w * u * u * u) AS d, sum(w * u * u * u * u) AS e, sum(w * y) AS p, sum(w * u * y) AS q, sum(w * u * u * y) AS r FROM w GROUP BY kx),
-kf AS (SELECT kx, (p * (c * e - d * d) - b * (q * e - d * r) + c * (q * d - c * r)) / (a * (c * e - d * d) - b * (b * e - d * c) + c * (b * d - c * c)) AS f FROM mo),
-sg AS (SELECT kx AS x0, f AS f0, lead(kx) OVER (ORDER BY kx) AS x1, lead(f) OVER (ORDER BY kx) AS f1, row_number() OVER (ORDER BY kx) AS i FROM kf),
-ft AS (SELECT s.feature_id, s.mean, pow(10, f0 + (log10(s.mean) - x0) * ((f1 - f0) / (x1 - x0))) AS sd FROM st s JOIN sg ON s.var > 0 AND x1 IS NOT NULL AND log10(s.mean) <= x1 AND (log10(s.mean) > x0 OR i = 1))"""
+kf AS (SELECT kx, (p * (c * e - d * d) - b * (q * e - d * r) + c * (q * d - c * r)) / (a * (c * e - d * d) - b * (b * e - d * c) + c * (b * d - c * c)) AS f,
+  (a * (q * e - d * r) - p * (b * e - c * d) + c * (b * r - q * c)) / (a * (c * e - d * d) - b * (b * e - d * c) + c * (b * d - c * c)) AS g FROM mo),
+sg AS (SELECT kx AS x0, f AS f0, g AS g0, lead(kx) OVER (ORDER BY kx) AS x1, lead(f) OVER (ORDER BY kx) AS f1, lead(g) OVER (ORDER BY kx) AS g1, row_number() OVER (ORDER BY kx) AS i FROM kf),
+ft AS (SELECT feature_id, mean, pow(10, (2 * t * t * t - 3 * t * t + 1) * f0 + (t * t * t - 2 * t * t + t) * h * g0 + (3 * t * t - 2 * t * t * t) * f1 + (t * t * t - t * t) * h * g1) AS sd FROM (SELECT s.feature_id, s.mean, f0, f1, g0, g1, x1 - x0 AS h, (log10(s.mean) - x0) / (x1 - x0) AS t FROM st s JOIN sg ON s.var > 0 AND x1 IS NOT NULL AND log10(s.mean) <= x1 AND (log10(s.mean) > x0 OR i = 1)))"""
 
 
 @query("H2", f"""WITH {DENSE}, {FITTED}, n AS (SELECT CAST(count(*) AS DOUBLE) AS n FROM cells),

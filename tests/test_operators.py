@@ -140,6 +140,24 @@ def test_variable_features(m, spark):
         hvg.find_variable_features(m, 3, "other")
 
 
+@pytest.mark.parametrize("kind", ["overdispersed", "curved"])
+def test_local_regression_against_a_fit_at_every_point(spark, kind):
+    """The cubics between knots stay within 1e-3 of direct local regression at every point."""
+    r = np.random.default_rng(11)
+    x = r.uniform(-2, 2, 700) if kind == "curved" else np.log10(r.gamma(0.6, 2, 700) + 0.01)
+    y = np.sin(x) / 3 + r.normal(size=700) * 0.05 if kind == "curved" else np.log10(np.sqrt(10**x + 0.3 * 100**x)) + r.normal(size=700) * 0.05
+    points = spark.createDataFrame([(float(a), float(b)) for a, b in zip(x, y)], "x double, y double")
+    line = hvg.loess_at_knots(points, 0.5)
+    found = [(q.x, q.fit) for q in points.select("x", hvg.blend(F.col("x"), line).alias("fit")).collect()]
+    for at, fit in found:
+        u = x - at
+        h = np.quantile(np.abs(u), 0.5)
+        w = np.where(np.abs(u) < h, (1 - (np.abs(u) / h) ** 3) ** 3, 0)
+        a = np.stack([np.ones(700), u, u * u], 1)
+        direct = np.linalg.lstsq(a * np.sqrt(w)[:, None], y * np.sqrt(w), rcond=None)[0][0]
+        assert abs(fit - direct) < 1e-3
+
+
 def test_principal_components(m, dense):
     e = linalg.embedding(linalg.centered_copy(m), 4)
     c = dense - dense.mean(0)
