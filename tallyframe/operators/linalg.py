@@ -18,6 +18,8 @@ from ..storage import short_cut as cut
 CELLS, ROWS, FAN_IN = 1024, 256, 32
 #: Products of one inner index before they are dealt on a grid, and such indices that are broadcast, at most.
 HOT_PRODUCTS, BROADCAST_ROWS = 1 << 20, 100_000
+#: Products of entries of one cell that a task adds up at a time.
+PAIRS = 1 << 20
 #: Features up to which the whole matrix is factored in one pass.
 DIRECT = 256
 
@@ -63,17 +65,67 @@ def centered_adjoint_times(c: CenteredMatrix, v: DataFrame) -> DataFrame:
     return rows.select("feature_id", (F.coalesce("s", F.lit(0.0)) - F.col("mu") * F.col("total")).alias("value"))
 
 
+def entry_products(batches, most: int):
+    """(i, j, sum of products) with i <= j for runs of cells (cell_id, list of entries), a run having about ``most`` products.
+
+    A cell with more products than that is taken some of its entries at a time.
+    """
+    kept = [np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)]
+
+    def added(parts):
+        i, j, x = (np.concatenate(p) for p in zip(*parts))
+        order = np.lexsort((j, i))
+        i, j, x = i[order], j[order], x[order]
+        first = np.flatnonzero(np.concatenate([[True], (i[1:] != i[:-1]) | (j[1:] != j[:-1])])) if len(i) else np.zeros(0, int)
+        return [i[first], j[first], np.add.reduceat(x, first) if len(first) else x]
+
+    for b in batches:
+        lists = b.column(1)
+        n = lists.value_lengths().fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64)
+        flat = lists.flatten()
+        feature, value = flat.field(0).to_numpy(zero_copy_only=False), flat.field(1).to_numpy(zero_copy_only=False)
+        # Every entry meets all entries of its cell; runs of entries with about ``most`` such pairs.
+        size, start = np.repeat(n, n), np.repeat(np.cumsum(n) - n, n)
+        done = np.concatenate([[0], np.cumsum(size)])
+        s = 0
+        while s < len(size):
+            e = max(s + 1, int(np.searchsorted(done, done[s] + most, "right")) - 1)
+            left = np.repeat(np.arange(s, e), size[s:e])
+            right = np.arange(len(left)) - np.repeat(done[s:e] - done[s], size[s:e]) + np.repeat(start[s:e], size[s:e])
+            keep = feature[left] <= feature[right]
+            left, right = left[keep], right[keep]
+            kept = added([kept, [feature[left], feature[right], value[left] * value[right]]])
+            if len(kept[0]) > most:
+                yield pa.RecordBatch.from_arrays([pa.array(x) for x in kept], ["i", "j", "value"])
+                kept = [x[:0] for x in kept]
+            s = e
+    yield pa.RecordBatch.from_arrays([pa.array(x) for x in kept], ["i", "j", "value"])
+
+
 def gram(c: CenteredMatrix) -> DataFrame:
-    """(i, j, value) of C' C for i <= j, from the sparse product and rank-one corrections."""
+    """(i, j, value) of C' C for i <= j, from sums of products within cells and rank-one corrections.
+
+    A task adds up the products of its own cells before any are shuffled, and
+    makes the corrections of its features from all means and sums (16 bytes a
+    feature), so that neither cells nor features are joined with themselves.
+    """
     m = c.matrix
-    x, y = m.coo.select("cell_id", F.col("feature_id").alias("i"), F.col("value").alias("x")), m.coo.select("cell_id", F.col("feature_id").alias("j"), F.col("value").alias("y"))
-    products = x.join(y, "cell_id").filter("i <= j").groupBy("i", "j").agg(F.sum(F.col("x") * F.col("y")).alias("p"))
-    sums = m.coo.groupBy("feature_id").agg(F.sum("value").alias("s"))
-    own = c.mu.join(sums, "feature_id", "left").select("feature_id", "mu", F.coalesce("s", F.lit(0.0)).alias("s"))
-    left, right = (own.select(F.col("feature_id").alias(k), F.col("mu").alias(f"mu_{k}"), F.col("s").alias(f"s_{k}")) for k in "ij")
-    pairs = left.crossJoin(right).filter("i <= j").join(products, ["i", "j"], "left").crossJoin(F.broadcast(m.n_cells()))
-    value = F.coalesce("p", F.lit(0.0)) - F.col("s_i") * F.col("mu_j") - F.col("mu_i") * F.col("s_j") + F.col("n_cells") * F.col("mu_i") * F.col("mu_j")
-    return pairs.select("i", "j", value.alias("value"))
+    own = c.mu.join(m.coo.groupBy("feature_id").agg(F.sum("value").alias("s")), "feature_id", "left").select("feature_id", F.col("mu").cast("double").alias("mu"), F.coalesce(F.col("s").cast("double"), F.lit(0.0)).alias("s")).toArrow()
+    ids, mu, s = (own[x].to_numpy() for x in ("feature_id", "mu", "s"))
+    order = np.argsort(ids)
+    held, n = m.coo.sparkSession.sparkContext.broadcast((ids[order], mu[order], s[order])), m.cells.count()
+
+    def corrections(batches):
+        ids, mu, s = held.value
+        for b in batches:
+            for at in np.searchsorted(ids, b.column(0).to_numpy(zero_copy_only=False)):
+                value = n * mu[at] * mu[at:] - s[at] * mu[at:] - mu[at] * s[at:]
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(value), ids[at])), pa.array(ids[at:]), pa.array(value)], ["i", "j", "value"])
+
+    schema = "i long, j long, value double"
+    products = cell_lists(c).mapInArrow(lambda batches: entry_products(batches, PAIRS), schema)
+    shifts = m.features.select("feature_id").join(c.mu.select("feature_id"), "feature_id", "left_semi").mapInArrow(corrections, schema)
+    return products.unionByName(shifts).groupBy("i", "j").agg(F.sum("value").alias("value"))
 
 
 @dataclass(frozen=True)

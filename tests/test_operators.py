@@ -2,6 +2,7 @@
 
 import gzip
 import math
+import re
 
 import numpy as np
 import pytest
@@ -362,6 +363,24 @@ def test_products_with_a_hot_inner_index(spark, monkeypatch, hot):
         assert (got == 3 * (x @ y) + beta * z).all()
 
 
+@pytest.mark.parametrize("pairs", [1 << 20, 100])
+def test_gram_of_sparse_cells(spark, monkeypatch, pairs):
+    """Cells of none to all features, in small runs too; features without an entry; no self-join."""
+    monkeypatch.setattr(linalg, "PAIRS", pairs)
+    r = np.random.default_rng(12)
+    x = np.round(r.normal(size=(60, 25)), 3) * (r.random((60, 25)) < r.random((60, 1)))
+    x[0], x[1], x[:, 7] = 0, 1, 0
+    coo = spark.createDataFrame([(int(i), int(j), float(x[i, j])) for i, j in zip(*np.nonzero(x))], "cell_id long, feature_id long, value double")
+    m = CountMatrix(coo, spark.range(60).select(F.col("id").alias("cell_id")), spark.range(25).select(F.col("id").alias("feature_id")))
+    out = linalg.gram(linalg.centered_copy(m))
+    c = x - x.mean(0)
+    got = {(q.i, q.j): q.value for q in out.collect()}
+    assert got.keys() == {(i, j) for i in range(25) for j in range(i, 25)}
+    assert all(abs(v - c[:, i] @ c[:, j]) < 1e-9 for (i, j), v in got.items())
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert "Cartesian" not in plan and not re.search(r"Join[^\n]*cell_id[^\n]*Inner", plan)
+
+
 def svd_by_numpy(monkeypatch, x, mu, k, **kw):
     """(values, vectors, passes) of the solver on ``x - mu``, its two passes over the cells done in memory."""
     c, calls = x - mu, []
