@@ -232,6 +232,42 @@ def test_toxicity_of_spelled_words_keeps_to_rows(spark):
     assert max(got[i] for i, t in rows if t == "garden x") < 0.3
 
 
+def plain_toxicity(text, model):
+    """The score of one text: each of its segments told by itself, the best different ones pooled."""
+    found, run = set(), []
+    words = [toxicity.normal(w) for w in re.findall(r"[^\x20\x09-\x0D]+", text or "")]
+    for w in [*words, ""]:
+        found.update(v for v in toxicity.windows(w) if len(v) >= toxicity.ORDER)
+        if len(w) == 1 and w.isalnum():
+            run.append(w)
+        else:
+            if len(run) >= toxicity.ORDER:
+                found.update(v for v in toxicity.windows("".join(run)))
+            run = []
+    best = sorted((float(model.raw([v])[0]) for v in found), reverse=True)[: toxicity.BEST]
+    raw = sum(r * x for r, x in zip(model.ranks, best))
+    return 1 / (1 + np.exp(-np.clip(model.slope * raw + model.shift, -40, 40)))
+
+
+@pytest.mark.parametrize("cache", [10, 150_000])
+def test_toxicity_scores_against_a_plain_loop(spark, monkeypatch, cache):
+    """A cache of scores that is dropped all the time, spelled-out insults, long words, repeated words and odd texts."""
+    monkeypatch.setattr(toxicity, "CACHE", cache)
+    rng = random.Random(21)
+    plain = ["".join(rng.choice("abdehilmnorstu") for _ in range(rng.randrange(2, 9))) for _ in range(300)]
+    insults = ["zwickert", "grumpfel", "knarzbold"]
+    some = lambda n: [rng.choice(plain) for _ in range(n)]
+    texts = [" ".join(some(30)) for _ in range(200)] + [" ".join([*some(14), rng.choice(insults), *some(14)]) for _ in range(120)]
+    model = toxicity.fit(texts, [0] * 200 + [1] * 120)
+    odd = ["", None, " \t\n", "z w i c k e r t", "q z w", "x " * 50, "zwi-ckert! ZWICKERT zwiickert", "zwickert " * 40, "w" * 90 + "zwickert" + "w" * 90, "a\u00a0zwickert b", "z\u00a0w i c", "\u00e9 \u65e5 \u672c \u8a9e", "(g) [r] {u} <m> p f e l"]
+    odd += [" ".join([*some(rng.randrange(200)), *rng.sample(insults, rng.randrange(4)), *" ".join(rng.choice(insults)), *some(5)]) for _ in range(60)]
+    frame = spark.createDataFrame(list(enumerate(odd)), "doc_id long, text string").coalesce(1)
+    got = {r.doc_id: r.score for r in toxicity.toxicity(frame, model).collect()}
+    want = [plain_toxicity(t, model) for t in odd]
+    assert [got[i] for i in range(len(odd))] == pytest.approx(want, abs=1e-5)
+    assert max(want) > 0.9 and min(want) < 0.1
+
+
 def test_toxicity_edge_cases(spark, hard, empty):
     labels = spark.createDataFrame([(4, 1, None), (5, None, 1), (None, 1, 1), (7, 0, 0)], "doc_id long, toxic int, score int")
     for known in (labels, labels.limit(0)):
