@@ -14,6 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .shared import cut
 from .words import PUNCT, docs_words, mix
 
 #: Looked-at offsets.  Together they hit every WINDOW-word stretch with at most
@@ -192,8 +193,8 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, masks=MASKS, window: int
     Rows with a null id or text, and empty texts, overlap nothing.  Of rows
     repeated with one doc_id or item_id the best overlap counts once.  Other
     columns are ignored; empty tables give an empty result.  Items are taken
-    in blocks of about ``block_items`` and ``block_bytes`` of text, each with
-    one pass over the texts.
+    in blocks of about ``block_items`` and ``block_bytes`` of text, one after
+    the other, each with one pass over the texts.
     """
     spark = docs.sparkSession
     rows = docs.select("doc_id", "text").filter("doc_id is not null and text is not null")
@@ -207,7 +208,13 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, masks=MASKS, window: int
         for batch in own.toArrow().to_batches():
             for first, words, at in docs_words(batch.column(1), PUNCT):
                 held += [(batch.column(0)[first + r].as_py(), words[a:e]) for r, (a, e) in enumerate(zip(at, at[1:]))]
-        found = rows.mapInArrow(find(spark.sparkContext.broadcast(Items(held, masks, window, wrong))), OUT)
+        block = spark.sparkContext.broadcast(Items(held, masks, window, wrong))
+        found = rows.mapInArrow(find(block), OUT)
+        if blocks > 1:
+            # A block's overlaps are written before the next block is made, so that one at a time is held anywhere.
+            found = cut(found, "overlaps")
+            block.destroy()
+            del block, held
         out = found if out is None else out.unionByName(found)
     best = F.max(F.struct("overlap_words", "equal_words")).alias("best")
     return out.groupBy("doc_id", "item_id").agg(best).select("doc_id", "item_id", "best.*")

@@ -1,7 +1,9 @@
 """Operators that compare documents: 1, 3, 9, 10, and connected components."""
 
+import gc
 import itertools
 import random
+import weakref
 
 import duckdb
 import numpy as np
@@ -242,3 +244,22 @@ def test_topk_edge_cases(spark):
     got = [tuple(r) for r in topk.exact_topk(vectors(spark, rows), "vec_id % 100 = 0").collect()]
     assert got == [(100, 1, 1, 2 * 1024**2), (100, 2, 1, 2 * 1024**2)]
     assert topk.exact_topk(vectors(spark, []), "vec_id % 100 = 0").count() == 0
+
+
+def test_one_block_of_items_is_held_at_a_time(spark, make_docs, monkeypatch):
+    """Ten blocks: each one's items are gone from the driver, and its broadcast destroyed, before the next is made."""
+    live, most, plain = weakref.WeakSet(), [], decontaminate.Items
+
+    def watched(*a):
+        gc.collect()
+        most.append(len(live))
+        live.add(out := plain(*a))
+        return out
+
+    monkeypatch.setattr(decontaminate, "Items", watched)
+    rng = random.Random(4)
+    items = [(i, " ".join(f"w{rng.randrange(500)}" for _ in range(20))) for i in range(10)]
+    docs = [f"before {items[i % 10][1]} after" if i % 3 == 0 else "nothing of the kind is in this text at all" for i in range(30)]
+    got = decontaminate.contaminated(make_docs(docs), spark.createDataFrame(items, "item_id long, text string"), block_items=1).collect()
+    assert {(r.doc_id - 1, r.item_id) for r in got} == {(i, i % 10) for i in range(0, 30, 3)}
+    assert len(most) > 5 and max(most) <= 1
