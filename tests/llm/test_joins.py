@@ -248,15 +248,15 @@ def test_topk_edge_cases(spark):
 
 def test_one_block_of_items_is_held_at_a_time(spark, make_docs, monkeypatch):
     """Ten blocks: each one's items are gone from the driver, and its broadcast destroyed, before the next is made."""
-    live, most, plain = weakref.WeakSet(), [], decontaminate.Items
+    live, most, plain = weakref.WeakSet(), [], decontaminate.Items.__init__
 
-    def watched(*a):
+    def watched(self, *a):
         gc.collect()
         most.append(len(live))
-        live.add(out := plain(*a))
-        return out
+        live.add(self)
+        plain(self, *a)
 
-    monkeypatch.setattr(decontaminate, "Items", watched)
+    monkeypatch.setattr(decontaminate.Items, "__init__", watched)
     rng = random.Random(4)
     items = [(i, " ".join(f"w{rng.randrange(500)}" for _ in range(20))) for i in range(10)]
     docs = [f"before {items[i % 10][1]} after" if i % 3 == 0 else "nothing of the kind is in this text at all" for i in range(30)]
