@@ -82,9 +82,12 @@ def read_mm(spark: SparkSession, path: str) -> tuple[Header, DataFrame]:
 
 
 def line_numbers(spark: SparkSession, path: str) -> DataFrame:
-    """(id, value): the lines of a file with 1-based numbers in file order."""
-    place = F.monotonically_increasing_id()
-    rows = spark.read.text(path).select("value", F.shiftright(place, 33).alias("part"), place.bitwiseAND(F.lit((1 << 33) - 1)).alias("at"))
+    """(id, value): the lines of one file with 1-based numbers in file order; a path of several files raises an error."""
+    place, lines = F.monotonically_increasing_id(), spark.read.text(path)
+    # Spark reads several files in an order of its own.
+    if len(files := lines.inputFiles()) > 1:
+        raise ValueError(f"{path}: lines of {len(files)} files have no order")
+    rows = lines.select("value", F.shiftright(place, 33).alias("part"), place.bitwiseAND(F.lit((1 << 33) - 1)).alias("at"))
     # One number a task, never one a line.
     counts = rows.groupBy("part").agg(F.count("*").alias("n"))
     before = counts.select("part", (F.sum("n").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, 0)) - F.col("n")).alias("before"))

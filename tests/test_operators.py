@@ -510,3 +510,12 @@ def test_hdf5_layouts_by_a_recorded_interface(spark, tmp_path):
     frame = store("frame", **{"obs@column-order": np.array(["kind", "depth"], object), "obs/_index": cells, "obs/kind": np.array([0, 1, -1, 1, 0]), "obs/depth": np.array([1.5, 2, 3, 4, 5]), "obs/__categories/kind": np.array([b"a", b"b"], object)})
     got = [tuple(q) for q in hdf5.read_frame(spark, frame, "obs", step=2, opener=Recorded).orderBy("id").collect()]
     assert got == [(i + 1, f"c{i}", k, d) for i, (k, d) in enumerate(zip(["a", "b", None, "b", "a"], [1.5, 2.0, 3.0, 4.0, 5.0]))]
+
+
+def test_line_numbers_are_of_one_file(spark, tmp_path):
+    for name in ("a", "b"):
+        (tmp_path / name).write_text("x\ny\nz\n")
+    found = text_formats.line_numbers(spark, str(tmp_path / "a")).collect()
+    assert sorted((r.id, r.value) for r in found) == [(1, "x"), (2, "y"), (3, "z")]
+    with pytest.raises(ValueError, match="2 files"):
+        text_formats.line_numbers(spark, str(tmp_path))
