@@ -14,8 +14,9 @@ are linked to the first node of that signature (a star); signatures of very
 many nodes are dealt over several stars, whose first nodes are linked in turn.
 Sizes and sketches tell which links are possible.  Of a node's possible links
 the likeliest is verified exactly first; what that leaves in different
-components is verified next, and only then are the other pairs inside a
-signature looked at, again only across components.
+components is verified next.  Nodes of signatures that still span components
+sign again, each with its rarest members, at least one of which two similar
+sets share: texts with a common template meet in signatures, but not in these.
 """
 
 from __future__ import annotations
@@ -40,8 +41,10 @@ BROADCAST_ROWS = 1_000_000
 SUBSETS = {1: 8, 2: 9, 3: 9, 4: 9, 5: 9, 6: 10}
 #: Signatures that at least this many of one in SAMPLE ids have are dealt over as many stars as there are partitions.
 HOT, SAMPLE = 16, 64
-#: Of a node's open signatures, how many of the smallest are kept to tell that a pair has met before.
+#: Of a node's open rare members, how many of the smallest are kept to tell that a pair has met before.
 EARLIER = 32
+#: Members whose commonness in the sample is told to every task (16 bytes each); it sets an order and drops nothing.
+COMMON = 1 << 18
 MULTIPLIERS = mix(np.arange(101, 133, dtype=np.uint64))
 
 
@@ -203,6 +206,49 @@ def unpack(width: int):
     return run
 
 
+def count_members(width: int):
+    """(doc_id, text) to (member), for every set in a task once."""
+
+    def run(batches):
+        seen = set()
+        for b in batches:
+            members = [np.zeros(0, np.uint64)]
+            for s in shingle_sets(b.column(1), width):
+                if (node := fingerprint(s)) not in seen:
+                    seen.add(node)
+                    members.append(s)
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(members).view(np.int64))], ["member"])
+
+    return run
+
+
+def rarest(s: np.ndarray, known: np.ndarray, often: np.ndarray, num: int, den: int) -> np.ndarray:
+    """The rarest members of a set by (``often`` of ``known``, else 0; hash): as many as may be without a partner in a similar set, and one more."""
+    if len(known):
+        at = np.minimum(np.searchsorted(known, s), len(known) - 1)
+        counts = np.where(known[at] == s, often[at], 0)
+    else:
+        counts = np.zeros(len(s), np.int64)
+    return s[np.lexsort((s, counts))][: len(s) - -(-len(s) * num // den) + 1]
+
+
+def sign_again(width: int, num: int, den: int, common):
+    """(doc_id, text, node, c) to (rare, node, c), for texts whose set is that node."""
+
+    def run(batches):
+        known, often = common.value
+        for b in batches:
+            rare, own = [np.zeros(0, np.uint64)], [np.zeros((0, 2), np.int64)]
+            for s, *ids in zip(shingle_sets(b.column(1), width), b.column(2).to_pylist(), b.column(3).to_pylist()):
+                if fingerprint(s) == ids[0]:
+                    rare.append(rarest(s, known, often, num, den))
+                    own.append(np.tile(np.array(ids, np.int64), (len(rare[-1]), 1)))
+            own = np.concatenate(own)
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(rare).view(np.int64)), pa.array(own[:, 0]), pa.array(own[:, 1])], ["rare", "node", "c"])
+
+    return run
+
+
 def close(x: str, y: str, num: int, den: int):
     """Whether sizes and sketches of two aliased rows allow the similarity (never false for similar sets)."""
     small, large = F.least(f"{x}.n", f"{y}.n"), F.greatest(f"{x}.n", f"{y}.n")
@@ -278,6 +324,39 @@ def stars_of(rows: DataFrame, width: int, num: int, den: int) -> DataFrame:
     return out
 
 
+def common_members(rows: DataFrame, width: int) -> tuple[np.ndarray, np.ndarray]:
+    """(sorted members, counts) of the COMMON commonest members in one of SAMPLE ids."""
+    some = rows.filter(F.pmod(F.xxhash64("doc_id"), F.lit(SAMPLE)) == 0).mapInArrow(count_members(width), "member long")
+    top = some.groupBy("member").agg(F.count("*").alias("n")).filter("n > 1").orderBy(F.desc("n"), "member").limit(COMMON).toArrow()
+    known = top.column("member").to_numpy().view(np.uint64)
+    order = np.argsort(known)
+    return known[order], top.column("n").to_numpy()[order]
+
+
+def open_pairs(left: DataFrame, rows: DataFrame, classes: DataFrame, width: int, num: int, den: int) -> DataFrame:
+    """(hub, node), cut: the possible pairs across components among the nodes of ``left`` (node, c).
+
+    Similar sets of n members share at least one of the n - ceil(n num / den) + 1
+    that come first in any common order; the order is from rare to common.
+    """
+    wanted = cut(left.join(classes, "node").select(F.col("first").alias("doc_id"), "node", "c"), "open-nodes")
+    common = rows.sparkSession.sparkContext.broadcast(common_members(rows, width))
+    some = rows.join(F.broadcast(wanted) if small_enough(wanted, BROADCAST_ROWS) else wanted, "doc_id").select("doc_id", "text", "node", "c")
+    signed = cut(some.mapInArrow(sign_again(width, num, den, common), "rare long, node long, c long").distinct(), "rare")
+    mixed = signed.groupBy("rare").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).filter("lo <> hi").select("rare")
+    met = signed.join(mixed, "rare", "left_semi")
+    low = met.groupBy("node").agg(F.slice(F.sort_array(F.collect_list("rare")), 1, EARLIER).alias("low"))
+    met = cut(met.join(classes.select("node", "n", "sketch"), "node").join(low, "node"), "open")
+    x, y = met.alias("x"), met.alias("y")
+    meet = (F.col("x.rare") == F.col("y.rare")) & (F.col("x.node") < F.col("y.node")) & (F.col("x.c") != F.col("y.c"))
+    # A pair with a smaller rare member in common is made there (the smallest one always makes it).
+    earlier = F.arrays_overlap(F.filter("x.low", lambda v: v < F.col("x.rare")), F.col("y.low"))
+    again = cut(x.join(y, meet & close("x", "y", num, den) & ~earlier).select(F.col("x.node").alias("hub"), F.col("y.node").alias("node")).distinct(), "open-pairs")
+    free(wanted, signed, met)
+    common.destroy()
+    return again
+
+
 def jaccard_components(docs: DataFrame, width: int = SHINGLE, num: int = NUM, den: int = DEN) -> DataFrame:
     """(doc_id, n_shingles, component_id) for every row of ``docs`` (doc_id, text).
 
@@ -319,17 +398,11 @@ def jaccard_components(docs: DataFrame, width: int = SHINGLE, num: int = NUM, de
     free(good, more)
     groups = connected(links)
 
-    # Signatures whose members are still in several components: their other pairs; the only hub of one has met all.
+    # Signatures whose members are still in several components: their nodes sign again; the only hub of one has met all.
     left = stars.filter("hub <> node or hot").select("sig", "node").distinct().join(groups, "node", "left").select("sig", "node", F.coalesce("component", "node").alias("c"))
     mixed = left.groupBy("sig").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).filter("lo <> hi").select("sig")
-    left = left.join(mixed, "sig", "left_semi")
-    low = left.groupBy("node").agg(F.slice(F.sort_array(F.collect_list("sig")), 1, EARLIER).alias("low"))
-    left = cut(left.join(facts, "node").join(low, "node"), "open")
-    x, y = left.alias("x"), left.alias("y")
-    meet = (F.col("x.sig") == F.col("y.sig")) & (F.col("x.node") < F.col("y.node")) & (F.col("x.c") != F.col("y.c"))
-    # A pair with a smaller signature in common is made there (the smallest one always makes it).
-    earlier = F.arrays_overlap(F.filter("x.low", lambda v: v < F.col("x.sig")), F.col("y.low"))
-    again = cut(x.join(y, meet & close("x", "y", num, den) & ~earlier).select(F.col("x.node").alias("hub"), F.col("y.node").alias("node")).distinct(), "open-pairs")
+    left = cut(left.join(mixed, "sig", "left_semi").select("node", "c").distinct(), "left")
+    again = open_pairs(left, rows, classes, width, num, den)
     free(stars, left)
     if not again.isEmpty():
         sets = members_of(again, rows, classes, width)

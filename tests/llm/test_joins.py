@@ -94,6 +94,42 @@ def test_unrelated_small_sets_share_no_signature():
         assert max(seen.values()) <= 4, n
 
 
+def test_rare_members_are_complete():
+    """Similar sets share one of their rarest members, whatever is known of how common they are."""
+    r = np.random.default_rng(6)
+    known = np.unique(r.integers(0, 2**64, 4000, np.uint64))
+    for often in (r.integers(2, 9, len(known)), np.full(len(known), 2)):
+        for _ in range(500):
+            n = int(r.integers(1, 200))
+            spare = int(r.integers(0, n // 4 + 1))
+            left = int(r.integers(0, spare + 1))
+            both, own = np.concatenate([r.choice(known, n // 2, False), r.integers(0, 2**64, n - n // 2, np.uint64)]), r.integers(0, 2**64, spare, np.uint64)
+            x, y = np.unique(np.concatenate([both, own[:left]])), np.unique(np.concatenate([both, own[left:]]))
+            first = jaccard_join.rarest(x, known, often, 4, 5)
+            assert len(first) == len(x) // 5 + 1
+            assert set(first.tolist()) & set(jaccard_join.rarest(y, known, often, 4, 5).tolist())
+    assert len(jaccard_join.rarest(x, known[:0], often[:0], 4, 5)) == len(x) // 5 + 1
+
+
+def test_jaccard_of_a_common_template(make_docs, monkeypatch):
+    """Texts that share a template and link with nothing make no pairs; near copies among them still link."""
+    monkeypatch.setattr(jaccard_join, "SAMPLE", 4)
+    r = random.Random(12)
+    template = words(r, 70, 10**6)
+    docs = [(i, " ".join(template + words(r, 30, 10**6))) for i in range(600)]
+    for i in range(0, 600, 60):
+        w = docs[i][1].split()
+        w[80] = "another"
+        docs.append((1000 + i, " ".join(w)))
+    made = []
+    plain = jaccard_join.open_pairs
+    monkeypatch.setattr(jaccard_join, "open_pairs", lambda left, *a: made.append((left.count(), (out := plain(left, *a)).count())) or out)
+    got = {x.doc_id: (x.n_shingles, x.component_id) for x in jaccard_join.jaccard_components(make_docs(docs)).collect()}
+    assert got == brute.jaccard_components(docs)
+    [(nodes, pairs)] = made
+    assert nodes > 500 and pairs <= 10
+
+
 def test_jaccard_edge_cases(hard, empty):
     got = sorted(((r.doc_id, r.n_shingles, r.component_id) for r in jaccard_join.jaccard_components(hard).collect()))
     assert got == [(1, 0, 1), (2, 0, 2), (3, 0, 3), (4, 1, 4), (5, 1, 4), (5, 1, 4), (7, 1, 7), (8, 1, 8), (9, 1, 9)]
