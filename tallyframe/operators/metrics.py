@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .neighbours import nearest_neighbours
+from ..storage import short_cut as cut
+from .neighbours import METRICS, nearest_neighbours, search, usable
 
 
 def agreement(x: DataFrame, y: DataFrame, k: int = 15, metric: str = "euclidean", include_self: bool = True) -> DataFrame:
@@ -22,6 +23,8 @@ def alignment(vectors: DataFrame, datasets: DataFrame, k: int | None = None, met
     Every data set is thinned to the size of the smallest, by a hash of the id.
     k defaults to 1 % of the cells, at least 10.  A single data set is aligned.
     """
+    if metric not in METRICS:
+        raise ValueError(f"unknown metric: {metric}")
     rows = vectors.join(datasets, "cell_id")
     sizes = rows.groupBy("dataset").agg(F.count("*").alias("n"))
     small, n_sets, total = sizes.agg(F.min("n"), F.count("*"), F.sum("n")).first()
@@ -33,8 +36,12 @@ def alignment(vectors: DataFrame, datasets: DataFrame, k: int | None = None, met
     some = rows.withColumn("r", F.row_number().over(order)).filter(F.col("r") <= small).drop("r")
     k = k or max(10, min(total // 100, small * n_sets - 1))
     k = min(k, small * n_sets - 1)
-    nn = nearest_neighbours(some, k, metric, include_self=False).select("cell_id", "neighbour_id")
-    sets = some.select("cell_id", "dataset")
-    same = nn.join(sets, "cell_id").join(sets.select(F.col("cell_id").alias("neighbour_id"), F.col("dataset").alias("other")), "neighbour_id").groupBy("dataset").agg((F.count_if(F.col("dataset") == F.col("other")) / F.lit(float(small))).alias("x"))
+    tags = sizes.select(F.col("dataset").alias("of"), F.row_number().over(Window.orderBy("dataset")).cast("long").alias("tag"))
+    tags = cut(tags, "datasets")
+    # Each cell's neighbours of its own data set are counted where they are found; n k rows are never made.
+    tagged = cut(usable(some, "dataset").join(tags, F.col("dataset").eqNullSafe(F.col("of"))).select("cell_id", "vector", "tag"), "vectors")
+    found = search(tagged, k, metric, False, None, True, "cell_id long, tag long, same long")
+    inside = F.when(F.col("of").isNotNull(), F.col("same")).otherwise(0)
+    same = found.join(tags, "tag").groupBy(F.col("of").alias("dataset")).agg((F.sum(inside) / F.lit(float(small))).alias("x"))
     share = k / n_sets
     return same.select("dataset", (1 - (F.col("x") - share) / (k - share)).alias("alignment"))

@@ -519,3 +519,41 @@ def test_line_numbers_are_of_one_file(spark, tmp_path):
     assert sorted((r.id, r.value) for r in found) == [(1, "x"), (2, "y"), (3, "z")]
     with pytest.raises(ValueError, match="2 files"):
         text_formats.line_numbers(spark, str(tmp_path))
+
+
+def test_neighbours_over_many_tiles_and_ties():
+    """Tiles beyond the first, copies in number, vectors far from the origin, and ids that two rows share, against all pairs."""
+    r = np.random.default_rng(11)
+    for x in (r.normal(size=(1500, 8)), np.repeat(r.normal(size=(15, 8)), 100, 0), r.normal(size=(1500, 8)) * 1e-3 + 50, r.integers(0, 3, size=(1500, 4)) * 1e80):
+        ids = np.concatenate([r.permutation(1499), [7]])
+        for own, k in ((True, 5), (False, 40)):
+            best = neighbours.Best(ids[:200], x[:200], k, "euclidean", own)
+            for s in range(0, 1500, 130):
+                best.add(ids[s : s + 130], x[s : s + 130], np.arange(s, min(s + 130, 1500)))
+            got = best.result()
+            want = neighbours.nearest(ids[:200], x[:200], ids, x, k, "euclidean", own)
+            names, start, times = np.unique(ids[:200], return_index=True, return_counts=True)
+            rows = [(ids[q], n) for q in start for n in want[1][want[0] == q]]
+            single = set(names[times == 1])
+            assert [t for t in zip(got[0], got[1]) if t[0] in single] == [t for t in rows if t[0] in single]
+            assert (got[4] <= k).all() and (got[3] >= 0).all()
+
+
+def test_alignment_makes_no_row_for_each_neighbour(spark, monkeypatch):
+    """Every neighbour's data set is counted where it is found; the search must not return neighbours to be joined."""
+    x = np.random.default_rng(12).normal(size=(90, 3))
+    df = spark.createDataFrame([(i, [float(t) for t in v]) for i, v in enumerate(x)], "cell_id long, vector array<double>")
+    sets = spark.createDataFrame([(i, "ab"[i % 2]) for i in range(90)], "cell_id long, dataset string")
+    monkeypatch.setattr(metrics, "nearest_neighbours", None)
+    got = {r.dataset: r.alignment for r in metrics.alignment(df, sets, k=12).collect()}
+    near = np.argsort(((x[:, None] - x) ** 2).sum(2) + np.diag(np.full(90, np.inf)), axis=1)[:, :12]
+    same = np.array([(near[s::2] % 2 == s).sum() / 45 for s in (0, 1)])
+    assert got == pytest.approx(dict(zip("ab", 1 - (same - 6) / (12 - 6))))
+
+
+def test_blocks_of_queries_are_tasks_of_their_own(spark, tmp_path):
+    """A union of frames of one partition each is a single task in Spark 4.1, which would take all blocks one after the other."""
+    df = spark.createDataFrame([(i, [float(i), 1.0]) for i in range(60)], "cell_id long, vector array<double>")
+    out = neighbours.nearest_neighbours(df, 3, block_rows=10)
+    assert len([f for f in out.inputFiles() if "nearest" in f]) >= 4
+    assert out.count() == 180
