@@ -11,12 +11,14 @@ from pyspark.sql import functions as F
 
 from ..storage import free
 from ..storage import short_cut as cut
-from .neighbours import METRICS, OUT, matrix, nearest, usable
+from .neighbours import METRICS, OUT, matrix, nearest, search, usable
 
 #: Slices of a node at a level, at most; nodes whose bounds are broadcast, at most.
 SLICES, BROADCAST_NODES = 16, 100_000
 #: Members of a cell's meeting from each side, and the share of all neighbours that a round must improve for another.
 SIDE, WORTH = 16, 1e-2
+#: Cells that are searched exactly to tell how many neighbours were found, and the share below which all are.
+JUDGED, TARGET = 1000, 0.93
 
 
 def unit(x: np.ndarray, metric: str) -> np.ndarray:
@@ -126,6 +128,15 @@ def refined(graph: DataFrame, v: DataFrame, metric: str, k: int, seed: int) -> D
     return best(edges.select("cell_id", "neighbour_id", "distance").unionByName(meetings.mapInArrow(meeting(metric), OUT)), k)
 
 
+def recall(graph: DataFrame, v: DataFrame, k: int, metric: str, seed: int) -> float:
+    """The share of the exact neighbours of at most JUDGED cells, drawn by hash, that ``graph`` has or that are no nearer than its last."""
+    some = v.orderBy(F.xxhash64("cell_id", F.lit(seed)), "cell_id").limit(JUDGED)
+    exact = search(v, k, metric, False, None, False, "cell_id long, neighbour_id long, rank int, distance double", some)
+    found = graph.select("cell_id", F.transform("near", lambda e: e["neighbour_id"]).alias("ids"), F.size("near").alias("n"), F.element_at("near", -1)["distance"].alias("last")) if k else graph
+    right = exact.join(found, "cell_id", "left").agg(F.avg(F.coalesce(F.array_contains("ids", F.col("neighbour_id")) | ((F.col("n") >= k) & (F.col("last") <= F.col("distance"))), F.lit(False)).cast("double"))).first()[0]
+    return 1.0 if right is None else right
+
+
 def approximate_neighbours(vectors: DataFrame, k: int, metric: str = "euclidean", include_self: bool = True, dims: int | None = None, trees: int = 12, leaf: int = 256, rounds: int = 6, seed: int = 1) -> DataFrame:
     """G1 at scale: (cell_id, neighbour_id, rank, distance) of about the k nearest; distances are exact.
 
@@ -134,10 +145,15 @@ def approximate_neighbours(vectors: DataFrame, k: int, metric: str = "euclidean"
     round improves hardly any.  Only cells of one leaf or one meeting are ever
     compared in pairs, and both are bounded.  Ids must be unique; cells without
     a usable vector take no part.
+
+    Where neighbours are hard to tell from others (vectors of many unrelated
+    components), neighbours of neighbours lead nowhere.  Some cells are
+    therefore searched exactly at the end; if less than TARGET of their
+    neighbours were found, all cells are.
     """
     if metric not in METRICS:
         raise ValueError(f"unknown metric: {metric}")
-    v = usable(vectors.select("cell_id", (F.slice("vector", 1, dims) if dims else F.col("vector")).alias("vector")))
+    v = cut(usable(vectors.select("cell_id", (F.slice("vector", 1, dims) if dims else F.col("vector")).alias("vector"))), "vectors")
     others = k - 1 if include_self else k
     leaves = forest(v, metric, trees, leaf, seed)
     found = leaves.join(v, "cell_id").groupBy("tree", "node", "piece").applyInArrow(leaf_search(max(1, others), metric), OUT)
@@ -153,6 +169,9 @@ def approximate_neighbours(vectors: DataFrame, k: int, metric: str = "euclidean"
         graph = new
         if seen <= WORTH * total:
             break
+    if others and recall(graph, v, others, metric, seed) < TARGET:
+        free(graph)
+        return search(v, k, metric, include_self, None, False, "cell_id long, neighbour_id long, rank int, distance double")
     if not include_self:
         return rows_of(graph)
     own = v.select("cell_id", F.col("cell_id").alias("neighbour_id"), F.lit(0.0).alias("distance"))

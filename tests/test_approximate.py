@@ -104,3 +104,12 @@ def test_a_hub_of_all_cells_makes_no_pairs(spark):
     assert out.count() == 3000 * 3
     own = {q.x: q["count"] for q in out.selectExpr("weight as x").groupBy("x").count().collect()}
     assert own == {1.0: 3000, 1 / 3: 6000}
+
+
+@pytest.mark.parametrize("own", [True, False])
+def test_neighbours_that_others_do_not_lead_to(spark, own):
+    """Of vectors of many unrelated components too few neighbours are found; then all cells are searched exactly."""
+    v = frame(spark, np.random.default_rng(4).normal(size=(3000, 64)))
+    got = sets(approximate.approximate_neighbours(v, 15, include_self=own, leaf=64, trees=1, rounds=1).collect())
+    exact = sets(neighbours.nearest_neighbours(v, 15, include_self=own).collect())
+    assert sum(len(got[i] & exact[i]) for i in exact) >= 0.9 * 15 * 3000

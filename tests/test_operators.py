@@ -557,3 +557,18 @@ def test_blocks_of_queries_are_tasks_of_their_own(spark, tmp_path):
     out = neighbours.nearest_neighbours(df, 3, block_rows=10)
     assert len([f for f in out.inputFiles() if "nearest" in f]) >= 4
     assert out.count() == 180
+
+
+def test_modularity_makes_its_edges_once(spark):
+    """Edges are read three times; as a rule a search makes them."""
+    seen = spark.sparkContext.accumulator(0)
+
+    def told(w):
+        seen.add(1)
+        return w
+
+    rows = spark.createDataFrame([(1, 2, 1.0), (2, 1, 1.0), (2, 3, 0.5), (3, 2, 0.5)], "src long, dst long, weight double")
+    edges = rows.withColumn("weight", F.udf(told, "double")("weight"))
+    labels = spark.createDataFrame([(1, 1), (2, 1), (3, 2)], "node long, label int")
+    assert graph.modularity(edges, labels).first().modularity == pytest.approx(2 / 3 - (2.5**2 + 0.5**2) / 9)
+    assert seen.value == 4
