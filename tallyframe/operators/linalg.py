@@ -20,6 +20,8 @@ CELLS, ROWS, FAN_IN = 1024, 256, 32
 HOT_PRODUCTS, BROADCAST_ROWS = 1 << 20, 100_000
 #: Products of entries of one cell that a task adds up at a time.
 PAIRS = 1 << 20
+#: Products of entries with columns that a task holds at a time.
+PRODUCTS = 1 << 17
 #: Features up to which the whole matrix is factored in one pass.
 DIRECT = 256
 
@@ -160,7 +162,9 @@ def times(batches, ids: np.ndarray, v: np.ndarray, shift: np.ndarray):
             feature = np.searchsorted(ids, flat.field(0).to_numpy(zero_copy_only=False))
             value = flat.field(1).to_numpy(zero_copy_only=False)
             product = np.tile(-shift, (len(n), 1))
-            np.add.at(product, row, value[:, None] * v[feature])
+            step = max(1, PRODUCTS // max(1, v.shape[1]))
+            for e in range(0, len(row), step):
+                np.add.at(product, row[e : e + step], value[e : e + step, None] * v[feature[e : e + step]])
             yield part.column(0), row, feature, value, product
 
 

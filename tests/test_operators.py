@@ -572,3 +572,40 @@ def test_modularity_makes_its_edges_once(spark):
     labels = spark.createDataFrame([(1, 1), (2, 1), (3, 2)], "node long, label int")
     assert graph.modularity(edges, labels).first().modularity == pytest.approx(2 / 3 - (2.5**2 + 0.5**2) / 9)
     assert seen.value == 4
+
+
+def test_products_with_columns_are_taken_in_parts():
+    """A thousand cells of many entries, times many columns, hold few products at a time."""
+    import tracemalloc
+
+    import pyarrow as pa
+
+    r = np.random.default_rng(13)
+    x, v, shift = r.normal(size=(1000, 64)), r.normal(size=(64, 64)), r.normal(size=64)
+    kind = pa.list_(pa.struct([("feature_id", pa.int64()), ("value", pa.float64())]))
+    lists = pa.array([[{"feature_id": j, "value": float(y)} for j, y in enumerate(row)] for row in x], kind)
+    batch = pa.RecordBatch.from_arrays([pa.array(range(1000)), lists], ["cell_id", "e"])
+    tracemalloc.start()
+    found = [product for *_, product in linalg.times([batch], np.arange(64), v, shift)]
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert np.allclose(np.concatenate(found), x @ v - shift)
+    assert peak < 16 << 20
+
+
+@pytest.mark.parametrize("method", ["t", "wilcoxon"])
+def test_markers_make_their_entries_once(spark, method):
+    """Scores and fold changes read the entries, which as a rule a join makes."""
+    seen = spark.sparkContext.accumulator(0)
+
+    def told(x):
+        seen.add(1)
+        return x
+
+    r = np.random.default_rng(14)
+    coo = spark.createDataFrame([(c, f, int(r.integers(1, 9))) for c in range(12) for f in range(3)], "cell_id long, feature_id long, value long")
+    m = CountMatrix(coo.withColumn("value", F.udf(told, "long")("value")), spark.range(12).selectExpr("id as cell_id"), spark.range(3).selectExpr("id as feature_id"))
+    labels = spark.createDataFrame([(c, c % 2) for c in range(12)], "cell_id long, label int")
+    assert diffexpr.find_markers(m, labels, method).count() == 6
+    assert len(diffexpr.find_all_markers(m, labels, method, min_pct=0.0, logfc_threshold=0.0).collect()) <= 6
+    assert seen.value == 2 * 36
