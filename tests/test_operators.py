@@ -268,6 +268,25 @@ def test_moves_never_lower_modularity(spark, monkeypatch):
         assert q[start] >= gains[-1] - 1e-9
 
 
+def test_buckets_settle_in_few_rounds(spark, monkeypatch):
+    """Nodes in six buckets that move side by side find planted groups, and nobody gains by a move at the end."""
+    monkeypatch.setattr(graph, "BUCKET", 16)
+    r = np.random.default_rng(4)
+    group = np.arange(96) % 6
+    a = np.triu(r.random((96, 96)) < np.where(group[:, None] == group, 0.7, 0.05), 1).astype(float)
+    a += a.T
+    edges = spark.createDataFrame([(int(i), int(j), 1.0) for i, j in zip(*np.nonzero(a))], "src long, dst long, weight double")
+    rounds, cut = [], graph.cut
+    monkeypatch.setattr(graph, "cut", lambda df, name: (rounds.append(name), cut(df, name))[1])
+    every, q = graph.louvain(edges, 0.8, 2)
+    assert rounds.count("graph-wants") < 60
+    for start in range(2):
+        x = np.array([s.label for s in every.filter(F.col("start") == start).orderBy("node").collect()])
+        assert len(set(x.tolist())) == 6 and all(len(set(x[group == g].tolist())) == 1 for g in range(6))
+        w = a.sum(1)
+        assert abs(q[start] - sum(((a - 0.8 * np.outer(w, w) / w.sum()) / w.sum())[np.ix_(x == c, x == c)].sum() for c in set(x.tolist()))) < 1e-9
+
+
 def test_purity_and_alignment(spark):
     pairs = spark.createDataFrame([(1, 1), (1, 1), (1, 2), (2, 2), (2, 2), (2, 1), (3, 3)], "cluster int, class int")
     assert math.isclose(stats.purity(pairs).first().purity, 5 / 7)
