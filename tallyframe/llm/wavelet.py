@@ -47,13 +47,12 @@ def build(tokens: np.ndarray) -> bytes:
     blocks = -(-n // STEP)
     out = [MAGIC, struct.pack("<IQ", planes, n)]
     for p in range(planes - 1, -1, -1):
-        bit = (seq >> seq.dtype.type(p)) & seq.dtype.type(1)
+        one = (seq & seq.dtype.type(1 << p)) != 0
         packed = np.zeros(blocks * STEP // 8, np.uint8)
-        raw = np.packbits(bit.astype(np.uint8), bitorder="little")
+        raw = np.packbits(one, bitorder="little")
         packed[: len(raw)] = raw
         counts = np.zeros(blocks + 1, np.uint32)
         np.cumsum(BITS[packed].reshape(blocks, STEP // 8).sum(1, dtype=np.uint32), out=counts[1:])
-        one = bit.astype(bool)
         zeros = seq[~one]
         out += [struct.pack("<Q", len(zeros)), counts.tobytes(), packed.tobytes()]
         seq = np.concatenate([zeros, seq[one]])
@@ -141,13 +140,13 @@ class WaveletMatrix:
 
     def tokens(self) -> np.ndarray:
         """All tokens in order."""
-        order = np.arange(self.n, dtype=np.int32)  # order[j]: original position of the j-th entry on this plane
+        # From the last plane up: each plane says where the two halves below it came from.
         out = np.zeros(self.n, np.uint16 if self.planes <= 16 else np.uint32)
-        for p in range(self.planes):
-            one = np.unpackbits(self.bits[p], count=self.n, bitorder="little").astype(bool)
-            zeros, ones = order[~one], order[one]
-            out[ones] |= out.dtype.type(1 << (self.planes - 1 - p))
-            order = np.concatenate([zeros, ones])
+        for p in range(self.planes - 1, -1, -1):
+            one = np.unpackbits(self.bits[p], count=self.n, bitorder="little").view(bool)
+            below, out = out, np.empty_like(out)
+            below[self.zeros[p] :] |= out.dtype.type(1 << (self.planes - 1 - p))
+            out[~one], out[one] = below[: self.zeros[p]], below[self.zeros[p] :]
         return out
 
 
@@ -169,6 +168,8 @@ class WordEncoder:
         self.special = re.compile("|".join(map(re.escape, self.added)) or "(?!)").search
         low = "a-z\xaa\xb5\xba\xdf-\xf6\xf8-\xff"
         self.runs = re.compile(rf"'s|'t|'re|'ve|'m|'ll|'d|[{low}]+|[0-9\xb2\xb3\xb9\xbc-\xbe]|[^{low}0-9\xb2\xb3\xb9\xbc-\xbe]+").findall
+        #: No added token is letters only, so that words of ASCII letters hold none.
+        self.plain = not any(t.isascii() and t.isalpha() for t in self.added)
         self.easy = re.compile("[\x21-\x7e\xa1-\xac\xae-\xff]+").fullmatch
         self.forget()
 
@@ -188,8 +189,16 @@ class WordEncoder:
             groups = [some[i : i + 1024] for i in range(0, len(some), 1024)] if joined else [[x] for x in some]
             for group, e in zip(groups, self.library.encode_batch([" ".join(g) for g in groups], add_special_tokens=False)):
                 flat.append(np.array(e.ids, np.uint16))
+                if not joined:
+                    counts.append(np.array([len(flat[-1])]))
+                    continue
+                # Where the library sees as many words as there are, each is one; else offsets tell.
+                words = e.word_ids
+                if None not in words and words and words[-1] == len(group) - 1:
+                    counts.append(np.bincount(words, minlength=len(group)))
+                    continue
                 ends = np.cumsum(np.fromiter(map(len, group), np.int64, len(group)) + 1)
-                at = np.searchsorted(np.fromiter((a for a, _ in e.offsets), np.int64, len(e.ids)), ends) if joined else [len(e.ids)]
+                at = np.searchsorted(np.fromiter((a for a, _ in e.offsets), np.int64, len(e.ids)), ends)
                 counts.append(np.diff(at, prepend=0))
         return np.concatenate(flat), np.concatenate(counts)
 
@@ -207,8 +216,11 @@ class WordEncoder:
         """Encode new strings and add them to the known ones."""
         number: dict[str, int] = {}
         easy, special, at, n_parts, hard = self.easy, self.special, [], np.ones(len(strings), np.int64), []
+        plain = self.plain
         for i, w in enumerate(strings):
-            if not easy(w) or special(w):
+            if plain and w.isascii() and w.isalpha():
+                at.append(number.setdefault(w.lower(), len(number)))
+            elif not easy(w) or special(w):
                 # Strings beyond Latin-1 may change length when normalised, so each is encoded alone.
                 hard.append(w)
                 at.append(-len(hard))
@@ -236,11 +248,14 @@ class WordEncoder:
         parts_of = [(self.exact(data.tobytes(), w, starts, ends), at, data, starts, ends) for data, w, at, starts, ends in split_words(column)]
         hashes = np.concatenate([w for w, *_ in parts_of] or [np.zeros(0, np.uint64)])
         n_words = np.concatenate([np.diff(at) for _, at, *_ in parts_of] or [np.zeros(0, np.int64)])
-        distinct, first, inverse = np.unique(hashes, return_index=True, return_inverse=True)
+        # By a hash table; in the order in which they first occur.
+        told = pa.array(hashes).dictionary_encode()
+        distinct, inverse = told.dictionary.to_numpy(), told.indices.to_numpy()
+        first = np.flatnonzero(np.diff(np.maximum.accumulate(inverse), prepend=-1))
         if len(self.hashes) > CACHE:
             self.forget()
         new = ~np.isin(distinct, self.hashes, assume_unique=True)
-        places, strings, base = np.sort(first[new]), [], 0
+        places, strings, base = first[new], [], 0
         for w, _, data, starts, ends in parts_of:
             own = places[np.searchsorted(places, base) : np.searchsorted(places, base + len(w))] - base
             raw = data.tobytes()

@@ -134,6 +134,18 @@ def test_token_files_keep_the_librarys_special_tokens(make_docs):
         start += len(ids)
 
 
+def test_words_are_told_by_number_or_by_offsets():
+    """Ids of each string are its own, also where the library sees several words in one, or none, or where a word is common."""
+    from tokenizers import Tokenizer
+
+    path = public_tokenizers.path("word_bpe_49k.json")
+    coder, library = wavelet.WordEncoder(path), Tokenizer.from_file(path)
+    assert coder.plain
+    for strings in (["plain", "words", "unbelievably"], ["a", "b-c", "d"], ["x1y2", "z"], ["\xbd", "\xaa", "\xb2", "stra\xdfe"], ["one"]):
+        flat, counts = coder.ids(strings)
+        assert [x.tolist() for x in np.split(flat, np.cumsum(counts)[:-1])] == [library.encode(s, add_special_tokens=False).ids for s in strings]
+
+
 def test_token_files_edge_cases(hard):
     got = wavelet.encode_documents(hard, public_tokenizers.path("word_bpe_49k.json"), 2).collect()
     assert len(got) == len(HARD)
