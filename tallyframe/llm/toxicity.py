@@ -15,6 +15,8 @@ from __future__ import annotations
 import math
 import pickle
 import re
+from functools import lru_cache
+from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
@@ -43,6 +45,8 @@ BEST, ROUNDS, NOTHING, COST, POWER = 8, 4, -0.6, 3.0, 2
 MARK = "\x02"
 #: Longer words are read in overlapping windows of this many characters.
 WIDE = 32
+#: Numbers of subsequences up to which a table has a place for each; beyond, they are searched (8 bytes each).
+DENSE = 1 << 20
 #: Scores after which a task drops those of segments that it has not met since it last did so.
 CACHE = 150_000
 THRESHOLD = 0.7
@@ -50,12 +54,17 @@ OUTER = re.compile(r"^[^\w]+|[^\w]+$")
 SENTENCE = re.compile(r"[.!?\n]+")
 
 
-def codes(words: list[str], width: int) -> np.ndarray:
-    """Characters as int32 [words, width], padded with -1."""
-    out = np.full((len(words), width), -1, np.int32)
-    for i, w in enumerate(words):
-        out[i, : len(w)] = np.frombuffer(w.encode("utf-32-le", "replace"), np.int32)
-    return out
+def codes(words: list[str]) -> np.ndarray:
+    """Characters of equally long words, a mark before each, as uint32 [places, words]."""
+    flat = np.frombuffer("".join(MARK + w for w in words).encode("utf-32-le", "replace"), np.uint32)
+    return np.ascontiguousarray(flat.reshape(len(words), -1).T)
+
+
+@lru_cache(maxsize=64)
+def triples(n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """All a < b < c below n, and what the span of each counts."""
+    a, b, c = np.array(list(combinations(range(n), ORDER))).T
+    return a, b, c, DECAY ** (c - a + 1).astype(np.float32)
 
 
 def raw_kernel(same) -> np.ndarray:
@@ -85,90 +94,138 @@ def raw_kernel(same) -> np.ndarray:
 
 
 class Kernel:
-    """Normalised kernel values between words and fixed landmarks; a mark before each lets beginnings count."""
+    """Normalised kernel values between words and fixed landmarks; a mark before each lets beginnings count.
+
+    The kernel is the product of what each subsequence counts in either word, so
+    a landmark is a row of numbers, one for each subsequence that any landmark
+    has, and a weighted sum over landmarks is a single such row.
+    """
 
     def __init__(self, landmarks: list[str]):
         self.landmarks = landmarks
         self.own = self.selves(landmarks)
-        # Landmarks with a common beginning share their values: a trie, by depth (characters, parents).
-        at: dict[str, int] = {"": 0}
-        self.levels: list[tuple[list[int], list[int]]] = []
-        for w in (MARK + w for w in landmarks):
-            for d in range(len(w)):
-                if d == len(self.levels):
-                    self.levels.append(([], []))
-                if w[: d + 1] not in at:
-                    at[w[: d + 1]] = len(self.levels[d][0])
-                    self.levels[d][0].append(ord(w[d]))
-                    self.levels[d][1].append(at[w[:d]])
-        self.ends = [(len(MARK + w) - 1, at[MARK + w]) for w in landmarks]
+        self.letters = np.unique(np.frombuffer((MARK + "".join(landmarks)).encode("utf-32-le", "replace"), np.uint32))
+        found, of, counts = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [np.zeros(0, np.float32)]
+        for at, names, count in self.named(landmarks):
+            found.append(names.ravel())
+            of.append(np.tile(at, len(names)))
+            counts.append(np.repeat(count, len(at)))
+        self.names, place = np.unique(np.concatenate(found), return_inverse=True)
+        #: Entry by entry: place of the subsequence, landmark, what it counts there; by place.
+        pairs, same = np.unique(place * len(landmarks) + np.concatenate(of), return_inverse=True)
+        self.place, self.of = pairs // max(1, len(landmarks)), pairs % max(1, len(landmarks))
+        self.counts = np.bincount(same, np.concatenate(counts), len(pairs)).astype(np.float32)
 
     @staticmethod
     def selves(words: list[str]) -> np.ndarray:
         out = np.zeros(len(words), np.float32)
         for at, group in by_length(words):
-            c = codes([MARK + w for w in group], len(group[0]) + len(MARK))
-            n = c.shape[1]
-            out[at] = raw_kernel([[(c[:, a] == c[:, b]).astype(np.float32) for b in range(n)] for a in range(n)])
+            c = codes(group)
+            n = len(c)
+            fall = np.subtract.outer(np.arange(n), np.arange(n))
+            fall = np.where(fall >= 0, DECAY ** np.maximum(fall, 0), 0).astype(np.float32)
+            # As in raw_kernel, all places of the second word at a time; upto[i][b]: subsequences of length i + 1 up to b.
+            total, upto = np.zeros(len(group), np.float32), [np.zeros((n + 1, len(group)), np.float32) for _ in range(ORDER - 1)]
+            for a in range(n):
+                hit = (c == c[a]) * (DECAY * DECAY)
+                total += (hit * upto[-1][:-1]).sum(0)
+                for i in range(ORDER - 2, -1, -1):
+                    upto[i] *= DECAY
+                    upto[i][1:] += fall @ (hit * upto[i - 1][:-1] if i else hit)
+            out[at] = total
         return out
 
-    def __call__(self, words: list[str]) -> np.ndarray:
+    def named(self, words: list[str], most: int = 1 << 19):
+        """(indices, [triples, words] numbers of the subsequences or -1, what each counts) of groups of equally long words."""
+        n = len(self.letters)
+        kind = np.int32 if n <= 512 else np.int64
+        for at, group in by_length(words):
+            a, b, c, count = triples(len(group[0]) + len(MARK))
+            some = max(1, most // len(a))
+            for s in range(0, len(group), some):
+                x = codes(group[s : s + some])
+                letter = np.minimum(np.searchsorted(self.letters, x), n - 1).astype(kind)
+                # A character that no landmark has makes every number negative.
+                none = self.letters[letter] != x
+                first, second, third = (np.where(none, kind(-(n**ORDER)), letter * kind(n**i)) for i in (2, 1, 0))
+                names = first[a]
+                names += second[b]
+                names += third[c]
+                yield at[s : s + some], np.maximum(names, kind(-1), out=names), count
+
+    def table(self, values: np.ndarray):
+        """A function from numbers of subsequences to the last axis of ``values`` (one for each name, and one for no name)."""
+        n = len(self.letters) ** ORDER
+        if n > DENSE:
+
+            def find(names):
+                at = np.minimum(np.searchsorted(self.names, names), len(self.names) - 1)
+                return values[np.where(self.names[at] == names, at, len(self.names))]
+
+            return find
+        whole = np.full(n + 1, values[-1], values.dtype)
+        whole[self.names] = values[:-1]
+        return whole.take
+
+    def __call__(self, words: list[str], most: int = 1 << 20) -> np.ndarray:
         """[words, landmarks]; 0 where either is too short."""
         out = np.zeros((len(words), len(self.landmarks)), np.float32)
-        for at, group in by_length(words):
-            out[at] = self.sums(codes([MARK + w for w in group], len(group[0]) + len(MARK)))
+        if not len(self.names):
+            return out
+        rows = np.zeros((len(self.names), len(self.landmarks)), np.float32)
+        rows[self.place, self.of] = self.counts
+        find = self.table(np.arange(len(self.names) + 1, dtype=np.int32))
+        for at, names, count in self.named(words):
+            found = find(names).T
+            word, triple = np.nonzero(found < len(self.names))
+            found, weight = found[word, triple], count[triple]
+            step = max(1, most // max(1, rows.shape[1]))
+            for s in range(0, len(word), step):
+                e = s + step
+                firsts = np.flatnonzero(np.diff(word[s:e], prepend=-1))
+                out[at[word[s:e][firsts]]] += np.add.reduceat(rows[found[s:e]] * weight[s:e, None], firsts, 0)
         own = self.selves(words)
         return out / np.sqrt(np.maximum(own[:, None] * self.own[None, :], 1e-12))
 
+    def weighted(self, weights: np.ndarray):
+        """A function from words to the sums of their kernel values, times ``weights`` of the landmarks."""
+        scale = weights / np.sqrt(np.maximum(self.own, 1e-12))
+        values = np.append(np.bincount(self.place, self.counts * scale[self.of], len(self.names)), 0.0)
+        find = self.table(values)
 
-    def sums(self, c: np.ndarray) -> np.ndarray:
-        """raw_kernel of equally long words with all landmarks, over the trie."""
-        n = c.shape[0]
-        levels = [(np.array(x, np.int32)[:, None], np.array(up)) for x, up in self.levels]
-        new = lambda: [np.zeros((len(up), n), np.float32) for _, up in levels]
-        hits, part, runs, total, prime = new(), new(), new(), new(), [None, *(new() for _ in range(ORDER - 1))]
-        square = DECAY * DECAY
-        for a in range(c.shape[1]):
-            for d, (x, _) in enumerate(levels):
-                np.multiply(x == c[:, a], square, out=hits[d])
-            for i in range(ORDER, 0, -1):
-                for d in range(i - 1, len(levels)):
-                    up = levels[d][1]
-                    now = hits[d]
-                    if i > 1:
-                        now = np.take(prime[i - 1][d - 1], up, 0, out=part[d], mode="clip")
-                        now *= hits[d]
-                    if i == ORDER:
-                        total[d] += now
-                        continue
-                    run = runs[d]
-                    if d >= i:
-                        np.take(runs[d - 1], up, 0, out=run, mode="clip")
-                        run *= DECAY
-                        run += now
-                    else:
-                        np.copyto(run, now)
-                    prime[i][d] *= DECAY
-                    prime[i][d] += run
-        for d in range(1, len(levels)):
-            total[d] += total[d - 1][levels[d][1]]
-        return np.stack([total[d][i] for d, i in self.ends], 1)
+        def run(words: list[str]) -> np.ndarray:
+            out = np.zeros(len(words))
+            for at, names, count in self.named(words):
+                out[at] = count @ find(names)
+            return out / np.sqrt(np.maximum(self.selves(words), 1e-12))
+
+        return run
 
 
 def by_length(words: list[str], most: int = 512):
     """(indices, words) of equal length, in groups of bounded size; words too short for the kernel are left out."""
-    groups: dict[int, list[int]] = {}
-    for i, w in enumerate(words):
-        if len(w) >= ORDER:
-            groups.setdefault(len(w), []).append(i)
-    for at in groups.values():
-        for s in range(0, len(at), most):
-            some = at[s : s + most]
-            yield some, [words[i] for i in some]
+    n = np.fromiter(map(len, words), np.int64, len(words))
+    order = np.argsort(n, kind="stable")
+    cuts = np.flatnonzero(np.diff(n[order], prepend=-1))
+    for a, e in zip(cuts.tolist(), [*cuts[1:].tolist(), len(n)]):
+        for s in range(a, e if n[order[a]] >= ORDER else a, most):
+            some = order[s : min(e, s + most)]
+            yield some, [words[i] for i in some.tolist()]
+
+
+def bare(low: str) -> str:
+    """A lowered word without what stands around it."""
+    return low if low.isalnum() else OUTER.sub("", low)
 
 
 def normal(word: str) -> str:
-    return OUTER.sub("", word.lower())
+    return bare(word.lower())
+
+
+def distinct(x: np.ndarray) -> np.ndarray:
+    """The sorted different values, by a sort in place: a hash table of so many would take several times their memory."""
+    x.sort()
+    return x[np.diff(x, prepend=x[:1] - 1) != 0]
 
 
 def windows(word: str) -> list[str]:
@@ -260,12 +317,19 @@ class Model:
 
     def __init__(self, kernel, weights, offset, slope, shift, ranks=(1.0,)):
         self.kernel, self.weights, self.offset, self.slope, self.shift, self.ranks = kernel, weights, offset, slope, shift, np.array(ranks)
+        self.sums = None
+
+    def __getstate__(self):
+        """The table of sums is made anew where it is used."""
+        return self.__dict__ | {"sums": None}
 
     def raw(self, words: list[str], step: int = 8192) -> np.ndarray:
         """What single segments tell, 0 at least."""
         if self.kernel is None or not words:
             return np.zeros(len(words))
-        return told(np.concatenate([self.kernel(words[s : s + step]) @ self.weights for s in range(0, len(words), step)]) + self.offset)
+        if self.sums is None:
+            self.sums = self.kernel.weighted(self.weights)
+        return told(np.concatenate([self.sums(words[s : s + step]) for s in range(0, len(words), step)]) + self.offset)
 
     def pooled(self, best: np.ndarray) -> np.ndarray:
         """Scores of texts from those of their best segments in falling order, [texts, BEST], filled up with 0."""
@@ -367,7 +431,7 @@ def families(bags: Bags) -> list[list[int]]:
     def counts(piece, word, n):
         """Weighted texts of label 1 and 0 of each of n pieces."""
         k, text = bags.pairs(word)
-        both = np.unique(piece[k].astype(np.int64) * len(bags.y) + text)
+        both = distinct(piece[k].astype(np.int64) * len(bags.y) + text)
         piece, text = both // len(bags.y), both % len(bags.y)
         return [np.bincount(piece, bags.weight[text] * (bags.y[text] == label), n) for label in (1, 0)]
 
@@ -381,7 +445,7 @@ def families(bags: Bags) -> list[list[int]]:
         at = np.searchsorted(names, h)
         same = at < len(names)
         same[same] = names[at[same]] == h[same]
-        pairs = np.unique(at[same] * np.int64(len(bags.words)) + word[same])
+        pairs = distinct(at[same] * np.int64(len(bags.words)) + word[same])
         piece, word = pairs // len(bags.words), pairs % len(bags.words)
         c, rest = counts(piece, word, len(names))
         keep = c > 4 * (rest + 1) * n_pos / n_neg
@@ -392,7 +456,8 @@ def families(bags: Bags) -> list[list[int]]:
     explained = np.zeros(len(bags.words), bool)
 
     def evidence(words: np.ndarray) -> float:
-        text = np.unique(bags.pairs(words[~explained[words]])[1])
+        text = np.zeros(len(bags.y), bool)
+        text[bags.pairs(words[~explained[words]])[1]] = True
         w, y = bags.weight[text], bags.y[text]
         c, expected = float(w[y == 1].sum()), (float(w[y == 0].sum()) + 1) * n_pos / n_neg
         tail = c * math.log(c / expected) - (c - expected) if c > 4 * expected else 0.0
@@ -504,28 +569,39 @@ def scorer(held, text_at: int, name: str):
             column = t.column(text_at)
             best = []
             for data, hashes, at, starts, ends in split_words(column):
-                raw = data.tobytes()
                 _, first, inverse = np.unique(hashes, return_index=True, return_inverse=True)
-                words = [normal(raw[a:e].decode()) for a, e in zip(starts[first].tolist(), ends[first].tolist())]
-                parts = [[v for v in windows(w) if len(v) >= ORDER] for w in words]
+                # The different words, decoded and lowered all at once with a blank after each.
+                sizes = ends[first] - starts[first] + 1
+                raw = gather(np.append(data, np.uint8(0x20)), starts[first], sizes)
+                raw[np.cumsum(sizes) - 1] = 0x20
+                words = [bare(w) for w in raw.tobytes().decode().lower().split(" ")[:-1]]
+                length = np.fromiter(map(len, words), np.int64, len(words))
+                parts, n_parts = words, np.ones(len(words), np.int64)
+                if len(words) and length.max() > WIDE:
+                    many = [windows(w) for w in words]
+                    parts, n_parts = [v for own in many for v in own], np.fromiter(map(len, many), np.int64, len(many))
                 if len(cache) > CACHE:
                     cache, older = {}, cache
-                here = {v for own in parts for v in own if v not in cache}
-                cache.update((v, older[v]) for v in here & older.keys())
-                new = list(here - older.keys())
+                here = [v for v in dict.fromkeys(parts) if v not in cache]
+                cache.update((v, older[v]) for v in here if v in older)
+                new = [v for v in here if v not in older]
                 cache.update(zip(new, model.raw(new).tolist()))
+                # What the parts of words tell that tell something, with a number for each different one.
+                tells = np.fromiter(map(cache.__getitem__, parts), float, len(parts))
+                some, ids = np.flatnonzero((tells > 0) & (np.fromiter(map(len, parts), np.int64, len(parts)) >= ORDER)), {}
+                number = np.fromiter((ids.setdefault(parts[i], len(ids)) for i in some.tolist()), np.int64, len(some))
+                n_known = np.bincount(np.repeat(np.arange(len(words)), n_parts)[some], minlength=len(words))
+                flat = np.stack([number, tells[some]], 1)
                 # Places of words that tell something, with their segments and what these tell.
-                ids: dict[str, int] = {}
-                known = [[(ids.setdefault(v, len(ids)), cache[v]) for v in own if cache[v] > 0] for own in parts]
-                n_known = np.fromiter(map(len, known), np.int64, len(known))
-                flat = np.array([x for own in known for x in own]).reshape(-1, 2)
                 places = np.flatnonzero(n_known[inverse] > 0)
                 rows = np.searchsorted(at, places, "right") - 1
                 of = inverse[places]
                 took = gather(flat, (np.cumsum(n_known) - n_known)[of], n_known[of])
                 rows = np.repeat(rows, n_known[of])
                 # Insults spelled out with blanks: runs of words of one character, within a row.
-                single = np.fromiter((len(w) == 1 and w.isalnum() for w in words), bool, len(words))[inverse]
+                single = length == 1
+                single[single] = [words[i].isalnum() for i in np.flatnonzero(single).tolist()]
+                single = single[inverse]
                 of_word = np.repeat(np.arange(len(at) - 1), np.diff(at))
                 joins = single[1:] & single[:-1] & (of_word[1:] == of_word[:-1])
                 a, e = np.flatnonzero(single & ~np.concatenate([[False], joins])[: len(single)]), np.flatnonzero(single & ~np.concatenate([joins, [False]])[: len(single)]) + 1

@@ -5,6 +5,7 @@ import hashlib
 import itertools
 import random
 import re
+import time
 import zlib
 
 import numpy as np
@@ -231,6 +232,40 @@ def test_toxicity_kernel_equals_plain_sums():
     assert np.allclose(toxicity.Kernel(words[:10])(words), want, atol=1e-5)
 
 
+@pytest.mark.parametrize("dense", [0, 1 << 20])
+def test_toxicity_sums_over_landmarks(monkeypatch, dense):
+    """Weighted sums are those of the kernel's values, with or without a place for each subsequence; odd words included."""
+    monkeypatch.setattr(toxicity, "DENSE", dense)
+    r = random.Random(7)
+    words = ["".join(r.choice("abcdé") for _ in range(r.randint(3, 33))) for _ in range(60)] + ["ab", "", "日本語", "xaybzc", "\U0001f600abc", "zzzz"]
+    kernel, weights = toxicity.Kernel(words[:20]), np.array([r.uniform(-1, 1) for _ in range(20)])
+    plain = lambda u, v: float(toxicity.raw_kernel([[np.array([a == b], np.float32) for b in v] for a in u])[0])
+    marked = [toxicity.MARK + w for w in words]
+    values = kernel(words)
+    assert values[58, 3] == pytest.approx(plain(marked[58], marked[3]) / (plain(marked[58], marked[58]) * plain(marked[3], marked[3])) ** 0.5, abs=1e-4)
+    assert not values[60:63].any() and values[63].any()
+    assert np.allclose(kernel.weighted(weights)(words), values @ weights, atol=1e-5)
+
+
+def test_toxicity_words_cost_no_more_with_more_landmarks():
+    """Ten times the landmarks must not make scores several times as dear."""
+    r = random.Random(8)
+    word = lambda: "".join(r.choice("abdehilmnorstu") for _ in range(r.randint(4, 11)))
+    words = [word() for _ in range(8000)]
+
+    def seconds(n):
+        model = toxicity.Model(toxicity.Kernel([word() for _ in range(n)]), np.ones(n), 0.0, 1.0, 0.0)
+        model.raw(words[:100])
+        best = []
+        for _ in range(3):
+            start = time.process_time()
+            model.raw(words)
+            best.append(time.process_time() - start)
+        return min(best)
+
+    assert seconds(200) < 3 * seconds(20)
+
+
 def test_toxicity_of_spelled_words_keeps_to_rows(spark):
     """Letters beyond ASCII and with commas are joined, and a row's score does not depend on its neighbours."""
     plain = "market river garden window summer winter paper stone bridge evening morning letter".split()
