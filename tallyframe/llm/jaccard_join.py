@@ -41,8 +41,8 @@ BROADCAST_ROWS = 1_000_000
 SUBSETS = {1: 8, 2: 9, 3: 9, 4: 9, 5: 9, 6: 10}
 #: Signatures that at least this many of one in SAMPLE ids have are dealt over as many stars as there are partitions.
 HOT, SAMPLE = 16, 64
-#: Of a node's open rare members, how many of the smallest are kept to tell that a pair has met before.
-EARLIER = 32
+#: Of a node's open rare members, how many of the smallest go with each to tell that a pair has met before (no pair is lost, few are made twice).
+EARLIER = 8
 #: Members whose commonness in the sample is told to every task (16 bytes each); it sets an order and drops nothing.
 COMMON = 1 << 18
 MULTIPLIERS = mix(np.arange(101, 133, dtype=np.uint64))
@@ -342,17 +342,20 @@ def open_pairs(left: DataFrame, rows: DataFrame, classes: DataFrame, width: int,
     wanted = cut(left.join(classes, "node").select(F.col("first").alias("doc_id"), "node", "c"), "open-nodes")
     common = rows.sparkSession.sparkContext.broadcast(common_members(rows, width))
     some = rows.join(F.broadcast(wanted) if small_enough(wanted, BROADCAST_ROWS) else wanted, "doc_id").select("doc_id", "text", "node", "c")
-    signed = cut(some.mapInArrow(sign_again(width, num, den, common), "rare long, node long, c long").distinct(), "rare")
-    mixed = signed.groupBy("rare").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).filter("lo <> hi").select("rare")
-    met = signed.join(mixed, "rare", "left_semi")
-    low = met.groupBy("node").agg(F.slice(F.sort_array(F.collect_list("rare")), 1, EARLIER).alias("low"))
-    met = cut(met.join(classes.select("node", "n", "sketch"), "node").join(low, "node"), "open")
-    x, y = met.alias("x"), met.alias("y")
+    # One exchange by member serves what tells repeated rows, whole components and pairs apart.
+    signed = some.mapInArrow(sign_again(width, num, den, common), "rare long, node long, c long").repartition("rare").dropDuplicates(["rare", "node", "c"])
+    w = Window.partitionBy("rare")
+    mixed = cut(signed.select("*", F.min("c").over(w).alias("lo"), F.max("c").over(w).alias("hi")).filter("lo <> hi").select("rare", "node", "c"), "rare")
+    low = mixed.groupBy("node").agg(F.slice(F.sort_array(F.collect_list("rare")), 1, EARLIER).alias("low"))
+    met = cut(mixed.join(classes.select("node", "n", "sketch"), "node").join(low, "node"), "open")
+    # No column is null; where both sides say so alike, one exchange serves both.
+    dealt = met.filter(" and ".join(f"{c} is not null" for c in met.columns)).repartition("rare")
+    x, y = dealt.alias("x"), dealt.alias("y")
     meet = (F.col("x.rare") == F.col("y.rare")) & (F.col("x.node") < F.col("y.node")) & (F.col("x.c") != F.col("y.c"))
     # A pair with a smaller rare member in common is made there (the smallest one always makes it).
     earlier = F.arrays_overlap(F.filter("x.low", lambda v: v < F.col("x.rare")), F.col("y.low"))
     again = cut(x.join(y, meet & close("x", "y", num, den) & ~earlier).select(F.col("x.node").alias("hub"), F.col("y.node").alias("node")).distinct(), "open-pairs")
-    free(wanted, signed, met)
+    free(wanted, mixed, met)
     common.destroy()
     return again
 
@@ -399,7 +402,7 @@ def jaccard_components(docs: DataFrame, width: int = SHINGLE, num: int = NUM, de
     groups = connected(links)
 
     # Signatures whose members are still in several components: their nodes sign again; the only hub of one has met all.
-    left = stars.filter("hub <> node or hot").select("sig", "node").distinct().join(groups, "node", "left").select("sig", "node", F.coalesce("component", "node").alias("c"))
+    left = stars.filter("hub <> node or hot").select("sig", "node").join(groups, "node", "left").select("sig", "node", F.coalesce("component", "node").alias("c"))
     mixed = left.groupBy("sig").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).filter("lo <> hi").select("sig")
     left = cut(left.join(mixed, "sig", "left_semi").select("node", "c").distinct(), "left")
     again = open_pairs(left, rows, classes, width, num, den)

@@ -7,6 +7,7 @@ import weakref
 
 import duckdb
 import numpy as np
+from pyspark.sql import functions as F
 
 from tallyframe.llm import components, decontaminate, jaccard_join, line_dedup, queries, topk
 
@@ -130,6 +131,33 @@ def test_jaccard_of_a_common_template(make_docs, monkeypatch):
     assert nodes > 500 and pairs <= 10
 
 
+def test_open_pairs_deal_each_table_once(spark, make_docs, monkeypatch):
+    """Both sides of the join by rare members are one exchange, and repeated rows and whole components cost no further one."""
+    r = random.Random(5)
+    passages = [" ".join(f"p{i}w{k}" for k in range(12)) for i in range(40)]
+    texts = [" ".join(r.sample(passages, 6)) for _ in range(60)]
+    docs = make_docs(list(enumerate(texts + [t + " more" for t in texts])))
+    rows = docs.select("doc_id", "text")
+    sizes = rows.mapInArrow(jaccard_join.measure(5), "doc_id long, n_shingles long, node long, sketch array<long>")
+    classes = sizes.groupBy("node").agg(F.min("doc_id").alias("first"), F.first("n_shingles").cast("int").alias("n"), F.first("sketch").alias("sketch"))
+    plans, plain = {}, jaccard_join.cut
+
+    def watched(df, name):
+        df.collect()
+        plans[name] = df._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0]
+        return plain(df, name)
+
+    monkeypatch.setattr(jaccard_join, "cut", watched)
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)
+    try:
+        jaccard_join.open_pairs(classes.select("node", F.col("node").alias("c")), rows, classes, 5, 4, 5).count()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    assert plans["rare"].count("Exchange hashpartitioning") == 1
+    assert "ReusedExchange" in plans["open-pairs"]
+
+
 def test_jaccard_edge_cases(hard, empty):
     got = sorted(((r.doc_id, r.n_shingles, r.component_id) for r in jaccard_join.jaccard_components(hard).collect()))
     assert got == [(1, 0, 1), (2, 0, 2), (3, 0, 3), (4, 1, 4), (5, 1, 4), (5, 1, 4), (7, 1, 7), (8, 1, 8), (9, 1, 9)]
