@@ -42,7 +42,7 @@ SUBSETS = {1: 8, 2: 9, 3: 9, 4: 9, 5: 9, 6: 10}
 #: Signatures that at least this many of one in SAMPLE ids have are dealt over as many stars as there are partitions.
 HOT, SAMPLE = 16, 64
 #: Of a node's open rare members, how many of the smallest go with each to tell that a pair has met before (no pair is lost, few are made twice).
-EARLIER = 8
+EARLIER = 32
 #: Members whose commonness in the sample is told to every task (16 bytes each); it sets an order and drops nothing.
 COMMON = 1 << 18
 MULTIPLIERS = mix(np.arange(101, 133, dtype=np.uint64))
