@@ -19,6 +19,7 @@ import re
 import struct
 import zlib
 from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -33,8 +34,10 @@ MAGIC = b"TWM1"
 STEP = 512
 #: Tokens after which a shard is closed; a document is never split.
 SHARD = 1 << 20
-#: Strings whose ids a task keeps from one block to the next (about 40 bytes each); beyond, it starts anew.
+#: Strings whose ids a worker keeps from one block to the next (about 40 bytes each); beyond, those that were met once go.
 CACHE = 500_000
+#: Runs that the library gets as one text.
+GROUP = 32
 BITS = np.array([bin(b).count("1") for b in range(256)], np.uint8)
 SHARD_ROWS = "part int, seq int, local_start long, doc_ids array<long>, lengths array<int>, n_tokens long, payload binary"
 
@@ -155,15 +158,22 @@ class WordEncoder:
 
     For files whose pre-tokenizer drops white space and never joins across it.
     Words of ASCII and Latin-1 letters are lowered and split into runs here, as
-    the file's pattern would; the library encodes each distinct run.  Any other
+    the file's pattern would; the library encodes each distinct run by the
+    file's model alone, as lowering and splitting are done.  Any other
     white-space separated string goes to the library as it is, so also one that
     holds the text of an added token.
     """
 
     def __init__(self, path: str):
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, pre_tokenizers
 
         self.library = Tokenizer.from_file(path)
+        self.bare = Tokenizer(self.library.model)
+        self.bare.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.WhitespaceSplit(), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
+        #: Tokens that close a run.
+        vocab, suffix = self.library.get_vocab(with_added_tokens=True), self.library.model.end_of_word_suffix
+        self.closing = np.zeros(max(vocab.values()) + 1, bool)
+        self.closing[[i for token, i in vocab.items() if suffix and token.endswith(suffix)]] = True
         self.added = [t.content for t in self.library.get_added_tokens_decoder().values()]
         self.special = re.compile("|".join(map(re.escape, self.added)) or "(?!)").search
         low = "a-z\xaa\xb5\xba\xdf-\xf6\xf8-\xff"
@@ -174,10 +184,31 @@ class WordEncoder:
         self.forget()
 
     def forget(self) -> None:
-        """Drop the known strings: sorted hashes, and the ids of the i-th at flat[starts[i] : starts[i] + counts[i]]."""
-        self.hashes = np.zeros(0, np.uint64)
+        """Drop the known strings: sorted hashes, and the ids of the i-th at flat[starts[i] : starts[i] + counts[i]]; again[i]: met in a later block."""
+        self.hashes, self.again = np.zeros(0, np.uint64), np.zeros(0, bool)
         self.starts, self.counts, self.flat = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint16)
 
+    def tidy(self) -> None:
+        """Drop the known strings that were met in one block only, or all where the others are many as well."""
+        keep = self.again
+        if 2 * np.count_nonzero(keep) > CACHE:
+            return self.forget()
+        self.hashes, starts, self.counts = self.hashes[keep], self.starts[keep], self.counts[keep]
+        self.flat, self.again = gather(self.flat, starts, self.counts), np.zeros(len(starts), bool)
+        self.starts = np.cumsum(self.counts) - self.counts
+
+    def runs_ids(self, runs: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """As :meth:`ids`, for lowered runs; each ends with a token that closes it."""
+        flat = [np.zeros(0, np.uint16)]
+        for s in range(0, len(runs), 8192):
+            texts = [" ".join(runs[i : min(i + GROUP, s + 8192)]) for i in range(s, min(s + 8192, len(runs)), GROUP)]
+            flat.append(np.fromiter(chain.from_iterable(e.ids for e in self.bare.encode_batch_fast(texts, add_special_tokens=False)), np.uint16))
+        ids = np.concatenate(flat)
+        ends = np.flatnonzero(self.closing[ids]) + 1
+        if len(ends) != len(runs) or (len(ends) and ends[-1] != len(ids)):
+            return self.ids(runs)
+        return ids, np.diff(ends, prepend=0)
+
     def ids(self, strings: list[str], joined: bool = True) -> tuple[np.ndarray, np.ndarray]:
         """Token ids of all strings, one after another, and how many each has.
 
@@ -230,13 +261,13 @@ class WordEncoder:
                 own = [number.setdefault(r, len(number)) for r in self.runs(w.lower())]
                 n_parts[i] = len(own)
                 at += own
-        flat, counts = (np.concatenate(x) for x in zip(self.ids(list(number)), self.ids(hard, joined=False)))
+        flat, counts = (np.concatenate(x) for x in zip(self.runs_ids(list(number)), self.ids(hard, joined=False)))
         starts, at = np.cumsum(counts) - counts, np.array(at, np.int64)
         at = np.where(at < 0, len(number) - 1 - at, at)
         word_counts = segment_sums(counts[at], n_parts)
         word_starts = np.cumsum(word_counts) - word_counts + len(self.flat)
         order = np.argsort(all_hashes := np.concatenate([self.hashes, hashes]), kind="stable")
-        self.hashes = all_hashes[order]
+        self.hashes, self.again = all_hashes[order], np.concatenate([self.again, np.zeros(len(hashes), bool)])[order]
         self.starts, self.counts = np.concatenate([self.starts, word_starts])[order], np.concatenate([self.counts, word_counts])[order]
         self.flat = np.concatenate([self.flat, gather(flat, starts[at], counts[at])])
 
@@ -253,8 +284,10 @@ class WordEncoder:
         distinct, inverse = told.dictionary.to_numpy(), told.indices.to_numpy()
         first = np.flatnonzero(np.diff(np.maximum.accumulate(inverse), prepend=-1))
         if len(self.hashes) > CACHE:
-            self.forget()
-        new = ~np.isin(distinct, self.hashes, assume_unique=True)
+            self.tidy()
+        known = np.minimum(np.searchsorted(self.hashes, distinct), max(0, len(self.hashes) - 1))
+        new = self.hashes[known] != distinct if len(self.hashes) else np.ones(len(distinct), bool)
+        self.again[known[~new]] = True
         places, strings, base = first[new], [], 0
         for w, _, data, starts, ends in parts_of:
             own = places[np.searchsorted(places, base) : np.searchsorted(places, base + len(w))] - base
@@ -319,7 +352,6 @@ def shard_writer(path: str, end: int | None, shard: int):
                     yield row()
                     seq, start = seq + 1, start + size
                     ids, lengths, tokens, size = [], [], [], 0
-        coder.forget()
         if ids:
             yield row()
 

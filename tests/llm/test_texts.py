@@ -147,6 +147,25 @@ def test_words_are_told_by_number_or_by_offsets():
         assert [x.tolist() for x in np.split(flat, np.cumsum(counts)[:-1])] == [library.encode(s, add_special_tokens=False).ids for s in strings]
 
 
+def test_strings_met_again_stay_known(monkeypatch):
+    """Of more strings than may be kept, those that later blocks met again stay; ids are the library's."""
+    import pyarrow as pa
+    from tokenizers import Tokenizer
+
+    path = public_tokenizers.path("word_bpe_49k.json")
+    coder, library = wavelet.WordEncoder(path), Tokenizer.from_file(path)
+    monkeypatch.setattr(wavelet, "CACHE", 300)
+    learnt, learn = [], coder.learn
+    monkeypatch.setattr(coder, "learn", lambda hashes, strings: (learnt.append(set(strings)), learn(hashes, strings)))
+    letters = [chr(c) for c in [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]]
+    for block in range(4):
+        texts = ["Common \xdcber stra\xdfe, it's 12\xbd </w>", " ".join(f"w{block}{a}{b}" for a, b in zip(letters, letters[5:])), None]
+        flat, lengths = coder.encode(pa.array(texts), 2)
+        assert [x.tolist() for x in np.split(flat, np.cumsum(lengths)[:-1])] == [[*library.encode(t or "", add_special_tokens=False).ids, 2] for t in texts]
+    assert "Common" in learnt[0] and not any("Common" in x for x in learnt[1:])
+    assert len(coder.hashes) < 600
+
+
 def test_token_files_edge_cases(hard):
     got = wavelet.encode_documents(hard, public_tokenizers.path("word_bpe_49k.json"), 2).collect()
     assert len(got) == len(HARD)
