@@ -19,6 +19,31 @@ BUCKET, EDGES, POOL = 8192, 256, 4096
 PUSHES, CLIP = 5, 4.0
 
 
+def halved(batches):
+    """A mapInArrow function: (cell_id, d, rho, goal, most, least) to (cell_id, rho, sigma), see :func:`local_scales`.
+
+    All cells of a batch halve their intervals at once; terms are added in the order of ``d``.
+    """
+    for b in batches:
+        d = b.column(1)
+        n = d.value_lengths().to_numpy(zero_copy_only=False)
+        rho, goal, most, least = (b.column(i).to_numpy(zero_copy_only=False) for i in range(2, 6))
+        # Missing neighbours are infinitely far and add nothing.
+        away = np.full((len(n), n.max(initial=0)), np.inf)
+        away[np.arange(away.shape[1]) < n[:, None]] = d.flatten().to_numpy(zero_copy_only=False)
+        away = np.ascontiguousarray(np.maximum(away - rho[:, None], 0.0).T)
+        lo, hi = np.zeros(len(n)), most.copy()
+        for _ in range(HALVINGS):
+            middle = (lo + hi) / 2
+            some = np.where(middle > 0, middle, 1.0)
+            total = np.zeros(len(n))
+            for x in away:
+                total += np.exp(-x / some)
+            enough = (middle <= 0) | (total >= goal)
+            lo, hi = np.where(enough, lo, middle), np.where(enough, middle, hi)
+        yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), pa.array(np.maximum(hi, least))], ["cell_id", "rho", "sigma"])
+
+
 def local_scales(nn: DataFrame) -> DataFrame:
     """(cell_id, rho, sigma) from (cell_id, neighbour_id, distance): a cell's least positive distance and its scale.
 
@@ -32,20 +57,11 @@ def local_scales(nn: DataFrame) -> DataFrame:
     k = F.size("d").cast("double")
     rho = F.coalesce(F.array_min(F.filter("d", lambda x: x > 0)), F.lit(0.0))
     rows = rows.crossJoin(F.broadcast(everywhere)).select("cell_id", "d", "all_mean", rho.alias("rho"), F.log2(k).alias("goal"), k.alias("k"))
-    total = lambda s: F.aggregate("d", F.lit(0.0), lambda t, x: t + F.exp(-F.greatest(x - F.col("rho"), F.lit(0.0)) / s))
     # At this scale every term is at least log2(k) / k.
     most = F.when(F.col("k") > 2, (F.array_max("d") - F.col("rho")) / F.log(F.col("k") / F.col("goal"))).otherwise(F.array_max("d"))
-    first = F.struct(F.lit(0.0).alias("lo"), F.greatest(most, F.lit(0.0)).alias("hi"))
-
-    def half(at, _):
-        middle = (at["lo"] + at["hi"]) / 2
-        enough = F.when(middle > 0, total(middle) >= F.col("goal")).otherwise(F.lit(True))
-        return F.struct(F.when(enough, at["lo"]).otherwise(middle).alias("lo"), F.when(enough, middle).otherwise(at["hi"]).alias("hi"))
-
-    found = F.aggregate(F.sequence(F.lit(1), F.lit(HALVINGS)), first, half)["hi"]
     mean = F.aggregate("d", F.lit(0.0), lambda t, x: t + x) / F.col("k")
     least = LEAST_SCALE * F.when(F.col("rho") > 0, mean).otherwise(F.col("all_mean"))
-    return rows.select("cell_id", "rho", F.greatest(found, least).alias("sigma"))
+    return rows.select("cell_id", "d", "rho", "goal", F.greatest(most, F.lit(0.0)).alias("most"), least.alias("least")).mapInArrow(halved, "cell_id long, rho double, sigma double")
 
 
 def fuzzy_weights(nn: DataFrame) -> DataFrame:
@@ -58,9 +74,10 @@ def fuzzy_weights(nn: DataFrame) -> DataFrame:
     scales = local_scales(nn)
     away = F.greatest(F.col("distance") - F.col("rho"), F.lit(0.0))
     one = F.when(F.col("sigma") > 0, F.exp(-away / F.col("sigma"))).otherwise((away == 0).cast("double"))
-    directed = nn.join(scales, "cell_id").select(F.col("cell_id").alias("src"), F.col("neighbour_id").alias("dst"), one.alias("a"))
-    zero = F.lit(0.0)
-    both = directed.select("src", "dst", "a", zero.alias("b")).unionByName(directed.select(F.col("dst").alias("src"), F.col("src").alias("dst"), zero.alias("a"), F.col("a").alias("b")))
+    directed = nn.join(scales, "cell_id").select("cell_id", "neighbour_id", one.alias("w"))
+    # Both from one row, so that scales are sought once.
+    way = lambda src, dst, a, b: F.struct(F.col(src).alias("src"), F.col(dst).alias("dst"), a.alias("a"), b.alias("b"))
+    both = directed.select(F.inline(F.array(way("cell_id", "neighbour_id", F.col("w"), F.lit(0.0)), way("neighbour_id", "cell_id", F.lit(0.0), F.col("w")))))
     return both.groupBy("src", "dst").agg(F.max("a").alias("a"), F.max("b").alias("b")).select("src", "dst", (F.col("a") + F.col("b") - F.col("a") * F.col("b")).alias("weight"))
 
 

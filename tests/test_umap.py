@@ -43,6 +43,15 @@ def test_scales_and_weights(spark):
         assert weights[i, j] == pytest.approx(a + b - a * b, abs=1e-9) and weights[i, j] == weights[j, i]
 
 
+def test_scales_are_sought_once_by_arrays(spark):
+    """A cell's scale takes one pass over arrays in tasks; both directions of an edge come from it."""
+    rows = [(i, (i + j) % 50, float(j)) for i in range(50) for j in range(1, 16 if i else 2)]
+    out = umap.fuzzy_weights(spark.createDataFrame(rows, "cell_id long, neighbour_id long, distance double"))
+    plan = out._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[0]
+    assert plan.count("MapInArrow cell_id") + plan.count("MapInArrow halved") == 1, plan
+    assert out.count() == len({p for i, j, _ in rows for p in ((i, j), (j, i))})
+
+
 def test_curve():
     for d in (0.001, 0.1, 0.3, 0.8):
         a, b = umap.curve(d)
