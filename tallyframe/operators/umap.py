@@ -109,25 +109,31 @@ def moved(x: np.ndarray, pulls, pool: np.ndarray, n: int, rates: np.ndarray, a:
     from ``x`` as often as its share of all ``n`` cells, else from ``pool``.
     """
     own, other, there, weight = pulls
+    dims = range(x.shape[1])
+    # A coordinate at a time: short last axes are slow.
+    x, there, pool = ([np.ascontiguousarray(y[:, c]) for c in dims] for y in (x, there, pool))
+    size, spare = len(x[0]), len(pool[0])
     for rate in rates:
         drawn = np.flatnonzero(rng.random(len(own)) < weight)
         nth = np.arange(len(drawn)) - np.searchsorted(own[drawn], own[drawn])
         for k in range(nth.max(initial=-1) + 1):
             s = drawn[nth == k]
             i, j = own[s], other[s]
-            y = np.where((j >= 0)[:, None], x[np.maximum(j, 0)], there[s])
-            d = x[i] - y
-            q = (d * d).sum(1)
-            pull = np.where(q > 0, -2 * a * b * np.maximum(q, 1e-300) ** (b - 1) / (1 + a * np.maximum(q, 1e-300) ** b), 0.0)
-            step = np.clip(pull[:, None] * d, -CLIP, CLIP)
+            inside = j >= 0
+            j = np.maximum(j, 0)
+            d = [x[c][i] - np.where(inside, x[c][j], there[c][s]) for c in dims]
+            q = sum(y * y for y in d)
+            some = np.maximum(q, 1e-300)
+            pull = np.where(q > 0, -2 * a * b * some ** (b - 1) / (1 + a * some**b), 0.0)
+            steps = [np.clip(pull * y, -CLIP, CLIP) for y in d]
             far = rng.integers(n, size=(len(s), PUSHES))
-            far = np.where((far < len(x))[:, :, None], x[np.minimum(far, len(x) - 1)], pool[far % len(pool)])
-            d = x[i][:, None, :] - far
-            q = (d * d).sum(2)
+            inside, near, spread = far < size, np.minimum(far, size - 1), far % spare
+            d = [x[c][i][:, None] - np.where(inside, x[c][near], pool[c][spread]) for c in dims]
+            q = sum(y * y for y in d)
             push = np.where(q > 0, 2 * b / ((0.001 + q) * (1 + a * q**b)), 0.0)
-            step += np.clip(push[:, :, None] * d, -CLIP, CLIP).sum(1)
-            x[i] += rate * step
-    return x
+            for c in dims:
+                x[c][i] += rate * (steps[c] + np.clip(push * d[c], -CLIP, CLIP).sum(1))
+    return np.stack(x, 1)
 
 
 def mover(held, n: int, rates: np.ndarray, a: float, b: float, seeds: list[int]):
@@ -153,6 +159,14 @@ def mover(held, n: int, rates: np.ndarray, a: float, b: float, seeds: list[int])
     return round_of
 
 
+def lots(edges: DataFrame, seed: int) -> DataFrame:
+    """EDGES of the edges (src, dst, weight) of each cell, or all if fewer, drawn by weight."""
+    # The largest of u^(1/w) are a draw by weight.
+    drawn = F.log((F.pmod(F.xxhash64("src", "dst", F.lit(seed)), F.lit(1 << 30)) + 1) / float(1 << 30)) / F.col("weight")
+    order = Window.partitionBy("src").orderBy(F.desc("draw"), "dst")
+    return edges.withColumn("draw", drawn).withColumn("r", F.row_number().over(order)).filter(F.col("r") <= EDGES).select("src", "dst", "weight")
+
+
 def layout(weights: DataFrame, start: DataFrame, min_dist: float = 0.3, nepochs: int | None = None, rounds: int = 10, seed: int = 0) -> DataFrame:
     """(cell_id, coordinates), cut: cells of ``start`` (cell_id, coordinates) drawn together by ``weights`` (src, dst, weight).
 
@@ -164,22 +178,26 @@ def layout(weights: DataFrame, start: DataFrame, min_dist: float = 0.3, nepochs:
     round.  Epochs are 500 up to 10,000 cells and 200 beyond, if not given.
     """
     spark = weights.sparkSession
-    edges, now = cut(weights, "umap-weights"), cut(start.select("cell_id", "coordinates"), "umap-layout")
+    edges, now = cut(weights.filter("weight > 0"), "umap-weights"), cut(start.select("cell_id", "coordinates"), "umap-layout")
     n = now.count()
     nepochs = nepochs if nepochs is not None else 500 if n <= 10_000 else 200
     buckets = max(1, -(-n // BUCKET))
     # One bucket knows where all cells stand at any time.
     rounds = max(1, min(rounds, nepochs)) if buckets > 1 else 1
     a, b = curve(min_dist)
+    hubs = cut(edges.groupBy("src").agg(F.count("*").alias("n")).filter(F.col("n") > EDGES).select("src"), "umap-hubs")
+    # Only edges of hubs are drawn; all others take part in every round.
+    few, many = edges, None
+    if not hubs.isEmpty():
+        few, many = cut(edges.join(hubs, "src", "left_anti"), "umap-few"), cut(edges.join(hubs, "src", "left_semi"), "umap-many")
     bounds = np.linspace(0, nepochs, rounds + 1).round().astype(int)
     for r in range(rounds if n else 0):
         rates = 1 - np.arange(bounds[r], bounds[r + 1]) / nepochs
         seen = now.orderBy(F.xxhash64("cell_id", F.lit(seed + r)), "cell_id").limit(POOL).collect()
         held = spark.sparkContext.broadcast(np.array([x.coordinates for x in seen]))
-        # The largest of u^(1/w) are a draw by weight.
-        drawn = F.log((F.pmod(F.xxhash64("src", "dst", F.lit(seed + r)), F.lit(1 << 30)) + 1) / float(1 << 30)) / F.col("weight")
-        order = Window.partitionBy("src").orderBy(F.desc("draw"), "dst")
-        some = edges.filter("weight > 0").withColumn("draw", drawn).withColumn("r", F.row_number().over(order)).filter(F.col("r") <= EDGES)
+        some = few
+        if many is not None:
+            some = few.unionByName(lots(many, seed + r))
         ends = some.join(now.select(F.col("cell_id").alias("dst"), "coordinates"), "dst").select("src", "dst", "weight", "coordinates")
         own = now.select(F.col("cell_id").alias("src"), F.lit(None).cast("long").alias("dst"), F.lit(0.0).alias("weight"), "coordinates")
         rows = ends.unionByName(own).withColumn("bucket", F.pmod(F.xxhash64("src"), F.lit(buckets)).cast("int"))
@@ -187,7 +205,7 @@ def layout(weights: DataFrame, start: DataFrame, min_dist: float = 0.3, nepochs:
         old, now = now, cut(rows.groupBy("bucket").applyInArrow(mover(held, n, rates, a, b, [seed, r]), "cell_id long, coordinates array<double>"), "umap-layout")
         held.destroy()
         free(old)
-    free(edges)
+    free(edges, hubs, *(x for x in (few, many) if many is not None))
     return now
 
 

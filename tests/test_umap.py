@@ -52,6 +52,21 @@ def test_scales_are_sought_once_by_arrays(spark):
     assert out.count() == len({p for i, j, _ in rows for p in ((i, j), (j, i))})
 
 
+def test_only_edges_of_hubs_are_drawn(spark, monkeypatch):
+    """In a round edges are ranked for cells with more than EDGES edges alone; no other edge is left out."""
+    monkeypatch.setattr(umap, "BUCKET", 20)
+    edges = [(i, (i + j) % 60, 0.5) for i in range(60) for j in (1, 2, 58, 59)] + [(0, j, 0.1) for j in range(3, 58)]
+    weights = spark.createDataFrame(edges, "src long, dst long, weight double")
+    start = spark.createDataFrame([(i, [float(i % 7), float(i % 11)]) for i in range(60)], "cell_id long, coordinates array<double>")
+    asked, lots = [], umap.lots
+    monkeypatch.setattr(umap, "lots", lambda some, seed: (asked.append({x.src for x in some.select("src").distinct().collect()}), lots(some, seed))[1])
+    for most, hubs in ((100, []), (30, [{0}] * 2)):
+        monkeypatch.setattr(umap, "EDGES", most)
+        asked.clear()
+        assert umap.layout(weights, start, nepochs=4, rounds=2).count() == 60 and asked == hubs
+    assert lots(weights, 0).count() == 59 * 4 + 30
+
+
 def test_curve():
     for d in (0.001, 0.1, 0.3, 0.8):
         a, b = umap.curve(d)
