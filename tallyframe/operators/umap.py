@@ -13,7 +13,7 @@ from .neighbours import nearest_neighbours, usable
 
 #: Halvings of the interval in which a cell's scale is sought, and the least scale as a share of the mean distance.
 HALVINGS, LEAST_SCALE = 60, 1e-3
-#: Cells that a task lays out together, edges of a cell that take part in a round, cells that a round's random cells are drawn from.
+#: Cells that a task lays out together, edges of a part of a cell at most (cells with more have several parts), cells that a round's random cells are drawn from.
 BUCKET, EDGES, POOL = 8192, 256, 4096
 #: Random cells that push for each edge that pulls, and the largest step in a direction.
 PUSHES, CLIP = 5, 4.0
@@ -101,18 +101,23 @@ def curve(min_dist: float, spread: float = 1.0) -> tuple[float, float]:
     return float(np.exp(at[0])), float(np.exp(at[1]))
 
 
-def moved(x: np.ndarray, pulls, pool: np.ndarray, n: int, rates: np.ndarray, a: float, b: float, rng) -> np.ndarray:
-    """``x`` after one epoch for each rate; pulls: (cell, cell in x or -1, where it stands, weight), by cell.
+def moved(x: np.ndarray, pulls, pool: np.ndarray, n: int, rates: np.ndarray, a: float, b: float, rng, cell: np.ndarray, first: np.ndarray) -> np.ndarray:
+    """``x`` after one epoch for each rate; pulls: (place in x, place in x or -1, where it stands, weight), by place.
 
-    The k-th edges that all cells drew make a step together, so that a cell takes its
-    edges one by one and sees the others' last steps.  Random cells are drawn
-    from ``x`` as often as its share of all ``n`` cells, else from ``pool``.
+    The k-th edges that all rows drew make a step together, so that a row takes its
+    edges one by one and sees the others' last steps.  Rows of one ``cell`` are its
+    parts: each takes its own edges, and an epoch ends with all in their middle.
+    Random cells are drawn from ``first``, the first parts in ``x``, as often as
+    their share of all ``n`` cells, else from ``pool``.
     """
     own, other, there, weight = pulls
+    parts = np.bincount(cell)
+    shared = np.flatnonzero(parts[cell] > 1)
     dims = range(x.shape[1])
     # A coordinate at a time: short last axes are slow.
     x, there, pool = ([np.ascontiguousarray(y[:, c]) for c in dims] for y in (x, there, pool))
-    size, spare = len(x[0]), len(pool[0])
+    size, spare = len(first), len(pool[0])
+    first = first if size else np.zeros(1, int)
     for rate in rates:
         drawn = np.flatnonzero(rng.random(len(own)) < weight)
         nth = np.arange(len(drawn)) - np.searchsorted(own[drawn], own[drawn])
@@ -127,44 +132,56 @@ def moved(x: np.ndarray, pulls, pool: np.ndarray, n: int, rates: np.ndarray, a:
             pull = np.where(q > 0, -2 * a * b * some ** (b - 1) / (1 + a * some**b), 0.0)
             steps = [np.clip(pull * y, -CLIP, CLIP) for y in d]
             far = rng.integers(n, size=(len(s), PUSHES))
-            inside, near, spread = far < size, np.minimum(far, size - 1), far % spare
+            inside, near, spread = far < size, first[np.minimum(far, max(0, size - 1))], far % spare
             d = [x[c][i][:, None] - np.where(inside, x[c][near], pool[c][spread]) for c in dims]
             q = sum(y * y for y in d)
             push = np.where(q > 0, 2 * b / ((0.001 + q) * (1 + a * q**b)), 0.0)
             for c in dims:
                 x[c][i] += rate * (steps[c] + np.clip(push * d[c], -CLIP, CLIP).sum(1))
+        if len(shared):
+            for y in x:
+                y[shared] = (np.bincount(cell[shared], y[shared], len(parts)) / parts)[cell[shared]]
     return np.stack(x, 1)
 
 
 def mover(held, n: int, rates: np.ndarray, a: float, b: float, seeds: list[int]):
-    """An applyInArrow function: a bucket's cells after one round, from rows (src, dst, weight, coordinates); cells have no dst."""
+    """An applyInArrow function: a bucket's cells after one round and how many parts of them it has, from rows (src, part, dst, weight, coordinates); parts of cells have no dst."""
 
     def round_of(key, table):
-        src, dst = table.column("src").to_numpy(), table.column("dst").to_numpy()
+        src, part, dst = (table.column(c).to_numpy() for c in ("src", "part", "dst"))
         at = table.column("coordinates").combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(len(src), -1)
         weight = table.column("weight").to_numpy()
         cell = np.isnan(dst) if dst.dtype.kind == "f" else np.zeros(len(src), bool)
-        order = np.flatnonzero(cell)[np.argsort(src[cell], kind="stable")]
-        ids, x = src[order], at[order].copy()
+        order = np.flatnonzero(cell)
+        order = order[np.lexsort((part[order], src[order]))]
+        x = at[order].copy()
+        ids, begins, of = np.unique(src[order], return_index=True, return_inverse=True)
         edge = np.flatnonzero(~cell)
         to = dst[edge].astype(np.int64)
-        edge = edge[np.lexsort((to, src[edge]))]
+        edge = edge[np.lexsort((to, part[edge], src[edge]))]
         to = dst[edge].astype(np.int64)
         place = np.minimum(np.searchsorted(ids, to), max(0, len(ids) - 1))
-        local = np.where(ids[place] == to, place, -1)
+        local = np.where(ids[place] == to, begins[place], -1)
+        # A row's number among the parts of all cells.
+        most = int(part.max(initial=0)) + 1
+        own = np.searchsorted(of * most + part[order], np.searchsorted(ids, src[edge]) * most + part[edge])
         rng = np.random.default_rng([*seeds, key[0].as_py()])
-        x = moved(x, (np.searchsorted(ids, src[edge]), local, at[edge], weight[edge]), held.value, n, rates, a, b, rng)
-        return pa.table({"cell_id": pa.array(ids), "coordinates": pa.array(list(x), pa.list_(pa.float64()))})
+        x = moved(x, (own, local, at[edge], weight[edge]), held.value, n, rates, a, b, rng, of, np.flatnonzero(part[order] == 0))
+        out = [pa.array(ids), pa.array(np.full(len(ids), key[0].as_py(), np.int32)), pa.array(np.bincount(of, minlength=len(ids))), pa.array(list(x[begins]), pa.list_(pa.float64()))]
+        return pa.table(out, ["cell_id", "bucket", "parts", "coordinates"])
 
     return round_of
 
 
 def lots(edges: DataFrame, seed: int) -> DataFrame:
-    """EDGES of the edges (src, dst, weight) of each cell, or all if fewer, drawn by weight."""
-    # The largest of u^(1/w) are a draw by weight.
-    drawn = F.log((F.pmod(F.xxhash64("src", "dst", F.lit(seed)), F.lit(1 << 30)) + 1) / float(1 << 30)) / F.col("weight")
-    order = Window.partitionBy("src").orderBy(F.desc("draw"), "dst")
-    return edges.withColumn("draw", drawn).withColumn("r", F.row_number().over(order)).filter(F.col("r") <= EDGES).select("src", "dst", "weight")
+    """(src, lot, edges): all edges (src, dst, weight) of a cell, dealt at random into EDGES lots, or as many as it has edges if fewer.
+
+    The i-th edges of a cell's lots are those of its i-th part.
+    """
+    order = Window.partitionBy("src").orderBy(F.xxhash64("src", "dst", F.lit(seed)), "dst")
+    dealt = edges.withColumn("r", F.row_number().over(order) - 1)
+    one = F.sort_array(F.collect_list(F.struct("r", "dst", "weight")))
+    return dealt.groupBy("src", F.pmod("r", F.lit(EDGES)).alias("lot")).agg(one.alias("edges"))
 
 
 def layout(weights: DataFrame, start: DataFrame, min_dist: float = 0.3, nepochs: int | None = None, rounds: int = 10, seed: int = 0) -> DataFrame:
@@ -174,8 +191,9 @@ def layout(weights: DataFrame, start: DataFrame, min_dist: float = 0.3, nepochs:
     of cells with their edges and where the other ends stood when the round
     began; its own cells move epoch by epoch, pulled along edges in proportion
     to their weights and pushed away from cells drawn at random.  A cell with
-    more than EDGES edges takes part with so many, drawn anew by weight in each
-    round.  Epochs are 500 up to 10,000 cells and 200 beyond, if not given.
+    more than EDGES edges has several parts, over which all its edges are dealt
+    anew in each round; parts may be in different tasks and end in their middle.
+    Epochs are 500 up to 10,000 cells and 200 beyond, if not given.
     """
     spark = weights.sparkSession
     edges, now = cut(weights.filter("weight > 0"), "umap-weights"), cut(start.select("cell_id", "coordinates"), "umap-layout")
@@ -185,8 +203,8 @@ def layout(weights: DataFrame, start: DataFrame, min_dist: float = 0.3, nepochs:
     # One bucket knows where all cells stand at any time.
     rounds = max(1, min(rounds, nepochs)) if buckets > 1 else 1
     a, b = curve(min_dist)
-    hubs = cut(edges.groupBy("src").agg(F.count("*").alias("n")).filter(F.col("n") > EDGES).select("src"), "umap-hubs")
-    # Only edges of hubs are drawn; all others take part in every round.
+    hubs = cut(edges.groupBy("src").agg(F.count("*").alias("n")).filter(F.col("n") > EDGES).select("src", F.ceil(F.col("n") / EDGES).cast("int").alias("parts")), "umap-hubs")
+    # Only edges of hubs are dealt; all others are in a cell's one part.
     few, many = edges, None
     if not hubs.isEmpty():
         few, many = cut(edges.join(hubs, "src", "left_anti"), "umap-few"), cut(edges.join(hubs, "src", "left_semi"), "umap-many")
@@ -195,14 +213,25 @@ def layout(weights: DataFrame, start: DataFrame, min_dist: float = 0.3, nepochs:
         rates = 1 - np.arange(bounds[r], bounds[r + 1]) / nepochs
         seen = now.orderBy(F.xxhash64("cell_id", F.lit(seed + r)), "cell_id").limit(POOL).collect()
         held = spark.sparkContext.broadcast(np.array([x.coordinates for x in seen]))
-        some = few
+        alone = F.lit(0).alias("part")
+        some = few.select("src", alone, "dst", "weight")
+        own = now.select(F.col("cell_id").alias("src"), alone, "coordinates")
         if many is not None:
-            some = few.unionByName(lots(many, seed + r))
-        ends = some.join(now.select(F.col("cell_id").alias("dst"), "coordinates"), "dst").select("src", "dst", "weight", "coordinates")
-        own = now.select(F.col("cell_id").alias("src"), F.lit(None).cast("long").alias("dst"), F.lit(0.0).alias("weight"), "coordinates")
-        rows = ends.unionByName(own).withColumn("bucket", F.pmod(F.xxhash64("src"), F.lit(buckets)).cast("int"))
-
-        old, now = now, cut(rows.groupBy("bucket").applyInArrow(mover(held, n, rates, a, b, [seed, r]), "cell_id long, coordinates array<double>"), "umap-layout")
+            each = lots(many, seed + r).select("src", F.posexplode("edges").alias("part", "e"))
+            some = some.unionByName(each.select("src", "part", "e.dst", "e.weight"))
+            own = now.withColumnRenamed("cell_id", "src").join(hubs, "src", "left")
+            own = own.select("src", F.explode(F.sequence(F.lit(0), F.coalesce("parts", F.lit(1)) - 1)).alias("part"), "coordinates")
+        ends = some.join(now.select(F.col("cell_id").alias("dst"), "coordinates"), "dst").select("src", "part", "dst", "weight", "coordinates")
+        own = own.select("src", "part", F.lit(None).cast("long").alias("dst"), F.lit(0.0).alias("weight"), "coordinates")
+        key = F.when(F.col("part") == 0, F.xxhash64("src")).otherwise(F.xxhash64("src", "part"))
+        rows = ends.unionByName(own).withColumn("bucket", F.pmod(key, F.lit(buckets)).cast("int"))
+        new = rows.groupBy("bucket").applyInArrow(mover(held, n, rates, a, b, [seed, r]), "cell_id long, bucket int, parts long, coordinates array<double>")
+        if many is not None and buckets > 1:
+            # The middle of all parts, added up in the order of buckets.
+            new = new.groupBy("cell_id").agg(F.sort_array(F.collect_list(F.struct("bucket", "parts", "coordinates"))).alias("s"), F.sum("parts").alias("parts"))
+            middle = [F.aggregate("s", F.lit(0.0), lambda t, y: t + y["parts"] * F.get(y["coordinates"], F.lit(c))) / F.col("parts") for c in range(held.value.shape[1])]  # noqa: B023
+            new = new.select("cell_id", F.array(*middle).alias("coordinates"))
+        old, now = now, cut(new.select("cell_id", "coordinates"), "umap-layout")
         held.destroy()
         free(old)
     free(edges, hubs, *(x for x in (few, many) if many is not None))

@@ -67,6 +67,20 @@ def test_only_edges_of_hubs_are_drawn(spark, monkeypatch):
     assert lots(weights, 0).count() == 59 * 4 + 30
 
 
+@pytest.mark.parametrize("bucket", [8192, 12])
+def test_all_edges_of_a_hub_take_part(spark, monkeypatch, bucket):
+    """A cell with more than EDGES edges is pulled by each of them: between two far groups that pull alike it stays in the middle."""
+    monkeypatch.setattr(umap, "EDGES", 2)
+    monkeypatch.setattr(umap, "BUCKET", bucket)
+    weights = spark.createDataFrame([(0, j, 1.0 - j / 100) for j in range(1, 42)] + [(1, 2, 0.5)], "src long, dst long, weight double")
+    dealt = [(x.src, e.dst, e.weight) for x in umap.lots(weights, 3).collect() for e in x.edges]
+    assert sorted(dealt) == sorted(map(tuple, weights.collect()))
+    assert max(len(x.edges) for x in umap.lots(weights, 3).collect()) == 21
+    start = spark.createDataFrame([(0, [0.0, 0.0])] + [(j, [20.0 if j % 2 else -20.0, 0.0]) for j in range(1, 42)], "cell_id long, coordinates array<double>")
+    found = {r.cell_id: r.coordinates for r in umap.layout(weights, start, nepochs=60).collect()}
+    assert len(found) == 42 and abs(found[0][0]) < 6 and found[3] == [20.0, 0.0]
+
+
 def test_curve():
     for d in (0.001, 0.1, 0.3, 0.8):
         a, b = umap.curve(d)
