@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..storage import short_cut as cut
-from .neighbours import METRICS, nearest_neighbours, search, usable
+from .neighbours import METRICS, nearest_neighbours, same_among_nearest, usable
 
 
 def agreement(x: DataFrame, y: DataFrame, k: int = 15, metric: str = "euclidean", include_self: bool = True) -> DataFrame:
@@ -40,7 +40,7 @@ def alignment(vectors: DataFrame, datasets: DataFrame, k: int | None = None, met
     tags = cut(tags, "datasets")
     # Each cell's neighbours of its own data set are counted where they are found; n k rows are never made.
     tagged = cut(usable(some, "dataset").join(tags, F.col("dataset").eqNullSafe(F.col("of"))).select("cell_id", "vector", "tag"), "vectors")
-    found = search(tagged, k, metric, False, None, True, "cell_id long, tag long, same long")
+    found = same_among_nearest(tagged, k, metric)
     inside = F.when(F.col("of").isNotNull(), F.col("same")).otherwise(0)
     same = found.join(tags, "tag").groupBy(F.col("of").alias("dataset")).agg((F.sum(inside) / F.lit(float(small))).alias("x"))
     share = k / n_sets

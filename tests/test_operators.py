@@ -199,6 +199,37 @@ def test_nearest_neighbours(spark, metric):
         assert [got[i, k] for k in range(1, 6)] == np.lexsort((np.arange(90), d[i].round(12)))[:5].tolist()
 
 
+@pytest.mark.parametrize("metric", ["euclidean", "cosine"])
+@pytest.mark.parametrize("case", ["random", "ties", "copies", "wide", "few"])
+def test_same_among_nearest(spark, monkeypatch, metric, case):
+    """Tags among the nearest are counted by tallies, with ties and copies, as by plain distances."""
+    from tallyframe.operators import neighbours
+
+    monkeypatch.setattr(neighbours, "TILE", 32)
+    r = np.random.default_rng(7)
+    x = r.normal(size=(150, 6))
+    if case == "ties":
+        x = r.integers(-1, 2, (150, 6)).astype(float)
+    elif case == "copies":
+        x[20:130] = x[20]
+    elif case == "wide":
+        x *= 10.0 ** r.integers(-9, 9, (150, 1))
+    k = 150 if case == "few" else 12
+    tags = r.integers(0, 3, 150)
+    rows = spark.createDataFrame([(i * 7 % 151, [float(t) for t in v], int(g)) for i, (v, g) in enumerate(zip(x, tags))], "cell_id long, vector array<double>, tag long")
+    asked, search = [], neighbours.search
+    monkeypatch.setattr(neighbours, "search", lambda *a, **b: (asked.append(b.get("tally", False)), search(*a, **b))[1])
+    got = {q.cell_id: (q.tag, q.same) for q in neighbours.same_among_nearest(rows, k, metric).collect()}
+    assert asked[0] and (case in ("ties", "copies", "wide") or len(asked) == 1)
+    ids = np.arange(150) * 7 % 151
+    n = x / np.linalg.norm(x, axis=1, keepdims=True).clip(1e-300)
+    for i in range(150):
+        d = 1 - (n[i] * n).sum(1) if metric == "cosine" else np.sqrt(((x[i] - x) ** 2).sum(1))
+        near = [j for j in np.lexsort((ids, d)) if j != i][:k]
+        assert got[ids[i]] == (tags[i], (tags[near] == tags[i]).sum())
+    assert len(got) == 150
+
+
 def test_communities_of_three_cliques(spark):
     edges = [(g * 6 + a, g * 6 + b, 1.0) for g in range(3) for a in range(6) for b in range(6) if a != b]
     edges += [(5, 6, 0.3), (6, 5, 0.3), (11, 12, 0.3), (12, 11, 0.3)]
