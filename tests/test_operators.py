@@ -318,6 +318,53 @@ def test_buckets_settle_in_few_rounds(spark, monkeypatch):
         assert abs(q[start] - sum(((a - 0.8 * np.outer(w, w) / w.sum()) / w.sum())[np.ix_(x == c, x == c)].sum() for c in set(x.tolist()))) < 1e-9
 
 
+def test_moves_of_many_at_a_time_are_as_one_by_one():
+    """Nodes that move together leave and join clusters of their own: weight inside rises by what each gains, to the end."""
+    r = np.random.default_rng(3)
+    a = np.triu(r.random((300, 300)) * (r.random((300, 300)) < 0.05), 1)
+    a += a.T
+    src, ends = np.nonzero(a)
+    weight, at = a[src, ends], np.searchsorted(src, np.arange(301))
+    w, own = a.sum(1), np.arange(300)
+    label, size, scale = own.copy(), w.copy(), 0.8 / w.sum()
+    worth = lambda: sum(a[np.ix_(label == c, label == c)].sum() - scale * w[label == c].sum() ** 2 for c in set(label.tolist()))
+    rows = np.array([5, 17, 200])
+    gain, to = graph.best_of(rows, own, ends, weight, at, label, w, size, scale)
+    for i, g, t in zip(rows, gain, to):
+        every = [a[i, label == c].sum() - scale * w[i] * (size[c] - w[i] * (label[i] == c)) for c in range(300)]
+        assert every[t] - every[label[i]] == pytest.approx(g) and g == pytest.approx(max(every[c] for c in ends[src == i]) - every[label[i]])
+    values = [worth()]
+    for seed in range(20):
+        todo = graph.gaining(own, ends, weight, at, label, w, size, scale)
+        graph.settled(own, ends, weight, at, label, w, size, scale, todo, 1, np.random.default_rng(seed))
+        assert np.allclose(size, np.bincount(label, w, 300))
+        values.append(worth())
+    assert all(y >= x - 1e-9 for x, y in zip(values, values[1:])) and values[-1] > values[0] + 1
+    graph.settled(own, ends, weight, at, label, w, size, scale, own, 1024, np.random.default_rng(9))
+    assert not len(graph.gaining(own, ends, weight, at, label, w, size, scale))
+
+
+def test_few_nodes_that_gain_are_dealt_anew(spark, monkeypatch):
+    """When few nodes gain, they and their neighbours are moved by one task; nobody gains by a move at the end."""
+    monkeypatch.setattr(graph, "BUCKET", 16)
+    monkeypatch.setattr(graph, "FEW", 1)
+    r = np.random.default_rng(6)
+    group = np.arange(96) % 8
+    a = np.triu(r.random((96, 96)) < np.where(group[:, None] == group, 0.7, 0.03), 1).astype(float)
+    a += a.T
+    edges = spark.createDataFrame([(int(i), int(j), 1.0) for i, j in zip(*np.nonzero(a))], "src long, dst long, weight double")
+    asked, settle = [], graph.settle
+    monkeypatch.setattr(graph, "settle", lambda *x: (asked.append(x[5]), settle(*x))[1])
+    every, q = graph.louvain(edges, 0.8, 2)
+    assert asked
+    w = a.sum(1)
+    rise = (a - 0.8 * np.outer(w, w) / w.sum()) / w.sum()
+    for start in range(2):
+        x = np.array([s.label for s in every.filter(F.col("start") == start).orderBy("node").collect()])
+        assert abs(q[start] - sum(rise[np.ix_(x == c, x == c)].sum() for c in set(x.tolist()))) < 1e-9
+        assert len(set(x.tolist())) == 8 and all(len(set(x[group == g].tolist())) == 1 for g in range(8))
+
+
 def test_purity_and_alignment(spark):
     pairs = spark.createDataFrame([(1, 1), (1, 1), (1, 2), (2, 2), (2, 2), (2, 1), (3, 3)], "cluster int, class int")
     assert math.isclose(stats.purity(pairs).first().purity, 5 / 7)
